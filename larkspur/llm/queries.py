@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe_lexicon, chat_format, exact_dedup, mixing, quality_rules, simhash, token_binary
+from larkspur.llm import bpe_lexicon, chat_format, exact_dedup, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_binary, toxicity
 from larkspur.llm.shared import shared_path, table
 
 #: Words by the contract, in DuckDB.
@@ -44,6 +44,10 @@ def op4_bpe_lexicon(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return bpe_lexicon.encoded(docs, tokenizer or tokenizer_path("byte_bpe_50k.json"), ["doc_id"], digest=True)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "exact-index")
     exact_dedup.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -65,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op2_quality_rules, op3_chat_format, op4_bpe_lexicon, op6_mixing, op7_simhash, op10_exact_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_binary, op2_quality_rules, op3_chat_format, op4_bpe_lexicon, op5_suffix_dedup, op6_mixing, op7_simhash, op8_lm_scoring, op9_toxicity, op10_exact_dedup, pipeline)}
 
 _BREAK = r"[\x20\x09-\x0D]+"
 _ESCAPED = "replace({0}, '\\', '\\\\')"
