@@ -156,15 +156,24 @@ def repeated_offsets(contexts: list[bytes], left: np.ndarray, group: np.ndarray)
     valid = (offset[None, :] <= left[:, None]) & (LENGTH - offset[None, :] <= (size - left)[:, None])
     row, at = np.nonzero(valid)
     rank = group[row].astype(np.int64) * (BEFORE + 1) + at
+    order = np.argsort(rank, kind="stable")
+    row, at, rank = row[order], at[order], rank[order]
     for step in range(0, LENGTH, 8):
-        if not len(row):
-            return out
         key = words[row, BEFORE - at + step]
-        order = np.lexsort((key, rank))
-        row, at, rank, key = row[order], at[order], rank[order], key[order]
-        new = np.r_[True, (rank[1:] != rank[:-1]) | (key[1:] != key[:-1])]
+        new = np.r_[True, rank[1:] != rank[:-1]][: len(rank)]
+        part_of, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        differs = key != key[first][part_of]
+        if differs.any():  # only segments that aren't all equal here are sorted
+            mixed = np.zeros(len(first), bool)
+            mixed[part_of[differs]] = True
+            part = np.flatnonzero(mixed[part_of])
+            order = part[np.lexsort((key[part], rank[part]))]
+            row[part], at[part], key[part] = row[order], at[order], key[order]
+            new[1:] |= key[1:] != key[:-1]
+        elif step:
+            continue
         rank = np.cumsum(new)
-        alone = new & np.r_[new[1:], True]
+        alone = new & np.r_[new[1:], True][: len(new)]
         row, at, rank = row[~alone], at[~alone], rank[~alone]
     out[row, at] = True
     return out
