@@ -40,7 +40,11 @@ def parse_query(query: str) -> list[Clause]:
 def postings(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id") -> DataFrame:
     """(key, term, tf): weighted counts of every term over the fields."""
     weights = weights or FIELD_WEIGHTS
-    fields = F.flatten(F.array(*[F.transform(X.tokens(F.col(f)), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for f, w in weights.items()]))
+
+    def weighed(field: str, w: float):
+        return F.transform(X.tokens(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+
+    fields = F.flatten(F.array(*[weighed(f, w) for f, w in weights.items()]))
     return docs.select(key, F.explode(fields).alias("p")).groupBy(key, F.col("p.term").alias("term")).agg(F.sum("p.w").alias("tf"))
 
 

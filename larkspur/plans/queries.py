@@ -23,8 +23,8 @@ NOW = 1_706_745_600_000
 
 BASE = {
     "memories": """SELECT conv_id * 1000 + turn AS id, text, role, conv_id % 20 AS scope, (conv_id * 7 + turn * 3) % 11 / 10e0 AS importance,
-      (conv_id + turn * 5) % 13 AS access_count, 1704067200000 + (conv_id * 37 % 30) * 86400000 - (conv_id % 4) * 1296000000 + turn * 3600000 AS created_at,
-      CASE WHEN (conv_id + turn * 5) % 13 = 0 THEN NULL ELSE 1704067200000 + (conv_id * 37 % 30) * 86400000 - (conv_id % 4) * 1296000000 + turn * 3600000 + (conv_id + turn * 5) % 13 * 43200000 END AS last_accessed,
+      (conv_id + turn * 5) % 13 * ((conv_id + turn) % 2) AS access_count, 1704067200000 + (conv_id * 37 % 30) * 86400000 - (conv_id % 4) * 1296000000 + turn * 3600000 AS created_at,
+      CASE WHEN (conv_id + turn * 5) % 13 * ((conv_id + turn) % 2) = 0 THEN NULL ELSE 1704067200000 + (conv_id * 37 % 30) * 86400000 - (conv_id % 4) * 1296000000 + turn * 3600000 + (conv_id + turn * 5) % 13 * ((conv_id + turn) % 2) * 43200000 END AS last_accessed,
       CASE conv_id % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'working' ELSE 'peripheral' END AS tier,
       CASE (conv_id + turn) % 6 WHEN 0 THEN 'fact' WHEN 1 THEN 'decision' WHEN 2 THEN 'entity' WHEN 3 THEN 'preference' WHEN 4 THEN 'reflection' ELSE 'other' END AS category
       FROM {conversations}""",
@@ -75,7 +75,7 @@ def _r(*columns: str):
 
 _TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
 _BM25 = rf"""
-d AS (SELECT doc_id, {_TOKENS.format("path")} AS a, {_TOKENS.format("regexp_replace(path, '^.*/|\\.md$', '', 'g')")} AS b, {_TOKENS.format("body")} AS c FROM corpus),
+d AS (SELECT doc_id, {_TOKENS.format("path")} AS a, {_TOKENS.format("regexp_replace(path, '^.*/|\.md$', '', 'g')")} AS b, {_TOKENS.format("body")} AS c FROM corpus),
 sizes AS (SELECT doc_id, len(a) + len(b) + len(c) AS dl FROM d),
 tok AS (SELECT doc_id, unnest(a) AS term, 1.5 AS w FROM d UNION ALL SELECT doc_id, unnest(b), 4.0 FROM d UNION ALL SELECT doc_id, unnest(c), 1.0 FROM d),
 post AS (SELECT doc_id, term, sum(w)::DOUBLE AS tf FROM tok GROUP BY 1, 2),
@@ -189,10 +189,10 @@ def scope_rank_norm(embeddings):
     return vectors.scope_normalised(near).select("query_id", "id", "scope", "similarity")
 
 
-@query(f"SELECT query_id, id, similarity FROM (SELECT query_id, id, similarity, {_RANK} FROM ({_KNN}) WHERE id % 100 <> 0 AND similarity >= 0.5) WHERE rank = 1", "embeddings")
+@query(f"SELECT query_id, id, similarity FROM (SELECT query_id, id, similarity, {_RANK} FROM ({_KNN}) WHERE id % 100 <> 0 AND similarity >= 0.3) WHERE rank = 1", "embeddings")
 def near_dup_cosine(embeddings):
-    """The nearest stored vector at or over 0.5 of every new one."""
-    return vectors.duplicate_probe(_asked(embeddings), _stored(embeddings).where("id % 100 <> 0"), 0.5)
+    """The nearest stored vector at or over 0.3 of every new one."""
+    return vectors.duplicate_probe(_asked(embeddings), _stored(embeddings).where("id % 100 <> 0"), 0.3)
 
 
 # Fusion ----------------------------------------------------------------------------
@@ -306,7 +306,7 @@ def memory_store(memories):
     return new.select("id", "content_hash")
 
 
-@query("WITH l AS (SELECT user_id * 1000 AS id, count(*) AS hits, max(epoch_ms(ts)) AS seen FROM events GROUP BY 1) SELECT m.id, access_count + coalesce(hits, 0) AS access_count, greatest(last_accessed, seen) AS last_accessed FROM memories m LEFT JOIN l ON m.id = l.id", "memories", "events")
+@query("WITH l AS (SELECT user_id * 1000 AS id, count(*) AS hits, max(epoch_us(ts) // 1000) AS seen FROM events GROUP BY 1) SELECT m.id, access_count + coalesce(hits, 0) AS access_count, greatest(last_accessed, seen) AS last_accessed FROM memories m LEFT JOIN l ON m.id = l.id", "memories", "events")
 def access_touch(memories, events):
     log = events.select((F.col("user_id") * 1000).alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("accessed_at"))
     return memory.touch(memories, log).select("id", "access_count", "last_accessed")
@@ -407,7 +407,7 @@ def scd2_build(facts):
     return knowledge.build(facts).select("id", "subject", "predicate", "object", "valid_from", "valid_until")
 
 
-@query(f"WITH {_SCD}, a AS (SELECT c_custkey AS query_id, regexp_replace(trim(lower(c_name)), '[^a-z0-9]+', '_', 'g') AS subject, TIMESTAMP '1996-01-01' + INTERVAL 1 DAY * (c_custkey % 700) AS at FROM customer) SELECT query_id, id, object FROM a JOIN kg USING (subject) WHERE valid_from <= at AND (valid_until IS NULL OR at < valid_until)", "facts", "customer")
+@query(f"WITH {_SCD}, a AS (SELECT c_custkey AS query_id, regexp_replace(trim(lower(c_name)), '[^a-z0-9]+', '_', 'g') AS subject, TIMESTAMP '1996-01-01' + INTERVAL 1 DAY * (c_custkey % 700) AS probe FROM customer) SELECT query_id, id, object FROM a JOIN kg USING (subject) WHERE valid_from <= probe AND (valid_until IS NULL OR probe < valid_until)", "facts", "customer")
 def kg_as_of(facts, customer):
     at = F.expr("timestamp_ntz '1996-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 700 as int))").cast(facts.schema["valid_from"].dataType)
     asked = customer.select(F.col("c_custkey").alias("query_id"), X.entity_slug(F.col("c_name")).alias("subject"), at.alias("at"))
