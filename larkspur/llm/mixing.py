@@ -175,7 +175,8 @@ def mix(docs: DataFrame, keep: list[str], seed: int = SEED, weights: tuple[int,
     packed = packed.join(base, ["_source_no", "_run"]).select("_row", "_source_no", "_size", (F.col("_base") + F.col("_within")).alias("_start"))
     covers = packed.withColumn("block", F.explode(F.sequence(F.expr(f"_start div {BLOCK}"), F.expr(f"(_start + _size - 1) div {BLOCK}"))))
     used = slots(spark, [sizes[s] for s in names], [goal[s] for s in names], seed)
-    parts = covers.join(used, (F.col("_source_no") == F.col("source_no")) & (covers["block"] == used["block"])).select(
+    # Spark can't see how many slots a range makes and would broadcast them: shuffle both sides
+    parts = covers.join(used.hint("merge"), (F.col("_source_no") == F.col("source_no")) & (covers["block"] == used["block"])).select(
         F.col("_row").alias("row"),
         "pass",
         F.greatest(covers["block"] * BLOCK - F.col("_start"), F.lit(0)).alias("from_word"),
