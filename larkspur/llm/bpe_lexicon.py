@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import text_of
+from larkspur.llm.shared import most_frequent, staged, text_of
 
 #: Words compiled into the lexicon at most: bounds the file to a few MB.
 LEXICON = 50_000
@@ -223,8 +223,8 @@ class Codec:
         return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def frequent_words(docs: DataFrame, size: int = LEXICON) -> DataFrame:
-    """(word, n): the most frequent words of all whole texts, ties by word."""
+def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
+    """The most frequent words of all whole texts, met twice at least, ties by word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -242,12 +242,12 @@ def frequent_words(docs: DataFrame, size: int = LEXICON) -> DataFrame:
         yield from flush()
 
     words = docs.select(text_of().alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return words.orderBy(F.desc("n"), "word").limit(size)
+    return [word for word, _ in most_frequent(staged(words.where("n > 1"), "word-counts"), size)]
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> str:
     """Compile the lexicon of ``docs``, hand its file to all executors, return its name."""
-    words = [r["word"] for r in frequent_words(docs, size).collect()]
+    words = frequent_words(docs, size)
     merged = Codec(tokenizer, None)._merged(words)
     lexicon = Lexicon.compile({w.encode(): np.frombuffer(i, "<u4").tolist() for w, i in zip(words, merged) if w})
     folder = tempfile.mkdtemp(prefix="lexicon-")
