@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import staged, text_of
+from larkspur.llm.shared import row_keys, staged, text_of
 
 #: Words of a block, slots of an output shard, passes over a source.
 BLOCK, SHARD, PASSES, SEED = 64, 1024, 3, 17
@@ -203,12 +203,13 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     word = re.compile(r"[^\x20\x09-\x0D]+")
     rest = [c for c in docs.columns if c != "text"]
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"), F.col("source"))
-    numbered = staged(numbered.withColumn("_no", F.monotonically_increasing_id()), "mix-texts")
-    rows, parts = mix(numbered, ["_no"], seed)
+    keys = ["__k1", "__k2"]
+    numbered = docs.withColumns(row_keys(docs))
+    rows, parts = mix(numbered, keys, seed)
     runs = parts.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("runs"))
-    runs = runs.join(rows.select("_row", "_no"), F.col("row") == F.col("_row")).groupBy("_no").agg(F.collect_list(F.struct("pass", "runs")).alias("passes"))
-    full = numbered.select("_no", "text", "doc").join(runs, "_no").select("text", "passes", F.struct(*[F.col(f"doc.`{c}`").alias(c) for c in rest]).alias("rest"))
+    runs = runs.join(rows.select("_row", *keys), F.col("row") == F.col("_row")).groupBy(*keys).agg(F.collect_list(F.struct("pass", "runs")).alias("passes"))
+    runs = staged(runs, "mix-runs")  # equal rows share their keys and so their passes
+    full = numbered.join(runs, keys).dropDuplicates(keys).select(text_of().alias("text"), "passes", F.struct(*[F.col(f"`{c}`").alias(c) for c in rest]).alias("rest"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -97,3 +97,11 @@ def most_frequent(counts: DataFrame, size: int) -> list[tuple[str, int]]:
         return []
     top = counts.where(bucket >= least).select("word", "n").orderBy(F.desc("n"), "word").limit(size)
     return [(r.word, r.n) for r in top.collect()]
+
+
+def row_keys(df: DataFrame) -> dict:
+    """Two hashes (96 bits) of all columns of a row, nulls told apart: never null, so
+    that joins by them need no other key.  Equal rows share them."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = [c.isNull() for c in columns]
+    return {"__k1": F.xxhash64(*nulls, *columns), "__k2": F.hash(*nulls, *columns)}

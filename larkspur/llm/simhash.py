@@ -28,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import staged, text_of
+from larkspur.llm.shared import row_keys, staged, text_of
 
 SEED = 42
 #: First bit and width of the five fields.
 FIELDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Members of a bucket whose planes one share holds.
 TILE = 8192
-#: Column that numbers the rows of a staged table.
-ROW = "__simhash_row"
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -233,15 +231,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """One row of each component (its smallest ``doc_id``), with the columns of ``docs``.
 
-    Rows are told apart by a number that the staged table fixes, so a ``doc_id`` that
-    repeats or is null loses nothing else.
+    Rows are told apart by hashes of all their columns, so a ``doc_id`` that repeats or
+    is null loses nothing else; of wholly equal rows one stays.  The texts are shuffled
+    once and not written.
     """
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    numbered = staged(numbered, "simhash-rows")
-    prints = staged(fingerprints(numbered, keep=["doc_id", ROW]), "fingerprints")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    keyed = docs.withColumns(row_keys(docs))
+    prints = staged(fingerprints(keyed, keep=["doc_id", "__k1", "__k2"]), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
     distinct = staged(prints.groupBy("fp").agg(F.min(rank).alias("first")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp")))
-    stays = distinct.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first.row").alias("_low"), F.min("first").alias("first"))
-    stays = stays.select(F.col("first.row").alias("_stays"))
-    return numbered.join(stays, F.col(ROW) == F.col("_stays"), "left_semi").select(*docs.columns)
+    stays = distinct.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    stays = staged(stays.select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2")), "stays")
+    return keyed.join(stays, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
