@@ -74,8 +74,9 @@ def _r(*columns: str):
 # Lexical search --------------------------------------------------------------------
 
 _TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
+_STEM = r"regexp_replace(path, '^.*/|\.md$', '', 'g')"
 _BM25 = rf"""
-d AS (SELECT doc_id, {_TOKENS.format("path")} AS a, {_TOKENS.format("regexp_replace(path, '^.*/|\.md$', '', 'g')")} AS b, {_TOKENS.format("body")} AS c FROM corpus),
+d AS (SELECT doc_id, {_TOKENS.format("path")} AS a, {_TOKENS.format(_STEM)} AS b, {_TOKENS.format("body")} AS c FROM corpus),
 sizes AS (SELECT doc_id, len(a) + len(b) + len(c) AS dl FROM d),
 tok AS (SELECT doc_id, unnest(a) AS term, 1.5 AS w FROM d UNION ALL SELECT doc_id, unnest(b), 4.0 FROM d UNION ALL SELECT doc_id, unnest(c), 1.0 FROM d),
 post AS (SELECT doc_id, term, sum(w)::DOUBLE AS tf FROM tok GROUP BY 1, 2),
