@@ -121,3 +121,43 @@ def missing_contexts(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """Top folders of collections that no rule covers: (collection, folder)."""
     tops = docs.where(F.contains("path", F.lit("/"))).select("collection", F.split("path", "/")[0].alias("folder")).distinct()
     return tops.join(rules.select("collection", F.split(F.regexp_replace("prefix", "^/", ""), "/")[0].alias("folder")), ["collection", "folder"], "left_anti")
+
+
+def upserted(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``current`` with the rows of ``incoming`` in place of those with their collection
+    and path; rows that come in are active."""
+    kept = current.join(incoming.select("collection", "path"), ["collection", "path"], "left_anti")
+    return kept.unionByName(incoming.withColumn("active", F.lit(True)), allowMissingColumns=True)
+
+
+def deactivated(current: DataFrame, seen: DataFrame) -> DataFrame:
+    """``current`` with the rows whose path was not ``seen`` made inactive."""
+    marked = current.join(seen.select("collection", "path", F.lit(True).alias("_seen")).distinct(), ["collection", "path"], "left")
+    return marked.withColumn("active", F.col("active") & F.col("_seen").isNotNull()).drop("_seen")
+
+
+def health(docs: DataFrame, vectors: DataFrame, now_ms: int) -> DataFrame:
+    """One row: active documents, contents without vectors, days since the last change."""
+    have = vectors.where("seq = 0").select("hash", F.lit(True).alias("_have")).distinct()
+    days = F.floor((F.lit(now_ms) - F.max("modified_at")) / 86_400_000)
+    lacking = F.countDistinct(F.when(F.col("_have").isNull(), F.col("hash")))
+    return docs.where("active").join(have, "hash", "left").agg(F.count("*").alias("total_docs"), lacking.alias("needs_embedding"), days.alias("days_stale"))
+
+
+def newest(cache: DataFrame, at: str, key: str, n: int = 1000) -> DataFrame:
+    """The ``n`` newest entries of a cache; the larger key wins a tie."""
+    return cache.orderBy(F.desc(at), F.desc(key)).limit(n)
+
+
+def listing(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """(collection, path, bytes) of active documents under a prefix."""
+    return docs.where(F.col("active") & F.col("path").startswith(prefix)).select("collection", "path", F.octet_length("body").cast("long").alias("bytes"))
+
+
+def fetch(docs: DataFrame, asked: DataFrame, most: int = 10_240) -> DataFrame:
+    """(query_id, path, outcome) for asked(query_id, name): ``ok``, ``too large`` over
+    ``most`` bytes, or ``not found``."""
+    sizes = docs.select("collection", "path", F.octet_length("body").alias("_bytes"))
+    met = find(docs, asked).join(sizes, ["collection", "path"])
+    outcome = F.when(F.col("path").isNull(), "not found").when(F.col("_bytes") > most, "too large").otherwise("ok")
+    return asked.select("query_id").join(met, "query_id", "left").select("query_id", "path", outcome.alias("outcome"))

@@ -67,3 +67,10 @@ def coverage(memory: Column, truth: Column) -> Column:
     """Share of the truth's distinct tokens that the memory holds."""
     t = F.array_distinct(answer_tokens(truth))
     return F.when(F.size(t) == 0, 0.0).otherwise(F.size(F.array_intersect(t, X.tokens(memory))) / F.size(t))
+
+
+def hit_rate(results: DataFrame, gold: DataFrame, k: int, by: str) -> DataFrame:
+    """(by, queries, hit_rate): share of a group's queries with a gold id in the first ``k``."""
+    found = results.where(F.col("rank") <= k).join(gold.select("query_id", "id"), ["query_id", "id"]).select("query_id", F.lit(1).alias("hit")).distinct()
+    asked = gold.select("query_id", by).distinct().join(found, "query_id", "left")
+    return asked.groupBy(by).agg(F.count("*").alias("queries"), F.round(F.count("hit") / F.count("*"), 6).alias("hit_rate"))

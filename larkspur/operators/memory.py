@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import text as X
+
 DAY = 86_400_000.0
 # Fixed values. Half-life in days, stretch and floor of each tier (others as peripheral).
 HALF_LIFE = {"core": 90.0, "working": 30.0, "peripheral": 14.0}
@@ -154,3 +156,22 @@ def exchanges(turns: DataFrame) -> DataFrame:
     pairs = turns.withColumn("_n", n).groupBy("conv_id", F.floor(F.col("_n") / 2).alias("pair"))
     both = pairs.agg(F.max(F.when(F.col("_n") % 2 == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("_n") % 2 == 1, F.col("text"))).alias("b")).where("b is not null")
     return both.select("conv_id", "pair", F.concat("a", F.lit("\n\nAssistant: "), "b").alias("text")).where(F.length("text") >= 30)
+
+
+def extracted(texts: DataFrame) -> DataFrame:
+    """(id, n, text, category, importance): sentences of texts(id, text) that carry the
+    signs of a category, numbered within their text."""
+    rows = texts.select("id", F.posexplode(X.sentences(F.col("text"))).alias("n", "text"))
+    kinds = rows.withColumn("category", X.category(F.col("text"))).where("category <> 'other'")
+    return kinds.withColumn("importance", X.importance(F.col("text"), F.col("category")))
+
+
+def forgotten(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    return memories.join(ids.select("id"), "id", "left_anti")
+
+
+def listing(memories: DataFrame, limit: int = 50, offset: int = 0, **equal) -> DataFrame:
+    """Newest memories whose columns equal the given values; at most 500 at a time."""
+    for name, value in equal.items():
+        memories = memories.where(F.col(name) == value)
+    return memories.orderBy(F.desc("created_at"), "id").offset(max(0, offset)).limit(min(500, max(1, limit)))

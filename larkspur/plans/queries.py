@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import chunking, lexicons
 from larkspur.functions import text as X
-from larkspur.operators import catalog, evaluation, fusion, knowledge, lexical, memory, vectors
+from larkspur.operators import catalog, composites, evaluation, fusion, knowledge, lexical, memory, vectors
 from larkspur.sources import formats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -528,3 +528,128 @@ def wilson_ci(labels, documents):
 @query("WITH t AS (SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '') AS a, ['we', 'decided', 'to', 'go', 'with', 'building', 'products', 'products'] AS b FROM said), s AS (SELECT id, len(a) AS na, len(b) AS nb, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))) AS hit FROM t) SELECT id, round(CASE WHEN hit > 0 THEN 2.0 * hit / (na + nb) ELSE 0 END, 6)::DOUBLE AS f1 FROM s", "said")
 def token_f1(said):
     return said.select("id", F.round(evaluation.token_f1(F.col("text"), F.lit("We decided to go with building, products products")), 6).alias("f1"))
+
+
+_TRUTH = ["alice", "smith", "will", "buy", "products"]
+
+
+@query(f"SELECT id, round(({' + '.join(f'''list_contains({_TOKENS.format('text')}, '{w}')::INT''' for w in _TRUTH)}) / 5.0, 6)::DOUBLE AS coverage FROM said", "said")
+def answer_coverage(said):
+    return said.select("id", F.round(evaluation.coverage(F.col("text"), F.lit("Alice Smith will buy products")), 6).alias("coverage"))
+
+
+@query(f"WITH {_GOLD}, h AS (SELECT DISTINCT query_id FROM res JOIN g USING (query_id, id) WHERE rank <= 3), a AS (SELECT DISTINCT query_id, query_id % 3 AS difficulty FROM g) SELECT difficulty, count(*) AS queries, round(count(h.query_id) / count(*), 6)::DOUBLE AS hit_rate FROM a LEFT JOIN h USING (query_id) GROUP BY 1", "lists", "benchmark")
+def hit_at_k(lists, benchmark):
+    gold = _gold(benchmark).withColumn("difficulty", F.col("query_id") % 3)
+    return evaluation.hit_rate(lists.groupBy("query_id", "id").agg(F.min("rank").alias("rank")), gold, 3, "difficulty")
+
+
+# Whole searches --------------------------------------------------------------------
+
+
+@query(f"WITH r AS (SELECT query_id, 0 AS list_no, doc_id AS id, rank FROM ({ORACLE_SQL['bm25_topk']}) UNION ALL SELECT query_id, 1, doc_id, rank FROM ({ORACLE_SQL['bm25_all_terms']})), w AS (SELECT *, {_W} AS weight FROM r), f AS (SELECT query_id, id, round(sum(weight / (60 + rank)) + {_BONUS}, 6)::DOUBLE AS score FROM w GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10", "corpus", "phrases")
+def hybrid_query(corpus, phrases):
+    """Documents by any and by all terms, fused."""
+    lists = [f(corpus, phrases).withColumnRenamed("doc_id", "id") for f in (bm25_topk, bm25_all_terms)]
+    return composites.hybrid(lists)
+
+
+_RECALL = f"WITH b AS (SELECT query_id, id, 0.8 / (60 + rank) AS s FROM ({ORACLE_SQL['memory_or_search']}) UNION ALL SELECT query_id, id, 0.1 / (60 + rank) FROM ({ORACLE_SQL['time_window_list']})), f AS (SELECT query_id, id, sum(s) AS fused FROM b GROUP BY 1, 2), found AS (SELECT query_id, id, tier, round(fused * ({_SCORE}), 6)::DOUBLE AS score FROM f JOIN memories USING (id))"
+
+
+def _found(memories, phrases, benchmark):
+    words, timed = memory_or_search(memories, phrases), time_window_list(memories, benchmark)
+    return composites.recalled(memories, words, words.where(F.lit(False)), timed, NOW)
+
+
+@query(f"{_RECALL} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM found) WHERE rank <= 10", "memories", "phrases", "benchmark")
+def memory_recall(memories, phrases, benchmark):
+    """Memories by words and by time, fused, times their decay."""
+    return composites.recall(_found(memories, phrases, benchmark)).select("query_id", "id", "score", "rank")
+
+
+@query(f"{_RECALL} SELECT * FROM (SELECT query_id, id, tier, score, row_number() OVER (PARTITION BY query_id, tier ORDER BY score DESC, id) AS rank FROM found) WHERE rank <= 5", "memories", "phrases", "benchmark")
+def recall_tiered(memories, phrases, benchmark):
+    return composites.recall_tiered(_found(memories, phrases, benchmark)).select("query_id", "id", "tier", "score", "rank")
+
+
+_ASKED = 'Did Alice Smith buy products "days ago"'
+
+
+@query("SELECT id, CASE WHEN contains(low, 'did') OR contains(low, 'alice') OR contains(low, 'smith') THEN 1.4 ELSE 1.0 END::DOUBLE AS name, CASE WHEN contains(low, 'days ago') THEN 1.6 ELSE 1.0 END::DOUBLE AS phrase, round(1 + 0.4 * (contains(low, 'products')::INT + contains(low, '\"days')::INT + contains(low, 'ago\"')::INT) / 3.0, 6)::DOUBLE AS keyword FROM (SELECT id, lower(text) AS low FROM said)", "said")
+def memory_boosts(said):
+    asked, text = F.lit(_ASKED), F.col("text")
+    return said.select("id", X.name_boost(asked, text).alias("name"), F.round(X.memory_phrase_boost(asked, text), 6).alias("phrase"), F.round(X.memory_keyword_boost(asked, text), 6).alias("keyword"))
+
+
+@query("SELECT id, text, category FROM ({0}) WHERE category <> 'other'".format(_CLASSIFY.replace("FROM said", r"FROM (SELECT id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 20)) AS text FROM said)")), "said")
+def extract_memories(said):
+    """Sentences worth remembering."""
+    return memory.extracted(said).select("id", "text", "category")
+
+
+@query("SELECT id, created_at FROM memories WHERE category = 'fact' ORDER BY created_at DESC, id LIMIT 100 OFFSET 10", "memories")
+def memory_list(memories):
+    return memory.listing(memories, 100, 10, category="fact").select("id", "created_at")
+
+
+@query("SELECT id, tier FROM memories WHERE NOT (category = 'other' AND tier = 'peripheral')", "memories")
+def memory_forget(memories):
+    return memory.forgotten(memories, memories.where("category = 'other' and tier = 'peripheral'")).select("id", "tier")
+
+
+@query(f"WITH {_SCD} SELECT id, subject, object FROM kg WHERE predicate = 'priority' AND contains(lower(object), 'urgent') ORDER BY valid_from DESC, id LIMIT 50", "facts")
+def kg_search(facts):
+    return knowledge.search(knowledge.build(facts), predicate="Priority", part="Urgent").select("id", "subject", "object")
+
+
+@query(f"WITH {_SCD} SELECT id, NOT (valid_until IS NULL AND id % 5 <> 0) AS closed FROM kg", "facts")
+def kg_invalidate(facts):
+    kg = knowledge.build(facts)
+    return knowledge.invalidate(kg, kg.where("id % 5 = 0"), F.col("ingested")).select("id", F.col("valid_until").isNotNull().alias("closed"))
+
+
+@query("WITH o AS (SELECT * FROM corpus WHERE doc_id % 3 <> 0), n AS (SELECT collection, path, body || '+' AS body FROM corpus WHERE doc_id % 4 = 0) SELECT collection, path, sha256(coalesce(n.body, o.body)) AS hash, n.path IS NOT NULL OR o.active AS active FROM o FULL JOIN n USING (collection, path)", "corpus")
+def doc_upsert(corpus):
+    new = corpus.where("doc_id % 4 = 0").withColumn("body", F.concat("body", F.lit("+")))
+    return catalog.upserted(corpus.where("doc_id % 3 <> 0"), new).select("collection", "path", F.sha2("body", 256).alias("hash"), "active")
+
+
+@query("SELECT collection, path, active AND doc_id % 9 <> 0 AS active FROM corpus", "corpus")
+def doc_deactivate(corpus):
+    return catalog.deactivated(corpus, corpus.where("doc_id % 9 <> 0")).select("collection", "path", "active")
+
+
+@query("WITH h AS (SELECT *, sha256(body) AS h FROM corpus) SELECT count(*) AS total_docs, 100000 - max(doc_id) AS days_stale, count(DISTINCT CASE WHEN h NOT IN (SELECT h FROM h WHERE doc_id % 2 = 0) THEN h END) AS needs_embedding FROM h WHERE active", "corpus")
+def index_health(corpus):
+    docs = catalog.addressed(corpus).withColumn("modified_at", F.col("doc_id") * 86_400_000)
+    vectors = docs.where("doc_id % 2 = 0").select("hash", F.lit(0).alias("seq"))
+    return catalog.health(docs, vectors, 100_000 * 86_400_000)
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1000", "orders")
+def cache_trim(orders):
+    return catalog.newest(orders, "o_orderdate", "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT collection, path, octet_length(encode(body))::BIGINT AS bytes FROM corpus WHERE active AND starts_with(path, 'en/')", "corpus")
+def list_prefix(corpus):
+    return catalog.listing(corpus, "en/")
+
+
+@query("SELECT doc_id, array_to_string(list_transform(list_slice(string_split(body, chr(10)), 1, 3), lambda x, i: i || ': ' || x), chr(10)) AS body FROM corpus", "corpus")
+def numbered_lines(corpus):
+    return catalog.body_lines(corpus, 1, 3).select("doc_id", "body")
+
+
+@query("SELECT DISTINCT collection, 'de' AS folder FROM corpus WHERE starts_with(path, 'de/')", "corpus")
+def context_audit(corpus):
+    rules = corpus.where("substr(path, 1, 2) <> 'de'").select("collection", F.substring("path", 1, 3).alias("prefix")).distinct()
+    return catalog.missing_contexts(corpus, rules)
+
+
+@query("SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 THEN path END AS path, CASE WHEN doc_id % 2 = 1 THEN 'not found' WHEN octet_length(encode(body)) > 10240 THEN 'too large' ELSE 'ok' END AS outcome FROM corpus WHERE doc_id % 25 = 0", "corpus")
+def multi_get(corpus):
+    docs = catalog.addressed(corpus)
+    name = F.concat_ws("/", F.when(F.col("doc_id") % 2 == 0, F.col("collection")).otherwise("no such"), "path")
+    return catalog.fetch(docs, docs.where("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), name.alias("name")))
