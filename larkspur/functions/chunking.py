@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values. Characters of a chunk, of the overlap and of the window for cuts.
 SIZE, OVERLAP, WINDOW = 3600, 540, 800
@@ -78,3 +79,8 @@ def chunked(docs: DataFrame, key: str, size: int = SIZE, overlap: int = OVERLAP,
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "body").mapInArrow(run, f"{key} {kind}, seq int, pos int, chunk string")
+
+
+def token_chunked(docs: DataFrame, key: str, size: int = 900, overlap: int = 135, window: int = 200) -> DataFrame:
+    """(key, seq, pos, chunk, tokens) under a budget of tokens, three characters each."""
+    return chunked(docs, key, 3 * size, 3 * overlap, 3 * window).withColumn("tokens", F.ceil(F.length("chunk") / 3).cast("int"))

@@ -164,3 +164,67 @@ def contains_score(terms: Column, text: Column) -> Column:
     """How many of ``terms`` the text holds."""
     low = F.lower(text)
     return F.size(F.filter(terms, lambda t: F.contains(low, t)))
+
+
+def snippet(body: Column, query: Column, intent: Column | None = None, most: int = 500) -> Column:
+    """struct(line, text, before, after): the first line with most of the query's words
+    (an intent term counts 0.3), one line before it and two after, cut to ``most``
+    characters."""
+    lines = F.split(F.coalesce(body, F.lit("")), "\n", -1)
+    worth = lambda line: contains_score(words(query), line) + (0.3 * contains_score(intent_terms(intent), line) if intent is not None else 0)
+    scores = F.transform(lines, lambda line: F.coalesce(worth(line).cast("double"), F.lit(0.0)))
+    best = F.array_position(scores, F.array_max(scores)).cast("int")
+    start, end = F.greatest(best - 1, F.lit(1)), F.least(best + 2, F.size(lines))
+    text = F.array_join(F.slice(lines, start, end - start + 1), "\n")
+    cut = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
+    return F.struct(best.alias("line"), cut.alias("text"), (start - 1).alias("before"), (F.size(lines) - end).alias("after"))
+
+
+def sub_queries(query: Column, mode: str = "keywords") -> Column:
+    """The query and what to search beside it: its first two pairs of keywords, or its
+    first six keywords with each of its first two names; ``off`` adds nothing."""
+    terms, more = memory_keywords(query), F.expr("cast(array() as array<string>)")
+    if mode == "keywords":
+        pairs = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.slice(terms, 2 * i + 1, 2))
+        more = F.transform(F.filter(pairs, lambda p: F.size(p) == 2), lambda p: F.array_join(p, " "))
+    elif mode == "entities":
+        head = F.array_join(F.slice(terms, 1, 6), " ")
+        more = F.transform(F.slice(entities(query), 1, 2), lambda e: F.trim(F.concat_ws(" ", head, e)))
+    return F.array_distinct(F.concat(F.array(query), more))
+
+
+def labelled_lines(reply: Column) -> Column:
+    """Array of struct(category, text, subject, predicate, object) from a model's lines
+    ``[category] text``, the last three null unless ``||| s|p|o`` follows; texts under
+    10 characters and unknown categories go."""
+    form = r"^\[(\w+)\]\s+(.+?)\s*(?:\|\|\|\s*([^|]+)\|([^|]+)\|(.+))?$"
+    part = lambda line, n: F.trim(F.regexp_extract(line, form, n))
+    given = lambda c: F.nullif(c, F.lit(""))
+    rows = F.transform(
+        F.split(reply, "\n"),
+        lambda x: F.struct(
+            F.lower(part(x, 1)).alias("category"), part(x, 2).alias("text"), given(F.lower(part(x, 3))).alias("subject"),
+            given(F.lower(part(x, 4))).alias("predicate"), given(part(x, 5)).alias("object"),
+        ),
+    )
+    return F.filter(rows, lambda r: r["category"].isin(*X.CATEGORY_PATTERNS) & (F.length(r["text"]) >= 10))
+
+
+def fact_json(reply: Column) -> Column:
+    """struct(facts, triples) from the first ``{`` to the last ``}`` of a reply; null
+    where that is no JSON.  Triples that lack a part go."""
+    found = F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")), "facts array<string>, triples array<struct<subject:string,predicate:string,object:string>>")
+    none = F.expr("cast(array() as array<string>)")
+    facts = F.filter(F.coalesce(found["facts"], none), lambda f: F.length(f) > 0)
+    triples = F.filter(F.coalesce(found["triples"], F.expr("cast(array() as array<struct<subject:string,predicate:string,object:string>>)")), lambda t: t["subject"].isNotNull() & t["predicate"].isNotNull() & t["object"].isNotNull())
+    whole = F.coalesce(found["facts"].isNotNull() | found["triples"].isNotNull(), F.lit(False))
+    return F.when(whole, F.struct(facts.alias("facts"), triples.alias("triples")))
+
+
+def hashed_vector(terms: Column, size: int = 64) -> Column:
+    """Counts of terms by a hash into ``size`` places, scaled to length 1 (zeros for no
+    terms): an embedder without a model, for tests and as a default."""
+    places = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int") % size)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))

@@ -161,3 +161,19 @@ def fetch(docs: DataFrame, asked: DataFrame, most: int = 10_240) -> DataFrame:
     met = find(docs, asked).join(sizes, ["collection", "path"])
     outcome = F.when(F.col("path").isNull(), "not found").when(F.col("_bytes") > most, "too large").otherwise("ok")
     return asked.select("query_id").join(met, "query_id", "left").select("query_id", "path", outcome.alias("outcome"))
+
+
+def orphan_vectors(vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """Vectors(hash, seq) that no active document's content needs."""
+    return vectors.join(docs.where("active").select("hash"), "hash", "left_anti")
+
+
+def renamed(docs: DataFrame, old: str, new: str) -> DataFrame:
+    """A collection under another name, in documents or in a table of collections."""
+    return docs.withColumn("collection", F.when(F.col("collection") == old, new).otherwise(F.col("collection")))
+
+
+def removed(docs: DataFrame, content: DataFrame, collection: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and content(hash) without a collection; content that others share stays."""
+    kept = docs.where(~F.col("collection").eqNullSafe(collection))
+    return kept, content.join(kept.select("hash"), "hash", "left_semi")

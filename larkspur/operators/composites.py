@@ -35,3 +35,23 @@ def recall_tiered(found: DataFrame, k: int = 5) -> DataFrame:
     """The best ``k`` of every query and tier."""
     order = Window.partitionBy("query_id", "tier").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def structured(lists: list[DataFrame], most: int = 20, k: int = 10) -> DataFrame:
+    """As ``hybrid`` over typed searches, word searches first: each list counts to its
+    ``most``-th rank and only the first that holds rows weighs 2."""
+    every = None
+    for n, ranked in enumerate(lists):
+        one = ranked.where(F.col("rank") <= most).select("query_id", F.lit(n).alias("list_no"), "id", "rank")
+        every = one if every is None else every.unionByName(one)
+    fused = fusion.fuse(fusion.weigh_lists(every, 1))
+    return lexical.top(fused.select("query_id", "id", F.round("score", 6).alias("score")), k, "id")
+
+
+def auto_recall(found: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, id, text, score, rank) of found(query_id, query_scope, id, scope, text,
+    score): memories of the query's scope and of scope 0, which all share, one per text."""
+    own = found.where((F.col("scope") == F.col("query_scope")) | (F.col("scope") == 0))
+    order = Window.partitionBy("query_id", "text").orderBy(F.desc("score"), "id")
+    once = own.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return lexical.top(once.select("query_id", "id", "text", "score"), k, "id")

@@ -59,3 +59,17 @@ def profiles(facts: DataFrame) -> DataFrame:
     line = F.struct("predicate", F.concat_ws(": ", "predicate", "objects").alias("line"))
     out = lists.groupBy("subject").agg(F.sum("n").alias("n_open"), F.array_sort(F.collect_list(line)).alias("lines")).where("n_open >= 2")
     return out.select("subject", "n_open", F.array_join(F.transform("lines", lambda x: x["line"]), "; ").alias("profile"))
+
+
+def injected(hits: DataFrame, asked: DataFrame, facts: DataFrame, weak: float = 0.5, most: int = 5) -> DataFrame:
+    """(query_id, source, id, score): hits(query_id, id, score), and for queries whose best
+    score is under ``weak`` the newest open facts, ``most`` at most, about the one to three
+    entities of asked(query_id, subject), at the upper median of the query's scores."""
+    scores = F.array_sort(F.collect_list("score"))
+    tops = hits.groupBy("query_id").agg(F.max("score").alias("best"), scores.alias("s")).where(F.col("best") < weak)
+    tops = tops.select("query_id", F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("score"))
+    named = asked.distinct().withColumn("_n", F.count("*").over(Window.partitionBy("query_id"))).where("_n <= 3").drop("_n")
+    met = named.join(tops, "query_id").join(facts.where("valid_until is null").select("subject", "id", "valid_from"), "subject")
+    order = Window.partitionBy("query_id").orderBy(F.desc("valid_from"), "id")
+    added = met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return hits.select("query_id", F.lit("memory").alias("source"), "id", "score").unionByName(added.select("query_id", F.lit("fact").alias("source"), "id", "score"))

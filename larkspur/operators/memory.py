@@ -175,3 +175,15 @@ def listing(memories: DataFrame, limit: int = 50, offset: int = 0, **equal) -> D
     for name, value in equal.items():
         memories = memories.where(F.col(name) == value)
     return memories.orderBy(F.desc("created_at"), "id").offset(max(0, offset)).limit(min(500, max(1, limit)))
+
+
+def updated(memories: DataFrame, edits: DataFrame, history: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Apply edits(id, text, importance, category), nulls leaving a value; importance is
+    held to 0..1, a new text gets its hash and is logged.  One edit an id."""
+    new = edits.select("id", F.col("text").alias("_text"), F.col("importance").alias("_importance"), F.col("category").alias("_category"))
+    both = memories.join(new, "id", "left")
+    log = both.where("_text <> text").select(F.col("id").alias("memory_id"), F.lit("UPDATE").alias("action"), F.col("text").alias("old_value"), F.col("_text").alias("new_value"), F.lit(now_ms).cast("long").alias("timestamp"))
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_importance")))
+    text = F.coalesce("_text", "text")
+    kept = both.withColumns({"importance": F.when(F.col("_importance").isNull(), F.col("importance")).otherwise(held), "category": F.coalesce("_category", "category"), "content_hash": content_hash(text), "text": text})
+    return kept.drop("_text", "_importance", "_category"), history.unionByName(log)

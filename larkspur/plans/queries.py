@@ -16,6 +16,7 @@ from larkspur.functions import chunking, lexicons
 from larkspur.functions import text as X
 from larkspur.operators import catalog, composites, evaluation, fusion, knowledge, lexical, memory, vectors
 from larkspur.sources import formats
+from larkspur.streaming import access
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -653,3 +654,142 @@ def multi_get(corpus):
     docs = catalog.addressed(corpus)
     name = F.concat_ws("/", F.when(F.col("doc_id") % 2 == 0, F.col("collection")).otherwise("no such"), "path")
     return catalog.fetch(docs, docs.where("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), name.alias("name")))
+
+
+@query(f"WITH r AS (SELECT query_id, 0 AS list_no, doc_id AS id, rank FROM ({ORACLE_SQL['bm25_topk']}) UNION ALL SELECT query_id, 1, doc_id, rank FROM ({ORACLE_SQL['bm25_negation']})), w AS (SELECT *, CASE WHEN list_no = min(list_no) OVER (PARTITION BY query_id) THEN 2.0 ELSE 1.0 END AS weight FROM r), f AS (SELECT query_id, id, round(sum(weight / (60 + rank)) + {_BONUS}, 6)::DOUBLE AS score FROM w GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10", "corpus", "phrases")
+def structured_search(corpus, phrases):
+    """Two typed word searches, fused."""
+    return composites.structured([f(corpus, phrases).withColumnRenamed("doc_id", "id") for f in (bm25_topk, bm25_negation)])
+
+
+@query(f"{_RECALL}, own AS (SELECT query_id, id, text, score, row_number() OVER (PARTITION BY query_id, text ORDER BY score DESC, id) AS n FROM found JOIN memories USING (id) WHERE scope = query_id % 20 OR scope = 0) SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM own WHERE n = 1) WHERE rank <= 5", "memories", "phrases", "benchmark")
+def auto_recall(memories, phrases, benchmark):
+    found = _found(memories, phrases, benchmark).withColumn("query_scope", F.col("query_id") % 20)
+    return composites.auto_recall(found.join(memories.select("id", "scope", "text"), "id")).select("query_id", "id", "score", "rank")
+
+
+@query("WITH e AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'new ' || text END AS t, CASE WHEN id % 4 = 0 THEN importance * 2 END AS i FROM memories WHERE id % 3 = 0) SELECT id, sha256(coalesce(t, text)) AS hash, round(CASE WHEN i IS NULL THEN importance ELSE least(1, i) END, 6)::DOUBLE AS importance, (t IS NOT NULL)::INT AS logged FROM memories LEFT JOIN e USING (id)", "memories")
+def memory_update(memories):
+    edits = memories.where("id % 3 = 0").select("id", F.expr("CASE WHEN id % 2 = 0 THEN concat('new ', text) END AS text"), F.expr("CASE WHEN id % 4 = 0 THEN importance * 2 END AS importance"), F.lit(None).cast("string").alias("category"))
+    history = memories.where(F.lit(False)).select(F.col("id").alias("memory_id"), F.lit("").alias("action"), F.col("text").alias("old_value"), F.col("text").alias("new_value"), F.lit(NOW).cast("long").alias("timestamp"))
+    now, log = memory.updated(memories, edits, history, NOW)
+    logged = log.select(F.col("memory_id").alias("id"), F.lit(1).alias("logged"))
+    return now.join(logged, "id", "left").select("id", F.sha2("text", 256).alias("hash"), *_r("importance"), F.coalesce("logged", F.lit(0)).alias("logged"))
+
+
+@query(f"WITH {_SCD}, hits AS (SELECT query_id, id, 1.0 / (rank + 1 + query_id % 3) AS score FROM lists), t AS (SELECT query_id, max(score) AS best, list_sort(list(score)) AS s FROM hits GROUP BY 1), a AS (SELECT DISTINCT h.query_id, k.subject FROM (SELECT DISTINCT query_id FROM lists) h JOIN kg k ON k.id % 50 = h.query_id), na AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM a), m AS (SELECT na.query_id, kg.id, s[len(s) // 2 + 1] AS score, row_number() OVER (PARTITION BY na.query_id ORDER BY kg.valid_from DESC, kg.id) AS place FROM na JOIN t USING (query_id) JOIN kg USING (subject) WHERE na.n <= 3 AND best < 0.5 AND valid_until IS NULL) SELECT query_id, 'memory' AS source, id, round(score, 6)::DOUBLE AS score FROM hits UNION ALL SELECT query_id, 'fact', id, round(score, 6)::DOUBLE FROM m WHERE place <= 5", "lists", "facts")
+def kg_injection(lists, facts):
+    """Ranked hits, with facts beside the weak ones."""
+    kg = knowledge.build(facts)
+    hits = lists.select("query_id", "id", (1 / (F.col("rank") + 1 + F.col("query_id") % 3)).alias("score"))
+    asked = lists.select("query_id").distinct().join(kg.select("subject", (F.col("id") % 50).alias("query_id")), "query_id")
+    return knowledge.injected(hits, asked, kg).select("query_id", "source", "id", *_r("score"))
+
+
+@query("WITH h AS (SELECT *, sha256(body) AS h FROM corpus) SELECT DISTINCT h AS hash, doc_id AS seq FROM h WHERE doc_id % 2 = 0 AND h NOT IN (SELECT h FROM h WHERE active)", "corpus")
+def orphan_vectors(corpus):
+    docs = catalog.addressed(corpus)
+    return catalog.orphan_vectors(docs.where("doc_id % 2 = 0").select("hash", F.col("doc_id").alias("seq")), docs)
+
+
+@query("WITH h AS (SELECT CASE WHEN collection = 'src2' THEN 'moved' ELSE collection END AS collection, sha256(body) AS h FROM corpus) SELECT collection, count(*) AS docs, count(DISTINCT h) AS contents FROM h WHERE collection <> 'src1' GROUP BY 1", "corpus")
+def collection_changes(corpus):
+    """One collection renamed, another removed with the content only it held."""
+    docs = catalog.addressed(corpus)
+    kept, content = catalog.removed(catalog.renamed(docs, "src2", "moved"), docs.select("hash").distinct(), "src1")
+    return kept.join(content, "hash").groupBy("collection").agg(F.count("*").alias("docs"), F.countDistinct("hash").alias("contents"))
+
+
+_SNIP = "the und products, ist est"
+
+
+@query(f"WITH l AS (SELECT doc_id, string_split(body, chr(10)) AS l FROM corpus), s AS (SELECT doc_id, l, list_transform(l, lambda x: {' + '.join(f'''contains(lower(x), '{w}')::INT''' for w in _SNIP.split())} + 0.3 * (contains(lower(x), 'keit')::INT + contains(lower(x), 'tion')::INT)) AS s FROM l), b AS (SELECT doc_id, l, list_position(s, list_max(s))::INT AS b FROM s) SELECT doc_id, b AS line, greatest(b - 1, 1) - 1 AS before, len(l) - least(b + 2, len(l)) AS after, sha256(CASE WHEN length(t) > 500 THEN left(t, 497) || '...' ELSE t END) AS text_hash FROM (SELECT *, array_to_string(list_slice(l, greatest(b - 1, 1), b + 2), chr(10)) AS t FROM b)", "corpus")
+def snippet_lines(corpus):
+    found = X.snippet(F.col("body"), F.lit(_SNIP), F.lit("about the -keit or tion!"))
+    return corpus.select("doc_id", found.alias("s")).select("doc_id", "s.line", "s.before", "s.after", F.sha2("s.text", 256).alias("text_hash"))
+
+
+_TERMS = ORACLE_SQL["memory_keywords"]
+
+
+@query(f"SELECT id, mode, unnest(list_distinct(CASE mode WHEN 'keywords' THEN [text] || CASE WHEN len(terms) >= 2 THEN [terms[1] || ' ' || terms[2]] ELSE [] END || CASE WHEN len(terms) >= 4 THEN [terms[3] || ' ' || terms[4]] ELSE [] END ELSE [text] || list_transform(list_slice(found, 1, 2), lambda e: trim(array_to_string(list_slice(terms, 1, 6), ' ') || ' ' || e)) END)) AS sub FROM said JOIN ({_TERMS}) USING (id) JOIN ({ORACLE_SQL['entity_phrases']}) USING (id), (VALUES ('keywords'), ('entities')) m(mode)", "said")
+def sub_queries(said):
+    made = [said.select("id", F.lit(mode).alias("mode"), F.explode(X.sub_queries(F.col("text"), mode)).alias("sub")) for mode in ("keywords", "entities")]
+    return made[0].unionByName(made[1])
+
+
+@query("SELECT id, CASE id % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'preference' ELSE 'decision' END AS category, trim(text) AS text, CASE WHEN id % 2 = 0 THEN 'customer' END AS subject, CASE WHEN id % 2 = 0 THEN 'has id' END AS predicate, CASE WHEN id % 2 = 0 THEN id::VARCHAR END AS object FROM said", "said")
+def labelled_lines(said):
+    """A model's labelled lines read back: noise lines and short texts go."""
+    kind = F.element_at(F.array(F.lit("FACT"), F.lit("preference"), F.lit("Decision")), (F.col("id") % 3 + 1).cast("int"))
+    triple = F.when(F.col("id") % 2 == 0, F.concat(F.lit(" ||| Customer| HAS id |"), F.col("id").cast("string"))).otherwise("")
+    reply = F.concat(F.lit("Here they are:\n["), kind, F.lit("] "), "text", triple, F.lit("\n[mood] not a known category\n[fact] short"))
+    return said.select("id", F.explode(X.labelled_lines(reply)).alias("r")).select("id", "r.*")
+
+
+@query("SELECT id, CASE WHEN id % 4 <> 3 THEN 2 END AS facts, CASE WHEN id % 4 <> 3 THEN 1 END AS triples, CASE WHEN id % 4 <> 3 THEN text END AS first FROM said", "said")
+def fact_replies(said):
+    """Facts and triples out of fenced JSON replies; every fourth reply is no JSON."""
+    good = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.col("text"), F.lit(""), F.lit("second")).alias("facts"), F.array(F.struct(F.lit("a").alias("subject"), F.lit("b").alias("predicate"), F.lit("c").cast("string").alias("object")), F.struct(F.lit("a").alias("subject"), F.lit("b").alias("predicate"), F.lit(None).cast("string").alias("object"))).alias("triples"))), F.lit("\n```"))
+    found = X.fact_json(F.when(F.col("id") % 4 == 3, F.lit("Sorry {no")).otherwise(good))
+    rows = said.select("id", found.alias("r"))
+    return rows.select("id", F.when(F.col("r").isNotNull(), F.size("r.facts")).alias("facts"), F.when(F.col("r").isNotNull(), F.size("r.triples")).alias("triples"), F.get("r.facts", F.lit(0)).alias("first"))
+
+
+@query(f"WITH t AS (SELECT id, list_transform({_TOKENS.format('text')}, lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % 64) AS p FROM said), c AS (SELECT id, list_transform(range(0, 64), lambda i: len(list_filter(p, lambda x: x = i))::DOUBLE) AS c FROM t) SELECT id, list_transform(c, lambda x: round(x / sqrt(list_sum(list_transform(c, lambda y: y * y))), 6)) AS vector FROM c", "said")
+def hashed_vectors(said):
+    vector = X.hashed_vector(X.tokens(F.col("text")))
+    return said.select("id", F.transform(vector, lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query(None, "corpus")
+def token_chunks(corpus):
+    return chunking.token_chunked(corpus, "doc_id").select("doc_id", "seq", "pos", "tokens", F.sha2("chunk", 256).alias("chunk_hash"))
+
+
+def _rows(corpus):
+    return catalog.addressed(corpus).withColumns({"score": F.col("doc_id") % 97 / 100, "title": F.concat(F.lit("<a & b> "), F.col("doc_id").cast("string")), "context": F.when(F.col("doc_id") % 2 == 0, "it's")})
+
+
+_DOCID = "substr(sha256(body), 1, 6)"
+
+
+@query(f"SELECT doc_id, '<file docid=\"#' || {_DOCID} || '\" name=\"' || path || '\" title=\"&lt;a &amp; b&gt; ' || doc_id || '\"' || CASE WHEN doc_id % 2 = 0 THEN ' context=\"it&apos;s\"' ELSE '' END || '/>' AS line FROM corpus", "corpus")
+def xml_results(corpus):
+    return formats.xml_lines(_rows(corpus)).select("doc_id", "line")
+
+
+@query(f"SELECT doc_id, '# <a & b> ' || doc_id || chr(10) || '**docid:** `#' || {_DOCID} || '`' || chr(10) || '**file:** ' || path || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '**context:** it''s' ELSE '' END AS line FROM corpus", "corpus")
+def markdown_results(corpus):
+    return formats.markdown_lines(_rows(corpus)).select("doc_id", "line")
+
+
+@query(f"SELECT doc_id, '#' || {_DOCID} AS docid, round(doc_id % 97 / 100.0, 2)::DOUBLE AS score, path AS file, CASE WHEN doc_id % 2 = 0 THEN 'it''s' END AS context FROM corpus", "corpus")
+def json_results(corpus):
+    """JSON result lines, read back."""
+    read = F.from_json("line", "docid string, score double, file string, context string")
+    return formats.json_lines(_rows(corpus)).select("doc_id", read.alias("r")).select("doc_id", "r.*")
+
+
+@query("WITH p AS (SELECT list_no, query_id, id, min(rank) AS rank FROM lists GROUP BY 1, 2, 3), g AS (SELECT DISTINCT item_id AS query_id, (item_id * 3 + k) % 40 AS id FROM benchmark, range(0, 5) r(k)), h AS (SELECT list_no, query_id, count(*) FILTER (rank <= 5) AS at_k, count(*) AS hits, min(rank) AS first FROM p JOIN g USING (query_id, id) GROUP BY 1, 2), v AS (SELECT list_no, g.query_id, count(*) AS size FROM (SELECT DISTINCT list_no FROM lists) CROSS JOIN g GROUP BY 1, 2) SELECT list_no AS backend, round(avg(round(coalesce(at_k, 0) / least(5, size), 6)), 6)::DOUBLE AS precision, round(avg(round(coalesce(hits, 0) / size, 6)), 6)::DOUBLE AS recall, round(avg(round(coalesce(1.0 / first, 0), 6)), 6)::DOUBLE AS rr, count(*) AS queries FROM v LEFT JOIN h USING (list_no, query_id) GROUP BY 1", "lists", "benchmark")
+def backend_means(lists, benchmark):
+    """Mean precision, recall and reciprocal rank of each ranked list."""
+    every = None
+    for n in range(3):
+        results = lists.where(F.col("list_no") == n).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+        one = evaluation.ranking(results, _gold(benchmark), 5).withColumn("backend", F.lit(n))
+        every = one if every is None else every.unionByName(one)
+    return evaluation.means(every, "backend").select("backend", "precision", "recall", "rr", "queries")
+
+
+# Streams, over a whole table at once -------------------------------------------------
+
+
+@query("SELECT user_id, date_trunc('hour', ts) AS start, count(*) AS accesses FROM events GROUP BY 1, 2", "events")
+def access_windows(events):
+    return access.access_counts(events, window="1 hour").select("user_id", F.col("w.start").alias("start"), "accesses")
+
+
+@query("WITH n AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true)::INT AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM n) SELECT user_id, min(ts) AS start, count(*) AS accesses FROM s GROUP BY user_id, session", "events")
+def user_sessions(events):
+    return access.sessions(events).select("user_id", F.col("w.start").alias("start"), "accesses")

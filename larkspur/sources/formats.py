@@ -50,3 +50,9 @@ def conversations(files: DataFrame) -> DataFrame:
     paragraphs = F.transform(F.filter(F.split("raw", r"\n\s*\n"), lambda x: F.length(F.trim(x)) >= 20), lambda x: F.struct(F.lit("user").alias("role"), F.trim(x).alias("text")))
     turns = F.when(F.col("kind") == "plain", paragraphs).otherwise(F.transform(F.filter(listed, lambda m: F.length(F.coalesce(m["content"], m["text"])) >= 10), lambda m: F.struct(F.coalesce(m["role"], m["sender"], F.lit("user")).alias("role"), F.coalesce(m["content"], m["text"]).alias("text"))))
     return df.select("file", F.posexplode(turns).alias("turn", "m")).select("file", "turn", "m.role", "m.text")
+
+
+def markdown_lines(results: DataFrame) -> DataFrame:
+    """A heading a result, with its id, path and context."""
+    context = F.when(F.col("context").isNull(), "").otherwise(F.concat(F.lit("\n**context:** "), "context"))
+    return results.withColumn("line", F.concat(F.lit("# "), "title", F.lit("\n**docid:** `#"), "docid", F.lit("`\n**file:** "), "path", context))
