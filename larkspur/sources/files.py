@@ -17,4 +17,4 @@ def documents(spark: SparkSession, root: str, glob: str = "*.md", ignored: tuple
     path = F.element_at(F.split(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*", "/"), base, 2), -1)
     rows = files.select(path.alias("path"), F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("modified_at"), F.col("_metadata.file_size").alias("bytes"))
     bad = F.exists(F.split("path", "/"), lambda p: p.startswith(".") | p.isin(*IGNORED, *ignored))
-    return rows.where(~bad & (F.trim("body") != ""))
+    return rows.where(~bad & F.col("body").rlike(r"\S"))
