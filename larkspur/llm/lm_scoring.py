@@ -2,14 +2,21 @@
 
 A target model (texts of the wanted kind) and a background model (all documents) share
 one vocabulary, order and smoothing.  Words are lower-cased, with common punctuation
-taken off.  The ``LISTED`` most frequent words of all texts are the vocabulary; the
-``CLASSES`` - 1 most frequent are classes of their own, the rest share one.  A token's
-probability is that of its class after the class before it (bigram interpolated with
-unigram), times, in the shared class, that of the word in it.  Every document gets its
-mean loss under both models and their difference: below zero is nearer to the target.
-
-Counts run over all documents: words, then pairs of classes, summed within tasks and
-then by shuffles.  What is broadcast is bounded by the two parameters.
+taken off.  Every document gets its mean loss under both models and their difference:
+below zero is nearer to the target.
+
+``scored_whole``, the registered query, keeps every word and every bigram of both
+corpora: counts are staged tables summed by shuffles.  A token's probability is that of
+its bigram interpolated with that of its word.  Documents are joined to the bigrams'
+losses as (row, bigram, count).  Bigrams and words that make up at least one part in
+``HOT`` of all tokens, so at most ``HOT`` of each kind, are broadcast; any other key has
+fewer rows than that part, and goes by shuffle.  Words are told apart by 64-bit hashes,
+bigrams in the join to documents too: two of n share one with a chance of n * n / 2^65.
+
+``scored`` is the model of bounded size: the ``listed`` most frequent words are the
+vocabulary; the ``classes`` - 1 most frequent are classes of their own, the rest share
+one.  A token's probability is that of its class after the class before it, times, in
+the shared class, that of the word in it.
 
 Defined cases: null and word-free texts have no tokens and null losses; repeated rows
 are counted and scored as often as they occur; an empty target leaves its model
@@ -18,6 +25,7 @@ uniform; empty tables give empty results; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +37,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.shared import most_frequent, staged, text_of
 
 LISTED, CLASSES = 32_768, 1024
+#: Words or bigrams with at least one part in HOT of all tokens are broadcast.
+HOT = 200_000
 #: Weight of the bigram, and the count added to every class and word.
 MIX, ADD = 0.7, 0.5
 _MARKS = b".,!?;:\"()"
@@ -142,3 +152,134 @@ def scored(docs: DataFrame, target: DataFrame, listed: int = LISTED, classes: in
 
     rows = docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return rows.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss")], F.round(F.col("target_loss") - F.col("background_loss"), 6).alias("difference"))
+
+
+class _Hashes(dict):
+    """64-bit hash of every word met; 0 is the start of a text."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return h
+
+
+def _hashed(text: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(word before, word) of every token."""
+    own = np.fromiter(map(hashes.__getitem__, words(text)), np.int64)
+    return np.r_[np.zeros(min(1, len(own)), np.int64), own[:-1]], own
+
+
+def _bigram(before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    turned = own.view(np.uint64)
+    return before ^ ((turned << np.uint64(17)) | (turned >> np.uint64(47))).view(np.int64)
+
+
+def _bigram_column():
+    turned = F.shiftleft("own", 17).bitwiseOR(F.shiftrightunsigned("own", 47))
+    return F.col("before").bitwiseXOR(turned)
+
+
+def bigram_counts(texts: DataFrame) -> DataFrame:
+    """(before, own, n) over all whole texts, words as hashes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = _Hashes(), [], 0
+
+        def flush():
+            before, own = (np.concatenate(x) for x in zip(*held))
+            _, at, n = np.unique(_bigram(before, own), return_index=True, return_counts=True)
+            order = np.argsort(before[at], kind="stable")  # equal words side by side pack well
+            at, n = at[order], n[order]
+            for i in range(0, len(at), 100_000):
+                j = at[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(before[j]), pa.array(own[j]), pa.array(n[i : i + 100_000])], ["before", "own", "n"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for text in batch.column("text").slice(at, 500).to_pylist():
+                    held.append(_hashed(text, hashes))
+                    size += len(held[-1][1])
+                if size > 3_000_000:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    return texts.select(text_of().alias("text")).mapInArrow(count, "before long, own long, n long")
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``rows`` joined to ``table`` by ``key``; its ``hot`` rows are broadcast."""
+    hot, cold = table.where("hot").drop("hot"), table.where("not hot").drop("hot")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def bigram_losses(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hot, cold): (g, loss_t, loss_b), the target and background loss of every bigram
+    of ``docs``."""
+    none = F.lit(0).cast("long")
+    both = bigram_counts(docs).select("before", "own", F.col("n").alias("b"), none.alias("t"))
+    both = both.unionByName(bigram_counts(target).select("before", "own", none.alias("b"), F.col("n").alias("t")))
+    pairs = staged(both.groupBy("before", "own").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "bigram-counts")
+    counts = staged(pairs.groupBy("own").agg(F.sum("b").alias("own_b"), F.sum("t").alias("own_t")), "word-counts")
+    starts = staged(pairs.groupBy("before").agg(F.sum("b").alias("before_b"), F.sum("t").alias("before_t")), "context-counts")
+    size, n_b, n_t = counts.agg(F.count("*"), F.coalesce(F.sum("own_b"), none), F.coalesce(F.sum("own_t"), none)).first()
+    least = max(n_b / HOT, 1)
+    counts = counts.withColumn("hot", F.col("own_b") >= least)
+    starts = starts.withColumn("hot", F.col("before_b") >= least)
+
+    def loss(model: str, total: int):
+        alone = (F.col(f"own_{model}") + ADD) / F.lit(total + ADD * max(size, 1))
+        seen = F.col(f"before_{model}")
+        return (-F.log(F.when(seen > 0, MIX * F.col(model) / seen + (1 - MIX) * alone).otherwise(alone))).alias(f"loss_{model}")
+
+    columns = [_bigram_column().alias("g"), loss("t", n_t), loss("b", n_b)]
+    # Both words of a hot bigram are hot.
+    hot = pairs.where(F.col("b") >= least).join(F.broadcast(counts.where("hot")), "own").join(F.broadcast(starts.where("hot")), "before")
+    cold = _looked_up(_looked_up(pairs.where((F.col("b") > 0) & (F.col("b") < least)), "own", counts), "before", starts)
+    return hot.select(columns), cold.select(columns)
+
+
+def scored_whole(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, difference) of every row, by the
+    counts of all words and bigrams."""
+    hot, cold = bigram_losses(docs, target)
+    hot = hot.toPandas().sort_values("g")
+    shared = docs.sparkSession.sparkContext.broadcast([hot[c].to_numpy() for c in ("g", "loss_t", "loss_b")])
+    names = ["row", "doc_id", "g", "n", "n_tokens", "t", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One row per text (n 0, sums over its hot bigrams) and one per other bigram of it.
+        (known, t, b), hashes = shared.value, _Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                bigrams = [_bigram(*_hashed(x, hashes)) for x in part.column("text").to_pylist()]
+                sizes = np.array([len(x) for x in bigrams])
+                g, text = np.concatenate(bigrams), np.repeat(np.arange(len(sizes)), sizes)
+                place = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
+                is_hot = known[place] == g if len(known) else np.zeros(len(g), bool)
+                sums = [np.bincount(text[is_hot], x[place[is_hot]], len(sizes)).astype(float) for x in (t, b)]
+                g, text = g[~is_hot], text[~is_hot]
+                order = np.lexsort((g, text))
+                g, text = g[order], text[order]
+                new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (text[1:] != text[:-1])]) if len(g) else np.zeros(0, np.int64)
+                n, g, text = np.diff(np.r_[new, len(g)]), g[new], text[new]
+                ids, row = part.column("doc_id"), part.column("row").to_numpy()
+                zeros = np.zeros(len(sizes), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row), ids, pa.array(row), pa.array(zeros), pa.array(sizes.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names)
+                for i in range(0, len(g), 100_000):
+                    k = slice(i, i + 100_000)
+                    size = len(g[k])
+                    empty = [pa.nulls(size, x) for x in (pa.int64(), pa.float64(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[text[k]]), pa.nulls(size, ids.type), pa.array(g[k]), pa.array(n[k].astype(np.int64)), *empty], names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = rows.mapInArrow(run, "row long, doc_id long, g long, n long, n_tokens long, t double, b double")
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0.0)) + F.when(F.col("n") > 0, F.col("n") * F.col(f"loss_{c}")).otherwise(0.0))
+    sums = rows.join(cold, "g", "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), total("t").alias("t"), total("b").alias("b"))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    out = sums.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss")], F.round(F.col("target_loss") - F.col("background_loss"), 6).alias("difference"))

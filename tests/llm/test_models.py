@@ -105,6 +105,45 @@ def test_lm_against_plain_counts(spark, sf):
     assert lm_scoring.scored(docs.limit(0), target.limit(0), 10, 4).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 30])
+def test_lm_keeps_every_word_and_bigram(spark, sf, hot, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    made = [(None, None), (7, " "), (8, "zzq zzr zzq zzr"), (8, "zzq zzr zzq zzr"), (9, "zzs zzt, zzt")]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    target = spark.read.parquet(f"{sf}/benchmark.parquet").select("text")
+    texts = {"t": [r.text or "" for r in target.collect()], "b": [r.text or "" for r in docs.collect()]}
+    pair, word, before = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+    for name, several in texts.items():
+        for t in several:
+            w = lm_scoring.words(t)
+            pair[name].update(zip([b"", *w], w))
+            before[name].update([b"", *w][: len(w)])
+            word[name].update(w)
+    size = len(word["t"] | word["b"])
+    tokens = {name: sum(word[name].values()) for name in texts}
+    assert size > lm_scoring.CLASSES
+
+    def loss(name, w):
+        out = 0.0
+        for v, x in zip([b"", *w], w):
+            alone = (word[name][x] + lm_scoring.ADD) / (tokens[name] + lm_scoring.ADD * size)
+            seen = before[name][v]
+            out -= math.log(lm_scoring.MIX * pair[name][v, x] / seen + (1 - lm_scoring.MIX) * alone if seen else alone)
+        return round(out / len(w), 5)
+
+    found = lm_scoring.scored_whole(docs, target).collect()
+    want = [(r.doc_id, lm_scoring.words(r.text or "")) for r in docs.collect()]
+    close = lambda x: None if x is None else round(x, 5)
+    key = lambda r: str(r[:2])
+    got = sorted(((r.doc_id, r.n_tokens, close(r.target_loss), close(r.background_loss)) for r in found), key=key)
+    want = sorted(((i, len(w), loss("t", w) if w else None, loss("b", w) if w else None) for i, w in want), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:2] == b[:2] and all(x == y or abs(x - y) < 2e-5 for x, y in zip(a[2:], b[2:])), (a, b)
+    assert lm_scoring.scored_whole(docs.limit(0), target.limit(0)).count() == 0
+    assert lm_scoring.scored_whole(docs, target.limit(0)).count() == len(want)
+
+
 def test_toxicity_held_out(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
