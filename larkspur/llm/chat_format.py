@@ -201,15 +201,16 @@ def _split_repeats(rows: DataFrame) -> DataFrame:
     """``part``: the number of a turn's run of rows, in (role, text) order.
 
     Rows are range-partitioned by everything that orders them; a run is what a
-    partition holds of a turn, cut every ``SEGMENT`` rows.
+    partition holds of a turn, cut every ``SEGMENT`` rows.  All turns of a conversation
+    with a repeated one have pieces of their own, so that its segments sort by turn.
     """
     from larkspur.llm.shared import staged
 
     ranged = rows.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
     ranged = staged(ranged.withColumn("_task", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id()), "turn-order")
-    counts = ranged.groupBy("conv_id", "turn").count().where(F.col("count") > SEGMENT).select("conv_id", "turn", F.lit(1).alias("_many"))
-    hot = F.struct("conv_id", "turn")
-    marked = ranged.join(counts.select(hot.alias("_k"), "_many"), F.struct(ranged["conv_id"], ranged["turn"]).eqNullSafe(F.col("_k")), "left")
+    counts = ranged.groupBy("conv_id", "turn").count().where(F.col("count") > SEGMENT).select("conv_id").distinct()
+    many = counts.select(F.struct("conv_id").alias("_k"), F.lit(1).alias("_many"))
+    marked = ranged.join(many, F.struct(ranged["conv_id"]).eqNullSafe(F.col("_k")), "left")
     low = Window.partitionBy("conv_id", "turn", "_task")
     first = F.min("_no").over(low)
     part = F.when(F.col("_many").isNull(), F.lit(-1)).otherwise(F.col("_task").cast("long") * (1 << 40) + F.floor((F.col("_no") - first) / SEGMENT))

@@ -296,6 +296,22 @@ def test_chat(spark, sf):
             assert not any(c in bare for c in chat_format.CONTROL)
 
 
+def test_chat_order_around_a_repeated_turn(spark):
+    rows = [(conv, turn, role, f"{turn} {i}") for conv in (1, None) for turn, n in ((None, 1), (0, 1), (1, 300), (2, 2), (3, 300), (300, 1)) for i in range(n) for role in (["user", "assistant"][i % 2],)]
+    rows += [(2, t, "assistant", f"only {t}") for t in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        by[conv].append((turn is not None, turn or 0, role, text))
+    want = {}
+    for conv, t in by.items():
+        t.sort()
+        loss = "".join(x for _, _, r, x in t if r == "assistant")
+        want[conv] = (len(t), hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in t).encode()).hexdigest(), hashlib.sha256(loss.encode()).hexdigest())
+    got = chat_format.read_back(chat_format.formatted(df)).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_sha256) for r in got} == want
+
+
 def test_chat_layouts(spark):
     layouts = [
         {"prompt": "p", "response": "r", "extra": 1},
