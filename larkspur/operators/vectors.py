@@ -75,8 +75,11 @@ def scope_normalised(matches: DataFrame) -> DataFrame:
     return matches.withColumn("similarity", F.when(n > 1, F.round(1 / (60 + rank), 6)).otherwise(F.col("similarity")))
 
 
-def duplicate_probe(queries: DataFrame, vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """For every new vector the nearest stored one at or over ``threshold``, of five."""
-    near = nearest(queries, vectors, 5).where(F.col("similarity") >= threshold)
+def duplicate_probe(queries: DataFrame, vectors: DataFrame, threshold: float = 0.9, stored: bool = False) -> DataFrame:
+    """For every new vector the nearest stored one at or over ``threshold``, of five.
+
+    ``stored``: the queries are among the vectors; only a query's own id is left out."""
+    near = nearest(queries, vectors, 6 if stored else 5).where(F.col("similarity") >= threshold)
+    near = near.where("id <> query_id") if stored else near
     first = Window.partitionBy("query_id").orderBy("rank")
     return near.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("query_id", "id", "similarity")

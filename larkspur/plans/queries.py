@@ -197,6 +197,12 @@ def near_dup_cosine(embeddings):
     return vectors.duplicate_probe(_asked(embeddings), _stored(embeddings).where("id % 100 <> 0"), 0.3)
 
 
+@query(f"SELECT query_id, id, similarity FROM (SELECT query_id, id, similarity, {_RANK} FROM ({_KNN}) WHERE id <> query_id AND similarity >= 0.3) WHERE rank = 1", "embeddings")
+def near_dup_cosine_all(embeddings):
+    """As near_dup_cosine, against all other vectors, the other queries' too."""
+    return vectors.duplicate_probe(_asked(embeddings), _stored(embeddings), 0.3, stored=True)
+
+
 # Fusion ----------------------------------------------------------------------------
 
 _W = "CASE WHEN dense_rank() OVER (PARTITION BY query_id ORDER BY list_no) <= 2 THEN 2.0 ELSE 1.0 END"
@@ -259,6 +265,14 @@ def search_boosts(phrases, corpus):
     return rows.select("query_id", "doc_id", F.round(X.keyword_boost(F.col("q"), F.col("body")), 6).alias("keyword"), X.phrase_boost(F.col("q"), F.col("body")).alias("phrase"))
 
 
+@query(f"WITH q AS (SELECT query_id, 'What did Customer say about \"' || text || '\"' AS text FROM phrases), p AS (SELECT query_id, doc_id, lower(body) AS low, {_BOOST_W} AS w, regexp_extract_all(lower(q.text), '[\"'']([^\"'']{{3,}})[\"'']', 1) AS ph FROM ({ORACLE_SQL['bm25_topk']}) JOIN q USING (query_id) JOIN corpus USING (doc_id)) SELECT query_id, doc_id, CASE WHEN len(w) = 0 THEN 1.0 ELSE round(1 + 0.3 * (len(list_filter(w, lambda x: contains(low, x)))::DOUBLE / len(w)), 6) END::DOUBLE AS keyword, CASE WHEN len(list_filter(ph, lambda x: contains(low, x))) > 0 THEN 1.6 ELSE 1.0 END::DOUBLE AS phrase FROM p", "corpus", "phrases")
+def search_boosts_hits(corpus, phrases):
+    """As search_boosts, of the hits of bm25_topk for every whole query."""
+    asked = phrases.select("query_id", F.concat(F.lit('What did Customer say about "'), "text", F.lit('"')).alias("q"))
+    rows = bm25_topk(corpus, phrases).join(corpus.select("doc_id", "body"), "doc_id").join(asked, "query_id")
+    return rows.select("query_id", "doc_id", F.round(X.keyword_boost(F.col("q"), F.col("body")), 6).alias("keyword"), X.phrase_boost(F.col("q"), F.col("body")).alias("phrase"))
+
+
 # Memory lifecycle ------------------------------------------------------------------
 
 _DAYS = f"greatest(0, ({NOW} - coalesce(last_accessed, created_at)) / 86400000.0)"
