@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,29 +11,6 @@ K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"path": 1.5, "title": 4.0, "body": 1.0}
 
 
-@dataclass(frozen=True)
-class Clause:
-    """One phrase of a lexical query; its last token is a prefix if ``prefix``."""
-
-    tokens: tuple[str, ...]
-    prefix: bool
-    negated: bool
-
-
-def parse_query(query: str) -> list[Clause]:
-    """Terms are prefixes joined by AND, ``"..."`` an exact phrase, ``-`` negates, a
-    hyphenated word is the phrase of its parts.  Without a positive clause: []."""
-    clauses = []
-    for neg, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
-        text = phrase or word
-        bare = lambda x: re.sub(r"[^\w']|_(?=$)", "", x.lower()) if x else ""
-        parts = [bare(p) for p in re.split(r"\s+|-", text)]
-        parts = tuple(p for p in parts if p)
-        if parts:
-            clauses.append(Clause(parts, prefix=not phrase and len(parts) == 1, negated=bool(neg)))
-    return clauses if any(not c.negated for c in clauses) else []
-
-
 def postings(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id") -> DataFrame:
     """(key, term, tf): weighted counts of every term over the fields."""
     weights = weights or FIELD_WEIGHTS
