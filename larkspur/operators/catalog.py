@@ -63,18 +63,20 @@ def similar(names: DataFrame, asked: DataFrame, most: int = 3, k: int = 5) -> Da
     """(query_id, path, distance, rank): stored paths within ``most`` edits.
 
     Two strings within d edits share one of d + 1 pieces of the asked one, cut from it
-    and found within d places in the other; the pieces make the join keys.
+    and found within d places in the other; the pieces make the join keys.  A name of
+    at most d characters has too few pieces, and meets the stored ones by length.
     """
     cut = asked.withColumn("low", F.lower("name")).withColumn("step", F.greatest(F.lit(1), F.floor(F.length("low") / (most + 1))))
     starts = F.sequence(F.lit(0), F.lit(most))
     pieces = cut.select("query_id", "low", F.explode(F.transform(starts, lambda i: F.struct((i * F.col("step")).alias("at"), F.substring(F.col("low"), (i * F.col("step") + 1).cast("int"), F.when(i == most, F.length("low")).otherwise(F.col("step")).cast("int")).alias("piece")))).alias("p"))
     pieces = pieces.select("query_id", "low", "p.at", F.col("p.piece").alias("piece"), F.length("p.piece").alias("size"))
-    sizes = [r.size for r in pieces.select("size").distinct().limit(256).collect()]
-    if not sizes:
-        return asked.sparkSession.createDataFrame([], "query_id long, path string, distance int, rank int")
-    stored = names.select("path", F.lower("path").alias("have"), F.explode(F.array(*map(F.lit, sizes))).alias("size"))
-    grams = stored.where("size > 0").select("path", "have", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("have") - F.col("size")))).alias("pos")).withColumn("piece", F.substring("have", F.col("pos") + 1, F.col("size")))
-    met = grams.join(pieces, ["size", "piece"]).where(F.abs(F.col("pos") - F.col("at")) <= most).select("query_id", "low", "path", "have").distinct()
+    pieces = pieces.where(F.length("low") > most)
+    stored = names.select("path", F.lower("path").alias("have")).crossJoin(F.broadcast(pieces.select("size").distinct())).where(F.length("have") >= F.col("size"))
+    grams = stored.select("path", "have", "size", F.explode(F.sequence(F.lit(0), F.length("have") - F.col("size"))).alias("pos")).withColumn("piece", F.substring("have", F.col("pos") + 1, F.col("size")))
+    met = grams.join(pieces, ["size", "piece"]).where(F.abs(F.col("pos") - F.col("at")) <= most).select("query_id", "low", "path", "have")
+    short = cut.where(F.length("low") <= most).select("query_id", "low", F.explode(F.sequence(F.lit(0), F.length("low") + most)).alias("size"))
+    banded = names.select("path", F.lower("path").alias("have")).withColumn("size", F.length("have")).join(short, "size").select("query_id", "low", "path", "have")
+    met = met.unionByName(banded).distinct()
     near = met.withColumn("distance", F.levenshtein("low", "have", most)).where("distance >= 0")
     order = Window.partitionBy("query_id").orderBy("distance", "path")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "path", "distance", "rank")
