@@ -17,9 +17,9 @@ block.  Further columns of the input are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from larkspur.llm.shared import text_of
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
-BLOCK_SCHEMA = "part int, block int, n_docs long, n_tokens long, min_doc long, max_doc long, payload binary"
+BLOCK_SCHEMA = "part int, block int, n_docs long, n_tokens long, doc_ids array<long>, payload binary"
 DOC_SCHEMA = "part int, block int, doc_id long, block_start long, n_tokens long, ids_crc32 long"
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -135,36 +135,61 @@ class ChunkEncoder:
 
     The tokenizer's normaliser folds white space to one space and its splitter never
     crosses it, so a text's ids are those of its chunks in order.  Chunks are kept in
-    a dictionary of bounded size.  New ones go to the library many to a call, parted
-    by a private-use character that stands alone; the few chunks that hold that
-    character go one by one.
+    a dictionary of bounded size.  New ones go to the library many to a call: those of
+    letters are parted by the ids that end a piece, others by a private-use character
+    that stands alone; the few chunks that hold that character go one by one.
     """
 
     MARK = "\ue000"
-    CLOSING = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=[ \n])")
+    CLOSING = b".,!?;:"
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.mark = self._ids([self.MARK])[0]
-        self.keep, self.known, self.again = keep, {}, set()
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a piece
+        self.ends[[i for name, i in vocabulary.items() if name.endswith("</w>")]] = True
+        self.keep, self.known, self.old = keep, {}, {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunks(self, text: bytes) -> list[bytes]:
-        """White-space chunks, lower-cased, with closing punctuation apart: fewer distinct ones, same ids.
-
-        The tokenizer lower-cases, and a run of marks between a letter and white space
-        is a piece of its own to it.  Texts that may hold a special token stay as they are.
-        """
-        return (text if b"<|" in text else self.CLOSING.sub(rb" \1", text.lower())).split()
+        """White-space chunks, lower-cased as the tokenizer does, but for texts that may
+        hold a special token."""
+        return (text if b"<|" in text else text.lower()).split()
 
     def _learn(self, chunks: list[bytes], at_once: int = 256) -> None:
+        """Closing marks after a letter are a piece of their own to the tokenizer, so such
+        a chunk is put together of two."""
+        parts = {}
+        for c in chunks:
+            stem = c.rstrip(self.CLOSING)
+            if 0 < len(stem) < len(c) and 97 <= stem[-1] <= 122:
+                parts[c] = stem, c[len(stem) :]
+        fresh = {c for c in chunks if c not in parts}.union(*parts.values()).difference(self.known)
+        self._ask(list(fresh), at_once)
+        self.known.update((c, self.known[stem] + self.known[marks]) for c, (stem, marks) in parts.items())
+
+    def _ask(self, chunks: list[bytes], at_once: int) -> None:
         words = [c.decode() for c in chunks]
+        pieces = [w.lower().isalpha() for w in words]  # of letters alone: one piece, if nothing is composed
+        odd = [w for w, one in zip(words, pieces) if not one]
+        words = [w for w, one in zip(words, pieces) if one]
+        groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):
+                self._keep(group, ids, [0, *ends[:-1].tolist()], ends.tolist())
+            else:
+                odd += group
+        self._ask_marked(odd, at_once)
+
+    def _ask_marked(self, words: list[str], at_once: int) -> None:
         alone = [w for w in words if self.MARK in w]
         words = [w for w in words if self.MARK not in w]
         self.known.update(zip((w.encode() for w in alone), (i.tobytes() for i in self._ids(alone))))
@@ -177,25 +202,31 @@ class ChunkEncoder:
             ends = [*np.flatnonzero(hit).tolist(), len(ids)]
             if len(ends) != len(group):
                 raise ValueError("the tokenizer joined chunks across white space")
-            starts = [0, *(e + n for e in ends[:-1])]
-            raw = ids.tobytes()
-            self.known.update((w.encode(), raw[4 * a : 4 * b]) for w, a, b in zip(group, starts, ends))
+            self._keep(group, ids, [0, *(e + n for e in ends[:-1])], ends)
+
+    def _keep(self, group: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        raw = ids.tobytes()
+        self.known.update((w.encode(), raw[4 * a : 4 * b]) for w, a, b in zip(group, starts, ends))
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text with ``end`` appended."""
         split = [self._chunks(t.encode()) for t in texts]
-        if len(self.known) > self.keep:  # keep what was met in more than one batch, if that is little enough
-            self.known = {w: self.known[w] for w in self.again} if 2 * len(self.again) < self.keep else {}
-            self.again = set()
-        known = self.known
-        new = set().union(*split)
-        self.again.update(new.intersection(known))
-        new.difference_update(known)
+        if 2 * len(self.known) > self.keep:  # two generations: what is met again moves to the new one
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = set().union(*split).difference(known)
         if new:
-            self._learn(list(new))
+            known.update((w, old[w]) for w in new.intersection(old))
+            self._learn(list(new.difference(known)))
         return [b"".join(map(known.__getitem__, s)) + end for s in split]
 
 
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str) -> ChunkEncoder:
+    """The Python worker's own encoder: chunks learnt in one task serve the next ones."""
+    return ChunkEncoder(tokenizer)
+
+
 def _encode_blocks(tokenizer: str, end_id: int, block_tokens: int, block_docs: int):
     end = np.array([end_id], "<u4").tobytes()
 
@@ -203,21 +234,20 @@ def _encode_blocks(tokenizer: str, end_id: int, block_tokens: int, block_docs: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, number = ChunkEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, number = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         held, docs, size = [], [], 0
 
         def block():
             lengths = [len(h) // 4 for h in held]
             payload = pack(np.frombuffer(b"".join(held), "<u4"), docs, np.concatenate([[0], np.cumsum(lengths)]))
-            some = [d for d in docs if d is not None] or [None]
-            row = [part, number, len(docs), sum(lengths), some[0], some[-1], payload]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            row = [part, number, len(docs), sum(lengths), docs, payload]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
                 ids = encoder.encode(piece.column("text").to_pylist(), end)
                 for doc, one in zip(piece.column("doc_id").to_pylist(), ids):
                     if docs and (size + len(one) // 4 > block_tokens or len(docs) >= block_docs):
@@ -277,24 +307,26 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
     """Random access: ``positions(doc_id, position)`` to (doc_id, position, token).
 
-    Positions are grouped by the block whose document range holds them; a block then
-    reads single tokens by rank.  A position outside its document gives null.
+    Asked positions find their blocks by the column of document ids alone; a block then
+    reads single tokens by rank.  Each is answered once, however often it is asked; a
+    ``doc_id`` that repeats answers once for every row that has it, one that is not there
+    not at all.  A position outside its document gives null.
     """
     blocks = spark.read.parquet(path)
-    where = blocks.select("part", "block", "min_doc", "max_doc")
-    asked = positions.select("doc_id", "position").join(where, F.col("doc_id").between(F.col("min_doc"), F.col("max_doc")))
-    asked = asked.groupBy("part", "block").agg(F.collect_list(F.struct("doc_id", "position")).alias("asked"))
+    where = blocks.select("part", "block", F.posexplode("doc_ids").alias("number", "doc_id"))
+    asked = where.join(positions.select("doc_id", "position").distinct(), "doc_id")
+    # a block has a bounded number of tokens, and each of its tokens is asked for once at most
+    asked = asked.groupBy("part", "block").agg(F.collect_list(F.struct("number", "doc_id", "position")).alias("asked"))
 
     def read(batches):
         for batch in batches:
             for payload, asked_here in zip(batch.column("payload").to_pylist(), batch.column("asked").to_pylist()):
-                block = Block(payload)
-                index = {d: k for k, d in enumerate(block.doc_ids)}
-                rows = [(a["doc_id"], a["position"]) for a in asked_here if a["doc_id"] in index]
-                out = []
-                for d, p in rows:
-                    a, b = int(block.offsets[index[d]]), int(block.offsets[index[d] + 1])
-                    out.append(block.token(a + p) if p is not None and 0 <= p < b - a else None)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(out, pa.int64())], ["doc_id", "position", "token"])
+                block, out = Block(payload), []
+                for a in asked_here:
+                    first, end = int(block.offsets[a["number"]]), int(block.offsets[a["number"] + 1])
+                    p = a["position"]
+                    out.append(block.token(first + p) if p is not None and 0 <= p < end - first else None)
+                columns = [[a["doc_id"] for a in asked_here], [a["position"] for a in asked_here], out]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "position", "token"])
 
     return blocks.join(asked, ["part", "block"]).select("payload", "asked").mapInArrow(read, "doc_id long, position long, token long")
