@@ -3,12 +3,14 @@
 Words are counted over all documents; the most frequent ones, with their ids as
 outputs, are compiled into a minimal acyclic automaton with shared suffixes.  Its arcs
 carry numbers whose sum along a word's path is the word's rank, which addresses its
-ids.  The automaton is one file that every executor gets from Spark and its Python
-workers map into memory.  A word outside it is merged exactly by the tokenizer itself;
-texts whose white space is not plain (see ``_plain``) go to the tokenizer whole.
+ids.  The automaton is one file in the shared folder that every executor gets from Spark and
+its Python workers map into memory.  A word outside it is merged exactly by the
+tokenizer itself.
 
-Words are cut where byte-level pre-tokenisation always cuts: before a single space
-between two other characters, and on both sides of a single newline between two.
+Words are cut where byte-level pre-tokenisation always cuts (see ``_pieces``): a word is
+a run without white space with the single space before it; what is left of white space
+makes pieces of its own.  Only a text that spells a special token next to unusual
+white space goes to the tokenizer whole, which looks for special tokens first.
 
 Defined cases: null text is the empty text (no ids); repeated rows are all kept; an
 empty table gives an empty result; other columns are not read unless asked for.
@@ -20,9 +22,9 @@ import hashlib
 import json
 import os
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +32,37 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import most_frequent, staged, text_of
+from larkspur.llm.shared import most_frequent, shared_file, staged, text_of
 
 #: Words compiled into the lexicon at most: bounds the file to a few MB.
 LEXICON = 50_000
+_CLOSING = ".,!?;:"
 _SENT: set[tuple[str, str]] = set()
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z|\x00")
+#: White space of the tokenizer's pattern (Python's own adds 1C-1F), but for space and newline.
+_OTHER = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = " \n" + _OTHER
+_ODD = ("  ", "\n\n", " \n", "\n ", "\x00", *_OTHER)
+_PIECE = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
+
+
+def _pieces(text: str) -> list[str]:
+    """The words of a text, each with the single space before it, and the rest of its
+    white space: a run at the end is one piece; before a word its last character is one
+    (or the word's space) and what stands before that another."""
+    if _is_odd(text):
+        return _PIECE.findall(text)
+    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if text else []
 
 
-def _plain(text: str) -> list[str] | None:
-    """The words of a text (each with the space before it, newlines apart), or None if
-    some white space is not a single space or newline inside the text."""
-    if _ODD.search(text):
-        return None
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if text else []
+def _is_odd(text: str) -> bool:
+    """Whether some white space is not a single space or newline inside the text."""
+    return text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(map(text.__contains__, _ODD))
+
+
+def _parted(word: str) -> tuple[str, str] | None:
+    """A word and its closing marks, which after a letter are a piece of their own."""
+    stem = word.rstrip(_CLOSING)
+    return (stem, word[len(stem) :]) if len(stem) < len(word) and stem and stem[-1].isalpha() else None
 
 
 class Lexicon:
@@ -118,13 +137,18 @@ class Lexicon:
             }
         )
 
-    def save(self, path: str) -> None:
+    def packed(self) -> bytes:
+        """The file's bytes: a header, then the arrays at multiples of eight bytes."""
         head = json.dumps([[f, getattr(self, f).dtype.str, len(getattr(self, f))] for f in self.FIELDS]).encode()
+        out = [len(head).to_bytes(8, "little") + head + b" " * (-len(head) % 8)]
+        for f in self.FIELDS:
+            raw = getattr(self, f).tobytes()
+            out.append(raw + b"\0" * (-len(raw) % 8))
+        return b"".join(out)
+
+    def save(self, path: str) -> None:
         with open(path, "wb") as out:
-            out.write(len(head).to_bytes(8, "little") + head + b" " * (-len(head) % 8))
-            for f in self.FIELDS:
-                raw = getattr(self, f).tobytes()
-                out.write(raw + b"\0" * (-len(raw) % 8))
+            out.write(self.packed())
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
@@ -171,9 +195,14 @@ class Lexicon:
 
 
 class Codec:
-    """Encodes and decodes whole texts; one per Python worker."""
+    """Encodes and decodes whole texts; one per Python worker.
 
-    def __init__(self, tokenizer: str, lexicon: Lexicon | None, keep: int = 400_000):
+    Ids of words are kept in two generations of bounded size: what is met again moves to
+    the new one.  Words outside the lexicon go to the tokenizer many to a call: one that
+    begins with its space begins with an id that spells a space, and holds no other.
+    """
+
+    def __init__(self, tokenizer: str, lexicon: Lexicon | None, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer)
@@ -181,40 +210,60 @@ class Codec:
         self.library.no_padding()
         self.lexicon, self.keep = lexicon, keep
         self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()
+        self.old: dict[str, bytes] = {}
         with open(tokenizer, encoding="utf-8") as f:
             model = json.load(f)
         names = dict(model["model"]["vocab"])
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
         byte = {c: bytes([b]) for b, c in shown.items()}
-        self.spelled = {i: b"".join(byte[c] for c in name) for name, i in names.items() if all(c in byte for c in name)}
-        self.spelled |= {t["id"]: t["content"].encode() for t in model["added_tokens"]}
+        spelled = {i: b"".join(byte[c] for c in name) for name, i in names.items() if all(c in byte for c in name)}
+        spelled |= {t["id"]: t["content"].encode() for t in model["added_tokens"]}
+        self.spelled = [spelled.get(i, b"") for i in range(max(spelled, default=0) + 1)]
+        self.special = [t["content"] for t in model["added_tokens"]]
+        self.opens = np.array([x[:1] == b" " for x in self.spelled])
 
     def _learn(self, words: list[str]) -> None:
+        parts = {w: p for w in words if (p := _parted(w))}
+        words = list({w for w in words if w not in parts}.union(*parts.values()).difference(self.known))
         if self.lexicon is not None:
-            ranks = self.lexicon.ranks([w.encode() for w in words])
-            self.known.update((w, self.lexicon[r]) for w, r in zip(words, ranks.tolist()) if r >= 0)
-            words = [w for w, r in zip(words, ranks.tolist()) if r < 0]
-        self.known.update(zip(words, self._merged(words)))
+            ranks = self.lexicon.ranks([w.encode() for w in words]).tolist()
+            self.known.update((w, self.lexicon[r]) for w, r in zip(words, ranks) if r >= 0)
+            words = [w for w, r in zip(words, ranks) if r < 0]
+        self._ask(words)
+        self.known.update((w, self.known[stem] + self.known[marks]) for w, (stem, marks) in parts.items())
+
+    def _ask(self, words: list[str], at_once: int = 256) -> None:
+        alone = [w for w in words if w[:1] != " " or w == " " or any(s in w for s in self.special)]
+        words = list(set(words).difference(alone))
+        groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        for group, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            starts = np.flatnonzero(self.opens[ids]).tolist()
+            if len(starts) == len(group):
+                raw = ids.tobytes()
+                self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(group, starts, [*starts[1:], len(ids)]))
+            else:
+                alone += group
+        self.known.update(zip(alone, self._merged(alone)))
 
     def _merged(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [_plain(t) for t in texts]
-        odd = [i for i, s in enumerate(split) if s is None]
-        if len(self.known) > self.keep:
-            self.known = {w: self.known[w] for w in self.again} if 2 * len(self.again) < self.keep else {}
-            self.again = set()
-        new = set().union(*(s for s in split if s))
-        self.again.update(new.intersection(self.known))
-        new.difference_update(self.known)
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special) and _is_odd(t)]
+        split = [_pieces(t) for t in texts]
+        for i in odd:
+            split[i] = []
+        if 2 * len(self.known) > self.keep:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = set().union(*split).difference(known)
         if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        out = [b"" if s is None else b"".join(map(get, s)) for s in split]
+            known.update((w, old[w]) for w in new.intersection(old))
+            self._learn(list(new.difference(known)))
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
         for i, ids in zip(odd, self._merged([texts[i] for i in odd]) if odd else []):
             out[i] = ids
         return out
@@ -223,6 +272,12 @@ class Codec:
         return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def _codec(tokenizer: str, lexicon: str) -> Codec:
+    """The Python worker's own codec: words merged in one task serve the next ones."""
+    return Codec(tokenizer, Lexicon.open(SparkFiles.get(lexicon)))
+
+
 def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
     """The most frequent words of all whole texts, met twice at least, ties by word."""
 
@@ -230,13 +285,17 @@ def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
         total: Counter[str] = Counter()
 
         def flush():
+            for word, (stem, marks) in [(w, p) for w in total if (p := _parted(w))]:
+                n = total.pop(word)
+                total[stem] += n
+                total[marks] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
             total.clear()
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 for text in batch.column("text").slice(at, 500).to_pylist():
-                    total.update(_plain(text) or ())
+                    total.update(_pieces(text))
                 if len(total) > 300_000:
                     yield from flush()
         yield from flush()
@@ -250,42 +309,42 @@ def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> str:
     words = frequent_words(docs, size)
     merged = Codec(tokenizer, None)._merged(words)
     lexicon = Lexicon.compile({w.encode(): np.frombuffer(i, "<u4").tolist() for w, i in zip(words, merged) if w})
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    lexicon.save(at := f"{folder}/new")
-    with open(at, "rb") as f:
-        name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:24]}"
+    raw = lexicon.packed()
+    name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:24]}"
     context = docs.sparkSession.sparkContext
     if (context.applicationId, name) not in _SENT:  # the name fixes the content
-        os.rename(at, f"{folder}/{name}")
-        context.addFile(f"{folder}/{name}")
+        context.addFile(shared_file(docs.sparkSession, name, raw))
         _SENT.add((context.applicationId, name))
     return name
 
 
-def encoded(docs: DataFrame, tokenizer: str, keep: list[str], size: int = LEXICON, digest: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, keep: list[str], size: int = LEXICON, digest: bool = False, with_ids: bool = False) -> DataFrame:
     """``keep`` and the ids of every whole text.
 
-    Columns: ids (binary, little-endian 32-bit) and decoded (string), or with
-    ``digest`` n_tokens, ids_sha256 and decoded_sha256 of the same.
+    Columns: ids (binary, little-endian 32-bit) and decoded (string); with ``digest``
+    n_tokens, ids_sha256 and decoded_sha256 in their place, after ``ids`` if ``with_ids``.
     """
     name = build_lexicon(docs, tokenizer, size)
+    kinds = {"ids": "binary", "n_tokens": "long"}
+    found = [*["ids"] * (with_ids or not digest), *(["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["decoded"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        codec = Codec(tokenizer, Lexicon.open(SparkFiles.get(name)))
+        codec = _codec(tokenizer, name)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
                 ids = codec.encode(piece.column("__text").to_pylist())
                 texts = map(codec.decode, ids)
+                packed = [pa.array(ids, pa.binary())] if with_ids or not digest else []
                 if digest:
-                    found = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(t.encode()) for t in texts], pa.string())]
-                    yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *found], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+                    packed += [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(t.encode()) for t in texts], pa.string())]
                 else:
-                    yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], [*keep, "ids", "decoded"])
+                    packed.append(pa.array(texts, pa.string()))
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *packed], [*keep, *found])
 
     schema = docs.select(*keep).schema
-    for column, kind in [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] if digest else [("ids", "binary"), ("decoded", "string")]:
-        schema = schema.add(column, kind)
+    for column in found:
+        schema = schema.add(column, kinds.get(column, "string"))
     return docs.select(*keep, text_of().alias("__text")).mapInArrow(run, schema)

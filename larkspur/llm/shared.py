@@ -36,14 +36,27 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def shared_file(spark: SparkSession, name: str, raw: bytes) -> str:
+    """Write one small file of the driver's into the shared folder; returns its address."""
+    path = f"{shared_path(spark, 'file')}/{name}"
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop)
+    try:
+        out.write(raw)
+    finally:
+        out.close()
+    return path
+
+
+def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage at files that survive the loss of any executor.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
