@@ -179,3 +179,16 @@ def removed(docs: DataFrame, content: DataFrame, collection: str) -> tuple[DataF
     """Documents and content(hash) without a collection; content that others share stays."""
     kept = docs.where(~F.col("collection").eqNullSafe(collection))
     return kept, content.join(kept.select("hash"), "hash", "left_semi")
+
+
+def purged(docs: DataFrame) -> DataFrame:
+    """Documents without the inactive ones."""
+    return docs.where("active")
+
+
+def in_collections(docs: DataFrame, named: list[str] | None, collections: DataFrame) -> DataFrame:
+    """Documents of the ``named`` collections, or of those that
+    ``collections(collection, include_by_default)`` includes where none is named."""
+    if named:
+        return docs.where(F.col("collection").isin(*named))
+    return docs.join(collections.where("include_by_default").select("collection"), "collection", "left_semi").select(*docs.columns)

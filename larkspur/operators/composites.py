@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import text as X
 from larkspur.operators import fusion, lexical, memory
 
 
@@ -55,3 +56,39 @@ def auto_recall(found: DataFrame, k: int = 5) -> DataFrame:
     order = Window.partitionBy("query_id", "text").orderBy(F.desc("score"), "id")
     once = own.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return lexical.top(once.select("query_id", "id", "text", "score"), k, "id")
+
+
+def hybrid_search(lists: list[DataFrame], docs: DataFrame, asked: DataFrame, scores: DataFrame | None = None, k: int = 10, candidates: int = 40, least: float = 0.0) -> DataFrame:
+    """(query_id, id, fused, score, rank): whole documents for ``asked(query_id, query)``.
+
+    ``lists(query_id, id, rank)``, word searches first, are fused (the first two that
+    hold rows weigh 2); the keyword and phrase boosts of ``docs(id, body)`` order the
+    candidates; ``scores(query_id, id, score)`` of a reranker, 0 where missing, are blended
+    in by place.  Without them the score is one over the place.
+    """
+    every = None
+    for n, ranked in enumerate(lists):
+        one = ranked.select("query_id", F.lit(n).alias("list_no"), "id", "rank")
+        every = one if every is None else every.unionByName(one)
+    fused = fusion.fuse(fusion.weigh_lists(every)).select("query_id", "id", "score")
+    rows = fused.join(asked.select("query_id", "query"), "query_id").join(docs.select("id", "body"), "id")
+    boosted = F.col("score") * X.keyword_boost(F.col("query"), F.col("body")) * X.phrase_boost(F.col("query"), F.col("body"))
+    found = lexical.top(rows.select("query_id", "id", F.round(boosted, 6).alias("fused")), candidates, "id", "fused")
+    if scores is None:
+        out = found.withColumn("score", F.round(1 / F.col("rank"), 6))
+    else:
+        found = fusion.reranked(found, scores)
+        out = found.withColumn("score", F.round(fusion.position_blend(F.col("rank"), F.col("rerank")), 6))
+    return lexical.top(out.where(F.col("score") >= least).select("query_id", "id", "fused", "score"), k, "id")
+
+
+def recall_search(memories: DataFrame, asked: DataFrame, words: DataFrame, near: DataFrame, timed: DataFrame, now_ms: int) -> DataFrame:
+    """As ``recalled`` for ``asked(query_id, query, target_ms, window_days)``: the fused
+    ranks of words, vectors and time, times the keyword and phrase boosts, the decay and,
+    for queries with a time, how near to it the memory was made."""
+    fused = fusion.memory_fuse(words, near, timed).select("query_id", "id", F.col("score").alias("_fused"))
+    known = memories.select("id", "tier", "text", "created_at", memory.composite(F.lit(now_ms)).alias("_decay"))
+    rows = fused.join(asked.select("query_id", "query", "target_ms", "window_days"), "query_id").join(known, "id")
+    boosts = X.memory_keyword_boost(F.col("query"), F.col("text")) * X.memory_phrase_boost(F.col("query"), F.col("text"))
+    when = F.coalesce(memory.time_boost(F.col("created_at"), F.col("target_ms"), F.col("window_days")), F.lit(1.0))
+    return rows.select("query_id", "id", "tier", F.round(F.col("_fused") * boosts * F.col("_decay") * when, 6).alias("score"))

@@ -67,3 +67,29 @@ def diverse(ranked: DataFrame, key: str, k: int) -> DataFrame:
     repeat = F.when(F.col(key).isNull(), 0).otherwise((F.row_number().over(Window.partitionBy("query_id", key).orderBy("rank", "id")) > 1).cast("int"))
     order = Window.partitionBy("query_id").orderBy("_repeat", "rank", "id")
     return ranked.withColumn("_repeat", repeat).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("_repeat")
+
+
+def reranked(found: DataFrame, scores: DataFrame) -> DataFrame:
+    """``found`` with ``rerank``: the score of (query_id, id) in ``scores``, 0 where missing."""
+    known = scores.groupBy("query_id", "id").agg(F.max("score").alias("rerank"))
+    return found.join(known, ["query_id", "id"], "left").na.fill(0.0, ["rerank"])
+
+
+def memory_gate(hits: DataFrame, gap: float = 0.15) -> DataFrame:
+    """(query_id, strong): scores are taken as parts of the best one, so what counts is
+    how far the second is below it."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    both = hits.withColumn("_n", F.row_number().over(order)).where("_n <= 2")
+    first, second = F.max("score"), F.coalesce(F.min(F.when(F.col("_n") == 2, F.col("score"))), F.lit(0.0))
+    return both.groupBy("query_id").agg(F.coalesce((first > 0) & ((first - second) / first >= gap), F.lit(False)).alias("strong"))
+
+
+def appended(primary: DataFrame, others: list[DataFrame]) -> DataFrame:
+    """(query_id, id, rank): a query's own list, then what the lists of its variants add,
+    each from the place where the ones before it end; an id keeps its first place."""
+    every = primary.select("query_id", F.lit(0).alias("_no"), "rank", "id")
+    for n, more in enumerate(others, 1):
+        every = every.unionByName(more.select("query_id", F.lit(n).alias("_no"), "rank", "id"))
+    once = every.groupBy("query_id", "id").agg(F.min(F.struct("_no", "rank")).alias("_at"))
+    order = Window.partitionBy("query_id").orderBy("_at", "id")
+    return once.select("query_id", "id", F.row_number().over(order).alias("rank"))

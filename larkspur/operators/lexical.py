@@ -6,67 +6,104 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
+from larkspur.sources.staged import staged
 
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"path": 1.5, "title": 4.0, "body": 1.0}
 
 
+def _weighed(weights: dict[str, float]):
+    """All tokens of the fields as structs (term, w)."""
+
+    def of(field: str, w: float):
+        return F.transform(X.tokens(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+
+    return F.flatten(F.array(*[of(f, w) for f, w in weights.items()]))
+
+
 def postings(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id") -> DataFrame:
     """(key, term, tf): weighted counts of every term over the fields."""
-    weights = weights or FIELD_WEIGHTS
+    return docs.select(key, F.explode(_weighed(weights or FIELD_WEIGHTS)).alias("p")).groupBy(key, F.col("p.term").alias("term")).agg(F.sum("p.w").alias("tf"))
 
-    def weighed(field: str, w: float):
-        return F.transform(X.tokens(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
 
-    fields = F.flatten(F.array(*[weighed(f, w) for f, w in weights.items()]))
-    return docs.select(key, F.explode(fields).alias("p")).groupBy(key, F.col("p.term").alias("term")).agg(F.sum("p.w").alias("tf"))
+#: Distinct asked terms up to this many are broadcast (under 100 MB); more are shuffled.
+BROADCAST_TERMS = 1_000_000
+
 
+def scanned(docs: DataFrame, asked: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, dl, term, tf): one pass over the texts, staged.
 
-def lengths(docs: DataFrame, fields=tuple(FIELD_WEIGHTS), key: str = "doc_id") -> DataFrame:
-    """(key, dl): tokens over all fields, unweighted."""
-    return docs.select(key, sum((F.size(X.tokens(F.col(f))) for f in fields), F.lit(0)).alias("dl"))
+    ``dl`` counts all tokens of all fields, unweighted.  Rows are the postings of the
+    terms of ``asked(term)``, and one of a null term for every document, from which
+    the corpus figures come.
+    """
+    every = docs.select(key, _weighed(weights or FIELD_WEIGHTS).alias("_all"))
+    document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w")))
+    rows = every.select(key, F.size("_all").alias("dl"), F.explode(F.concat("_all", document)).alias("p")).select(key, "dl", "p.term", "p.w")
+    asked = asked.select("term").distinct()
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
+    rows = rows.join(asked.select("term", F.lit(True).alias("_asked")), "term", "left").where("_asked or term is null")
+    return staged(rows.groupBy(key, "dl", "term").agg(F.sum("w").alias("tf")), "postings")
 
 
-def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", match_all: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", match_all: bool = False, barred: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score) for ``terms(query_id, term)``.
 
-    Only postings of asked terms are kept before anything is grouped; corpus figures
-    are one aggregate row.  ``match_all`` keeps documents that hold every term.
+    The texts are read once; corpus figures are one aggregate row, joined to the terms
+    of the queries alone.  ``match_all`` keeps documents that hold every term; those
+    that hold one of ``barred(query_id, term)`` go.  A frequent term has as many rows as
+    documents and queries that hold it, which are all scored; Spark splits such a key.
     """
-    weights = weights or FIELD_WEIGHTS
     terms = terms.select("query_id", "term").distinct()
-    hits = postings(docs, weights, key).join(terms.select("term").distinct(), "term", "left_semi")
+    asked = terms.select("term") if barred is None else terms.select("term").unionByName(barred.select("term"))
+    found = scanned(docs, asked, weights, key)
+    hits = found.where("term is not null")
     frequency = hits.groupBy("term").agg(F.count("*").alias("n"))
-    sizes = lengths(docs, tuple(weights), key)
-    corpus = sizes.agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
+    corpus = found.where("term is null").agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weighed = frequency.join(F.broadcast(corpus)).select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "avgdl")
-    rows = hits.join(weighed, "term").join(sizes, key).join(terms, "term")
+    rows = hits.join(terms.join(weighed, "term"), "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     out = rows.groupBy("query_id", key).agg(F.sum(part).alias("raw"), F.count("*").alias("held"))
     if match_all:
         asked = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
         out = out.join(asked, "query_id").where("held = asked")
+    if barred is not None:
+        out = out.join(hits.join(barred.select("query_id", "term"), "term").select("query_id", key), ["query_id", key], "left_anti")
     return out.select("query_id", key, F.round(F.col("raw") / (1 + F.col("raw")), 6).alias("score"))
 
 
 def expand_prefixes(docs: DataFrame, prefixes: DataFrame, fields=tuple(FIELD_WEIGHTS)) -> DataFrame:
-    """(query_id, prefix, term): vocabulary terms that begin with each prefix."""
+    """(query_id, prefix, term): vocabulary terms that begin with each prefix.
+
+    Every term meets the prefixes by its own beginnings, as long as the asked ones.
+    """
     every = F.array_distinct(F.concat(*[X.tokens(F.col(f)) for f in fields]))
-    vocabulary = docs.select(F.explode(every).alias("term")).distinct().withColumn("lead", F.substring("term", 1, 1))
-    asked = prefixes.withColumn("lead", F.substring("prefix", 1, 1))
-    return vocabulary.join(asked, "lead").where(F.startswith("term", "prefix")).select("query_id", "prefix", "term")
+    vocabulary = docs.select(F.explode(every).alias("term")).distinct()
+    longest = prefixes.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0)).alias("longest"))
+    begins = vocabulary.join(F.broadcast(longest)).select("term", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("term"), F.col("longest"))))).alias("n"))
+    return begins.select("term", F.expr("left(term, n)").alias("prefix")).join(prefixes, "prefix").select("query_id", "prefix", "term")
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame, field: str = "body", key: str = "doc_id") -> DataFrame:
-    """(query_id, key, n): documents that hold the phrase's tokens in a row.
+    """(query_id, key, n): how often a document holds the tokens of a phrase in a row.
 
-    ``phrases(query_id, tokens)``; positions of one phrase meet at the same start.
+    ``phrases(query_id, tokens)``.  A phrase is looked for only in documents that hold
+    its rarest token.
     """
-    asked = phrases.select("query_id", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "term"))
-    terms = docs.select(key, F.posexplode(X.tokens(F.col(field))).alias("pos", "term"))
-    met = terms.join(asked, "term").groupBy("query_id", key, "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("held"))
-    return met.where("held = size").groupBy("query_id", key).agg(F.count("*").alias("n"))
+    asked = phrases.where("size(tokens) > 0").select("query_id", "tokens")
+    terms = asked.select(F.explode("tokens").alias("term")).distinct()
+    held = docs.select(key, F.explode(F.array_distinct(X.tokens(F.col(field)))).alias("term")).join(terms, "term", "left_semi")
+    held = staged(held, "phrase-tokens")
+    counts = held.groupBy("term").agg(F.count("*").alias("n"))
+    rows = asked.withColumn("term", F.explode("tokens")).join(counts, "term", "left").na.fill(0, ["n"])
+    rarest = rows.groupBy("query_id", "tokens").agg(F.min(F.struct("n", "term")).alias("r"))
+    rarest = rarest.select("query_id", F.col("tokens").alias("_phrase"), F.col("r.term").alias("term"))
+    found = held.join(rarest, "term").drop("term").join(docs.select(key, X.tokens(F.col(field)).alias("_tokens")), key)
+    size = F.size("_phrase")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_tokens") - size + 1)), lambda i: F.slice("_tokens", i, size) == F.col("_phrase"))
+    return found.select("query_id", key, F.size(starts).cast("long").alias("n")).where("n > 0")
 
 
 def top(rows: DataFrame, k: int, key: str = "doc_id", score: str = "score", by: str = "query_id") -> DataFrame:

@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
+from larkspur.sources.staged import staged
 
 DAY = 86_400_000.0
-# Fixed values. Half-life in days, stretch and floor of each tier (others as peripheral).
-HALF_LIFE = {"core": 90.0, "working": 30.0, "peripheral": 14.0}
-BETA = {"core": 0.8, "working": 1.0, "peripheral": 1.3}
-FLOOR = {"core": 0.9, "working": 0.7, "peripheral": 0.5}
+# Fixed values. Half-life in days, stretch and floor of each tier, and of any other.
+HALF_LIFE = {"core": 90.0, "working": 30.0, "peripheral": 14.0, "": 14.0}
+BETA = {"core": 0.8, "working": 1.0, "peripheral": 1.3, "": 1.0}
+FLOOR = {"core": 0.9, "working": 0.7, "peripheral": 0.5, "": 0.0}
 
 
 def _by_tier(values: dict[str, float], tier: Column) -> Column:
-    return F.when(tier == "core", values["core"]).when(tier == "working", values["working"]).otherwise(values["peripheral"])
+    out = F.when(tier == "core", values["core"]).when(tier == "working", values["working"])
+    return out.when(tier == "peripheral", values["peripheral"]).otherwise(values[""])
 
 
 def content_hash(text: Column) -> Column:
@@ -30,12 +32,13 @@ def composite(now_ms: Column, column=F.col) -> Column:
     """0.4 recency + 0.3 frequency + 0.3 importance, at least the tier's floor x importance.
 
     Recency is a stretched exponential of the days since the last access (or creation)
-    whose half-life grows with importance.
+    whose half-life grows with importance; elsewhere importance counts from 0 to 1.
     """
     tier, imp = column("tier"), column("importance")
     days = F.greatest(F.lit(0.0), (now_ms - F.coalesce(column("last_accessed"), column("created_at"))) / DAY)
     recency = F.exp(-math.log(2) / (_by_tier(HALF_LIFE, tier) * F.exp(1.5 * imp)) * F.pow(days, _by_tier(BETA, tier)))
     frequency = 1 - F.exp(-column("access_count") / 5.0)
+    imp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), imp))
     return F.greatest(0.4 * recency + 0.3 * frequency + 0.3 * imp, _by_tier(FLOOR, tier) * imp)
 
 
@@ -187,3 +190,14 @@ def updated(memories: DataFrame, edits: DataFrame, history: DataFrame, now_ms: i
     text = F.coalesce("_text", "text")
     kept = both.withColumns({"importance": F.when(F.col("_importance").isNull(), F.col("importance")).otherwise(held), "category": F.coalesce("_category", "category"), "content_hash": content_hash(text), "text": text})
     return kept.drop("_text", "_importance", "_category"), history.unionByName(log)
+
+
+def cleaned(memories: DataFrame, now_ms: int, least: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(memories left, report): a decay pass gives new tiers; then, from ``least`` rows on,
+    what may go is evicted.  The report has rows before and after and the tier moves."""
+    moved = staged(decayed(memories, now_ms).withColumn("tier", F.col("new_tier")).drop("score", "new_tier"), "decayed")
+    before = F.broadcast(memories.agg(F.count("*").alias("before")))
+    gone = evictable(moved, now_ms).select("id", F.lit(True).alias("_gone"))
+    left = moved.join(before).join(gone, "id", "left").where((F.col("before") < least) | F.col("_gone").isNull()).select(*moved.columns)
+    report = decay_report(memories, now_ms).select(F.col("processed").alias("before"), "promoted", "demoted").join(left.agg(F.count("*").alias("after")))
+    return left, report

@@ -14,15 +14,15 @@ BLOCK = 4096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    m = np.array(column.to_pylist(), dtype=float)
+    m = np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, scoped: bool = False) -> DataFrame:
     """(query_id, id, similarity, rank) for queries(query_id, embedding[, scope]).
 
-    A task multiplies its vectors by a block of queries and keeps its best ``k`` each,
-    so at most k rows a query and task are shuffled.  ``scoped``: only vectors(id,
+    A batch of vectors is multiplied by a block of queries and keeps its best ``k`` each
+    by the rounded similarity and id, so at most k rows a query and batch are shuffled.  ``scoped``: only vectors(id,
     embedding, scope) of the query's own scope.
     """
     spark, found = vectors.sparkSession, None
@@ -40,13 +40,18 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, scoped: bool = False
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                sims = q @ _matrix(batch.column("embedding")).T
+                batch = batch.take(pa.array(np.argsort(np.asarray(batch.column("id")), kind="stable")))
+                sims = np.round(q @ _matrix(batch.column("embedding")).T, 6)
                 if scopes is not None:
                     sims = np.where(np.array(scopes, object)[:, None] == np.array(batch.column("scope").to_pylist(), object)[None, :], sims, -np.inf)
                 n = min(k, sims.shape[1])
-                best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-                edge = np.take_along_axis(sims, best, 1).min(axis=1, keepdims=True)
-                row, col = np.nonzero((sims >= edge) & (sims > -np.inf))  # ties of the last place too
+                edge = -np.partition(-sims, n - 1, axis=1)[:, n - 1 : n]
+                row, col = np.nonzero((sims >= edge) & (sims > -np.inf))
+                order = np.lexsort((col, -sims[row, col], row))  # ties of the last place by id
+                row, col = row[order], col[order]
+                first = np.searchsorted(row, np.arange(len(ids)))
+                some = np.arange(len(row)) - first[row] < k
+                row, col = row[some], col[some]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row], pa.int64()), batch.column("id").take(pa.array(col)), pa.array(sims[row, col])], ["query_id", "id", "similarity"])
 
         part = vectors.select("id", "embedding", *(["scope"] if scoped else [])).where("embedding is not null").mapInArrow(search, "query_id long, id long, similarity double")
@@ -54,7 +59,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, scoped: bool = False
     if found is None:
         return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def accepted(matches: DataFrame, floor: float = 0.05, share: float = 0.5, keep: int = 5) -> DataFrame:
@@ -83,3 +88,25 @@ def duplicate_probe(queries: DataFrame, vectors: DataFrame, threshold: float = 0
     near = near.where("id <> query_id") if stored else near
     first = Window.partitionBy("query_id").orderBy("rank")
     return near.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("query_id", "id", "similarity")
+
+
+def nearest_documents(queries: DataFrame, chunks: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, similarity, seq, rank): the nearest chunks(id, doc_id, seq,
+    embedding), three times ``k`` of them, folded into active documents(doc_id, active)
+    by their best chunk."""
+    near = nearest(queries, chunks, 3 * k).select("query_id", "id", "similarity")
+    kept = documents.where("active").select("doc_id")
+    rows = near.join(chunks.select("id", "doc_id", "seq"), "id").join(kept, "doc_id")
+    best = rows.groupBy("query_id", "doc_id").agg(F.max(F.struct("similarity", (-F.col("seq")).alias("place"))).alias("b"))
+    found = best.select("query_id", "doc_id", F.col("b.similarity").alias("similarity"), (-F.col("b.place")).alias("seq"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest_shared(queries: DataFrame, vectors: DataFrame, k: int, shared) -> DataFrame:
+    """(query_id, id, similarity, rank): three times ``k`` vectors of the query's own scope
+    and ``k`` of the scope ``shared`` that all may see."""
+    own = nearest(queries.where(F.col("scope") != F.lit(shared)), vectors, 3 * k, scoped=True)
+    common = nearest(queries.withColumn("scope", F.lit(shared).cast(vectors.schema["scope"].dataType)), vectors, k, scoped=True)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return own.unionByName(common).withColumn("rank", F.row_number().over(order))

@@ -111,11 +111,8 @@ def bm25_all_terms(corpus, phrases):
 @query(f"WITH q AS (SELECT DISTINCT query_id, unnest(list_slice({_TOKENS.format('text')}, 1, 4)) AS term FROM phrases), {_BM25}, neg AS (SELECT query_id, list_extract({_TOKENS.format('text')}, 5) AS term FROM phrases) " + _TOP.format("SELECT query_id, doc_id, round(raw / (1 + raw), 6) AS score FROM raw WHERE NOT EXISTS (SELECT 1 FROM neg JOIN post USING (term) WHERE neg.query_id = raw.query_id AND post.doc_id = raw.doc_id)", 10), "corpus", "phrases")
 def bm25_negation(corpus, phrases):
     """Documents with any of four terms but without the fifth."""
-    docs = _titled(corpus)
-    hits = lexical.bm25(docs, _terms(phrases, 4))
     without = phrases.select("query_id", F.get(X.tokens(F.col("text")), 4).alias("term")).where("term is not null")
-    barred = lexical.postings(docs).join(without, "term").select("query_id", "doc_id")
-    return lexical.top(hits.join(barred, ["query_id", "doc_id"], "left_anti"), 10)
+    return lexical.top(lexical.bm25(_titled(corpus), _terms(phrases, 4), barred=without), 10)
 
 
 @query(rf"WITH q AS (SELECT query_id, list_slice({_TOKENS.format('text')}, 1, 4) AS t FROM phrases), d AS (SELECT doc_id, {_TOKENS.format('body')} AS c FROM corpus), s AS (SELECT query_id, doc_id, t, c, unnest(range(1, len(c) - 2)) AS i FROM q JOIN d ON list_contains(c, t[1]) AND list_contains(c, t[4])) SELECT query_id, doc_id, count(*) AS n FROM s WHERE c[i] = t[1] AND c[i + 1] = t[2] AND c[i + 2] = t[3] AND c[i + 3] = t[4] GROUP BY 1, 2", "corpus", "phrases")
@@ -276,9 +273,10 @@ def search_boosts_hits(corpus, phrases):
 # Memory lifecycle ------------------------------------------------------------------
 
 _DAYS = f"greatest(0, ({NOW} - coalesce(last_accessed, created_at)) / 86400000.0)"
-_T = "CASE tier WHEN 'core' THEN {0} WHEN 'working' THEN {1} ELSE {2} END"
-_REC = f"exp(-ln(2) / (({_T.format(90.0, 30.0, 14.0)}) * exp(1.5 * importance)) * pow({_DAYS}, {_T.format(0.8, 1.0, 1.3)}))"
-_SCORE = f"greatest(0.4 * {_REC} + 0.3 * (1 - exp(-access_count / 5.0)) + 0.3 * importance, ({_T.format(0.9, 0.7, 0.5)}) * importance)"
+_T = "CASE tier WHEN 'core' THEN {0} WHEN 'working' THEN {1} WHEN 'peripheral' THEN {2} ELSE {3} END"
+_IMP = "greatest(0, least(1, importance))"
+_REC = f"exp(-ln(2) / (({_T.format(90.0, 30.0, 14.0, 14.0)}) * exp(1.5 * importance)) * pow({_DAYS}, {_T.format(0.8, 1.0, 1.3, 1.0)}))"
+_SCORE = f"greatest(0.4 * {_REC} + 0.3 * (1 - exp(-access_count / 5.0)) + 0.3 * {_IMP}, ({_T.format(0.9, 0.7, 0.5, 0.0)}) * {_IMP})"
 _NEXT = "CASE WHEN tier = 'peripheral' AND access_count >= 3 AND score >= 0.4 THEN 'working' WHEN tier = 'working' AND access_count >= 10 AND score >= 0.7 AND importance >= 0.8 THEN 'core' WHEN tier = 'working' AND score < 0.15 THEN 'peripheral' WHEN tier = 'core' AND score < 0.15 AND access_count < 3 THEN 'working' ELSE tier END"
 _LEVEL = "CASE {0} WHEN 'core' THEN 2 WHEN 'working' THEN 1 ELSE 0 END"
 
@@ -288,6 +286,16 @@ def decay_scores(memories):
     return memory.decayed(memories, NOW).select("id", "tier", *_r("score"), "new_tier")
 
 
+_ODD = "SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN 'archive' ELSE tier END AS tier, importance * 2 - 0.4 AS importance) FROM memories"
+
+
+@query(f"SELECT id, tier, round(score, 6)::DOUBLE AS score FROM (SELECT *, {_SCORE} AS score FROM ({_ODD}))", "memories")
+def decay_scores_odd(memories):
+    """Decay of tiers without fixed values and of importance outside 0 to 1."""
+    odd = memories.withColumn("tier", F.when(F.col("id") % 3 == 0, "archive").otherwise(F.col("tier"))).withColumn("importance", F.col("importance") * 2 - 0.4)
+    return memory.decayed(odd, NOW).select("id", "tier", *_r("score"))
+
+
 @query(f"WITH s AS (SELECT *, {_SCORE} AS score FROM memories), n AS (SELECT *, {_NEXT} AS new_tier FROM s) SELECT count(*) AS processed, sum(({_LEVEL.format('new_tier')} > {_LEVEL.format('tier')})::INT)::BIGINT AS promoted, sum(({_LEVEL.format('new_tier')} < {_LEVEL.format('tier')})::INT)::BIGINT AS demoted, sum((score < 0.3)::INT)::BIGINT AS stale FROM n", "memories")
 def tier_transitions(memories):
     return memory.decay_report(memories, NOW)
@@ -785,17 +793,173 @@ def json_results(corpus):
     return formats.json_lines(_rows(corpus)).select("doc_id", read.alias("r")).select("doc_id", "r.*")
 
 
-@query("WITH p AS (SELECT list_no, query_id, id, min(rank) AS rank FROM lists GROUP BY 1, 2, 3), g AS (SELECT DISTINCT item_id AS query_id, (item_id * 3 + k) % 40 AS id FROM benchmark, range(0, 5) r(k)), h AS (SELECT list_no, query_id, count(*) FILTER (rank <= 5) AS at_k, count(*) AS hits, min(rank) AS first FROM p JOIN g USING (query_id, id) GROUP BY 1, 2), v AS (SELECT list_no, g.query_id, count(*) AS size FROM (SELECT DISTINCT list_no FROM lists) CROSS JOIN g GROUP BY 1, 2) SELECT list_no AS backend, round(avg(round(coalesce(at_k, 0) / least(5, size), 6)), 6)::DOUBLE AS precision, round(avg(round(coalesce(hits, 0) / size, 6)), 6)::DOUBLE AS recall, round(avg(round(coalesce(1.0 / first, 0), 6)), 6)::DOUBLE AS rr, count(*) AS queries FROM v LEFT JOIN h USING (list_no, query_id) GROUP BY 1", "lists", "benchmark")
+@query("WITH p AS (SELECT list_no, query_id, id, min(rank) AS rank FROM lists GROUP BY 1, 2, 3), g AS (SELECT DISTINCT item_id AS query_id, (item_id * 3 + k) % 40 AS id FROM benchmark, range(0, 5) r(k)), h AS (SELECT list_no, query_id, count(*) FILTER (rank <= 5) AS at_k, count(*) AS hits, min(rank) AS first FROM p JOIN g USING (query_id, id) GROUP BY 1, 2), v AS (SELECT list_no, g.query_id, count(*) AS size FROM (SELECT DISTINCT list_no FROM lists) CROSS JOIN g GROUP BY 1, 2) SELECT list_no AS backend, round(avg(coalesce(at_k, 0) / least(5, size)), 6)::DOUBLE AS precision, round(avg(coalesce(hits, 0) / size), 6)::DOUBLE AS recall, round(avg(coalesce(1e0 / first, 0)), 6)::DOUBLE AS rr, count(*) AS queries FROM v LEFT JOIN h USING (list_no, query_id) GROUP BY 1", "lists", "benchmark")
 def backend_means(lists, benchmark):
     """Mean precision, recall and reciprocal rank of each ranked list."""
     every = None
     for n in range(3):
         results = lists.where(F.col("list_no") == n).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
-        one = evaluation.ranking(results, _gold(benchmark), 5).withColumn("backend", F.lit(n))
+        one = evaluation.ranking(results, _gold(benchmark), 5, digits=None).withColumn("backend", F.lit(n))
         every = one if every is None else every.unionByName(one)
     return evaluation.means(every, "backend").select("backend", "precision", "recall", "rr", "queries")
 
 
+# Whole searches with every leg ------------------------------------------------------
+
+
+def _whole(phrases: DataFrame) -> DataFrame:
+    return phrases.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+
+
+_WHOLE = f"q AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('text')}) AS term FROM phrases)"
+_ACTIVE = _BM25.replace("FROM corpus)", "FROM corpus WHERE active)")
+
+
+@query(f"WITH {_WHOLE}, {_ACTIVE} " + _TOP.format("SELECT query_id, doc_id, round(raw / (1 + raw), 6) AS score FROM raw", 20), "corpus", "phrases")
+def document_search(corpus, phrases):
+    """Twenty best active documents by any term of the whole query."""
+    return lexical.top(lexical.bm25(_titled(corpus.where("active")), _whole(phrases)), 20)
+
+
+_VEC = f"SELECT query_id, id, similarity, rank FROM (SELECT query_id, id, similarity, {_RANK} FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS similarity FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND b.vec_id IN (SELECT doc_id FROM corpus WHERE active))) WHERE rank <= 20"
+
+
+def _document_vectors(corpus, phrases, embeddings):
+    """Twenty nearest active documents: vector n stands for query n and for document n."""
+    asked = embeddings.join(phrases.select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+    stored = embeddings.join(corpus.where("active").select(F.col("doc_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("id"), "embedding")
+    return vectors.nearest(asked, stored, 20)
+
+
+_BOOST = f"CASE WHEN len(w) = 0 THEN 1.0 ELSE 1 + 0.3 * (len(list_filter(w, lambda x: contains(low, x)))::DOUBLE / len(w)) END * CASE WHEN len(list_filter(ph, lambda x: contains(low, x))) > 0 THEN 1.6 ELSE 1.0 END"
+_HYBRID = f"""WITH r AS (SELECT query_id, 0 AS list_no, doc_id AS id, rank FROM ({ORACLE_SQL['document_search']}) UNION ALL SELECT query_id, 1, id, rank FROM ({_VEC})),
+w AS (SELECT *, {_W} AS weight FROM r), f AS (SELECT query_id, id, sum(weight / (60 + rank)) + {_BONUS} AS score FROM w GROUP BY 1, 2),
+p AS (SELECT query_id, id, score, lower(body) AS low, {_BOOST_W.replace('q.text', 'phrases.text')} AS w, regexp_extract_all(lower(phrases.text), '["'']([^"'']{{3,}})["'']', 1) AS ph FROM f JOIN phrases USING (query_id) JOIN corpus ON doc_id = id),
+c AS (SELECT * FROM (SELECT query_id, id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS n FROM (SELECT query_id, id, round(score * {_BOOST}, 6)::DOUBLE AS fused FROM p)) WHERE n <= 40)"""
+
+
+@query(f"{_HYBRID} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, fused, round(CASE WHEN n <= 3 THEN 0.75 WHEN n <= 10 THEN 0.6 ELSE 0.4 END / n + (1 - CASE WHEN n <= 3 THEN 0.75 WHEN n <= 10 THEN 0.6 ELSE 0.4 END) * CASE WHEN (id + query_id) % 4 = 0 THEN 0 ELSE (id * 13 + query_id * 7) % 100 / 100.0 END, 6)::DOUBLE AS score FROM c)) WHERE rank <= 10", "corpus", "phrases", "embeddings")
+def hybrid_search(corpus, phrases, embeddings):
+    """Words and vectors, fused, boosted by the whole texts, blended with a table of
+    reranker scores that knows three of four candidates."""
+    lists = [document_search(corpus, phrases).withColumnRenamed("doc_id", "id"), _document_vectors(corpus, phrases, embeddings)]
+    docs = corpus.select(F.col("doc_id").alias("id"), "body")
+    pairs = lists[0].select("query_id", "id").unionByName(lists[1].select("query_id", "id")).distinct()
+    scores = pairs.where("(id + query_id) % 4 <> 0").withColumn("score", (F.col("id") * 13 + F.col("query_id") * 7) % 100 / 100)
+    return composites.hybrid_search(lists, docs, phrases.withColumnRenamed("text", "query"), scores)
+
+
+@query(f"{_HYBRID} SELECT query_id, id, fused, score, rank FROM (SELECT query_id, id, fused, round(1.0 / n, 6)::DOUBLE AS score, n AS rank FROM c) WHERE rank <= 10 AND score >= 0.15", "corpus", "phrases", "embeddings")
+def hybrid_search_plain(corpus, phrases, embeddings):
+    """As hybrid_search without a reranker, scores of 0.15 and more."""
+    lists = [document_search(corpus, phrases).withColumnRenamed("doc_id", "id"), _document_vectors(corpus, phrases, embeddings)]
+    docs = corpus.select(F.col("doc_id").alias("id"), "body")
+    return composites.hybrid_search(lists, docs, phrases.withColumnRenamed("text", "query"), least=0.15)
+
+
+@query(f"WITH r AS (SELECT query_id, 0 AS list_no, doc_id AS id, rank FROM ({ORACLE_SQL['document_search']}) UNION ALL SELECT query_id, 1, doc_id, rank FROM ({ORACLE_SQL['bm25_negation']}) UNION ALL SELECT query_id, 2, id, rank FROM ({_VEC})), w AS (SELECT *, CASE WHEN list_no = min(list_no) OVER (PARTITION BY query_id) THEN 2.0 ELSE 1.0 END AS weight FROM r), f AS (SELECT query_id, id, round(sum(weight / (60 + rank)) + {_BONUS}, 6)::DOUBLE AS score FROM w GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10", "corpus", "phrases", "embeddings")
+def structured_vectors(corpus, phrases, embeddings):
+    """Two typed word searches and a vector search, fused."""
+    words = [f(corpus, phrases).withColumnRenamed("doc_id", "id") for f in (document_search, bm25_negation)]
+    return composites.structured([*words, _document_vectors(corpus, phrases, embeddings)])
+
+
+_HV = "list_transform(range(0, 64), lambda i: len(list_filter(p, lambda x: x = i))::DOUBLE)"
+_PLACES = f"list_transform({_TOKENS.format('text')}, lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % 64)"
+_MEM_VEC = f"SELECT * FROM (SELECT query_id, id, similarity, {_RANK} FROM (SELECT query_id, id, round(coalesce(list_cosine_similarity(a.v, b.v), 0), 6) AS similarity FROM (SELECT query_id, {_HV} AS v FROM (SELECT query_id, {_PLACES} AS p FROM phrases)) a, (SELECT id, {_HV} AS v FROM (SELECT id, {_PLACES} AS p FROM memories)) b)) WHERE rank <= 20"
+
+
+@query(_MEM_VEC, "memories", "phrases")
+def memory_vectors(memories, phrases):
+    """Twenty nearest memories by hashed vectors of the whole texts."""
+    vector = X.hashed_vector(X.tokens(F.col("text")))
+    return vectors.nearest(phrases.select("query_id", vector.alias("embedding")), memories.select("id", vector.alias("embedding")), 20)
+
+
+_MEM_KW = rf"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2 AND w NOT IN {_STOP} AND NOT list_contains(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: regexp_matches(x, '^[A-Z][a-z]+$')), lambda x: lower(x)), w))"
+_RECALL_ALL = f"""WITH b AS (SELECT query_id, id, 0.8 / (60 + rank) AS s FROM ({ORACLE_SQL['memory_or_search']}) UNION ALL SELECT query_id, id, 0.2 / (60 + rank) FROM ({ORACLE_SQL['memory_vectors']}) UNION ALL SELECT query_id, id, 0.1 / (60 + rank) FROM ({ORACLE_SQL['time_window_list']})),
+f AS (SELECT query_id, id, sum(s) AS fused FROM b GROUP BY 1, 2), a AS (SELECT query_id, {_MEM_KW} AS w, regexp_extract_all(lower(text), '"([^"]+)"', 1) AS ph, CASE WHEN query_id % 3 <> 0 THEN {NOW} - (query_id % 40) * 86400000 END AS target, 1 + query_id % 7 AS win FROM phrases),
+found AS (SELECT query_id, id, tier, round(fused * CASE WHEN len(w) = 0 THEN 1.0 ELSE 1 + 0.4 * (len(list_filter(w, lambda x: contains(lower(m.text), x)))::DOUBLE / len(w)) END * pow(1.6, len(list_filter(ph, lambda x: contains(lower(m.text), x)))) * ({_SCORE}) * coalesce(1 + greatest(0, 0.4 * (1 - abs(created_at - target) / 86400000.0 / win)), 1), 6)::DOUBLE AS score FROM f JOIN a USING (query_id) JOIN memories m USING (id))"""
+
+
+@query(f"{_RECALL_ALL} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM found) WHERE rank <= 10", "memories", "phrases", "benchmark")
+def recall_search(memories, phrases, benchmark):
+    """Memories by words, vectors and time, fused, with all boosts."""
+    lists = memory_or_search(memories, phrases), memory_vectors(memories, phrases), time_window_list(memories, benchmark)
+    target = F.when(F.col("query_id") % 3 != 0, F.lit(NOW) - (F.col("query_id") % 40) * 86_400_000)
+    asked = phrases.select("query_id", F.col("text").alias("query"), target.alias("target_ms"), (1 + F.col("query_id") % 7).alias("window_days"))
+    return composites.recall(composites.recall_search(memories, asked, *lists, NOW)).select("query_id", "id", "score", "rank")
+
+
+@query(f"WITH k AS (SELECT *, {_RANK} FROM ({_KNN})), n AS (SELECT * FROM k WHERE rank <= 30) SELECT query_id, doc_id, similarity, seq, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM (SELECT query_id, id // 4 AS doc_id, max(similarity) AS similarity, min_by(id % 4, (-similarity, id % 4)) AS seq FROM n WHERE id // 4 % 5 <> 0 GROUP BY 1, 2)) WHERE rank <= 10", "embeddings")
+def nearest_documents(embeddings):
+    """Four vectors in a row are the chunks of a document; every fifth document is inactive."""
+    chunks = embeddings.select(F.col("vec_id").alias("id"), F.expr("vec_id div 4").alias("doc_id"), (F.col("vec_id") % 4).alias("seq"), "embedding")
+    documents = chunks.select("doc_id", (F.col("doc_id") % 5 != 0).alias("active")).distinct()
+    return vectors.nearest_documents(_asked(embeddings), chunks, documents, 10)
+
+
+@query(f"WITH k AS ({_KNN}), o AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS n FROM k WHERE scope_a = scope_b AND scope_a <> 0), s AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS n FROM k WHERE scope_b = 0), u AS (SELECT * FROM o WHERE n <= 9 UNION ALL SELECT * FROM s WHERE n <= 3) SELECT query_id, id, similarity, {_RANK} FROM u", "embeddings")
+def knn_shared_scope(embeddings):
+    """Nearest vectors of the query's own scope and, by a quota, of scope 0."""
+    return vectors.nearest_shared(_asked(embeddings), _stored(embeddings), 3, 0)
+
+
+@query("WITH s AS (SELECT query_id, id, 1.0 / rank AS score FROM lists WHERE list_no = 1), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) SELECT query_id, (max(score) - coalesce(max(CASE WHEN n = 2 THEN score END), 0)) / max(score) >= 0.15 AS strong FROM n GROUP BY 1", "lists")
+def memory_gate(lists):
+    return fusion.memory_gate(lists.where("list_no = 1").select("query_id", "id", (1 / F.col("rank")).alias("score")))
+
+
+@query("WITH o AS (SELECT query_id, id, min((list_no, rank)) AS place FROM lists GROUP BY 1, 2) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS rank FROM o", "lists")
+def expansion_lists(lists):
+    """A query's own list, then what those of two variants add."""
+    return fusion.appended(lists.where("list_no = 0"), [lists.where("list_no = 1"), lists.where("list_no = 2")])
+
+
+_WHOLE_TRUTH = "['we', 'decided', 'to', 'go', 'with', 'building', 'products']"
+_ANSWER = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')"
+
+
+@query(f"WITH t AS (SELECT id, {_ANSWER} AS a, {_WHOLE_TRUTH} AS b FROM (SELECT id, CASE WHEN id % 7 = 0 THEN 'We decided to go with: building products' WHEN id % 11 = 0 THEN NULL ELSE text END AS text FROM said)), s AS (SELECT id, a, b, len(list_filter(a, lambda w: list_contains(b, w))) AS held FROM t) SELECT id, CASE WHEN held > 0 THEN round(2.0 * (held / len(a)) * (held / len(b)) / (held / len(a) + held / len(b)), 6) ELSE 0 END::DOUBLE AS f1, coalesce((a = b)::INT, 0) AS exact, coalesce(contains(array_to_string(a, ' '), array_to_string(b, ' '))::INT, 0) AS inside FROM s", "said")
+def answer_scores(said):
+    text = F.when(F.col("id") % 7 == 0, "We decided to go with: building products").when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("text"))
+    found = evaluation.answer_scores(text, F.lit("we decided to go with building products."))
+    return said.select("id", found.alias("s")).select("id", F.round("s.f1", 6).alias("f1"), "s.exact", "s.inside")
+
+
+_COVERED = f"WITH r AS (SELECT query_id, rank, text FROM ({ORACLE_SQL['memory_or_search']}) JOIN memories USING (id) WHERE rank <= 5), q AS (SELECT query_id, {_ANSWER} AS t FROM (SELECT query_id, array_to_string(list_slice({_TOKENS.format('text')}, 1, 6), ' ') AS text FROM phrases)), m AS (SELECT q.query_id, t, rank, {_ANSWER.replace('text', 'coalesce(text, chr(32))')} AS m FROM q LEFT JOIN r ON q.query_id = r.query_id), h AS (SELECT *, list_filter(t, lambda w: list_contains(m, w)) AS held, len(t) > 0 AND len(list_filter(t, lambda w: list_contains(m, w))) >= 0.5 * len(t) AND rank IS NOT NULL AS ok FROM m), s AS (SELECT query_id, t, bool_or(ok) AS hit, min(CASE WHEN ok THEN rank END) AS first, coalesce(sum(CASE WHEN ok THEN 1 / log2(rank + 1) END), 0) AS dcg, count(*) FILTER (ok) AS n, flatten(list(held)) AS every FROM h GROUP BY 1, 2)"
+
+
+@query(f"{_COVERED} SELECT query_id, CASE WHEN len(t) = 0 OR hit OR len(list_filter(t, lambda w: list_contains(every, w))) >= 0.7 * len(t) THEN 1 ELSE 0 END::DOUBLE AS recall, round(CASE WHEN len(t) = 0 THEN 1 ELSE coalesce(1.0 / first, 0) END, 6)::DOUBLE AS rr, round(CASE WHEN len(t) = 0 THEN 1 WHEN n = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, n + 1), lambda i: 1 / log2(i + 1))) END, 6)::DOUBLE AS ndcg FROM s", "memories", "phrases")
+def content_ranking(memories, phrases):
+    """Hits of memory_or_search by what they hold of a truth (six tokens of the query)."""
+    results = memory_or_search(memories, phrases).join(memories.select("id", "text"), "id").select("query_id", "rank", "text")
+    truths = phrases.select("query_id", F.array_join(F.slice(X.tokens(F.col("text")), 1, 6), " ").alias("truth"))
+    return evaluation.content_ranking(results, truths, 5)
+
+
+@query("WITH r AS (SELECT DISTINCT query_id, 'D' || id % 7 || ':' || id AS d FROM lists WHERE rank <= 3), e AS (SELECT item_id AS query_id, 'D' || ((item_id * 3 + k) % 40) % 7 || ':' || (item_id * 3 + k) % 40 AS d FROM benchmark, range(0, 5) t(k) WHERE item_id % 6 <> 0 UNION ALL SELECT item_id, NULL FROM benchmark WHERE item_id % 6 = 0), j AS (SELECT e.query_id, e.d, r.d AS hit, split_part(e.d, ':', 1) IN (SELECT split_part(x.d, ':', 1) FROM r x WHERE x.query_id = e.query_id) AS seen FROM e LEFT JOIN r ON e.query_id = r.query_id AND e.d = r.d) SELECT query_id, round(CASE WHEN count(d) = 0 THEN 1 ELSE count(hit) / count(d) END, 6)::DOUBLE AS dialogs, CASE WHEN count(d) = 0 THEN 1 ELSE max(seen::INT) END AS sessions FROM j GROUP BY 1", "lists", "benchmark")
+def dialog_recall(lists, benchmark):
+    """Every sixth query has no evidence."""
+    name = F.concat(F.lit("D"), (F.col("id") % 7).cast("string"), F.lit(":"), F.col("id").cast("string"))
+    gold = _gold(benchmark).where("query_id % 6 <> 0").select("query_id", name.alias("dialog"))
+    none = benchmark.where("item_id % 6 = 0").select(F.col("item_id").alias("query_id"), F.lit(None).cast("string").alias("dialog"))
+    return evaluation.dialog_recall(lists.select("query_id", "rank", name.alias("dialog")), gold.unionByName(none), 3)
+
+
+@query(f"WITH m AS (SELECT id, text, category, importance, access_count, created_at, last_accessed, new_tier AS tier, tier AS old FROM (SELECT *, {_NEXT} AS new_tier FROM (SELECT *, {_SCORE} AS score FROM memories))), g AS (SELECT id FROM (SELECT *, {_SCORE} AS score FROM m) WHERE {NOW} - created_at > 30 * 86400000.0 AND importance < 0.4 AND access_count < 2 AND NOT (tier = 'core' OR category IN ('reflection', 'decision') OR coalesce({NOW} - last_accessed <= 7 * 86400000.0, false) OR (tier = 'working' AND score >= 0.1))) SELECT count(*) AS before, sum(({_LEVEL.format('tier')} > {_LEVEL.format('old')})::INT)::BIGINT AS promoted, sum(({_LEVEL.format('tier')} < {_LEVEL.format('old')})::INT)::BIGINT AS demoted, count(*) - CASE WHEN count(*) >= 80 THEN (SELECT count(*) FROM g) ELSE 0 END AS after FROM m", "memories")
+def memory_cleanup(memories):
+    """Decay, then eviction, with the report of both."""
+    return memory.cleaned(memories, NOW, 80)[1]
+
+
+@query("SELECT collection, count(*) AS docs FROM corpus WHERE active AND substr(collection, length(collection), 1) IN ('1', '3', '5') GROUP BY 1", "corpus")
+def default_collections(corpus):
+    """Active documents of the collections that are searched by default."""
+    listed = corpus.select("collection", F.substring("collection", -1, 1).isin("1", "3", "5").alias("include_by_default")).distinct()
+    return catalog.in_collections(catalog.purged(corpus), None, listed).groupBy("collection").agg(F.count("*").alias("docs"))
+
+
 # Streams, over a whole table at once -------------------------------------------------
 
 
