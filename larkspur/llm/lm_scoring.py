@@ -2,284 +2,211 @@
 
 A target model (texts of the wanted kind) and a background model (all documents) share
 one vocabulary, order and smoothing.  Words are lower-cased, with common punctuation
-taken off.  Every document gets its mean loss under both models and their difference:
-below zero is nearer to the target.
-
-``scored_whole``, the registered query, keeps every word and every bigram of both
-corpora: counts are staged tables summed by shuffles.  A token's probability is that of
-its bigram interpolated with that of its word.  Documents are joined to the bigrams'
-losses as (row, bigram, count).  Bigrams and words that make up at least one part in
-``HOT`` of all tokens, so at most ``HOT`` of each kind, are broadcast; any other key has
-fewer rows than that part, and goes by shuffle.  Words are told apart by 64-bit hashes,
-bigrams in the join to documents too: two of n share one with a chance of n * n / 2^65.
-
-``scored`` is the model of bounded size: the ``listed`` most frequent words are the
-vocabulary; the ``classes`` - 1 most frequent are classes of their own, the rest share
-one.  A token's probability is that of its class after the class before it, times, in
-the shared class, that of the word in it.
+taken off.  A token's probability is that of its bigram, interpolated with that of its
+word, by the counts of every word and every bigram of the corpus.  Every document gets
+its mean loss under both models and their difference: below zero is nearer to the target.
+
+The counts are a table too large for any task, so chunks of documents ask it for what
+they need:
+
+1. a task cuts its documents into chunks of about ``CHUNK`` tokens and writes each as one
+   row: ids, sizes, the hashes of its distinct words, and the tokens as places in them;
+2. a chunk sends its distinct keys (words, words as contexts, bigrams), in order and with
+   its own counts, to shares of the key space.  A share holds the keys of about ``SHARE``
+   tokens; it sums both corpora's counts of a key and answers every chunk that sent it.
+   A word or bigram of a third of all tokens is one key a chunk, so nothing is skewed;
+3. a chunk meets its answers and scores its documents.
+
+Words and bigrams are told apart by 62-bit hashes: two of n share one with a chance of
+n * n / 2^63.
 
 Defined cases: null and word-free texts have no tokens and null losses; repeated rows
-are counted and scored as often as they occur; an empty target leaves its model
-uniform; empty tables give empty results; other columns are not read.
+are counted and scored as often as they occur; a document longer than a chunk is one of
+its own; an empty target leaves its model uniform; empty tables give empty results;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import most_frequent, staged, text_of
+from larkspur.llm.shared import staged, text_of
 
-LISTED, CLASSES = 32_768, 1024
-#: Words or bigrams with at least one part in HOT of all tokens are broadcast.
-HOT = 200_000
-#: Weight of the bigram, and the count added to every class and word.
+#: Tokens of a chunk, and tokens whose keys one share of the key space counts.
+CHUNK, SHARE = 700_000, 1_000_000
+#: Weight of the bigram, and the count added to every word.
 MIX, ADD = 0.7, 0.5
 _MARKS = b".,!?;:\"()"
+_KIND = np.uint64(3)
+_SCHEMA = "corpus int, chunk long, n_tokens long, ids array<long>, sizes array<long>, words binary, tokens binary"
 
 
 def words(text: str) -> list[bytes]:
     return text.encode().lower().translate(None, _MARKS).split()
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all whole texts of ``texts(text)``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
-
-        def flush():
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-            total.clear()
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                for text in batch.column("text").slice(at, 500).to_pylist():
-                    total.update(words(text))
-                if len(total) > 300_000:
-                    yield from flush()
-        yield from flush()
-
-    return texts.select(text_of().alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _numbers(text: str, rank: dict[bytes, int], listed: int) -> np.ndarray:
-    """Vocabulary number of every token; ``listed`` stands for words outside it."""
-    return np.array([rank.get(w, listed) for w in words(text)], np.int64)
-
-
-def _pairs(number: np.ndarray, classes: int) -> np.ndarray:
-    """Code of (class before, class) of every token; a text begins after the last class."""
-    own = np.minimum(number, classes - 1)
-    return np.r_[classes - 1, own[:-1]] * classes + own if len(own) else own
-
-
-def pair_counts(texts: DataFrame, rank: dict[bytes, int], listed: int, classes: int) -> DataFrame:
-    """(pair, n) over all whole texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(rank)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(classes * classes, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                codes = [_pairs(_numbers(t, shared.value, listed), classes) for t in batch.column("text").slice(at, 500).to_pylist()]
-                total += np.bincount(np.concatenate(codes).astype(np.int64), minlength=len(total)) if codes else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["pair", "n"])
-
-    return texts.select(text_of().alias("text")).mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-class Losses:
-    """Loss tables of one model: by pair of classes, and by word in the shared class."""
-
-    def __init__(self, pairs: np.ndarray, rest: np.ndarray, classes: int):
-        grid = pairs.reshape(classes, classes).astype(float)
-        alone = (grid.sum(axis=0) + ADD) / (grid.sum() + ADD * classes)
-        seen = grid.sum(axis=1, keepdims=True)
-        chance = np.where(seen > 0, MIX * grid / np.maximum(seen, 1) + (1 - MIX) * alone, alone)
-        self.pair = -np.log(chance).ravel().astype(np.float32)
-        self.word = -np.log((rest + ADD) / (rest.sum() + ADD * len(rest))).astype(np.float32)
-
-    def mean(self, number: np.ndarray, pairs: np.ndarray, classes: int) -> float:
-        shared = number[number >= classes - 1] - (classes - 1)
-        return float((self.pair[pairs].sum(dtype=float) + self.word[shared].sum(dtype=float)) / len(number))
-
-
-def train(docs: DataFrame, target: DataFrame, listed: int = LISTED, classes: int = CLASSES) -> tuple[dict[bytes, int], Losses, Losses]:
-    """(rank of every vocabulary word, target losses, background losses)."""
-    counts = staged(word_counts(docs), "word-counts")
-    wanted = staged(word_counts(target), "target-counts")
-    both = staged(counts.unionByName(wanted).groupBy("word").agg(F.sum("n").alias("n")), "all-counts")
-    vocabulary = [word for word, _ in most_frequent(both, listed)]
-    rank = {w.encode(): i for i, w in enumerate(vocabulary)}
-    numbered = docs.sparkSession.createDataFrame([(w, i) for i, w in enumerate(vocabulary) if i >= classes - 1], "word string, rank int")
-    models = []
-    for texts, table in ((target, wanted), (docs, counts)):
-        pairs = np.zeros(classes * classes, np.int64)
-        found = pair_counts(texts, rank, listed, classes).toPandas()
-        pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
-        rest = np.zeros(listed + 1 - (classes - 1), np.int64)
-        for r in table.join(F.broadcast(numbered), "word").select("rank", "n").collect():
-            rest[r.rank - (classes - 1)] = r.n
-        shared = pairs.reshape(classes, classes)[:, -1].sum()
-        rest[-1] = shared - rest[:-1].sum()
-        models.append(Losses(pairs, rest, classes))
-    return rank, models[0], models[1]
-
-
-def scored(docs: DataFrame, target: DataFrame, listed: int = LISTED, classes: int = CLASSES) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, difference) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, target, listed, classes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, wanted, background = shared.value
-        for batch in batches:
-            rows = []
-            for at in range(0, batch.num_rows, 500):
-                for text in batch.column("text").slice(at, 500).to_pylist():
-                    number = _numbers(text, rank, listed)
-                    pairs = _pairs(number, classes)
-                    rows.append((len(number), *((m.mean(number, pairs, classes) if len(number) else None) for m in (wanted, background))))
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    rows = docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
-    return rows.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss")], F.round(F.col("target_loss") - F.col("background_loss"), 6).alias("difference"))
-
-
-class _Hashes(dict):
-    """64-bit hash of every word met; 0 is the start of a text."""
+class _Places(dict):
+    """Place of every distinct word of a chunk, from 1; 0 is the start of a text."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return h
+        self[word] = place = len(self) + 1
+        return place
 
+    def hashes(self) -> np.ndarray:
+        raw = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in self)
+        return np.frombuffer(raw, "<u8") & ~_KIND
 
-def _hashed(text: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """(word before, word) of every token."""
-    own = np.fromiter(map(hashes.__getitem__, words(text)), np.int64)
-    return np.r_[np.zeros(min(1, len(own)), np.int64), own[:-1]], own
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' lowest bytes, then their next ones: high bytes are runs of zeros."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
-def _bigram(before: np.ndarray, own: np.ndarray) -> np.ndarray:
-    turned = own.view(np.uint64)
-    return before ^ ((turned << np.uint64(17)) | (turned >> np.uint64(47))).view(np.int64)
 
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def _bigram_column():
-    turned = F.shiftleft("own", 17).bitwiseOR(F.shiftrightunsigned("own", 47))
-    return F.col("before").bitwiseXOR(turned)
 
+def chunks(texts: DataFrame, corpus: int, size: int) -> DataFrame:
+    """The documents of ``texts(doc_id, text)`` as chunks of about ``size`` tokens."""
 
-def bigram_counts(texts: DataFrame) -> DataFrame:
-    """(before, own, n) over all whole texts, words as hashes."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, held, ids, total, number = _Places(), [], [], 0, TaskContext.get().partitionId() << 32
 
-        def flush():
-            before, own = (np.concatenate(x) for x in zip(*held))
-            _, at, n = np.unique(_bigram(before, own), return_index=True, return_counts=True)
-            order = np.argsort(before[at], kind="stable")  # equal words side by side pack well
-            at, n = at[order], n[order]
-            for i in range(0, len(at), 100_000):
-                j = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(before[j]), pa.array(own[j]), pa.array(n[i : i + 100_000])], ["before", "own", "n"])
+        def chunk():
+            tokens = np.concatenate(held)
+            row = [corpus, number, len(tokens), ids, [len(h) for h in held], places.hashes().tobytes(), _planes(tokens)]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], [c.split()[0] for c in _SCHEMA.split(", ")])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                for text in batch.column("text").slice(at, 500).to_pylist():
-                    held.append(_hashed(text, hashes))
-                    size += len(held[-1][1])
-                if size > 3_000_000:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
-
-    return texts.select(text_of().alias("text")).mapInArrow(count, "before long, own long, n long")
-
-
-def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """``rows`` joined to ``table`` by ``key``; its ``hot`` rows are broadcast."""
-    hot, cold = table.where("hot").drop("hot"), table.where("not hot").drop("hot")
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-    return rows.join(F.broadcast(hot), key).unionByName(rest)
-
-
-def bigram_losses(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hot, cold): (g, loss_t, loss_b), the target and background loss of every bigram
-    of ``docs``."""
-    none = F.lit(0).cast("long")
-    both = bigram_counts(docs).select("before", "own", F.col("n").alias("b"), none.alias("t"))
-    both = both.unionByName(bigram_counts(target).select("before", "own", none.alias("b"), F.col("n").alias("t")))
-    pairs = staged(both.groupBy("before", "own").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "bigram-counts")
-    counts = staged(pairs.groupBy("own").agg(F.sum("b").alias("own_b"), F.sum("t").alias("own_t")), "word-counts")
-    starts = staged(pairs.groupBy("before").agg(F.sum("b").alias("before_b"), F.sum("t").alias("before_t")), "context-counts")
-    size, n_b, n_t = counts.agg(F.count("*"), F.coalesce(F.sum("own_b"), none), F.coalesce(F.sum("own_t"), none)).first()
-    least = max(n_b / HOT, 1)
-    counts = counts.withColumn("hot", F.col("own_b") >= least)
-    starts = starts.withColumn("hot", F.col("before_b") >= least)
-
-    def loss(model: str, total: int):
-        alone = (F.col(f"own_{model}") + ADD) / F.lit(total + ADD * max(size, 1))
-        seen = F.col(f"before_{model}")
-        return (-F.log(F.when(seen > 0, MIX * F.col(model) / seen + (1 - MIX) * alone).otherwise(alone))).alias(f"loss_{model}")
-
-    columns = [_bigram_column().alias("g"), loss("t", n_t), loss("b", n_b)]
-    # Both words of a hot bigram are hot.
-    hot = pairs.where(F.col("b") >= least).join(F.broadcast(counts.where("hot")), "own").join(F.broadcast(starts.where("hot")), "before")
-    cold = _looked_up(_looked_up(pairs.where((F.col("b") > 0) & (F.col("b") < least)), "own", counts), "before", starts)
-    return hot.select(columns), cold.select(columns)
-
-
-def scored_whole(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, difference) of every row, by the
-    counts of all words and bigrams."""
-    hot, cold = bigram_losses(docs, target)
-    hot = hot.toPandas().sort_values("g")
-    shared = docs.sparkSession.sparkContext.broadcast([hot[c].to_numpy() for c in ("g", "loss_t", "loss_b")])
-    names = ["row", "doc_id", "g", "n", "n_tokens", "t", "b"]
+                part = batch.slice(at, 500)
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    held.append(np.fromiter(map(places.__getitem__, words(text)), np.uint32))
+                    ids.append(doc)
+                    total += len(held[-1])
+                    if total >= size:
+                        yield chunk()
+                        places, held, ids, total, number = _Places(), [], [], 0, number + 1
+        if held:
+            yield chunk()
+
+    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, _SCHEMA)
+
+
+class Keys:
+    """The keys of one chunk: its words, its words as contexts, its distinct bigrams."""
+
+    def __init__(self, sizes: np.ndarray, hashes: np.ndarray, tokens: np.ndarray):
+        self.sizes, self.tokens, self.n_words = sizes, tokens, len(hashes)
+        own = np.concatenate([np.zeros(1, np.uint64), hashes])
+        self.before = np.concatenate([np.zeros(1, tokens.dtype), tokens])[:-1]
+        self.before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+        mixed = own * np.uint64(0x9E3779B97F4A7C15)
+        self.bigram = mixed[self.before] + own[tokens]
+        self.bigram ^= self.bigram >> np.uint64(32)
+        self.bigram *= np.uint64(0xBF58476D1CE4E5B9)
+        self.bigram = (self.bigram ^ (self.bigram >> np.uint64(29))) & ~_KIND | np.uint64(2)
+        self.of_words = [hashes, own | np.uint64(1)]
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys in order, how often each occurs in the chunk)."""
+        bigrams, n = np.unique(self.bigram, return_counts=True)
+        n = np.concatenate([np.bincount(self.tokens, minlength=self.n_words + 1)[1:], np.bincount(self.before, minlength=self.n_words + 1), n])
+        keys = np.concatenate([*self.of_words, bigrams])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], n[order].astype(np.int64)
+
+    def losses(self, counts: dict[str, np.ndarray], totals: dict[str, int], size: int) -> dict[str, np.ndarray]:
+        """Summed loss of every document under each model; ``counts`` stand in key order."""
+        bigrams, first, place = np.unique(self.bigram, return_index=True, return_inverse=True)
+        order = np.argsort(np.concatenate([*self.of_words, bigrams]), kind="stable")
+        document = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        out = {}
+        for model, known in counts.items():
+            n = np.empty(len(order))
+            n[order] = known
+            alone = (np.concatenate([np.zeros(1), n[: self.n_words]])[self.tokens[first]] + ADD) / (totals[model] + ADD * max(size, 1))
+            seen = n[self.n_words : 2 * self.n_words + 1][self.before[first]]
+            chance = np.where(seen > 0, MIX * n[2 * self.n_words + 1 :] / np.maximum(seen, 1) + (1 - MIX) * alone, alone)
+            out[model] = np.bincount(document, -np.log(chance)[place], len(self.sizes))
+        return out
+
+
+def _keys_of(table, i: int) -> Keys:
+    return Keys(np.array(table.column("sizes")[i].as_py(), np.int64), np.frombuffer(table.column("words")[i].as_py(), "<u8"), _from_planes(table.column("tokens")[i].as_py(), "<u4"))
+
+
+def asked(cut: DataFrame, shares: int) -> DataFrame:
+    """(share, chunk, corpus, keys, n): every chunk's keys, dealt to the shares in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One row per text (n 0, sums over its hot bigrams) and one per other bigram of it.
-        (known, t, b), hashes = shared.value, _Hashes()
+        edges = np.array([-(-(s << 64) // shares) for s in range(1, shares)], np.uint64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                bigrams = [_bigram(*_hashed(x, hashes)) for x in part.column("text").to_pylist()]
-                sizes = np.array([len(x) for x in bigrams])
-                g, text = np.concatenate(bigrams), np.repeat(np.arange(len(sizes)), sizes)
-                place = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
-                is_hot = known[place] == g if len(known) else np.zeros(len(g), bool)
-                sums = [np.bincount(text[is_hot], x[place[is_hot]], len(sizes)).astype(float) for x in (t, b)]
-                g, text = g[~is_hot], text[~is_hot]
-                order = np.lexsort((g, text))
-                g, text = g[order], text[order]
-                new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (text[1:] != text[:-1])]) if len(g) else np.zeros(0, np.int64)
-                n, g, text = np.diff(np.r_[new, len(g)]), g[new], text[new]
-                ids, row = part.column("doc_id"), part.column("row").to_numpy()
-                zeros = np.zeros(len(sizes), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row), ids, pa.array(row), pa.array(zeros), pa.array(sizes.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names)
-                for i in range(0, len(g), 100_000):
-                    k = slice(i, i + 100_000)
-                    size = len(g[k])
-                    empty = [pa.nulls(size, x) for x in (pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[text[k]]), pa.nulls(size, ids.type), pa.array(g[k]), pa.array(n[k].astype(np.int64)), *empty], names)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.mapInArrow(run, "row long, doc_id long, g long, n long, n_tokens long, t double, b double")
-    total = lambda c: F.sum(F.coalesce(c, F.lit(0.0)) + F.when(F.col("n") > 0, F.col("n") * F.col(f"loss_{c}")).otherwise(0.0))
-    sums = rows.join(cold, "g", "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), total("t").alias("t"), total("b").alias("b"))
-    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
-    out = sums.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
-    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss")], F.round(F.col("target_loss") - F.col("background_loss"), 6).alias("difference"))
+            for i in range(batch.num_rows):
+                keys, n = _keys_of(batch, i).counted()
+                at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                used = [s for s in range(shares) if at[s] < at[s + 1]]
+                steps = [_planes(np.diff(keys[at[s] : at[s + 1]], prepend=np.uint64(0))) for s in used]
+                rows = [(s, batch.column("chunk")[i].as_py(), batch.column("corpus")[i].as_py(), k, _planes(n[at[s] : at[s + 1]])) for s, k in zip(used, steps)]
+                columns = zip(*rows) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["share", "chunk", "corpus", "keys", "n"])
+
+    return cut.select("corpus", "chunk", "sizes", "words", "tokens").mapInArrow(run, "share int, chunk long, corpus int, keys binary, n binary")
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """One share: the counts of each key in both corpora, for each chunk that sent it."""
+    keys = [np.cumsum(_from_planes(k.as_py(), "<u8")) for k in table.column("keys")]
+    n = np.concatenate([_from_planes(k.as_py(), "<i8") for k in table.column("n")])
+    sizes, corpus = np.array([len(k) for k in keys]), np.array(table.column("corpus"))
+    keys, wanted = np.concatenate(keys), np.repeat(corpus == 1, sizes)
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    cuts, columns = np.cumsum(sizes)[:-1], []
+    for mine in (n * ~wanted, n * wanted):
+        total = np.empty(len(keys), np.int64)
+        total[order] = np.add.reduceat(mine[order], first)[group]
+        columns.append(pa.array([_planes(x) for x in np.split(total, cuts)], pa.binary()))
+    vocabulary = int((ordered[first] & _KIND == 0).sum())
+    distinct = pa.array([vocabulary] + [0] * (len(sizes) - 1), pa.int64())
+    return pa.Table.from_arrays([table.column("share"), table.column("chunk"), table.column("corpus"), *columns, distinct], ["share", "chunk", "corpus", "b", "t", "distinct"])
+
+
+def scored(docs: DataFrame, target: DataFrame, chunk: int = CHUNK, share: int = SHARE) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, difference) of every row."""
+    none = F.lit(None).cast("long").alias("doc_id")
+    cut = chunks(docs.select("doc_id", "text"), 0, chunk).unionByName(chunks(target.select(none, "text"), 1, chunk))
+    cut = staged(cut, "lm-chunks", "zstd")
+    totals = {r.corpus: r.n for r in cut.groupBy("corpus").agg(F.sum("n_tokens").alias("n")).collect()}
+    totals = {"b": totals.get(0, 0), "t": totals.get(1, 0)}
+    shares = max(1, -(-sum(totals.values()) // share))
+    answers = asked(cut, shares).groupBy("share").applyInArrow(_answer, "share int, chunk long, corpus int, b binary, t binary, distinct long")
+    answers = staged(answers, "lm-answers", "zstd")
+    size = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+
+    def score(own: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        for i in range(own.num_rows):
+            keys = _keys_of(own, i)
+            mine = found.sort_by("share")
+            counts = {m: np.concatenate([np.zeros(0, np.int64), *(_from_planes(x.as_py(), "<i8") for x in mine.column(m))]) for m in ("t", "b")}
+            loss = keys.losses(counts, totals, size)
+            empty = keys.sizes == 0
+            means = [pa.array(loss[m] / np.maximum(keys.sizes, 1), mask=empty) for m in ("t", "b")]
+            out.append(pa.Table.from_arrays([own.column("ids")[i].values, pa.array(keys.sizes), *means], ["doc_id", "n_tokens", "t", "b"]))
+        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("t", pa.float64()), ("b", pa.float64())]).empty_table()
+
+    own = cut.where("corpus = 0").select("chunk", "ids", "sizes", "words", "tokens")
+    found = answers.where("corpus = 0").select("chunk", "share", "t", "b")
+    out = own.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, t double, b double")
+    return out.select("doc_id", "n_tokens", F.round("t", 6).alias("target_loss"), F.round("b", 6).alias("background_loss"), F.round(F.col("t") - F.col("b"), 6).alias("difference"))

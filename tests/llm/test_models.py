@@ -62,52 +62,8 @@ def test_anchor_in_every_window():
             assert any(s <= p <= s + suffix_dedup.BEFORE for p in mine)
 
 
-def test_lm_against_plain_counts(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(None, None), (7, " ")], "doc_id long, text string"))
-    target = spark.read.parquet(f"{sf}/benchmark.parquet").select("text")
-    listed, classes = 200, 20
-    corpora = {"t": [r.text or "" for r in target.collect()], "b": [r.text or "" for r in docs.collect()]}
-    total = Counter(w for c in corpora.values() for t in c for w in lm_scoring.words(t))
-    order = sorted(total, key=lambda w: (-total[w], w))[:listed]
-    rank = {w: i for i, w in enumerate(order)}
-    pair, rest = defaultdict(Counter), defaultdict(Counter)
-    for name, texts in corpora.items():
-        for t in texts:
-            before = classes - 1
-            for w in lm_scoring.words(t):
-                k = rank.get(w, listed)
-                own = min(k, classes - 1)
-                pair[name][before, own] += 1
-                rest[name][k] += own == classes - 1
-                before = own
-
-    def loss(name, text):
-        p, out, before = pair[name], 0.0, classes - 1
-        n = sum(p.values())
-        for w in lm_scoring.words(text):
-            k = rank.get(w, listed)
-            own = min(k, classes - 1)
-            alone = (sum(p[v, own] for v in range(classes)) + lm_scoring.ADD) / (n + lm_scoring.ADD * classes)
-            seen = sum(p[before, v] for v in range(classes))
-            out -= math.log(lm_scoring.MIX * p[before, own] / seen + (1 - lm_scoring.MIX) * alone if seen else alone)
-            if own == classes - 1:
-                size = listed + 1 - own
-                out -= math.log((rest[name][k] + lm_scoring.ADD) / (sum(rest[name].values()) + lm_scoring.ADD * size))
-            before = own
-        return out / len(lm_scoring.words(text))
-
-    rows = lm_scoring.scored(docs, target, listed, classes).collect()
-    assert len(rows) == 202 and all(r.target_loss is None for r in rows if not r.n_tokens)
-    texts = {r.doc_id: r.text for r in docs.collect() if r.text and r.text.strip()}
-    for r in [r for r in rows if r.n_tokens][:25]:
-        assert abs(r.target_loss - loss("t", texts[r.doc_id])) < 1e-4 and abs(r.background_loss - loss("b", texts[r.doc_id])) < 1e-4
-        assert abs(r.difference - (r.target_loss - r.background_loss)) < 2e-6
-    assert lm_scoring.scored(docs.limit(0), target.limit(0), 10, 4).count() == 0
-
-
-@pytest.mark.parametrize("hot", [20_000, 30])
-def test_lm_keeps_every_word_and_bigram(spark, sf, hot, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HOT", hot)
+@pytest.mark.parametrize("chunk, share", [(lm_scoring.CHUNK, lm_scoring.SHARE), (500, 300)])
+def test_lm_keeps_every_word_and_bigram(spark, sf, chunk, share):
     made = [(None, None), (7, " "), (8, "zzq zzr zzq zzr"), (8, "zzq zzr zzq zzr"), (9, "zzs zzt, zzt")]
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
     target = spark.read.parquet(f"{sf}/benchmark.parquet").select("text")
@@ -121,7 +77,6 @@ def test_lm_keeps_every_word_and_bigram(spark, sf, hot, monkeypatch):
             word[name].update(w)
     size = len(word["t"] | word["b"])
     tokens = {name: sum(word[name].values()) for name in texts}
-    assert size > lm_scoring.CLASSES
 
     def loss(name, w):
         out = 0.0
@@ -131,7 +86,7 @@ def test_lm_keeps_every_word_and_bigram(spark, sf, hot, monkeypatch):
             out -= math.log(lm_scoring.MIX * pair[name][v, x] / seen + (1 - lm_scoring.MIX) * alone if seen else alone)
         return round(out / len(w), 5)
 
-    found = lm_scoring.scored_whole(docs, target).collect()
+    found = lm_scoring.scored(docs, target, chunk, share).collect()
     want = [(r.doc_id, lm_scoring.words(r.text or "")) for r in docs.collect()]
     close = lambda x: None if x is None else round(x, 5)
     key = lambda r: str(r[:2])
@@ -140,8 +95,8 @@ def test_lm_keeps_every_word_and_bigram(spark, sf, hot, monkeypatch):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a[:2] == b[:2] and all(x == y or abs(x - y) < 2e-5 for x, y in zip(a[2:], b[2:])), (a, b)
-    assert lm_scoring.scored_whole(docs.limit(0), target.limit(0)).count() == 0
-    assert lm_scoring.scored_whole(docs, target.limit(0)).count() == len(want)
+    assert lm_scoring.scored(docs.limit(0), target.limit(0)).count() == 0
+    assert lm_scoring.scored(docs, target.limit(0)).count() == len(want)
 
 
 def test_toxicity_held_out(spark):
