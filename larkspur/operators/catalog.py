@@ -92,6 +92,27 @@ def find(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return met.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_id", "collection", "path", "how")
 
 
+def find_all(docs: DataFrame, asked: DataFrame, most: int = 3, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(found, suggestions) for asked(query_id, name).
+
+    found: as ``find``, and beyond it by the first six or more digits of the content's
+    hash (5) and by the end of ``collection/path`` after a slash (6).  suggestions: paths
+    within ``most`` edits of names that nothing was found for.
+    """
+    want = asked.select("query_id", F.regexp_replace(F.regexp_replace("name", r":\d+$", ""), "^#", "").alias("want"))
+    hashes = want.where(F.col("want").rlike("^[0-9a-f]{7,64}$")).withColumn("lead", F.substring("want", 1, 6))
+    by_hash = hashes.join(docs.select("collection", "path", "hash", F.substring("hash", 1, 6).alias("lead")), "lead").where(F.startswith("hash", "want"))
+    parts = F.split(F.concat_ws("/", "collection", "path"), "/")
+    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    by_end = want.join(docs.select("collection", "path", F.explode(ends).alias("want")), "want")
+    direct = find(docs, asked.withColumn("name", F.regexp_replace("name", "^#", "")))
+    rows = direct.unionByName(by_hash.select("query_id", "collection", "path", F.lit(5).alias("how"))).unionByName(by_end.select("query_id", "collection", "path", F.lit(6).alias("how")))
+    order = Window.partitionBy("query_id").orderBy("how", "collection", "path")
+    found = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    lost = asked.join(found.select("query_id"), "query_id", "left_anti")
+    return found, similar(docs, lost.select("query_id", "name"), most, k)
+
+
 def glob_regex(pattern: str) -> str:
     """Regular expression of a glob: ``**`` spans folders, ``*`` and ``?`` don't."""
     out, i = "^", 0
@@ -127,7 +148,12 @@ def missing_contexts(docs: DataFrame, rules: DataFrame) -> DataFrame:
 
 def upserted(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """``current`` with the rows of ``incoming`` in place of those with their collection
-    and path; rows that come in are active."""
+    and path; rows that come in are active.  Of several for one path the largest
+    ``modified_at`` stays (if there is such a column), then the largest of all columns."""
+    rest = [c for c in incoming.columns if c not in ("collection", "path")]
+    order = ["modified_at", *(c for c in rest if c != "modified_at")] if "modified_at" in rest else rest
+    last = incoming.groupBy("collection", "path").agg(F.max(F.struct(*order)).alias("_last"))
+    incoming = last.select(*[c if c in ("collection", "path") else F.col(f"_last.{c}").alias(c) for c in incoming.columns])
     kept = current.join(incoming.select("collection", "path"), ["collection", "path"], "left_anti")
     return kept.unionByName(incoming.withColumn("active", F.lit(True)), allowMissingColumns=True)
 

@@ -12,11 +12,11 @@ K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"path": 1.5, "title": 4.0, "body": 1.0}
 
 
-def _weighed(weights: dict[str, float]):
+def _weighed(weights: dict[str, float], analyse=X.tokens):
     """All tokens of the fields as structs (term, w)."""
 
     def of(field: str, w: float):
-        return F.transform(X.tokens(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+        return F.transform(analyse(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
 
     return F.flatten(F.array(*[of(f, w) for f, w in weights.items()]))
 
@@ -30,25 +30,31 @@ def postings(docs: DataFrame, weights: dict[str, float] | None = None, key: str
 BROADCAST_TERMS = 1_000_000
 
 
-def scanned(docs: DataFrame, asked: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id") -> DataFrame:
+def scanned(docs: DataFrame, asked: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", analyse=X.tokens, prefixes: bool = False) -> DataFrame:
     """(key, dl, term, tf): one pass over the texts, staged.
 
     ``dl`` counts all tokens of all fields, unweighted.  Rows are the postings of the
     terms of ``asked(term)``, and one of a null term for every document, from which
-    the corpus figures come.
+    the corpus figures come.  With ``prefixes`` an asked term stands for all terms that
+    begin with it, which another pass over the texts finds.
     """
-    every = docs.select(key, _weighed(weights or FIELD_WEIGHTS).alias("_all"))
+    weights = weights or FIELD_WEIGHTS
+    every = docs.select(key, _weighed(weights, analyse).alias("_all"))
     document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w")))
     rows = every.select(key, F.size("_all").alias("dl"), F.explode(F.concat("_all", document)).alias("p")).select(key, "dl", "p.term", "p.w")
-    asked = asked.select("term").distinct()
+    asked = asked.select("term", F.col("term").alias("_asked")).distinct()
+    if prefixes:
+        begun = expand_prefixes(docs, asked.select(F.lit(0).alias("query_id"), F.col("term").alias("prefix")), tuple(weights), analyse)
+        asked = staged(begun.select("term", F.col("prefix").alias("_asked")), "prefix-terms")
     if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         asked = F.broadcast(asked)
-    rows = rows.join(asked.select("term", F.lit(True).alias("_asked")), "term", "left").where("_asked or term is null")
-    return staged(rows.groupBy(key, "dl", "term").agg(F.sum("w").alias("tf")), "postings")
+    rows = rows.join(asked, "term", "left").where("_asked is not null or term is null")
+    return staged(rows.groupBy(key, "dl", F.col("_asked").alias("term")).agg(F.sum("w").alias("tf")), "postings")
 
 
-def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", match_all: bool = False, barred: DataFrame | None = None) -> DataFrame:
-    """(query_id, key, score) for ``terms(query_id, term)``.
+def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", match_all: bool = False, barred: DataFrame | None = None, analyse=X.tokens, prefixes: bool = False) -> DataFrame:
+    """(query_id, key, score) for ``terms(query_id, term)``, which ``analyse`` has made of
+    the queries as it makes the tokens of the documents.
 
     The texts are read once; corpus figures are one aggregate row, joined to the terms
     of the queries alone.  ``match_all`` keeps documents that hold every term; those
@@ -57,7 +63,7 @@ def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] | None = N
     """
     terms = terms.select("query_id", "term").distinct()
     asked = terms.select("term") if barred is None else terms.select("term").unionByName(barred.select("term"))
-    found = scanned(docs, asked, weights, key)
+    found = scanned(docs, asked, weights, key, analyse, prefixes)
     hits = found.where("term is not null")
     frequency = hits.groupBy("term").agg(F.count("*").alias("n"))
     corpus = found.where("term is null").agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
@@ -74,12 +80,12 @@ def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] | None = N
     return out.select("query_id", key, F.round(F.col("raw") / (1 + F.col("raw")), 6).alias("score"))
 
 
-def expand_prefixes(docs: DataFrame, prefixes: DataFrame, fields=tuple(FIELD_WEIGHTS)) -> DataFrame:
+def expand_prefixes(docs: DataFrame, prefixes: DataFrame, fields=tuple(FIELD_WEIGHTS), analyse=X.tokens) -> DataFrame:
     """(query_id, prefix, term): vocabulary terms that begin with each prefix.
 
     Every term meets the prefixes by its own beginnings, as long as the asked ones.
     """
-    every = F.array_distinct(F.concat(*[X.tokens(F.col(f)) for f in fields]))
+    every = F.array_distinct(F.concat(*[analyse(F.col(f)) for f in fields]))
     vocabulary = docs.select(F.explode(every).alias("term")).distinct()
     longest = prefixes.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0)).alias("longest"))
     begins = vocabulary.join(F.broadcast(longest)).select("term", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("term"), F.col("longest"))))).alias("n"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import chunking, lexicons
+from larkspur.functions import chunking, lexicons, stems
 from larkspur.functions import text as X
 from larkspur.operators import catalog, composites, evaluation, fusion, knowledge, lexical, memory, vectors
 from larkspur.sources import formats
@@ -510,6 +510,14 @@ def find_document(corpus):
     return catalog.find(docs, docs.where("doc_id % 50 < 4").select(F.col("doc_id").alias("query_id"), name.alias("name")))
 
 
+@query("WITH a AS (SELECT doc_id AS query_id, CASE doc_id % 4 WHEN 0 THEN '#' || substr(sha256(body), 1, 9) WHEN 1 THEN path ELSE lang || 'x' || doc_id END AS name FROM (SELECT *, split_part(path, '/', 1) AS lang FROM corpus) WHERE doc_id % 4 < 2), k AS (SELECT collection, path, unnest([3, 5]) AS how, unnest([path, substr(sha256(body), 1, 9)]) AS want FROM corpus) SELECT query_id, collection, path, how FROM (SELECT query_id, collection, path, how, row_number() OVER (PARTITION BY query_id ORDER BY how, collection, path) AS n FROM a JOIN k ON want = ltrim(name, '#')) WHERE n = 1", "corpus")
+def find_by_hash(corpus):
+    """Documents by path, or by nine digits of their content's hash."""
+    docs = catalog.addressed(corpus)
+    name = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("#"), F.substring("hash", 1, 9))).otherwise(F.col("path"))
+    return catalog.find_all(docs, docs.where("doc_id % 4 < 2").select(F.col("doc_id").alias("query_id"), name.alias("name")))[0]
+
+
 @query("SELECT collection, path FROM corpus WHERE regexp_matches(path, '^(?:.*/)?[^/]*1[^/]\\.md$')", "corpus")
 def glob_match(corpus):
     return catalog.matching(corpus, "**/*1?.md").select("collection", "path")
@@ -821,6 +829,26 @@ def document_search(corpus, phrases):
     return lexical.top(lexical.bm25(_titled(corpus.where("active")), _whole(phrases)), 20)
 
 
+_PREFIX = _ACTIVE.replace("FROM tok GROUP BY 1, 2)", "FROM tok JOIN (SELECT DISTINCT term AS prefix FROM q) ON starts_with(term, prefix) GROUP BY 1, 2)").replace("SELECT doc_id, term, sum(w)", "SELECT doc_id, prefix AS term, sum(w)")
+
+
+@query(f"WITH q AS (SELECT DISTINCT query_id, unnest(list_slice({_TOKENS.format('text')}, 1, 5)) AS term FROM phrases), {_PREFIX} " + _TOP.format("SELECT query_id, doc_id, round(raw / (1 + raw), 6) AS score FROM raw", 20), "corpus", "phrases")
+def prefix_search(corpus, phrases):
+    """Active documents by terms that begin with one of a query's first five."""
+    return lexical.top(lexical.bm25(_titled(corpus.where("active")), _terms(phrases, 5), prefixes=True), 20)
+
+
+def _stemmed(text):
+    return stems.stemmed(X.tokens(text))
+
+
+@query(None, "corpus", "phrases")
+def stemmed_search(corpus, phrases):
+    """Active documents by the stems of the whole query, accents folded."""
+    terms = phrases.select("query_id", F.explode(_stemmed(F.col("text"))).alias("term"))
+    return lexical.top(lexical.bm25(_titled(corpus.where("active")), terms, analyse=_stemmed), 20)
+
+
 _VEC = f"SELECT query_id, id, similarity, rank FROM (SELECT query_id, id, similarity, {_RANK} FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS similarity FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND b.vec_id IN (SELECT doc_id FROM corpus WHERE active))) WHERE rank <= 20"
 
 
