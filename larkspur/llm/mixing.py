@@ -1,7 +1,8 @@
 """Mixing sources to target weights, by blocks of words.
 
 The words of each source are packed into blocks of fixed length, in an order fixed by
-a hash of the rows.  A source's quota of blocks follows its target.  Each output shard
+hashes of the rows' content, so that neither the files nor the partitions matter; equal
+rows are folded into one with a number of copies first.  A source's quota of blocks follows its target.  Each output shard
 draws its counts per source from a multinomial conditioned on the quotas that are
 left (a multivariate hypergeometric), by halving the range of shards again and again,
 so every shard finds its counts and first slots alone and the totals meet the quotas.
@@ -31,8 +32,10 @@ from larkspur.llm.shared import row_keys, staged, text_of
 #: Words of a block, slots of an output shard, passes over a source.
 BLOCK, SHARD, PASSES, SEED = 64, 1024, 3, 17
 MAX_SOURCES = 100_000
-#: Rows of one run of the packing order.
-RUN = 5000
+#: Rows of one run of the packing order, and runs that are summed as one.
+RUN, RUNS = 1000, 1000
+#: Totals from which a hypergeometric draw is made from binomial ones (numpy's limit).
+LARGE = 10**9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -75,22 +78,46 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _log_chance(k: int, n: int, p: float) -> float:
+    """Log of the binomial chance of ``k`` of ``n``, by deviances, which stay exact to
+    rounding for numbers of any size."""
+
+    def rest(x: float) -> float:  # log x! beyond Stirling's formula
+        return math.lgamma(x + 1) - (x + 0.5) * math.log(x) + x - 0.5 * math.log(2 * math.pi) if x < 16 else (1 / 12 - (1 / 360 - 1 / 1260 / x / x) / x / x) / x
+
+    def deviance(x: float, mean: float) -> float:
+        gap = (x - mean) / mean
+        return mean * (gap * gap / 2 - gap**3 / 6 + gap**4 / 12) if abs(gap) < 1e-4 else x * math.log(x / mean) + mean - x
+
+    if k in (0, n):
+        return n * (math.log1p(-p) if k == 0 else math.log(p))
+    near = deviance(k, n * p) + deviance(n - k, n * (1 - p))
+    return rest(n) - rest(k) - rest(n - k) - near + 0.5 * math.log(n / (2 * math.pi * k * (n - k)))
+
+
+def hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of ``take`` drawn from good and bad ones are good.
+
+    Beyond numpy's limit: a binomial draw of the fewer kind, accepted with the chance
+    that a binomial draw of the other kind makes up the rest, is such a draw exactly.
+    """
+    if good + bad < LARGE or take in (0, good + bad) or not good or not bad:
+        return int(rng.hypergeometric(good, bad, take)) if good + bad < LARGE else take if not bad else 0 if not good or not take else good
+    few, many, p = min(good, bad), max(good, bad), take / (good + bad)
+    best = _log_chance(min(many, int((many + 1) * p)), many, p)
+    while True:
+        x = int(rng.binomial(few, p))
+        if 0 <= take - x <= many and math.log(rng.random() or 1e-300) <= _log_chance(take - x, many, p) - best:
+            return x if good == few else take - x
+
+
 def _left_share(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """Multivariate hypergeometric draw.  Numpy's is limited to totals under 10**9;
-    above, the shares are proportional and only their fractions are drawn."""
-    total = int(counts.sum())
-    if total < 10**9:
-        return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    exact = counts * (take / total)
-    out = np.floor(exact).astype(np.int64)
-    lack = take - int(out.sum())
-    order = np.argsort(-(exact - out) + rng.random(len(out)) * 1e-3)
-    for k in order:
-        step = min(lack, int(counts[k] - out[k]), 1)
-        out[k] += step
-        lack -= step
-    if lack:
-        out += _left_share(counts - out, lack, rng) if (counts - out).sum() < 10**9 else 0
+    """Multivariate hypergeometric draw, one source after the other."""
+    out, rest = np.zeros(len(counts), np.int64), int(counts.sum())
+    for k, n in enumerate(counts.tolist()):
+        rest -= n
+        out[k] = hypergeometric(n, rest, take, rng)
+        take -= int(out[k])
     return out
 
 
@@ -149,52 +176,74 @@ def slots(spark, sizes: list[int], goals: list[float], seed: int = SEED, block:
     return spark.range(n_shards).mapInPandas(draw, schema)
 
 
+KEYS = ["__k1", "__k2"]
+
+
+def _run_starts(runs: DataFrame) -> DataFrame:
+    """(_source_no, _run, _base): words before each run, by sums of ``RUNS`` runs first,
+    so that no task has all runs of a source."""
+    runs = runs.withColumn("_many", F.expr(f"_run div {RUNS}"))
+    whole = Window.partitionBy("_source_no").orderBy("_many").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source_no", "_many").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = runs.groupBy("_source_no", "_many").agg(F.sum("_words").alias("_words"))
+    sums = sums.select("_source_no", "_many", F.coalesce(F.sum("_words").over(whole), F.lit(0)).alias("_far"))
+    near = runs.select("_source_no", "_many", "_run", F.coalesce(F.sum("_words").over(inside), F.lit(0)).alias("_near"))
+    return near.join(sums, ["_source_no", "_many"]).select("_source_no", "_run", (F.col("_far") + F.col("_near")).alias("_base"))
+
+
 def mix(docs: DataFrame, keep: list[str], seed: int = SEED, weights: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame]:
     """(rows, parts) of the mix of ``docs(text, source, *keep)``.
 
-    rows: the columns ``keep``, source, size, row, source_size, target.  parts: for
-    every block used of a row: row, pass, from_word, to_word (within the row's words).
+    rows: the row's keys, the columns ``keep``, _copies (equal rows), _size,
+    _source_size, _target.  parts: for every block used of a row: its keys, copy, pass,
+    from_word, to_word (within the row's words).
     """
     spark = docs.sparkSession
-    sized = docs.select(*keep, F.col("source").alias("_source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("_size"))
-    sized = staged(sized.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    sums = sized.groupBy("_source").agg(F.sum("_size"), F.count("*")).limit(MAX_SOURCES + 1).collect()
+    size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
+    sized = docs.select(*[x.alias(k) for k, x in row_keys(docs).items()], *keep, F.col("source").alias("_source"), size.alias("_size"))
+    sized = staged(sized.groupBy(*KEYS, *keep, "_source", "_size").agg(F.count("*").alias("_copies")), "mix-rows")
+    sums = sized.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_copies")), F.count("*")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: name the sources of a mix")
     sizes = {r[0]: r[1] for r in sums}
+    runs = {r[0]: -(-r[2] // RUN) for r in sums}
     goal = targets(sizes, weights)
     names = list(goal)
-    listed = spark.createDataFrame([(i, s, sizes[s], goal[s]) for i, s in enumerate(names)], "_source_no int, _name string, _source_size long, _target double")
+    listed = spark.createDataFrame([(i, s, sizes[s], goal[s], runs[s]) for i, s in enumerate(names)], "_source_no int, _name string, _source_size long, _target double, _runs long")
     rows = sized.join(F.broadcast(listed), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name", "_source")
-    runs = max(1, math.ceil(sum(r[2] for r in sums) / RUN))
-    rows = rows.withColumn("_run", F.pmod(F.xxhash64("_row"), F.lit(runs)).cast("int"))
-    before = Window.partitionBy("_source_no").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("_source_no", "_run").agg(F.sum("_size").alias("_words")).select("_source_no", "_run", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_source_no", "_run").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    packed = rows.where("_size > 0").select("_row", "_source_no", "_run", "_size", F.coalesce(F.sum("_size").over(inside), F.lit(0)).alias("_within"))
-    packed = packed.join(base, ["_source_no", "_run"]).select("_row", "_source_no", "_size", (F.col("_base") + F.col("_within")).alias("_start"))
-    covers = packed.withColumn("block", F.explode(F.sequence(F.expr(f"_start div {BLOCK}"), F.expr(f"(_start + _size - 1) div {BLOCK}"))))
+    rows = rows.withColumn("_run", F.pmod(F.xxhash64(*KEYS), F.col("_runs")))
+    words = F.col("_size") * F.col("_copies")
+    base = _run_starts(rows.groupBy("_source_no", "_run").agg(F.sum(words).alias("_words")))
+    inside = Window.partitionBy("_source_no", "_run").orderBy(*KEYS).rowsBetween(Window.unboundedPreceding, -1)
+    packed = rows.where("_size > 0").select(*KEYS, "_source_no", "_run", "_size", words.alias("_words"), F.coalesce(F.sum(words).over(inside), F.lit(0)).alias("_within"))
+    packed = packed.join(base, ["_source_no", "_run"]).select(*KEYS, "_source_no", "_size", "_words", (F.col("_base") + F.col("_within")).alias("_start"))
+    covers = packed.withColumn("block", F.explode(F.sequence(F.expr(f"_start div {BLOCK}"), F.expr(f"(_start + _words - 1) div {BLOCK}"))))
     used = slots(spark, [sizes[s] for s in names], [goal[s] for s in names], seed)
     # Spark can't see how many slots a range makes and would broadcast them: shuffle both sides
     parts = covers.join(used.hint("merge"), (F.col("_source_no") == F.col("source_no")) & (covers["block"] == used["block"])).select(
-        F.col("_row").alias("row"),
+        *KEYS,
         "pass",
-        F.greatest(covers["block"] * BLOCK - F.col("_start"), F.lit(0)).alias("from_word"),
-        F.least((covers["block"] + 1) * BLOCK - F.col("_start"), F.col("_size")).alias("to_word"),
+        "_size",
+        F.greatest(covers["block"] * BLOCK - F.col("_start"), F.lit(0)).alias("_from"),
+        F.least((covers["block"] + 1) * BLOCK - F.col("_start"), F.col("_words")).alias("_to"),
     )
+    parts = parts.withColumn("copy", F.explode(F.sequence(F.expr("_from div _size"), F.expr("(_to - 1) div _size"))))
+    first = F.col("copy") * F.col("_size")
+    parts = parts.select(*KEYS, "copy", "pass", F.greatest(F.col("_from") - first, F.lit(0)).alias("from_word"), F.least(F.col("_to") - first, F.col("_size")).alias("to_word"))
     return rows, parts
 
 
 def taken_words(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``."""
-    rows, parts = mix(docs, ["doc_id"], seed)
-    taken = parts.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    joined = rows.join(taken, F.col("_row") == F.col("row"), "left")
+    rows, parts = mix(docs.select("doc_id", "text", "source"), ["doc_id"], seed)
+    taken = parts.groupBy(*KEYS, "copy").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    joined = each.join(taken, [*KEYS, "copy"], "left")
     return joined.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix as rows with the columns of ``docs``: one for each row and pass that has
+    """The mix as rows with the columns of ``docs``: one for each row, copy and pass that has
     words in it, its text cut to those words (runs parted by a newline where words
     between them were not taken)."""
     import re
@@ -203,13 +252,11 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     word = re.compile(r"[^\x20\x09-\x0D]+")
     rest = [c for c in docs.columns if c != "text"]
-    keys = ["__k1", "__k2"]
+    _, parts = mix(docs, [], seed)
+    runs = parts.groupBy(*KEYS, "copy", "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("runs"))
+    runs = staged(runs.groupBy(*KEYS).agg(F.collect_list(F.struct("copy", "pass", "runs")).alias("passes")), "mix-runs")
     numbered = docs.withColumns(row_keys(docs))
-    rows, parts = mix(numbered, keys, seed)
-    runs = parts.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("runs"))
-    runs = runs.join(rows.select("_row", *keys), F.col("row") == F.col("_row")).groupBy(*keys).agg(F.collect_list(F.struct("pass", "runs")).alias("passes"))
-    runs = staged(runs, "mix-runs")  # equal rows share their keys and so their passes
-    full = numbered.join(runs, keys).dropDuplicates(keys).select(text_of().alias("text"), "passes", F.struct(*[F.col(f"`{c}`").alias(c) for c in rest]).alias("rest"))
+    full = numbered.join(runs, KEYS).dropDuplicates(KEYS).select(text_of().alias("text"), "passes", F.struct(*[F.col(f"`{c}`").alias(c) for c in rest]).alias("rest"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
