@@ -218,3 +218,13 @@ def in_collections(docs: DataFrame, named: list[str] | None, collections: DataFr
     if named:
         return docs.where(F.col("collection").isin(*named))
     return docs.join(collections.where("include_by_default").select("collection"), "collection", "left_semi").select(*docs.columns)
+
+
+def briefing(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(collection, docs, contexts): active documents of every collection, and its
+    contexts out of rules(collection, prefix, context), shortest prefix first."""
+    counts = docs.where("active").groupBy("collection").agg(F.count("*").alias("docs"))
+    line = F.struct(F.length("prefix").alias("n"), "prefix", "context")
+    told = rules.groupBy("collection").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
+    joined = counts.join(told, "collection", "left")
+    return joined.select("collection", "docs", F.array_join(F.transform("_lines", lambda x: x["context"]), "\n").alias("contexts"))

@@ -125,3 +125,12 @@ def dialog_recall(results: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
     found = found.withColumn("session", session).join(seen, ["query_id", "session"], "left")
     n = F.count("dialog")
     return found.groupBy("query_id").agg(F.round(F.when(n == 0, 1.0).otherwise(F.count(F.when(F.col("dialog").isNotNull(), F.col("hit"))) / n), 6).alias("dialogs"), F.when(n == 0, 1).otherwise(F.coalesce(F.max("seen"), F.lit(0))).alias("sessions"))
+
+
+def distinguishable(a: Column, na: Column, b: Column, nb: Column) -> Column:
+    """``yes`` if the 95 % intervals of two rates (hits a of na, b of nb) don't overlap,
+    ``marginal`` if their centres are further apart than half the wider one, else ``no``."""
+    x, y = wilson(a, na), wilson(b, nb)
+    apart = F.abs((x["low"] + x["high"]) / 2 - (y["low"] + y["high"]) / 2)
+    wider = F.greatest(x["high"] - x["low"], y["high"] - y["low"])
+    return F.when((x["high"] < y["low"]) | (y["high"] < x["low"]), "yes").when(apart > wider / 2, "marginal").otherwise("no")

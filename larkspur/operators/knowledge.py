@@ -73,3 +73,30 @@ def injected(hits: DataFrame, asked: DataFrame, facts: DataFrame, weak: float =
     order = Window.partitionBy("query_id").orderBy(F.desc("valid_from"), "id")
     added = met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
     return hits.select("query_id", F.lit("memory").alias("source"), "id", "score").unionByName(added.select("query_id", F.lit("fact").alias("source"), "id", "score"))
+
+
+def entities(facts: DataFrame) -> DataFrame:
+    """(subject), distinct."""
+    return facts.select("subject").distinct()
+
+
+def about(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id, predicate, object): open facts on the subjects of asked(query_id, name)."""
+    want = asked.select("query_id", entity_slug(F.col("name")).alias("subject"))
+    return want.join(facts.where("valid_until is null"), "subject").select("query_id", "id", "predicate", "object")
+
+
+def search_scoped(facts: DataFrame, asked: DataFrame, shared: str = "global", limit: int = 50) -> DataFrame:
+    """(query_id, id, rank): facts(scope, ...) for a table asked(query_id, subject, predicate,
+    part, scope, at) whose nulls don't narrow: those of the own scope and of ``shared``,
+    open at ``at``, whose object holds ``part`` in any case; newest first."""
+    want = asked.select("query_id", entity_slug(F.col("subject")).alias("_subject"), F.lower("predicate").alias("_predicate"), F.lower("part").alias("_part"), F.col("scope").alias("_scope"), F.col("at").alias("_at"))
+    want = want.withColumn("scope", F.explode(F.array_distinct(F.array("_scope", F.lit(shared).cast(asked.schema["scope"].dataType)))))
+    rows = facts.join(want, "scope").where(
+        (F.col("_subject").isNull() | (F.col("subject") == F.col("_subject")))
+        & (F.col("_predicate").isNull() | (F.col("predicate") == F.col("_predicate")))
+        & (F.col("_part").isNull() | F.contains(F.lower("object"), F.col("_part")))
+        & (F.col("_at").isNull() | ((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("_at"))) & (F.col("valid_until").isNull() | (F.col("_at") < F.col("valid_until")))))
+    )
+    order = Window.partitionBy("query_id").orderBy(F.desc("valid_from"), "id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "id", "rank")

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import chunking
 from larkspur.functions import text as X
+from larkspur.operators import vectors
 from larkspur.sources.staged import staged
 
 DAY = 86_400_000.0
@@ -201,3 +203,78 @@ def cleaned(memories: DataFrame, now_ms: int, least: int = 1000) -> tuple[DataFr
     left = moved.join(before).join(gone, "id", "left").where((F.col("before") < least) | F.col("_gone").isNull()).select(*moved.columns)
     report = decay_report(memories, now_ms).select(F.col("processed").alias("before"), "promoted", "demoted").join(left.agg(F.count("*").alias("after")))
     return left, report
+
+
+def forgotten_logged(memories: DataFrame, ids: DataFrame, history: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(memories left, history with DELETE rows)."""
+    gone = memories.join(ids.select("id").distinct(), "id", "left_semi")
+    log = gone.select(F.col("id").alias("memory_id"), F.lit("DELETE").alias("action"), F.col("text").alias("old_value"), F.lit(None).cast("string").alias("new_value"), F.lit(now_ms).cast("long").alias("timestamp"))
+    return forgotten(memories, ids), history.unionByName(log)
+
+
+def store_near(memories: DataFrame, incoming: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(new rows, duplicates(id, stored_id, similarity)): incoming(id, embedding, ...) whose
+    nearest stored vector is at or over ``threshold`` are duplicates of it."""
+    near = vectors.duplicate_probe(incoming.select(F.col("id").alias("query_id"), "embedding"), memories.select("id", "embedding"), threshold)
+    near = near.select(F.col("query_id").alias("id"), F.col("id").alias("stored_id"), "similarity")
+    return incoming.join(near.select("id"), "id", "left_anti"), near
+
+
+def store_chunks(memories: DataFrame, incoming: DataFrame, size: int = 1536) -> tuple[DataFrame, DataFrame]:
+    """(rows to store, status) of a batch incoming(id, text), long texts in chunks.
+
+    Rows (id, chunk_seq, chunk_pos, text, content_hash) are those whose hash no stored
+    memory has; equal chunks of one batch are all kept.  A text is ``created`` if any of
+    its chunks is new and ``duplicate`` if none is.
+    """
+    long = F.length("text") > size
+    whole = incoming.where(~long).select("id", F.lit(0).alias("chunk_seq"), F.lit(0).alias("chunk_pos"), "text")
+    cut = chunking.chunked(incoming.where(long).select("id", F.col("text").alias("body")), "id", size)
+    rows = whole.unionByName(cut.select("id", F.col("seq").alias("chunk_seq"), F.col("pos").alias("chunk_pos"), F.col("chunk").alias("text")))
+    known = memories.select("content_hash").distinct().withColumn("_known", F.lit(True))
+    rows = rows.withColumn("content_hash", content_hash(F.col("text"))).join(known, "content_hash", "left")
+    status = rows.groupBy("id").agg(F.when(F.count("_known") < F.count("*"), "created").otherwise("duplicate").alias("status"))
+    return rows.where("_known is null").select("id", "chunk_seq", "chunk_pos", "text", "content_hash"), status
+
+
+def exported(memories: DataFrame) -> DataFrame:
+    """(line): one JSON object a memory, of its portable columns."""
+    metadata = F.col("metadata") if "metadata" in memories.columns else F.lit(None).cast("string").alias("metadata")
+    return memories.select(F.to_json(F.struct("text", "category", "scope", "importance", "created_at", metadata)).alias("line"))
+
+
+def imported(lines: DataFrame) -> DataFrame:
+    """Memories out of exported(line); lines that are no such object are left out."""
+    read = F.from_json("line", "text string, category string, scope string, importance double, created_at long, metadata string")
+    return lines.select(read.alias("m")).where("m.text is not null").select("m.*", content_hash(F.col("m.text")).alias("content_hash"))
+
+
+# Fixed patterns and the predicates they stand for.
+TRIPLE_PATTERNS = (
+    (r"(?i)\b(?:went to|attended|visited)\s+(?:a\s+)?(.+?)(?:\.|!|$)", "attended"),
+    (r"(?i)\bsigned up for\s+(?:a\s+)?(.+?)(?:\.|!|$)", "signed_up_for"),
+    (r"(?i)\bjoined\s+(?:a\s+)?(.+?)(?:\.|!|$)", "joined"),
+    (r"(?i)\b(?:going to|plan(?:ning)? to (?:go to|attend))\s+(?:a\s+)?(.+?)(?:\.|!|$)", "plans_to_attend"),
+    (r"(?i)\bresearch(?:ed|ing)\s+(.+?)(?:\.|!|$)", "researched"),
+    (r"(?i)\bmoved (?:from|to)\s+(.+?)(?:\.|!|$)", "moved"),
+    (r"(?i)\bpainted\s+(?:a\s+|that\s+)?(.+?)(?:\.|!|$)", "painted"),
+    (r"(?i)\b(?:love|like|enjoy)s?\s+(.+?)(?:\.|!|$)", "enjoys"),
+    (r"(?i)\bfrom\s+(?:my\s+)?(?:home\s+country\s+)?([A-Z]\w+)\b.*?(?:grandma|family|heritage|roots|necklace)", "origin_country"),
+    (r"(?i)\b(single|divorced|married|widowed)\s+(?:parent|mother|father|mom|dad)\b", "relationship_status"),
+    (r"(?i)\b(?:stoked for|excited about|loved)\s+the\s+(.+?)(?:\.|!|$)", "kids_enjoyed"),
+    (r"(?i)\bI(?:'m| am)\s+(?:a |an )?(\w[\w\s]{2,30}?)(?:\.|!|,|$)", "identity"),
+    (r"(?i)\b(?:my )?(?:kids?|children)\s+(?:like|love|enjoy|are (?:into|stoked for))\s+(.+?)(?:\.|!|$)", "kids_like"),
+    (r"(?s)(.{0,40}?\d+\s+years?.{0,20})", "duration_mentioned"),
+)
+
+
+def rule_triples(texts: DataFrame) -> DataFrame:
+    """(id, subject, predicate, object, valid_from) out of texts(id, text) of the form
+    ``[time on date] Speaker: what was said``: what fixed patterns find, first match each."""
+    speaker = F.regexp_extract("text", r"\]\s*(\w+):\s*", 1)
+    said = F.trim(F.regexp_replace("text", r"^(.*?)\[[^\]]*\]\s*\w+:\s*", "$1"))
+    stamp = F.regexp_replace(F.regexp_extract("text", r"\[([^\]]+)\]", 1), r"(?i)\s+on\s+", " ")
+    at = F.unix_millis(F.try_to_timestamp(F.upper(stamp), F.lit("h:mm a d MMMM, yyyy")))
+    found = [F.struct(F.lit(name).alias("predicate"), F.trim(F.left(F.regexp_extract(said, pattern, 1), F.lit(100))).alias("object")) for pattern, name in TRIPLE_PATTERNS]
+    rows = texts.where(speaker != "").select("id", speaker.alias("subject"), F.explode(F.array(*found)).alias("t"), at.alias("valid_from"))
+    return rows.where("t.object <> ''").select("id", "subject", "t.predicate", "t.object", "valid_from")

@@ -110,3 +110,11 @@ def nearest_shared(queries: DataFrame, vectors: DataFrame, k: int, shared) -> Da
     common = nearest(queries.withColumn("scope", F.lit(shared).cast(vectors.schema["scope"].dataType)), vectors, k, scoped=True)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return own.unionByName(common).withColumn("rank", F.row_number().over(order))
+
+
+def replaced(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """``stored(id, embedding)`` with the rows of ``new`` in place of those with their ids;
+    stored vectors of another length than the new ones (another model's) go."""
+    lengths = new.select(F.size("embedding").alias("_n")).distinct()
+    kept = stored.join(new.select("id"), "id", "left_anti").withColumn("_n", F.size("embedding")).join(F.broadcast(lengths), "_n", "left_semi")
+    return kept.drop("_n").unionByName(new.select(*stored.columns))

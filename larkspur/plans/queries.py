@@ -988,6 +988,98 @@ def default_collections(corpus):
     return catalog.in_collections(catalog.purged(corpus), None, listed).groupBy("collection").agg(F.count("*").alias("docs"))
 
 
+# Further memory, knowledge and catalogue operators -----------------------------------
+
+
+@query("WITH g AS (SELECT id FROM memories WHERE category = 'other' AND tier = 'peripheral') SELECT id AS memory_id, 'DELETE' AS action, sha256(text) AS hash FROM memories JOIN g USING (id)", "memories")
+def memory_forget_log(memories):
+    """History rows of forgotten memories."""
+    history = memories.where(F.lit(False)).select(F.col("id").alias("memory_id"), F.lit("").alias("action"), F.col("text").alias("old_value"), F.col("text").alias("new_value"), F.lit(NOW).cast("long").alias("timestamp"))
+    log = memory.forgotten_logged(memories, memories.where("category = 'other' and tier = 'peripheral'"), history, NOW)[1]
+    return log.select("memory_id", "action", F.sha2("old_value", 256).alias("hash"))
+
+
+@query(f"WITH k AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0), n AS (SELECT * FROM (SELECT *, {_RANK} FROM k WHERE similarity >= 0.3) WHERE rank = 1) SELECT vec_id AS id, n.id AS stored_id, similarity FROM embeddings LEFT JOIN n ON vec_id = query_id WHERE vec_id % 100 = 0", "embeddings")
+def memory_store_near(embeddings):
+    """New vectors, and those that are near duplicates of stored ones."""
+    rows = embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    new, near = memory.store_near(rows.where("id % 100 <> 0"), rows.where("id % 100 = 0"), 0.3)
+    return new.select("id", F.lit(None).cast("long").alias("stored_id"), F.lit(None).cast("double").alias("similarity")).unionByName(near)
+
+
+@query("WITH c AS (SELECT id, text, length(text) <= 120 AS short, md5(lower(trim(text))) AS h FROM memories WHERE id % 3 <> 0), k AS (SELECT DISTINCT md5(lower(trim(text))) AS h FROM memories WHERE id % 3 = 0) SELECT id, CASE WHEN c.h IN (SELECT h FROM k) THEN 'duplicate' ELSE 'created' END AS status FROM c WHERE short", "memories")
+def memory_store_batch(memories):
+    """A batch in chunks of 120 characters: what becomes of the texts of one chunk."""
+    hashed = memories.where("id % 3 = 0").withColumn("content_hash", memory.content_hash(F.col("text")))
+    incoming = memories.where("id % 3 <> 0").select("id", "text")
+    status = memory.store_chunks(hashed, incoming, 120)[1]
+    return status.join(incoming.where(F.length("text") <= 120).select("id"), "id")
+
+
+@query("SELECT text, category, scope::VARCHAR AS scope, round(importance, 6)::DOUBLE AS importance, created_at, md5(lower(trim(text))) AS content_hash FROM memories", "memories")
+def memory_transfer(memories):
+    """Memories written as JSON lines and read back."""
+    return memory.imported(memory.exported(memories)).select("text", "category", "scope", *_r("importance"), "created_at", "content_hash")
+
+
+_SPOKEN = "SELECT c_custkey AS id, '[1:' || (10 + c_custkey % 50) || CASE c_custkey % 2 WHEN 0 THEN ' pm' ELSE ' am' END || ' on 8 May, 2023] ' || CASE c_custkey % 7 WHEN 6 THEN '' ELSE 'Alice: ' END || CASE c_custkey % 5 WHEN 0 THEN 'I joined a ' || lower(c_mktsegment) || ' group! We moved to Oslo.' WHEN 1 THEN 'I''m a ' || lower(c_mktsegment) || ' buyer, and my kids love ' || c_name || '.' WHEN 2 THEN 'We visited ' || c_name || ' ' || c_custkey % 9 || ' years ago' WHEN 3 THEN 'As a single parent I signed up for a class. I am planning to attend the fair' ELSE 'Nothing to see' END AS text FROM customer"
+
+
+@query(f"WITH s AS ({_SPOKEN}), c AS (SELECT id, regexp_extract(text, '\]\s*(\w+):\s*', 1) AS subject, trim(regexp_replace(text, '\[[^\]]*\]\s*\w+:\s*', '')) AS said, epoch_ms(strptime(upper(replace(regexp_extract(text, '\[([^\]]+)\]', 1), ' on ', ' ')), '%I:%M %p %d %B, %Y')) AS valid_from FROM s), t AS (" + " UNION ALL ".join("SELECT id, subject, '{1}' AS predicate, trim(substr(regexp_extract(said, '{0}', 1), 1, 100)) AS object, valid_from FROM c".format(p.replace("'", "''"), name) for p, name in memory.TRIPLE_PATTERNS) + ") SELECT * FROM t WHERE subject <> '' AND object <> ''", "customer")
+def rule_triples(customer):
+    """Triples out of dialogue lines made of customers."""
+    when = F.concat(F.lit("[1:"), (10 + F.col("c_custkey") % 50).cast("string"), F.when(F.col("c_custkey") % 2 == 0, " pm").otherwise(" am"), F.lit(" on 8 May, 2023] "))
+    kind, low = F.col("c_custkey") % 5, F.lower("c_mktsegment")
+    said = F.when(kind == 0, F.concat(F.lit("I joined a "), low, F.lit(" group! We moved to Oslo.")))
+    said = said.when(kind == 1, F.concat(F.lit("I'm a "), low, F.lit(" buyer, and my kids love "), "c_name", F.lit(".")))
+    said = said.when(kind == 2, F.concat(F.lit("We visited "), "c_name", F.lit(" "), (F.col("c_custkey") % 9).cast("string"), F.lit(" years ago")))
+    said = said.when(kind == 3, "As a single parent I signed up for a class. I am planning to attend the fair").otherwise("Nothing to see")
+    texts = customer.select(F.col("c_custkey").alias("id"), F.concat(when, F.when(F.col("c_custkey") % 7 == 6, "").otherwise("Alice: "), said).alias("text"))
+    return memory.rule_triples(texts)
+
+
+@query(f"WITH {_SCD} SELECT c_custkey AS query_id, id, kg.predicate, object FROM (SELECT c_custkey, regexp_replace(trim(lower(c_name)), '[^a-z0-9]+', '_', 'g') AS subject FROM customer WHERE c_custkey % 4 = 0) JOIN kg USING (subject) WHERE valid_until IS NULL", "facts", "customer")
+def kg_about(facts, customer):
+    """Open facts on every fourth customer."""
+    asked = customer.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("query_id"), F.col("c_name").alias("name"))
+    return knowledge.about(knowledge.build(facts), asked)
+
+
+@query(f"WITH {_SCD}, s AS (SELECT *, CASE id % 4 WHEN 0 THEN 'global' ELSE 's' || id % 4 END AS scope FROM kg), a AS (SELECT r_regionkey::BIGINT AS query_id, CASE r_regionkey % 2 WHEN 0 THEN 's1' ELSE 'global' END AS own, CASE WHEN r_regionkey <> 3 THEN 'ur' END AS part, CASE WHEN r_regionkey > 1 THEN TIMESTAMP '1996-01-01' END AS probe FROM region) SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY valid_from DESC, id) AS rank FROM a JOIN s ON s.scope = own OR s.scope = 'global' WHERE (part IS NULL OR contains(lower(object), part)) AND (probe IS NULL OR ((valid_from IS NULL OR valid_from <= probe) AND (valid_until IS NULL OR probe < valid_until)))) WHERE rank <= 50", "facts", "region")
+def kg_scoped(facts, region):
+    """Facts of a scope and the shared one, as of a time, by a part of the object."""
+    kg = knowledge.build(facts).withColumn("scope", F.when(F.col("id") % 4 == 0, "global").otherwise(F.concat(F.lit("s"), (F.col("id") % 4).cast("string"))))
+    at = F.when(F.col("r_regionkey") > 1, F.lit("1996-01-01 00:00:00")).cast(facts.schema["valid_from"].dataType)
+    asked = region.select(F.col("r_regionkey").cast("long").alias("query_id"), F.lit(None).cast("string").alias("subject"), F.lit("PRIORITY").alias("predicate"), F.when(F.col("r_regionkey") != 3, "Ur").alias("part"), F.when(F.col("r_regionkey") % 2 == 0, "s1").otherwise("global").alias("scope"), at.alias("at"))
+    return knowledge.search_scoped(kg, asked)
+
+
+@query("WITH c AS (SELECT source, sum(quality)::DOUBLE AS k, count(*)::DOUBLE AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1), w AS (SELECT source, greatest(0, (k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)) AS lo, least(1, (k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)) AS hi FROM c) SELECT a.source AS first, b.source AS second, CASE WHEN a.hi < b.lo OR b.hi < a.lo THEN 'yes' WHEN abs((a.lo + a.hi) / 2 - (b.lo + b.hi) / 2) > greatest(a.hi - a.lo, b.hi - b.lo) / 2 THEN 'marginal' ELSE 'no' END AS apart FROM w a JOIN w b ON a.source < b.source", "labels", "documents")
+def wilson_compare(labels, documents):
+    """Which sources differ in quality: each pair of them, out of a table of sources."""
+    sums = labels.join(documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("quality").cast("double").alias("k"), F.count("*").cast("double").alias("n"))
+    other = sums.select(F.col("source").alias("second"), F.col("k").alias("k2"), F.col("n").alias("n2"))
+    pairs = sums.join(other, F.col("source") < F.col("second"))
+    return pairs.select(F.col("source").alias("first"), "second", evaluation.distinguishable(F.col("k"), F.col("n"), F.col("k2"), F.col("n2")).alias("apart"))
+
+
+@query(f"WITH r AS ({_RULES}) SELECT collection, docs, contexts FROM (SELECT collection, count(*) AS docs FROM corpus WHERE active GROUP BY 1) LEFT JOIN (SELECT collection, string_agg(context, chr(10) ORDER BY length(prefix), prefix) AS contexts FROM r GROUP BY 1) USING (collection)", "corpus")
+def briefing(corpus):
+    """Collections with their counts and contexts."""
+    all_of = corpus.select("collection", F.lit("").alias("prefix"), F.concat(F.lit("all of "), "collection").alias("context")).distinct()
+    inside = corpus.where("substr(path, 1, 2) <> 'de'").select("collection", F.substring("path", 1, 3).alias("prefix"), F.concat(F.lit("in "), F.substring("path", 1, 2)).alias("context")).distinct()
+    return catalog.briefing(corpus, all_of.unionByName(inside))
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE AS first FROM embeddings WHERE vec_id % 7 <> 3 OR vec_id % 10 = 0", "embeddings")
+def vector_upsert(embeddings):
+    """A tenth of the vectors replaced; stored ones of another length go."""
+    rows = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    stored = rows.withColumn("embedding", F.when(F.col("id") % 7 == 3, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")))
+    new = rows.where("id % 10 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    return vectors.replaced(stored, new).select("id", F.get("embedding", F.lit(0)).alias("first"))
+
+
 # Streams, over a whole table at once -------------------------------------------------
 
 
