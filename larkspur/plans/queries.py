@@ -1080,6 +1080,21 @@ def vector_upsert(embeddings):
     return vectors.replaced(stored, new).select("id", F.get("embedding", F.lit(0)).alias("first"))
 
 
+@query("WITH k AS (SELECT conv_id, turn, role, text FROM conversations WHERE length(text) >= CASE WHEN conv_id % 4 = 0 THEN 11 ELSE 10 END) SELECT conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role, trim(text) AS text FROM k", "conversations")
+def conversation_import(conversations):
+    """Conversations written in four export formats and read back."""
+    order = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    convs = conversations.select("conv_id", "turn", "role", F.trim("text").alias("text")).groupBy("conv_id").agg(order.alias("m"))
+    tree = F.map_from_entries(F.transform("m", lambda m: F.struct(F.concat(F.lit("n"), m["turn"].cast("string")), F.struct(F.struct(F.struct(m["role"].alias("role")).alias("author"), F.struct(F.array(m["text"]).alias("parts")).alias("content")).alias("message")))))
+    chat = F.transform("m", lambda m: F.struct(m["role"].alias("sender"), m["text"].alias("text")))
+    plain = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    lines = F.array_join(F.transform(plain, lambda m: F.to_json(m)), "\n")
+    kind = F.col("conv_id") % 4
+    raw = F.when(kind == 0, F.to_json(F.struct(tree.alias("mapping")))).when(kind == 1, F.to_json(F.struct(chat.alias("chat_messages"))))
+    raw = raw.when((kind == 2) | (F.size("m") < 2), F.to_json(plain)).otherwise(lines)
+    return formats.conversations(convs.select(F.col("conv_id").alias("file"), raw.alias("raw")))
+
+
 # Streams, over a whole table at once -------------------------------------------------
 
 

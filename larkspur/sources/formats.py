@@ -35,21 +35,50 @@ def xml_lines(results: DataFrame) -> DataFrame:
     return results.withColumn("line", F.concat(F.lit("<file"), attribute("docid", F.concat(F.lit("#"), "docid")), attribute("name", F.col("path")), attribute("title", F.col("title")), context, F.lit("/>")))
 
 
-_MESSAGES = "array<struct<role:string,sender:string,content:string,text:string>>"
+_MESSAGE = "struct<role:string,sender:string,content:string,text:string,message:string>"
+_CHAT = f"struct<chat_messages:array<{_MESSAGE}>>"
+_TREE = "struct<mapping:map<string,struct<message:struct<author:struct<role:string>,content:struct<parts:array<string>>>>>>"
 
 
 def conversations(files: DataFrame) -> DataFrame:
-    """(file, turn, role, text) of files(file, raw): message arrays, objects with
-    ``chat_messages``, lines of JSON, or plain text in paragraphs of 20 characters.
-    The role is ``user`` unless given; JSON texts need 10 characters."""
+    """(file, turn, role, text) of conversation exports files(file, raw).
+
+    Lists or single objects with a ``mapping`` tree of messages, or with
+    ``chat_messages``; lists of messages with role and content; lines of JSON; plain text
+    in paragraphs of 20 characters.  The role is ``assistant`` or else ``user``; texts
+    of JSON need 10 characters, those of trees one more.
+    """
     raw = F.trim("raw")
-    kind = F.when(raw.startswith("["), "array").when(raw.startswith("{") & F.contains(raw, F.lit('"chat_messages"')), "chat").when(raw.startswith("{"), "lines").otherwise("plain")
+    has = lambda path: F.get_json_object(raw, path).isNotNull()
+    rows = F.split(raw, "\n", 2)  # a first line that is JSON by itself, and more: lines of JSON
+    json = F.try_parse_json(raw).isNotNull() & ~((F.size(rows) > 1) & F.try_parse_json(rows[0]).isNotNull())
+    kind = (
+        F.when(json & raw.startswith("[") & has("$[0].mapping"), "trees")
+        .when(json & raw.startswith("[") & has("$[0].uuid"), "chats")
+        .when(json & raw.startswith("[") & has("$[0].role") & has("$[0].content"), "messages")
+        .when(json & raw.startswith("{") & has("$.mapping"), "tree")
+        .when(json & raw.startswith("{") & has("$.chat_messages"), "chat")
+        .when(~json & raw.startswith("{"), "lines")
+        .otherwise("plain")
+    )
     df = files.select("file", raw.alias("raw"), kind.alias("kind"))
-    listed = F.when(F.col("kind") == "array", F.from_json("raw", _MESSAGES)).when(F.col("kind") == "chat", F.from_json("raw", f"struct<chat_messages:{_MESSAGES}>")["chat_messages"])
-    listed = listed.when(F.col("kind") == "lines", F.transform(F.split("raw", "\n"), lambda x: F.from_json(x, _MESSAGES[6:-1])))
-    paragraphs = F.transform(F.filter(F.split("raw", r"\n\s*\n"), lambda x: F.length(F.trim(x)) >= 20), lambda x: F.struct(F.lit("user").alias("role"), F.trim(x).alias("text")))
-    turns = F.when(F.col("kind") == "plain", paragraphs).otherwise(F.transform(F.filter(listed, lambda m: F.length(F.coalesce(m["content"], m["text"])) >= 10), lambda m: F.struct(F.coalesce(m["role"], m["sender"], F.lit("user")).alias("role"), F.coalesce(m["content"], m["text"]).alias("text"))))
-    return df.select("file", F.posexplode(turns).alias("turn", "m")).select("file", "turn", "m.role", "m.text")
+
+    def turns(messages: Column, role, text, least: int) -> Column:
+        made = F.transform(messages, lambda m: F.struct(F.when(role(m) == "assistant", "assistant").otherwise("user").alias("role"), text(m).alias("text")))
+        return F.filter(made, lambda t: F.length(t["text"]) >= least)
+
+    trees = F.when(F.col("kind") == "tree", F.array(F.from_json("raw", _TREE))).otherwise(F.from_json("raw", f"array<{_TREE}>"))
+    nodes = F.flatten(F.transform(F.filter(trees, lambda t: t["mapping"].isNotNull()), lambda t: F.map_values(t["mapping"])))
+    tree = turns(nodes, lambda m: m["message"]["author"]["role"], lambda m: F.trim(F.array_join(m["message"]["content"]["parts"], "\n")), 11)
+    chats = F.when(F.col("kind") == "chat", F.array(F.from_json("raw", _CHAT))).otherwise(F.from_json("raw", f"array<{_CHAT}>"))
+    sent = F.flatten(F.transform(F.filter(chats, lambda c: c["chat_messages"].isNotNull()), lambda c: c["chat_messages"]))
+    chat = turns(sent, lambda m: m["sender"], lambda m: m["text"], 10)
+    messages = turns(F.from_json("raw", f"array<{_MESSAGE}>"), lambda m: m["role"], lambda m: m["content"], 10)
+    said = lambda m: F.coalesce(F.nullif(m["content"], F.lit("")), F.nullif(m["text"], F.lit("")), m["message"])
+    lines = turns(F.transform(F.filter(F.split("raw", "\n"), lambda x: F.trim(x).startswith("{")), lambda x: F.from_json(x, _MESSAGE)), lambda m: m["role"], said, 10)
+    paragraphs = F.filter(F.transform(F.split("raw", r"\n{2,}"), lambda x: F.struct(F.lit("user").alias("role"), F.trim(x).alias("text"))), lambda t: F.length(t["text"]) >= 20)
+    found = F.when(F.col("kind").isin("trees", "tree"), tree).when(F.col("kind").isin("chats", "chat"), chat).when(F.col("kind") == "messages", messages).when(F.col("kind") == "lines", lines).otherwise(paragraphs)
+    return df.select("file", F.posexplode(found).alias("turn", "m")).select("file", "turn", "m.role", "m.text")
 
 
 def markdown_lines(results: DataFrame) -> DataFrame:
