@@ -142,8 +142,7 @@ def path_name(path: Column) -> Column:
     clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}$]+", "-"), "^-+|-+$", "")
     last = F.element_at(parts, -1)
     ext = F.regexp_extract(last, r"(\.[a-z0-9]+)$", 1)
-    stem = F.when(ext != "", F.expr("1")).otherwise(F.lit(0))
-    name = F.when(stem == 1, F.concat(clean(F.left(last, F.length(last) - F.length(ext))), ext)).otherwise(clean(last))
+    name = F.when(ext != "", F.concat(clean(F.left(last, F.length(last) - F.length(ext))), ext)).otherwise(clean(last))
     head = F.filter(F.transform(F.slice(parts, 1, F.size(parts) - 1), clean), lambda x: x != "")
     return F.when(path.rlike(r"[\p{L}\p{N}]"), F.array_join(F.concat(head, F.array(name)), "/"))
 

@@ -1095,6 +1095,30 @@ def conversation_import(conversations):
     return formats.conversations(convs.select(F.col("conv_id").alias("file"), raw.alias("raw")))
 
 
+_BRIDGED = "[" + ", ".join("regexp_extract(text, '{0}', 1)".format(p.replace("'", "''")) for p in lexicons.BRIDGE_PATTERNS) + "]"
+
+
+@query(f"SELECT id, list_transform(list_filter(list_transform({_BRIDGED}, lambda x: regexp_replace(trim(x), '[.,;!?]+$', '')), lambda x: length(x) >= 5), lambda x: 'User mentioned: ' || x) AS bridges FROM said", "said")
+def bridge_texts(said):
+    """Sentences that stand for preferences in search."""
+    return said.select("id", X.bridges(F.col("text")).alias("bridges"))
+
+
+@query(r"WITH n AS (SELECT p_partkey AS id, lower(replace('Parts___' || p_brand || '/-' || p_name || CASE p_partkey % 3 WHEN 0 THEN '.md' WHEN 1 THEN ' (x).TXT' ELSE '' END, '___', '/')) AS low FROM part), s AS (SELECT id, string_split(low, '/') AS parts, regexp_extract(low, '(\.[a-z0-9]+)$', 1) AS ext FROM n), c AS (SELECT id, list_transform(parts[:-2], lambda x: regexp_replace(regexp_replace(x, '[^\p{L}\p{N}$]+', '-', 'g'), '^-+|-+$', '', 'g')) AS head, regexp_replace(regexp_replace(left(parts[-1], length(parts[-1]) - length(ext)), '[^\p{L}\p{N}$]+', '-', 'g'), '^-+|-+$', '', 'g') || ext AS name FROM s) SELECT id, array_to_string(list_append(list_filter(head, lambda x: x <> ''), name), '/') AS path FROM c", "part")
+def normal_paths(part):
+    """Paths made of part names, normalised."""
+    end = F.when(F.col("p_partkey") % 3 == 0, ".md").when(F.col("p_partkey") % 3 == 1, " (x).TXT").otherwise("")
+    path = F.concat(F.lit("Parts___"), "p_brand", F.lit("/-"), "p_name", end)
+    return part.select(F.col("p_partkey").alias("id"), X.path_name(path).alias("path"))
+
+
+@query(f"SELECT id AS memory_id, 'EVICT' AS action, {NOW} AS timestamp FROM ({ORACLE_SQL['eviction_candidates']})", "memories")
+def memory_evict_log(memories):
+    """History rows of evicted memories."""
+    history = memories.where(F.lit(False)).select(F.col("id").alias("memory_id"), F.lit("").alias("action"), F.col("text").alias("old_value"), F.col("text").alias("new_value"), F.lit(NOW).cast("long").alias("timestamp"))
+    return memory.evict(memories, history, NOW)[1].select("memory_id", "action", "timestamp")
+
+
 # Streams, over a whole table at once -------------------------------------------------
 
 
