@@ -40,8 +40,9 @@ def scanned(docs: DataFrame, asked: DataFrame, weights: dict[str, float] | None
     """
     weights = weights or FIELD_WEIGHTS
     every = docs.select(key, _weighed(weights, analyse).alias("_all"))
+    every = every.select(key, F.size("_all").alias("dl"), "_all")  # so that no exploded row carries the array
     document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w")))
-    rows = every.select(key, F.size("_all").alias("dl"), F.explode(F.concat("_all", document)).alias("p")).select(key, "dl", "p.term", "p.w")
+    rows = every.select(key, "dl", F.explode(F.concat("_all", document)).alias("p")).select(key, "dl", "p.term", "p.w")
     asked = asked.select("term", F.col("term").alias("_asked")).distinct()
     if prefixes:
         begun = expand_prefixes(docs, asked.select(F.lit(0).alias("query_id"), F.col("term").alias("prefix")), tuple(weights), analyse)
