@@ -66,6 +66,24 @@ def test_token_blocks(spark, docs, given, empty):
     text = given.where("doc_id = 3").first().text
     ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
     assert sorted(map(tuple, token_binary.tokens_at(spark, path, asked).collect())) == [(3, 0, ids[0]), (3, 5, ids[5]), (9, 10**6, None)]
+    twice = spark.createDataFrame([(1, "one two"), (1, "three"), (2, "x"), (1, None), (None, "y")], "doc_id long, text string")
+    token_binary.write_token_file(twice, path := shared_path(spark, "t"), queries.tokenizer_path("word_bpe_49k.json"), block_docs=2)
+    asked = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 1), (5, 0), (None, 0), (2, None)], "doc_id long, position long")
+    one, two, three = (tokenizer.encode(w, add_special_tokens=False).ids[0] for w in ("one", "two", "three"))
+    want = [(1, 0, one), (1, 0, three), (1, 0, 2), (1, 1, two), (1, 1, 2), (1, 1, None), (2, 1, 2), (2, None, None)]
+    assert sorted(map(str, map(tuple, token_binary.tokens_at(spark, path, asked).collect()))) == sorted(map(str, want))
+
+
+def test_known_chunks_are_bounded():
+    """Small generations: chunks are forgotten and learnt again."""
+    texts = [f"word{i % 50}, new{i} end." for i in range(400)]
+    words = token_binary.ChunkEncoder(queries.tokenizer_path("word_bpe_49k.json"), keep=60)
+    want = [e.ids for e in library("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(i, "<u4").tolist() for at in range(0, 400, 20) for i in words.encode(texts[at : at + 20], b"")] == want
+    codec = bpe_lexicon.Codec(queries.tokenizer_path("byte_bpe_50k.json"), None, keep=60)
+    want = [e.ids for e in library("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(i, "<u4").tolist() for at in range(0, 400, 20) for i in codec.encode(texts[at : at + 20])] == want
+    assert len(codec.known) + len(codec.old) < 200 and len(words.known) + len(words.old) < 300
 
 
 def test_block_random_access():
@@ -147,7 +165,8 @@ def test_bpe_plain_splits_agree():
 def test_mixing(docs, given, empty):
     for df in (docs, given):
         rows = mixing.taken_words(df).collect()
-        assert sorted(map(str, rows)) == sorted(map(str, mixing.taken_words(df).collect()))
+        again = mixing.taken_words(df.repartition(7, "source").orderBy(F.desc("doc_id")))
+        assert sorted(map(str, rows)) == sorted(map(str, again.collect())) == sorted(map(str, mixing.taken_words(df.repartition(3)).collect()))
         sizes = defaultdict(int)
         for r in df.collect():
             sizes[r.source] += len(WORD.findall(r.text or ""))
@@ -167,6 +186,53 @@ def test_mixing(docs, given, empty):
     assert mixed.columns == given.columns and words == sum(r.taken for r in mixing.taken_words(given).collect())
 
 
+def test_mixing_against_plain_draws(spark):
+    """Every row's words by laying out the blocks and slots one by one; equal rows are copies."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 37 % 300)), "abcde"[i * i % 5], i) for i in range(120)] + [(5, "same words here", "a", 0)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    plain = df.select("doc_id", "text", "source")
+    keyed = plain.withColumns(mixing.row_keys(plain)).groupBy("__k1", "__k2", "doc_id", "text", "source").count().collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[2]] += len(r[1].split())
+    goal = mixing.targets(dict(sizes))
+    hashes = {(r["__k1"], r["__k2"]): r.h for r in plain.withColumns(mixing.row_keys(plain)).select("__k1", "__k2", F.xxhash64("__k1", "__k2").alias("h")).collect()}
+    used = Counter()
+    for s in mixing.slots(spark, [sizes[s] for s in goal], list(goal.values())).collect():
+        used[s.source_no, s.block] += 1
+    want = []
+    for no, name in enumerate(goal):
+        mine = [r for r in keyed if r.source == name]
+        runs = -(-sum(r["count"] for r in mine) // mixing.RUN)
+        mine.sort(key=lambda r: (hashes[r["__k1"], r["__k2"]] % runs, r["__k1"], r["__k2"]))
+        at = 0
+        for r in mine:
+            for _ in range(r["count"]):
+                n = len(r.text.split())
+                want.append((r.doc_id, n, sum(used[no, w // mixing.BLOCK] for w in range(at, at + n))))
+                at += n
+    assert sorted((r.doc_id, r["size"], r.taken) for r in mixing.taken_words(df).collect()) == sorted(want)
+    words = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        words[r.doc_id] += len(r.text.split())
+        assert all(part in df_text for df_text in [next(t for i, t, _, o in rows if i == r.doc_id and o == r.other)] for part in r.text.split("\n"))
+    assert sum(words.values()) == sum(w for _, _, w in want)
+
+
+def test_large_draws_follow_the_distribution(monkeypatch):
+    rng = np.random.default_rng(1)
+    for good, bad, take in ((300, 700, 250), (900, 100, 40), (5, 4000, 2000), (7, 0, 3), (0, 7, 3), (4, 4, 8)):
+        monkeypatch.setattr(mixing, "LARGE", 0)
+        mine = np.array([mixing.hypergeometric(good, bad, take, rng) for _ in range(3000)])
+        monkeypatch.setattr(mixing, "LARGE", 10**9)
+        total = good + bad
+        mean, var = take * good / total, take * good / total * bad / total * (total - take) / max(total - 1, 1)
+        assert mine.min() >= max(0, take - bad) and mine.max() <= min(good, take)
+        assert abs(mine.mean() - mean) < 5 * (var / 3000) ** 0.5 + 1e-9 and abs(mine.var() - var) < 0.15 * var + 1e-9
+    huge = mixing.hypergeometric(3 * 10**12, 5 * 10**12, 2 * 10**12, rng)
+    assert abs(huge - 75 * 10**10) < 10**7
+
+
 def test_targets_and_permutations():
     assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": 50.0, "b": 100.0, None: 150.0}
     capped = mixing.targets({"a": 1000, "b": 1, "c": 10})
@@ -270,8 +336,29 @@ def test_exact_chains_equal_keys_and_directory():
     out = [r for b in exact_dedup._own(pa.list_(member), member, "doc_id")([batch]) for r in b.to_pylist()]
     heads = [(r["key"], r["chain"], r["text"], r["best"]["doc_id"], r["n"]) for r in out if r["text"] is not None]
     assert heads == [(5, 0, "x", 3, 3), (5, 1, "y", 7, 1), (9, 0, "x", 2, 1)]
-    assert exact_dedup.directory({}, 10) == [0]
-    assert exact_dedup.directory({0: 100, 1: 6, 2: 3, 3: 1}, 10, 2) == [0, 1, 2, 2]
+
+
+def test_exact_directory_doubles_where_it_is_overfull():
+    keys = {5 << 40: 60, (5 << 40) + 1: 60, (5 << 40) + (1 << 38): 3, 1 << 63: 30, (1 << 64) - 1: 90, 7: 4}
+    asked = []
+
+    def weigh(prefixes, up, depth):
+        asked.append((up, depth, len(prefixes)))
+        out = {}
+        for key, size in keys.items():
+            if key >> (64 - up) in prefixes:
+                old, n = out.get(key >> (64 - depth), (0, 0))
+                out[key >> (64 - depth)] = old + size, n + 1
+        return {p: (size, n > 1) for p, (size, n) in out.items()}
+
+    found = exact_dedup.directory(weigh, 50, step=6)
+    starts = [p << (64 - local) for p, local in found]
+    assert starts == sorted(starts) and starts[0] == 0 and sum(2.0**-local for _, local in found) == 1
+    held = [sum(s for k, s in keys.items() if a <= k < b) for a, b in zip(starts, [*starts[1:], 1 << 64])]
+    many = [sum(a <= k < b for k in keys) for a, b in zip(starts, [*starts[1:], 1 << 64])]
+    assert sum(held) == 247 and all(h <= 50 or n == 1 for h, n in zip(held, many))
+    assert max(local for _, local in found) == 64 and all(n == 1 for _, _, n in asked)
+    assert exact_dedup.directory(lambda *_: {}, 10) == [(0, 0)]
 
 
 def test_chat(spark, sf):

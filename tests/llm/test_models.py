@@ -37,20 +37,37 @@ def _made():
     return texts
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_dedup(spark, sf, hot):
-    old, suffix_dedup.HOT = suffix_dedup.HOT, hot
-    try:
-        made = spark.createDataFrame([(None if i == 4 else i // 2, t, "s", 1, "g") for i, t in enumerate(_made())], SCHEMA)
-        given = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-        for df in (made, given):
-            got = sorted(map(str, map(tuple, suffix_dedup.deduplicated(df).collect())))
-            rows = df.collect()
-            want = sorted(str((r.doc_id, *x)) for r, x in zip(rows, _removed([(r.text or "").encode() for r in rows])))
-            assert got == want
-        assert suffix_dedup.deduplicated(made.limit(0)).count() == 0
-    finally:
-        suffix_dedup.HOT = old
+@pytest.mark.parametrize("bucket, most, common", [(8192, 65536, 64), (4, 6, 1)])
+def test_suffix_dedup(spark, sf, bucket, most, common, monkeypatch):
+    """Small buckets end inside grams, so that windows meet across buckets."""
+    for name, value in (("BUCKET", bucket), ("MOST", most), ("COMMON", common)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    made = spark.createDataFrame([(None if i == 4 else i // 2, t, "s", 1, "g") for i, t in enumerate(_made())], SCHEMA)
+    given = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for df in (made, given):
+        got = sorted(map(str, map(tuple, suffix_dedup.deduplicated(df).collect())))
+        rows = df.collect()
+        want = sorted(str((r.doc_id, *x)) for r, x in zip(rows, _removed([(r.text or "").encode() for r in rows])))
+        assert got == want
+    assert suffix_dedup.deduplicated(made.limit(0)).count() == 0
+
+
+def test_suffixes_are_in_order():
+    rng = np.random.default_rng(4)
+    strings = [rng.choice(list(b"\x00ab\xff"), rng.integers(0, 30), p=[0.2, 0.5, 0.2, 0.1]).astype(np.uint8).tobytes() for _ in range(500)] + [b"ab" * 9] * 3
+    length = np.array([len(x) for x in strings])
+    group = rng.integers(0, 3, len(strings))
+    data = np.frombuffer(b"".join(strings) + b"x", np.uint8)
+    start = np.cumsum(length) - length
+    order, common = suffix_dedup.multikey_order(suffix_dedup._words(data, start, 1, length, 30), length, group)
+    ranked = [(group[i], strings[i]) for i in order]
+    assert ranked == sorted(zip(group, strings))
+    for (g, x), (h, y), n in zip(ranked, ranked[1:], common[1:]):
+        shared = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        assert n == (shared if g == h else -1)
+    back = suffix_dedup._words(data, start + length - 1, -1, length, 30)
+    order, _ = suffix_dedup.multikey_order(back, length, group * 0)
+    assert [strings[i][::-1] for i in order] == sorted(x[::-1] for x in strings)
 
 
 def test_anchor_in_every_window():
