@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with digests of the ids and of their decoding."""
-    return bpe_lexicon.encoded(docs, queries.tokenizer_path("byte_bpe_50k.json"), ["doc_id", "lang", "source"], digest=True)
+    return bpe_lexicon.encoded(docs, queries.tokenizer_path("byte_bpe_50k.json"), ["doc_id", "lang", "source"], digest=True, with_ids=True)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]

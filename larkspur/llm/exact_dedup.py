@@ -17,7 +17,9 @@ index.  All other columns, whatever their names, travel with their row.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +48,14 @@ def directory(weigh, capacity: int, step: int = STEP) -> list[tuple[int, int]]:
     out, open_, depth = [], [0], 0
     while open_ and depth < 64:
         bits = min(step, 64 - depth)
-        held, depth = weigh(open_, depth, depth + bits), depth + bits
-        todo, open_ = [(p, depth - bits) for p in reversed(open_)], []
-        kids: dict[tuple[int, int], int] = {}
-        for prefix, (size, _) in held.items():
-            for up in range(bits + 1):
-                kids[prefix >> up, depth - up] = kids.get((prefix >> up, depth - up), 0) + size
+        held = weigh(open_, depth, depth + bits)
+        todo, open_, depth = [(p, depth) for p in reversed(open_)], [], depth + bits
+        prefixes = sorted(held)
+        sums = [0, *accumulate(held[p][0] for p in prefixes)]
         while todo:
             prefix, local = todo.pop()
-            full = kids.get((prefix, local), 0) > capacity
+            low, high = (bisect_left(prefixes, p << (depth - local)) for p in (prefix, prefix + 1))
+            full = sums[high] - sums[low] > capacity
             if full and local < depth:
                 todo += [(2 * prefix + 1, local + 1), (2 * prefix, local + 1)]
             elif full and local < 64 and held[prefix][1]:
@@ -157,7 +158,9 @@ def build_index(docs: DataFrame, path: str, order: str = "doc_id", capacity: int
             some = spark.createDataFrame([(p,) for p in prefixes], "prefix long")
             below = below.withColumn("prefix", F.shiftrightunsigned("key", 64 - up)).join(F.broadcast(some), "prefix")
         counted = below.groupBy(F.shiftrightunsigned("key", 64 - depth).alias("at")).agg(F.sum("size").alias("size"), (F.count("*") > 1).alias("several"))
-        return {r["at"] & (1 << 64) - 1: (r["size"], r["several"]) for r in counted.collect()}
+        found = counted.toArrow()
+        at = np.asarray(found.column("at")).view(np.uint64).tolist()
+        return dict(zip(at, zip(found.column("size").to_pylist(), found.column("several").to_pylist())))
 
     first = weigh([0], 0, STEP)
     total = sum(size for size, _ in first.values())

@@ -215,8 +215,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _are_stars(links: DataFrame) -> bool:
-    several = links.groupBy("a").count().where("count > 1")
-    return several.isEmpty() and links.join(links.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+    """No node has two links, and none that has one is at the end of another."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    return nodes.agg(F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))).first()[0] == 0
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
