@@ -194,6 +194,19 @@ class Lexicon:
         return self.ids[self.offset[rank] : self.offset[rank + 1]].tobytes()
 
 
+def _library(tokenizer: str):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
+def _merged(library, texts: list[str]) -> list[bytes]:
+    return [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class Codec:
     """Encodes and decodes whole texts; one per Python worker.
 
@@ -203,11 +216,7 @@ class Codec:
     """
 
     def __init__(self, tokenizer: str, lexicon: Lexicon | None, keep: int = 800_000):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(tokenizer)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library = _library(tokenizer)
         self.lexicon, self.keep = lexicon, keep
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -248,7 +257,7 @@ class Codec:
         self.known.update(zip(alone, self._merged(alone)))
 
     def _merged(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return _merged(self.library, texts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -307,7 +316,7 @@ def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> str:
     """Compile the lexicon of ``docs``, hand its file to all executors, return its name."""
     words = frequent_words(docs, size)
-    merged = Codec(tokenizer, None)._merged(words)
+    merged = _merged(_library(tokenizer), words)
     lexicon = Lexicon.compile({w.encode(): np.frombuffer(i, "<u4").tolist() for w, i in zip(words, merged) if w})
     raw = lexicon.packed()
     name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:24]}"

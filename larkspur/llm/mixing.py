@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,23 +157,24 @@ def slots(spark, sizes: list[int], goals: list[float], seed: int = SEED, block:
         return spark.createDataFrame([], schema)
     n_shards = -(-total // SHARD)
 
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = _shard_plan(quota, n_shards, seed)
-        for frame in frames:
-            for shard in frame["id"]:
-                counts, first = plan(int(shard))
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                counts, first = plan(shard)
                 parts = [(s, np.arange(f, f + c)) for s, (c, f) in enumerate(zip(counts, first)) if c]
-                place = permuted(np.arange(int(counts.sum())), int(counts.sum()), seed * 31 + int(shard))
+                place = permuted(np.arange(int(counts.sum())), int(counts.sum()), seed * 31 + shard)
                 at = 0
                 for s, i in parts:
                     turn = i // blocks[s]
                     index = np.empty(len(i), np.int64)
                     for t in np.unique(turn):
                         index[turn == t] = permuted(i[turn == t] % blocks[s], blocks[s], (seed * 1009 + s) * 16 + int(t))
-                    yield pd.DataFrame({"shard": int(shard), "slot": place[at : at + len(i)].astype("int32"), "source_no": np.int32(s), "pass": turn.astype("int32"), "block": index})
+                    columns = [np.full(len(i), shard), place[at : at + len(i)].astype(np.int32), np.full(len(i), s, np.int32), turn.astype(np.int32), index]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "slot", "source_no", "pass", "block"])
                     at += len(i)
 
-    return spark.range(n_shards).mapInPandas(draw, schema)
+    return spark.range(n_shards).mapInArrow(draw, schema)
 
 
 KEYS = ["__k1", "__k2"]
@@ -248,8 +249,6 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     between them were not taken)."""
     import re
 
-    import pyarrow as pa
-
     word = re.compile(r"[^\x20\x09-\x0D]+")
     rest = [c for c in docs.columns if c != "text"]
     _, parts = mix(docs, [], seed)
