@@ -220,10 +220,18 @@ def fact_json(reply: Column) -> Column:
     return F.when(whole, F.struct(facts.alias("facts"), triples.alias("triples")))
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hashed_vector(terms: Column, size: int = 64) -> Column:
     """Counts of terms by a hash into ``size`` places, scaled to length 1 (zeros for no
-    terms): an embedder without a model, for tests and as a default."""
+    terms): an embedder without a model, for tests and as a default.
+
+    Places, counts and length are each bound once, so the work is terms times places."""
     places = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int") % size)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    counted = lambda at: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda p: p == i)).cast("double"))
+    length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda counts: once(length(counts), lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return once(places, lambda at: once(counted(at), scaled))
