@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe_lexicon, chat_format, exact_dedup, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_binary, toxicity
+from larkspur.llm import bpe_lexicon, chat_format, exact_dedup, line_dedup, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_binary, toxicity
 from larkspur.llm.shared import shared_path, table
 
 #: Words by the contract, in DuckDB.
@@ -72,13 +72,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(spark, path).select("member.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return cut.select("row.doc_id", "kept.n_lines", "kept.n_dropped", F.sha2("kept.text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op2_quality_rules, op3_chat_format, op4_bpe_lexicon, op5_suffix_dedup, op6_mixing, op7_simhash, op8_lm_scoring, op9_toxicity, op10_exact_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_binary, op2_quality_rules, op3_chat_format, op4_bpe_lexicon, op5_suffix_dedup, op6_mixing, op7_simhash, op8_lm_scoring, op9_toxicity, op10_exact_dedup, op12_line_dedup, pipeline)}
 
 _BREAK = r"[\x20\x09-\x0D]+"
 _ESCAPED = "replace({0}, '\\', '\\\\')"
@@ -131,4 +137,11 @@ FROM t GROUP BY conv_id""",
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents""",
+    "op12_line_dedup": f"""
+WITH l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) r(i)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS k FROM l),
+f AS (SELECT k, max(doc_id) AS last FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, sum(coalesce(doc_id <> last, false)::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(doc_id <> last, false)), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (k) GROUP BY doc_id""",
 }
