@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe_lexicon, chat_format, exact_dedup, line_dedup, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_binary, toxicity
+from larkspur.llm import bpe_lexicon, chat_format, exact_dedup, line_dedup, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_binary, toxicity, whitening
 from larkspur.llm.shared import shared_path, table
 
 #: Words by the contract, in DuckDB.
@@ -72,6 +72,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(spark, path).select("member.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -84,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op2_quality_rules, op3_chat_format, op4_bpe_lexicon, op5_suffix_dedup, op6_mixing, op7_simhash, op8_lm_scoring, op9_toxicity, op10_exact_dedup, op12_line_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_binary, op2_quality_rules, op3_chat_format, op4_bpe_lexicon, op5_suffix_dedup, op6_mixing, op7_simhash, op8_lm_scoring, op9_toxicity, op10_exact_dedup, op11_whitening, op12_line_dedup, pipeline)}
 
 _BREAK = r"[\x20\x09-\x0D]+"
 _ESCAPED = "replace({0}, '\\', '\\\\')"
