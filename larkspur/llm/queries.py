@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe_lexicon, chat_format, exact_dedup, line_dedup, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_binary, toxicity, whitening
+from larkspur.llm import bpe_lexicon, chat_format, exact_dedup, line_dedup, lm_scoring, mixing, quality_rules, simhash, suffix_dedup, token_binary, toxicity, turn_repair, whitening
 from larkspur.llm.shared import shared_path, table
 
 #: Words by the contract, in DuckDB.
@@ -82,13 +82,17 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("row.doc_id", "kept.n_lines", "kept.n_dropped", F.sha2("kept.text", 256).alias("kept_sha256"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digests(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op2_quality_rules, op3_chat_format, op4_bpe_lexicon, op5_suffix_dedup, op6_mixing, op7_simhash, op8_lm_scoring, op9_toxicity, op10_exact_dedup, op11_whitening, op12_line_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_binary, op2_quality_rules, op3_chat_format, op4_bpe_lexicon, op5_suffix_dedup, op6_mixing, op7_simhash, op8_lm_scoring, op9_toxicity, op10_exact_dedup, op11_whitening, op12_line_dedup, op13_turn_repair, pipeline)}
 
 _BREAK = r"[\x20\x09-\x0D]+"
 _ESCAPED = "replace({0}, '\\', '\\\\')"
