@@ -30,9 +30,11 @@ from pyspark.sql import types as T
 
 from larkspur.llm.shared import shared_path, text_of
 
-#: Bits by which the directory doubles between two counts; only the prefixes of buckets
-#: that are still overfull are counted again, ``STEP`` bits deeper.
+#: Bits of the first count of the directory.  Prefixes of buckets that are still overfull
+#: are counted again, by as many bits more as the fullest of them asks for.
 STEP = 14
+#: Prefixes that a count brings to the driver at most (as a power of two).
+ASKED = 18
 #: A bucket's bytes: this many, or one part in ``BUCKETS`` of all where that is more.  An
 #: owner streams its bucket, so this bounds the number of tasks and no task's memory.
 CAPACITY, BUCKETS = 32 << 20, 1 << 16
@@ -45,9 +47,9 @@ def directory(weigh, capacity: int, step: int = STEP) -> list[tuple[int, int]]:
     below the overfull ``prefixes`` of ``up`` bits.  It starts as one bucket; an overfull
     one splits in two until it fits or holds one key.
     """
-    out, open_, depth = [], [0], 0
+    out, open_, depth, bits = [], [0], 0, step
     while open_ and depth < 64:
-        bits = min(step, 64 - depth)
+        bits = min(bits, 64 - depth)
         held = weigh(open_, depth, depth + bits)
         todo, open_, depth = [(p, depth) for p in reversed(open_)], [], depth + bits
         prefixes = sorted(held)
@@ -62,6 +64,8 @@ def directory(weigh, capacity: int, step: int = STEP) -> list[tuple[int, int]]:
                 open_.append(prefix)
             else:
                 out.append((prefix, local))
+        fullest = max((held[p][0] for p in open_), default=0)
+        bits = max(1, min((fullest // capacity).bit_length() + 1, ASKED - len(open_).bit_length()))
     return sorted(out, key=lambda b: b[0] << (64 - b[1]))
 
 

@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import row_keys, staged, text_of
+from larkspur.llm.shared import row_keys, staged, text_of, whole_rows
 
 #: Words of a block, slots of an output shard, passes over a source.
 BLOCK, SHARD, PASSES, SEED = 64, 1024, 3, 17
 MAX_SOURCES = 100_000
 #: Rows of one run of the packing order, and runs that are summed as one.
 RUN, RUNS = 1000, 1000
+#: Blocks or copies of one row that a task counts, and copies that share a row of runs.
+STRETCH, BAND = 4096, 1000
 #: Totals from which a hypergeometric draw is made from binomial ones (numpy's limit).
 LARGE = 10**9
 WORD = r"[^\x20\x09-\x0D]+"
@@ -192,6 +194,18 @@ def _run_starts(runs: DataFrame) -> DataFrame:
     return near.join(sums, ["_source_no", "_many"]).select("_source_no", "_run", (F.col("_far") + F.col("_near")).alias("_base"))
 
 
+def _counted(rows: DataFrame, name: str, first, last) -> DataFrame:
+    """``rows`` once for each number from ``first`` to ``last``.
+
+    Stretches of ``STRETCH`` numbers are dealt out before they are counted, so that a row
+    with very many blocks or copies is the work of many tasks.
+    """
+    far = rows.withColumns({"_first": first, "_last": last}).withColumn("_stretch", F.explode(F.sequence(F.expr(f"_first div {STRETCH}"), F.expr(f"_last div {STRETCH}"))))
+    far = far.repartition(*KEYS, "_stretch")
+    low, high = F.greatest("_first", F.col("_stretch") * STRETCH), F.least("_last", (F.col("_stretch") + 1) * STRETCH - 1)
+    return far.withColumn(name, F.explode(F.sequence(low, high))).drop("_first", "_last", "_stretch")
+
+
 def mix(docs: DataFrame, keep: list[str], seed: int = SEED, weights: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame]:
     """(rows, parts) of the mix of ``docs(text, source, *keep)``.
 
@@ -218,7 +232,7 @@ def mix(docs: DataFrame, keep: list[str], seed: int = SEED, weights: tuple[int,
     inside = Window.partitionBy("_source_no", "_run").orderBy(*KEYS).rowsBetween(Window.unboundedPreceding, -1)
     packed = rows.where("_size > 0").select(*KEYS, "_source_no", "_run", "_size", words.alias("_words"), F.coalesce(F.sum(words).over(inside), F.lit(0)).alias("_within"))
     packed = packed.join(base, ["_source_no", "_run"]).select(*KEYS, "_source_no", "_size", "_words", (F.col("_base") + F.col("_within")).alias("_start"))
-    covers = packed.withColumn("block", F.explode(F.sequence(F.expr(f"_start div {BLOCK}"), F.expr(f"(_start + _words - 1) div {BLOCK}"))))
+    covers = _counted(packed, "block", F.expr(f"_start div {BLOCK}"), F.expr(f"(_start + _words - 1) div {BLOCK}"))
     used = slots(spark, [sizes[s] for s in names], [goal[s] for s in names], seed)
     # Spark can't see how many slots a range makes and would broadcast them: shuffle both sides
     parts = covers.join(used.hint("merge"), (F.col("_source_no") == F.col("source_no")) & (covers["block"] == used["block"])).select(
@@ -238,7 +252,7 @@ def taken_words(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``."""
     rows, parts = mix(docs.select("doc_id", "text", "source"), ["doc_id"], seed)
     taken = parts.groupBy(*KEYS, "copy").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    each = _counted(rows, "copy", F.lit(0).cast("long"), F.col("_copies") - 1)
     joined = each.join(taken, [*KEYS, "copy"], "left")
     return joined.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -253,9 +267,10 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     _, parts = mix(docs, [], seed)
     runs = parts.groupBy(*KEYS, "copy", "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("runs"))
-    runs = staged(runs.groupBy(*KEYS).agg(F.collect_list(F.struct("copy", "pass", "runs")).alias("passes")), "mix-runs")
-    numbered = docs.withColumns(row_keys(docs))
-    full = numbered.join(runs, KEYS).dropDuplicates(KEYS).select(text_of().alias("text"), "passes", F.struct(*[F.col(f"`{c}`").alias(c) for c in rest]).alias("rest"))
+    band = F.expr(f"copy div {BAND}").alias("band")
+    runs = staged(runs.groupBy(*KEYS, band).agg(F.collect_list(F.struct("copy", "pass", "runs")).alias("passes")), "mix-runs")
+    numbered = whole_rows(docs)
+    full = numbered.join(runs, KEYS).dropDuplicates([*KEYS, "band"]).select(text_of("row.text").alias("text"), "passes", F.struct(*[F.col(f"row.`{c}`").alias(c) for c in rest]).alias("rest"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

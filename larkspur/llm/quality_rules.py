@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import spaced, staged, text_of
+from larkspur.llm.shared import spaced, staged, text_of, whole_rows
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -145,4 +145,5 @@ def keep_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     costs less than writing or shuffling the texts.
     """
     verdicts = host_verdicts(staged(measured(docs, host, []), "quality"))
-    return with_verdict(measured(docs, host), verdicts).where(PREFIX + "kept").select(*docs.columns)
+    rows = whole_rows(docs, host=F.col(host), text=text_of())
+    return with_verdict(measured(rows, "host", ["row"]), verdicts).where(PREFIX + "kept").select("row.*")

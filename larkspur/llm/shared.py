@@ -16,11 +16,13 @@ def shared_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
     It is what the session names in ``spark.checkpoint.dir``.  Where that is unset
-    (tests on one machine) a temporary folder is made once and set as the
-    session's checkpoint folder.
+    and all runs on one machine (tests), a temporary folder is made once and set as the
+    session's checkpoint folder; on a cluster that raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -114,7 +116,14 @@ def most_frequent(counts: DataFrame, size: int) -> list[tuple[str, int]]:
 
 def row_keys(df: DataFrame) -> dict:
     """Two hashes (96 bits) of all columns of a row, nulls told apart: never null, so
-    that joins by them need no other key.  Equal rows share them."""
+    that joins by them need no other key.  Equal rows share them; of n unequal rows two
+    share them with a chance of n * n / 2^97."""
     columns = [F.col(f"`{c}`") for c in df.columns]
     nulls = [c.isNull() for c in columns]
     return {"__k1": F.xxhash64(*nulls, *columns), "__k2": F.hash(*nulls, *columns)}
+
+
+def whole_rows(df: DataFrame, **more) -> DataFrame:
+    """``df`` as one struct column ``row`` beside its row keys and the columns ``more``, so
+    that no name of its own meets one of an operator's."""
+    return df.select(*[x.alias(k) for k, x in row_keys(df).items()], F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias("row"), *[x.alias(k) for k, x in more.items()])

@@ -8,8 +8,8 @@ are added to all 64 counts at once by carry-save counters, and a block is abando
 as soon as all of its counts have passed the radius.
 
 A bucket hands on a spanning forest of its links, never all pairs.  A bucket of more
-than ``TILE`` members is dealt out by its planes: every share compares all members
-with its own part of them, so no link is lost.  Components are found by alternating
+than ``TILE`` members is dealt out by its planes: every share holds its own part of them
+and streams all members past it, so no link is lost and no task holds a large bucket.  Components are found by alternating
 large-star and small-star steps over tables in the shared folder.
 
 Defined cases: null and word-free texts have fingerprint zero, linked like any other;
@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import row_keys, staged, text_of
+from larkspur.llm.shared import staged, text_of, whole_rows
 
 SEED = 42
 #: First bit and width of the five fields.
 FIELDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Members of a bucket whose planes one share holds.
 TILE = 8192
+#: Rows of one bucket that a task holds before it streams the rest of them.
+STREAM = 4 * TILE
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -73,10 +75,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: list[str] | None = Non
     return docs.select(*keep, text_of().alias("_text")).mapInArrow(run, schema.add("fp", "long"))
 
 
-def sliced_links(fps: np.ndarray, bucket: np.ndarray, lane: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def sliced_links(fps: np.ndarray, bucket: np.ndarray, lane: np.ndarray, radius: int = 3, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (query, member) within ``radius`` of each other, in the same bucket.
 
-    ``bucket`` is sorted; members with ``lane`` set are held as planes, all are queries.
+    ``bucket`` is sorted; members with ``lane`` set are held as planes; all are queries,
+    or those with ``asks`` set.
     """
     assert radius == 3, "the counters hold two bits"
     n = len(fps)
@@ -99,7 +102,7 @@ def sliced_links(fps: np.ndarray, bucket: np.ndarray, lane: np.ndarray, radius:
     planes = np.stack([(((grid >> np.uint64(b)) & np.uint64(1)) * weight).sum(axis=1, dtype=np.uint64) for b in range(64)])
     absent = ((member < 0) * weight).sum(axis=1, dtype=np.uint64)
     lo, hi = np.searchsorted(block_bucket, bucket, "left"), np.searchsorted(block_bucket, bucket, "right")
-    per = hi - lo
+    per = hi - lo if asks is None else (hi - lo) * asks
     found_q, found_m = [], []
     ends = np.cumsum(per)
     at = 0
@@ -153,15 +156,19 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, fp, lane) in bucket order to links (a, b)."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """Rows (bucket, fp, lane), in order of bucket and lanes first, to links (a, b).
+
+    Whole buckets are compared many at a time.  Of one that goes on beyond ``STREAM``
+    rows only the lanes stay held, and its later rows ask them as they come.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
 
     def links(part):
-        name, fps, lane = (np.concatenate(x) for x in zip(*part))
+        name, fps, lane, asks = (np.concatenate(x) for x in zip(*part))
         _, bucket, size = np.unique(name, return_inverse=True, return_counts=True)
         use = size[bucket] > 1
-        fps, bucket, lane = fps[use], bucket[use], lane[use]
-        a, b = sliced_links(fps, bucket, lane)
+        fps, bucket, lane, asks = fps[use], bucket[use], lane[use], asks[use]
+        a, b = sliced_links(fps, bucket, lane, asks=asks)
         signed = fps.view(np.int64)
         pairs = _forest(signed[a], signed[b])
         if pairs:
@@ -174,10 +181,15 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         fps, lane = np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("lane").to_numpy(zero_copy_only=False))
         cut = int(np.searchsorted(name, name[-1], "left"))  # the last bucket may go on in the next batch
+        asks = np.ones(len(name), bool)
         if cut:
-            yield from links([*held, (name[:cut], fps[:cut], lane[:cut])])
+            yield from links([*held, (name[:cut], fps[:cut], lane[:cut], asks[:cut])])
             held = []
-        held.append((name[cut:], fps[cut:], lane[cut:]))
+        held.append((name[cut:], fps[cut:], lane[cut:], asks[cut:]))
+        if sum(len(h[0]) for h in held) > STREAM and not held[-1][2][-1]:  # all lanes are here
+            yield from links(held)
+            name, fps, lane, _ = (np.concatenate(x) for x in zip(*held))
+            held = [(name[lane], fps[lane], lane[lane], np.zeros(int(lane.sum()), bool))]
     if held:
         yield from links(held)
 
@@ -192,7 +204,7 @@ def links(fps: DataFrame) -> DataFrame:
     rows = rows.select("fp", "bucket", F.coalesce("shares", F.lit(1)).alias("shares"), F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
     own: Column = F.pmod(F.xxhash64("fp"), F.col("shares")) == F.col("share")
     rows = rows.select((F.shiftleft("bucket", 30) + F.col("share")).alias("bucket"), "fp", own.alias("lane"))
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a long, b long").distinct()
+    return rows.repartition("bucket").sortWithinPartitions("bucket", F.desc("lane")).mapInArrow(_bucket_links, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,11 +252,11 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     is null loses nothing else; of wholly equal rows one stays.  The texts are shuffled
     once and not written.
     """
-    keyed = docs.withColumns(row_keys(docs))
+    keyed = whole_rows(docs, doc_id=F.col("doc_id"), text=text_of())
     prints = staged(fingerprints(keyed, keep=["doc_id", "__k1", "__k2"]), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
     distinct = staged(prints.groupBy("fp").agg(F.min(rank).alias("first")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp")))
     stays = distinct.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
     stays = staged(stays.select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2")), "stays")
-    return keyed.join(stays, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    return keyed.join(stays, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select("row.*")

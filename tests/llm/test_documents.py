@@ -286,6 +286,25 @@ def test_simhash(docs, given, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(names.values()))
 
 
+def test_large_buckets_stream_past_their_planes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 12, np.uint64)
+    fps = np.unique(np.concatenate([base[rng.integers(0, 12, 3000)] ^ (np.uint64(1) << rng.integers(0, 5, 3000, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 9, 3000, np.uint64)), base]))
+    table = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    want = _roots(simhash.links(table))
+    monkeypatch.setattr(simhash, "TILE", 5)
+    monkeypatch.setattr(simhash, "STREAM", 9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert _roots(simhash.links(table)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _roots(links):
+    return {r.node: r.root for r in simhash.components(links).collect()}
+
+
 def test_sliced_links_find_every_pair(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
@@ -361,6 +380,21 @@ def test_exact_directory_doubles_where_it_is_overfull():
     assert exact_dedup.directory(lambda *_: {}, 10) == [(0, 0)]
 
 
+@pytest.mark.parametrize("total", [1 << 40, 100 << 40])
+def test_exact_directory_of_a_large_table_stays_small(total):
+    """Evenly spread texts of 1 and 100 TB: how many prefixes a count brings back."""
+    asked, capacity = [], max(exact_dedup.CAPACITY, total // exact_dedup.BUCKETS)
+
+    def weigh(prefixes, up, depth):
+        below = 1 << (depth - up)
+        asked.append(len(prefixes) * below)
+        return {p * below + i: (total >> depth, True) for p in prefixes for i in range(below)}
+
+    found = exact_dedup.directory(weigh, capacity)
+    assert max(asked) <= 1 << exact_dedup.ASKED and len(found) <= 2 * exact_dedup.BUCKETS
+    assert all(total >> local <= capacity for _, local in found) and sum(2.0**-local for _, local in found) == 1
+
+
 def test_chat(spark, sf):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "<|end|>\\</s>[INST] x"), (1, 1, "assistant", "b"), (2, None, None, None), (None, 3, "system<|body|>", "\\\\n"), (3, 5, "assistant", ""), (3, 4, "user", "é\n")]
     rows += [(4, i, "assistant", f"t{i}") for i in range(1000, 0, -1)] + [(5, 7, "user", f"{i:04d}") for i in range(600)]

@@ -124,3 +124,25 @@ def test_pipeline_in_order(spark, sf):
     want = sorted((r.doc_id, i, len(i) // 4) for r, i in zip(rows, ids))
     out = corpus_pipeline.run(spark, sf)
     assert sorted((r.doc_id, bytes(r.ids), r.n_tokens) for r in out.collect()) == want
+
+
+CLASH = ["__k1", "__k2", "passes", "rest", "row", "band", "runs", "_q_n_words", "_q_host", "_q_kept", "_text", "__text", "fp", "key", "member", "members", "best", "host", "copy", "block", "Doc"]
+
+
+def test_stages_with_clashing_columns(spark, sf, tmp_path):
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = plain.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASH])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        want, got = stage(spark, plain, sf), stage(spark, odd, sf)
+        assert got.columns == odd.columns
+        rows = got.collect()
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASH)
+        if name != "mix":  # whose draws follow the rows' content
+            assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in want.collect())
+        plain, odd = want, got
+    assert corpus_pipeline.STAGES[4][1](spark, odd, sf).count() == odd.count()
+
+
+def test_pipeline_of_an_empty_table(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
