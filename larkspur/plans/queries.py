@@ -1025,7 +1025,7 @@ def memory_transfer(memories):
 _SPOKEN = "SELECT c_custkey AS id, '[1:' || (10 + c_custkey % 50) || CASE c_custkey % 2 WHEN 0 THEN ' pm' ELSE ' am' END || ' on 8 May, 2023] ' || CASE c_custkey % 7 WHEN 6 THEN '' ELSE 'Alice: ' END || CASE c_custkey % 5 WHEN 0 THEN 'I joined a ' || lower(c_mktsegment) || ' group! We moved to Oslo.' WHEN 1 THEN 'I''m a ' || lower(c_mktsegment) || ' buyer, and my kids love ' || c_name || '.' WHEN 2 THEN 'We visited ' || c_name || ' ' || c_custkey % 9 || ' years ago' WHEN 3 THEN 'As a single parent I signed up for a class. I am planning to attend the fair' ELSE 'Nothing to see' END AS text FROM customer"
 
 
-@query(f"WITH s AS ({_SPOKEN}), c AS (SELECT id, regexp_extract(text, '\]\s*(\w+):\s*', 1) AS subject, trim(regexp_replace(text, '\[[^\]]*\]\s*\w+:\s*', '')) AS said, epoch_ms(strptime(upper(replace(regexp_extract(text, '\[([^\]]+)\]', 1), ' on ', ' ')), '%I:%M %p %d %B, %Y')) AS valid_from FROM s), t AS (" + " UNION ALL ".join("SELECT id, subject, '{1}' AS predicate, trim(substr(regexp_extract(said, '{0}', 1), 1, 100)) AS object, valid_from FROM c".format(p.replace("'", "''"), name) for p, name in memory.TRIPLE_PATTERNS) + ") SELECT * FROM t WHERE subject <> '' AND object <> ''", "customer")
+@query(rf"WITH s AS ({_SPOKEN}), c AS (SELECT id, regexp_extract(text, '\]\s*(\w+):\s*', 1) AS subject, trim(regexp_replace(text, '\[[^\]]*\]\s*\w+:\s*', '')) AS said, epoch_ms(strptime(upper(replace(regexp_extract(text, '\[([^\]]+)\]', 1), ' on ', ' ')), '%I:%M %p %d %B, %Y')) AS valid_from FROM s), t AS (" + " UNION ALL ".join("SELECT id, subject, '{1}' AS predicate, trim(substr(regexp_extract(said, '{0}', 1), 1, 100)) AS object, valid_from FROM c".format(p.replace("'", "''"), name) for p, name in memory.TRIPLE_PATTERNS) + ") SELECT * FROM t WHERE subject <> '' AND object <> ''", "customer")
 def rule_triples(customer):
     """Triples out of dialogue lines made of customers."""
     when = F.concat(F.lit("[1:"), (10 + F.col("c_custkey") % 50).cast("string"), F.when(F.col("c_custkey") % 2 == 0, " pm").otherwise(" am"), F.lit(" on 8 May, 2023] "))

@@ -12,11 +12,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` as Parquet in the folder that the session names in ``spark.checkpoint.dir``.
 
     Later steps read the files, which outlive any executor; they go when the driver's
-    JVM ends.  Where the setting is unset (tests on one machine) a folder is made.
+    JVM ends.  Where the setting is unset a folder is made on one machine (tests); a
+    cluster raises.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/larkspur/{label}-{uuid.uuid4().hex}"
