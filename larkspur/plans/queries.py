@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import chunking, lexicons, stems
 from larkspur.functions import text as X
-from larkspur.operators import catalog, composites, evaluation, fusion, knowledge, lexical, memory, vectors
+from larkspur.operators import catalog, composites, evaluation, fusion, knowledge, lexical, memory, text_index, vectors
 from larkspur.sources import formats
+from larkspur.sources.staged import fresh
 from larkspur.streaming import access
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +93,11 @@ def _titled(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("title", X.title(F.col("body"), F.col("path")))
 
 
+def _searched(docs: DataFrame, terms: DataFrame, k: int, **more) -> DataFrame:
+    """Answers from the stored index of ``docs``, which is written once in an application."""
+    return text_index.search(docs.sparkSession, text_index.of_table(docs), terms, k, **more).select("query_id", "doc_id", "score", "rank")
+
+
 def _terms(phrases: DataFrame, n: int) -> DataFrame:
     return phrases.select("query_id", F.explode(F.slice(X.tokens(F.col("text")), 1, n)).alias("term"))
 
@@ -99,26 +105,28 @@ def _terms(phrases: DataFrame, n: int) -> DataFrame:
 @query(f"WITH q AS (SELECT DISTINCT query_id, unnest(list_slice({_TOKENS.format('text')}, 1, 8)) AS term FROM phrases), {_BM25} " + _TOP.format("SELECT query_id, doc_id, round(raw / (1 + raw), 6) AS score FROM raw", 10), "corpus", "phrases")
 def bm25_topk(corpus, phrases):
     """Ten best documents by any of a query's first eight terms."""
-    return lexical.top(lexical.bm25(_titled(corpus), _terms(phrases, 8)), 10)
+    return _searched(_titled(corpus), _terms(phrases, 8), 10)
 
 
 @query(f"WITH q AS (SELECT DISTINCT query_id, unnest(list_slice({_TOKENS.format('text')}, 1, 3)) AS term FROM phrases), {_BM25}, asked AS (SELECT query_id, count(*) AS asked FROM q GROUP BY 1) " + _TOP.format("SELECT query_id, doc_id, round(raw / (1 + raw), 6) AS score FROM raw JOIN asked USING (query_id) WHERE held = asked", 10), "corpus", "phrases")
 def bm25_all_terms(corpus, phrases):
     """As bm25_topk, of the documents that hold every one of three terms."""
-    return lexical.top(lexical.bm25(_titled(corpus), _terms(phrases, 3), match_all=True), 10)
+    return _searched(_titled(corpus), _terms(phrases, 3), 10, match_all=True)
 
 
 @query(f"WITH q AS (SELECT DISTINCT query_id, unnest(list_slice({_TOKENS.format('text')}, 1, 4)) AS term FROM phrases), {_BM25}, neg AS (SELECT query_id, list_extract({_TOKENS.format('text')}, 5) AS term FROM phrases) " + _TOP.format("SELECT query_id, doc_id, round(raw / (1 + raw), 6) AS score FROM raw WHERE NOT EXISTS (SELECT 1 FROM neg JOIN post USING (term) WHERE neg.query_id = raw.query_id AND post.doc_id = raw.doc_id)", 10), "corpus", "phrases")
 def bm25_negation(corpus, phrases):
     """Documents with any of four terms but without the fifth."""
     without = phrases.select("query_id", F.get(X.tokens(F.col("text")), 4).alias("term")).where("term is not null")
-    return lexical.top(lexical.bm25(_titled(corpus), _terms(phrases, 4), barred=without), 10)
+    return _searched(_titled(corpus), _terms(phrases, 4), 10, barred=without)
 
 
 @query(rf"WITH q AS (SELECT query_id, list_slice({_TOKENS.format('text')}, 1, 4) AS t FROM phrases), d AS (SELECT doc_id, {_TOKENS.format('body')} AS c FROM corpus), s AS (SELECT query_id, doc_id, t, c, unnest(range(1, len(c) - 2)) AS i FROM q JOIN d ON list_contains(c, t[1]) AND list_contains(c, t[4])) SELECT query_id, doc_id, count(*) AS n FROM s WHERE c[i] = t[1] AND c[i + 1] = t[2] AND c[i + 2] = t[3] AND c[i + 3] = t[4] GROUP BY 1, 2", "corpus", "phrases")
 def phrase_match(corpus, phrases):
     """How often a document holds a query's first four tokens in a row."""
-    return lexical.phrase_hits(corpus, phrases.select("query_id", F.slice(X.tokens(F.col("text")), 1, 4).alias("tokens")))
+    docs = _titled(corpus)
+    asked = phrases.select("query_id", F.slice(X.tokens(F.col("text")), 1, 4).alias("tokens"))
+    return text_index.phrase_hits(docs.sparkSession, text_index.of_table(docs), asked, list(lexical.FIELD_WEIGHTS).index("body"))
 
 
 @query(rf"WITH q AS (SELECT DISTINCT query_id, list_extract({_TOKENS.format('text')}, 1) AS prefix FROM phrases), v AS (SELECT DISTINCT unnest({_TOKENS.format('body')}) AS term FROM corpus) SELECT query_id, prefix, count(*) AS terms FROM q JOIN v ON starts_with(term, prefix) GROUP BY 1, 2", "corpus", "phrases")
@@ -128,6 +136,26 @@ def prefix_terms(corpus, phrases):
     return lexical.expand_prefixes(corpus, first, ("body",)).groupBy("query_id", "prefix").agg(F.count("*").alias("terms"))
 
 
+@query(f"WITH q AS (SELECT 1 AS query_id, '' AS term), {_BM25} SELECT term, count(*) AS documents, sum(tf)::DOUBLE AS weight FROM post GROUP BY 1", "corpus")
+def stored_terms(corpus):
+    """Every term of a stored index, which is written for this alone."""
+    docs, path = _titled(corpus), fresh(corpus.sparkSession, "text-index")
+    text_index.upsert(docs, path)
+    rows = text_index.postings(docs.sparkSession, path)
+    return rows.where("term <> ''").groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("weight"))
+
+
+@query(f"WITH q AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('text')}) AS term FROM phrases), corpus_now AS (SELECT doc_id, path, CASE WHEN doc_id % 3 = 0 THEN concat(body, ' ', reverse(body)) ELSE body END AS body FROM corpus WHERE doc_id % 5 <> 1), {_BM25.replace('FROM corpus)', 'FROM corpus_now)')} " + _TOP.format("SELECT query_id, doc_id, round(raw / (1 + raw), 6) AS score FROM raw", 10), "corpus", "phrases")
+def search_after_upkeep(corpus, phrases):
+    """The stored index after an upsert of every third document and a deletion of every fifth."""
+    spark, path = corpus.sparkSession, fresh(corpus.sparkSession, "text-index")
+    text_index.upsert(_titled(corpus), path)
+    longer = corpus.where("doc_id % 3 = 0").withColumn("body", F.concat("body", F.lit(" "), F.reverse("body")))
+    text_index.upsert(_titled(longer), path)
+    text_index.delete(corpus.where("doc_id % 5 = 1"), path)
+    return text_index.search(spark, path, _whole(phrases), 10).select("query_id", "doc_id", "score", "rank")
+
+
 _MEM_TOKENS = _TOKENS.format("x")
 _STOP = "(" + ", ".join(f"'{w}'" for w in lexicons.MEMORY_STOP) + ")"
 
@@ -826,7 +854,7 @@ _ACTIVE = _BM25.replace("FROM corpus)", "FROM corpus WHERE active)")
 @query(f"WITH {_WHOLE}, {_ACTIVE} " + _TOP.format("SELECT query_id, doc_id, round(raw / (1 + raw), 6) AS score FROM raw", 20), "corpus", "phrases")
 def document_search(corpus, phrases):
     """Twenty best active documents by any term of the whole query."""
-    return lexical.top(lexical.bm25(_titled(corpus.where("active")), _whole(phrases)), 20)
+    return _searched(_titled(corpus.where("active")), _whole(phrases), 20)
 
 
 _PREFIX = _ACTIVE.replace("FROM tok GROUP BY 1, 2)", "FROM tok JOIN (SELECT DISTINCT term AS prefix FROM q) ON starts_with(term, prefix) GROUP BY 1, 2)").replace("SELECT doc_id, term, sum(w)", "SELECT doc_id, prefix AS term, sum(w)")

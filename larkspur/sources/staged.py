@@ -5,17 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as Parquet in the folder that the session names in ``spark.checkpoint.dir``.
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the session names in ``spark.checkpoint.dir``.
 
-    Later steps read the files, which outlive any executor; they go when the driver's
-    JVM ends.  Where the setting is unset a folder is made on one machine (tests); a
-    cluster raises.
+    What is written there outlives any executor and goes when the driver's JVM ends.
+    Where the setting is unset a folder is made on one machine (tests); a cluster raises.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -25,5 +23,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{root.rstrip('/')}/larkspur/{label}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet in a fresh shared path, and read again."""
+    path = fresh(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
