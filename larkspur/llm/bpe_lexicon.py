@@ -287,7 +287,7 @@ def _codec(tokenizer: str, lexicon: str) -> Codec:
     return Codec(tokenizer, Lexicon.open(SparkFiles.get(lexicon)))
 
 
-def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
+def frequent_words(docs: DataFrame, size: int = LEXICON) -> DataFrame:
     """The most frequent words of all whole texts, met twice at least, ties by word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,15 +310,22 @@ def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
         yield from flush()
 
     words = docs.select(text_of().alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [word for word, _ in most_frequent(staged(words.where("n > 1"), "word-counts"), size)]
+    return most_frequent(staged(words.where("n > 1"), "word-counts"), size).select("word")
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> str:
-    """Compile the lexicon of ``docs``, hand its file to all executors, return its name."""
-    words = frequent_words(docs, size)
-    merged = _merged(_library(tokenizer), words)
-    lexicon = Lexicon.compile({w.encode(): np.frombuffer(i, "<u4").tolist() for w, i in zip(words, merged) if w})
-    raw = lexicon.packed()
+    """Compile the lexicon of ``docs``, hand its file to all executors, return its name.
+
+    One task compiles it, of ``size`` words at most; the driver sees the file's bytes alone.
+    """
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [w for batch in batches for w in batch.column("word").to_pylist() if w]
+        merged = _merged(_library(tokenizer), words)
+        raw = Lexicon.compile({w.encode(): np.frombuffer(i, "<u4").tolist() for w, i in zip(words, merged)}).packed()
+        yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["raw"])
+
+    raw = bytes(frequent_words(docs, size).repartition(1).mapInArrow(compiled, "raw binary").first().raw)
     name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:24]}"
     context = docs.sparkSession.sparkContext
     if (context.applicationId, name) not in _SENT:  # the name fixes the content

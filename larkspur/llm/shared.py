@@ -94,12 +94,12 @@ def words_of(text):
     return F.array_remove(F.split(spaced(text), " "), "")
 
 
-def most_frequent(counts: DataFrame, size: int) -> list[tuple[str, int]]:
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
     """The ``size`` rows of a staged counts(word, n) with the largest n, ties by word.
 
     A first pass counts words by sixteenths of a power of two, a few hundred rows, and
     finds the range that the last place is in; only words of that range and above are
-    sorted, so what reaches the driver does not grow with the number of tasks.
+    sorted.
     """
     bucket = F.floor(16 * F.log2("n"))
     sizes = dict(counts.groupBy(bucket.alias("b")).count().collect())
@@ -108,10 +108,7 @@ def most_frequent(counts: DataFrame, size: int) -> list[tuple[str, int]]:
         least, left = b, left - sizes[b]
         if left <= 0:
             break
-    if least is None:
-        return []
-    top = counts.where(bucket >= least).select("word", "n").orderBy(F.desc("n"), "word").limit(size)
-    return [(r.word, r.n) for r in top.collect()]
+    return counts.where(bucket >= (0 if least is None else least)).select("word", "n").orderBy(F.desc("n"), "word").limit(size)
 
 
 def row_keys(df: DataFrame) -> dict:
