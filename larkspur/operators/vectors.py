@@ -1,4 +1,14 @@
-"""Exact cosine search, in blocks of stated queries against all vectors."""
+"""Exact cosine search as a join of blocks of vectors.
+
+Both sides are cut into blocks of neighbours: a vector goes to its nearest pivot (pivots
+are a bounded sample of the stored vectors; they shape the layout, never the results) and
+blocks are runs of one pivot in order of distance.  A block's pivot and its least and
+greatest distance bound, by the triangle inequality, how near any two vectors of two
+blocks can be.  Every block of queries meets a few blocks of its own pivot first; what its
+worst query has then found excludes most of the others, and only pairs of blocks that are
+left are multiplied.  Queries are dealt in groups, stored blocks stream past a group, and
+each task hands on ``k`` rows a query, so neither side is held, broadcast or collected.
+"""
 
 from __future__ import annotations
 
@@ -6,58 +16,186 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries whose vectors are sent to the executors at once.
-BLOCK = 4096
+from larkspur.sources.staged import staged
+
+#: Vectors of a block; pivots; blocks of its own pivot that a block of queries meets first.
+BLOCK, PIVOTS, SEEDS = 256, 256, 4
+#: Queries of a group, which a task holds, and stored blocks that stream past it there.
+GROUP, STREAM = 1 << 16, 1024
+#: Rows of an Arrow batch where a row is a block.
+BATCH = 64
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    m = np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, scoped: bool = False) -> DataFrame:
-    """(query_id, id, similarity, rank) for queries(query_id, embedding[, scope]).
+def _pivots(vectors: DataFrame) -> np.ndarray:
+    """At most one stored vector a block, ``PIVOTS`` at most, as unit rows."""
+    n = vectors.limit(BLOCK * PIVOTS).count()
+    some = vectors.orderBy(F.xxhash64("id"), "id").limit(max(1, -(-n // BLOCK))).collect()
+    found = _unit(np.array([r.v for r in some], dtype=float).reshape(len(some), -1))
+    return found[np.linalg.norm(found, axis=1) > 0.5] if len(found) else found
 
-    A batch of vectors is multiplied by a block of queries and keeps its best ``k`` each
-    by the rounded similarity and id, so at most k rows a query and batch are shuffled.  ``scoped``: only vectors(id,
-    embedding, scope) of the query's own scope.
+
+def _blocks(rows: DataFrame, pivots: np.ndarray, label: str, size: int) -> DataFrame:
+    """rows(id, v, scope) as staged blocks (block, pivot, low, high, n, ids, scopes, raw).
+
+    Vectors without length have pivot -1, as no distance bounds their similarity.
     """
-    spark, found = vectors.sparkSession, None
-    columns = ["query_id", "embedding", *(["scope"] if scoped else [])]
-    asked = queries.select(*columns).where("embedding is not null")
-    total = asked.count()
-    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-2 * total // BLOCK)))))
-    for (block,) in numbered.select("_block").distinct().orderBy("_block").collect():
-        rows = numbered.where(F.col("_block") == block).orderBy("query_id").collect()
-        sent = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.embedding for r in rows], dtype=float), [r.scope for r in rows] if scoped else None))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q, scopes = sent.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            for batch in batches:
-                if not batch.num_rows:
+    names = ["id", "v", "scope"]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = np.asarray(batch.column("v").flatten(), dtype=float).reshape(batch.num_rows, -1)
+            unit = _unit(m)
+            at, far = np.full(len(m), -1, np.int32), np.zeros(len(m))
+            real = np.linalg.norm(unit, axis=1) > 0.5
+            if len(pivots) and real.any():
+                sims = unit[real] @ pivots.T
+                at[real] = sims.argmax(axis=1)
+                far[real] = np.linalg.norm(unit[real] - pivots[at[real]], axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(at), pa.array(far)], [*names, "pivot", "far"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    placed = rows.select(*names).mapInArrow(assign, f"id {kinds['id']}, v {kinds['v']}, scope {kinds['scope']}, pivot int, far double")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        for batch in batches:
+            at = np.asarray(batch.column("pivot"))
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+            for first, last in zip(starts, [*starts[1:], len(at)]):
+                for low in range(first, last, size):
+                    part = batch.slice(low, min(size, last - low))
+                    part = part.take(pa.array(np.argsort(np.asarray(part.column("id")), kind="stable")))
+                    far, m = np.asarray(part.column("far")), np.asarray(part.column("v").flatten(), dtype=float)
+                    columns = [pa.array([number]), pa.array([int(at[first])], pa.int32()), pa.array([far.min()]), pa.array([far.max()]), pa.array([part.num_rows], pa.int32())]
+                    lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in ("id", "scope")]
+                    raw = _unit(m.reshape(part.num_rows, -1)).tobytes()
+                    yield pa.RecordBatch.from_arrays([*columns, *lists, pa.array([raw], pa.binary())], ["block", "pivot", "low", "high", "n", "ids", "scopes", "raw"])
+                    number += 1
+
+    schema = f"block long, pivot int, low double, high double, n int, ids array<{kinds['id']}>, scopes array<{kinds['scope']}>, raw binary"
+    return staged(placed.repartitionByRange("pivot", "far").sortWithinPartitions("pivot", "far").mapInArrow(cut, schema), label)
+
+
+def _best(rows: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, -sims, rows))
+    rows, sims, ids = rows[order], sims[order], ids[order]
+    first = np.searchsorted(rows, rows)
+    some = np.arange(len(rows)) - first < k
+    return rows[some], sims[some], ids[some]
+
+
+def _products(pairs: DataFrame, asked: DataFrame, stored: DataFrame, k: int, scoped: bool) -> DataFrame:
+    """Staged (block, query_id, id, similarity): the best ``k`` a query and task over
+    staged pairs(q, s) of blocks."""
+    total = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = max(1, -(-total // GROUP))
+    group = F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int")
+    listed = staged(pairs.groupBy("s", group.alias("g")).agg(F.collect_list("q").alias("qs")), "block-pairs")
+    salts = max(1, -(-listed.count() // (groups * STREAM)))
+    salt = F.pmod(F.xxhash64("s"), F.lit(salts)).cast("int")
+    met = stored.select(F.col("block").alias("s"), "ids", "scopes", "raw").join(listed, "s").select("g", salt.alias("t"), F.lit(1).alias("kind"), "s", "qs", "ids", "scopes", "raw")
+    held = asked.select(F.col("block").alias("q"), "ids", "scopes", "raw").join(pairs.select("q").distinct(), "q", "left_semi")
+    held = held.select(group.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("t"), F.lit(0).alias("kind"), F.col("q").alias("s"), F.array().cast("array<bigint>").alias("qs"), "ids", "scopes", "raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, queries = None, {}
+
+        def out():
+            for block, (ids, _, _, found, _) in queries.items():
+                rows, sims, near = found
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), pa.array(ids[rows]), pa.array(near), pa.array(sims)], ["block", "query_id", "id", "similarity"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("g", "t", "kind", "s", "qs", "raw")]
+            ids_, scopes_ = batch.column("ids"), batch.column("scopes")
+            for i, (g, t, kind, s, qs, raw) in enumerate(zip(*columns)):
+                if (g, t) != now:
+                    yield from out()
+                    now, queries = (g, t), {}
+                ids = np.asarray(ids_[i].values)
+                m = np.frombuffer(raw).reshape(len(ids), -1)
+                scopes = np.array(scopes_[i].as_py(), object) if scoped else None
+                if kind == 0:
+                    queries[s] = [ids, m, scopes, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)), np.full(len(ids), -np.inf)]
                     continue
-                batch = batch.take(pa.array(np.argsort(np.asarray(batch.column("id")), kind="stable")))
-                sims = np.round(q @ _matrix(batch.column("embedding")).T, 6)
-                if scopes is not None:
-                    sims = np.where(np.array(scopes, object)[:, None] == np.array(batch.column("scope").to_pylist(), object)[None, :], sims, -np.inf)
-                n = min(k, sims.shape[1])
-                edge = -np.partition(-sims, n - 1, axis=1)[:, n - 1 : n]
-                row, col = np.nonzero((sims >= edge) & (sims > -np.inf))
-                order = np.lexsort((col, -sims[row, col], row))  # ties of the last place by id
-                row, col = row[order], col[order]
-                first = np.searchsorted(row, np.arange(len(ids)))
-                some = np.arange(len(row)) - first[row] < k
-                row, col = row[some], col[some]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row], pa.int64()), batch.column("id").take(pa.array(col)), pa.array(sims[row, col])], ["query_id", "id", "similarity"])
-
-        part = vectors.select("id", "embedding", *(["scope"] if scoped else [])).where("embedding is not null").mapInArrow(search, "query_id long, id long, similarity double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
+                for q in qs:
+                    state = queries[q]
+                    sims = np.round(state[1] @ m.T, 6)
+                    if scoped:
+                        sims = np.where(state[2][:, None] == scopes[None, :], sims, -np.inf)
+                    n = min(k, sims.shape[1])
+                    edge = np.maximum(-np.partition(-sims, n - 1, axis=1)[:, n - 1], state[4])
+                    row, col = np.nonzero((sims >= edge[:, None]) & (sims > -np.inf))
+                    rows, near, held_ids = state[3]
+                    state[3] = _best(np.r_[rows, row], np.r_[near, sims[row, col]], np.r_[held_ids, ids[col]], k)
+                    last = np.bincount(state[3][0], minlength=len(state[0]))
+                    full = np.flatnonzero(last == k)
+                    state[4][full] = state[3][1][np.cumsum(last)[full] - 1]
+        yield from out()
+
+    spark = pairs.sparkSession
+    conf, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(conf, BATCH)  # a row is a block here
+    try:
+        every = met.unionByName(held).repartition("g", "t").sortWithinPartitions("g", "t", "kind")
+        return staged(every.mapInArrow(run, "block long, query_id long, id long, similarity double"), "block-products")
+    finally:
+        spark.conf.set(conf, before)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, scoped: bool = False, pairs: list | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank) for queries(query_id, embedding[, scope]).
+
+    Best by the similarity rounded to six digits, then id.  ``scoped``: only vectors(id,
+    embedding, scope) of the query's own scope.  ``pairs`` is given (pairs of blocks that
+    were multiplied, all pairs).
+    """
+    scope = F.col("scope") if scoped else F.lit(0)
+    asked = queries.where("embedding is not null").select(F.col("query_id").alias("id"), F.col("embedding").alias("v"), scope.alias("scope"))
+    stored = vectors.where("embedding is not null").select("id", F.col("embedding").alias("v"), scope.alias("scope"))
+    pivots = _pivots(stored)
+    ablocks, sblocks = (_blocks(x, pivots, label, BLOCK) for x, label in ((asked, "query-blocks"), (stored, "vector-blocks")))
+    ahead = ablocks.select(F.col("block").alias("q"), F.col("pivot").alias("p"), F.col("low").alias("a1"), F.col("high").alias("a2"))
+    shead = sblocks.select(F.col("block").alias("s"), "pivot", F.col("low").alias("b1"), F.col("high").alias("b2"))
+    gap = F.greatest(F.col("b1") - F.col("a2"), F.col("a1") - F.col("b2"), F.lit(0.0))
+    order = Window.partitionBy("q").orderBy(gap, F.col("b2") - F.col("b1"), "s")
+    near = ahead.join(shead, F.col("p") == F.col("pivot")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SEEDS)
+    first = staged(near.select("q", "s"), "seed-pairs")
+    found = _products(first, ablocks, sblocks, k, scoped)
+    best = _ranked(found.select("query_id", "id", "similarity", "block"), k)
+    kth = best.where(F.col("rank") == k).groupBy("block").agg(F.min("similarity").alias("floor"), F.count("*").alias("full"))
+    # how far a vector may be that still enters: with less than k found so far, any
+    reach = ablocks.select(F.col("block").alias("q"), "n").join(kth.withColumnRenamed("block", "q"), "q", "left")
+    reach = reach.select("q", F.when(F.col("full") == F.col("n"), F.sqrt(F.greatest(2 - 2 * (F.col("floor") - 1e-6), F.lit(0.0))) + 1e-7).otherwise(3.0).alias("reach"))
+    apart = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2) if len(pivots) else np.zeros((0, 0))
+    table = queries.sparkSession.createDataFrame([(i, j, float(d)) for i, row in enumerate(apart) for j, d in enumerate(row)], "p int, pivot int, d double")
+    routes = ahead.join(F.broadcast(table), "p")
+    routes = routes.join(reach, "q").select("q", "pivot", (F.col("d") - F.col("a2") - F.col("reach")).alias("from"), (F.col("d") + F.col("a2") + F.col("reach")).alias("to"))
+    meets = (routes["pivot"] == shead["pivot"]) & (F.col("b2") >= F.col("from")) & (F.col("b1") <= F.col("to"))
+    rest = routes.join(shead, meets).select("q", "s")
+    loose = ahead.where("p < 0").select("q", F.explode(F.array(*[F.lit(i) for i in range(-1, len(pivots))])).alias("pivot"))
+    loose = loose.unionByName(ahead.where("p >= 0").select("q", F.lit(-1).alias("pivot")))
+    rest = rest.unionByName(loose.join(shead, "pivot").select("q", "s"))
+    rest = staged(rest.join(first, ["q", "s"], "left_anti"), "block-pairs-left")
+    if pairs is not None:
+        pairs[:] = [first.count() + rest.count(), ablocks.count() * sblocks.count()]
+    if rest.limit(1).count():
+        found = found.unionByName(_products(rest, ablocks, sblocks, k, scoped))
+    return _ranked(found.select("query_id", "id", "similarity"), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
