@@ -26,6 +26,8 @@ from larkspur.sources.staged import staged
 BLOCK, PIVOTS, SEEDS = 256, 256, 4
 #: Queries of a group, which a task holds, and stored blocks that stream past it there.
 GROUP, STREAM = 1 << 16, 1024
+#: Stands for no id.
+NONE = np.iinfo(np.int64).max
 #: Rows of an Arrow batch where a row is a block.
 BATCH = 64
 
@@ -38,8 +40,10 @@ def _pivots(vectors: DataFrame) -> np.ndarray:
     """At most one stored vector a block, ``PIVOTS`` at most, as unit rows."""
     n = vectors.limit(BLOCK * PIVOTS).count()
     some = vectors.orderBy(F.xxhash64("id"), "id").limit(max(1, -(-n // BLOCK))).collect()
+    if not some:
+        return np.zeros((0, 1))
     found = _unit(np.array([r.v for r in some], dtype=float).reshape(len(some), -1))
-    return found[np.linalg.norm(found, axis=1) > 0.5] if len(found) else found
+    return found[np.linalg.norm(found, axis=1) > 0.5]
 
 
 def _blocks(rows: DataFrame, pivots: np.ndarray, label: str, size: int) -> DataFrame:
@@ -94,9 +98,12 @@ def _best(rows: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[
     return rows[some], sims[some], ids[some]
 
 
-def _products(pairs: DataFrame, asked: DataFrame, stored: DataFrame, k: int, scoped: bool) -> DataFrame:
+def _products(pairs: DataFrame, asked: DataFrame, stored: DataFrame, k: int, scoped: bool, floor: float = -np.inf, earlier: bool = False, first: bool = False) -> DataFrame:
     """Staged (block, query_id, id, similarity): the best ``k`` a query and task over
-    staged pairs(q, s) of blocks."""
+    staged pairs(q, s) of blocks, of those at or over ``floor``.
+
+    ``earlier``: only ids below the query's.  ``first``: the least id in place of the best.
+    """
     total = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = max(1, -(-total // GROUP))
     group = F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int")
@@ -111,8 +118,11 @@ def _products(pairs: DataFrame, asked: DataFrame, stored: DataFrame, k: int, sco
         now, queries = None, {}
 
         def out():
-            for block, (ids, _, _, found, _) in queries.items():
+            for block, (ids, _, _, found, least) in queries.items():
                 rows, sims, near = found
+                if first:
+                    rows = np.flatnonzero(least < NONE)
+                    sims, near = np.ones(len(rows)), least[rows]
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), pa.array(ids[rows]), pa.array(near), pa.array(sims)], ["block", "query_id", "id", "similarity"])
 
@@ -127,16 +137,24 @@ def _products(pairs: DataFrame, asked: DataFrame, stored: DataFrame, k: int, sco
                 m = np.frombuffer(raw).reshape(len(ids), -1)
                 scopes = np.array(scopes_[i].as_py(), object) if scoped else None
                 if kind == 0:
-                    queries[s] = [ids, m, scopes, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)), np.full(len(ids), -np.inf)]
+                    queries[s] = [ids, m, scopes, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)), np.full(len(ids), NONE) if first else np.full(len(ids), -np.inf)]
                     continue
                 for q in qs:
                     state = queries[q]
                     sims = np.round(state[1] @ m.T, 6)
                     if scoped:
                         sims = np.where(state[2][:, None] == scopes[None, :], sims, -np.inf)
+                    if earlier:
+                        sims = np.where(ids[None, :] < state[0][:, None], sims, -np.inf)
+                    if first:  # ids of a block rise
+                        row = np.flatnonzero((sims >= floor).any(axis=1))
+                        near = ids[(sims[row] >= floor).argmax(axis=1)]
+                        better = near < state[4][row]
+                        state[4][row[better]] = near[better]
+                        continue
                     n = min(k, sims.shape[1])
                     edge = np.maximum(-np.partition(-sims, n - 1, axis=1)[:, n - 1], state[4])
-                    row, col = np.nonzero((sims >= edge[:, None]) & (sims > -np.inf))
+                    row, col = np.nonzero((sims >= np.maximum(edge, floor)[:, None]) & (sims > -np.inf))
                     rows, near, held_ids = state[3]
                     state[3] = _best(np.r_[rows, row], np.r_[near, sims[row, col]], np.r_[held_ids, ids[col]], k)
                     last = np.bincount(state[3][0], minlength=len(state[0]))
@@ -154,44 +172,73 @@ def _products(pairs: DataFrame, asked: DataFrame, stored: DataFrame, k: int, sco
         spark.conf.set(conf, before)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, scoped: bool = False, pairs: list | None = None) -> DataFrame:
+def _routes(ahead: DataFrame, shead: DataFrame, pivots: np.ndarray, reach: DataFrame) -> DataFrame:
+    """Pairs (q, s) of blocks with vectors that may be nearer than reach(q, reach)."""
+    apart = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
+    table = ahead.sparkSession.createDataFrame([(i, j, float(d)) for i, row in enumerate(apart) for j, d in enumerate(row)], "p int, pivot int, d double")
+    routes = ahead.join(F.broadcast(table), "p").join(reach, "q")
+    routes = routes.select("q", "pivot", (F.col("d") - F.col("a2") - F.col("reach")).alias("from"), (F.col("d") + F.col("a2") + F.col("reach")).alias("to"))
+    meets = (routes["pivot"] == shead["pivot"]) & (F.col("b2") >= F.col("from")) & (F.col("b1") <= F.col("to"))
+    loose = ahead.where("p < 0").select("q", F.explode(F.array(*[F.lit(i) for i in range(-1, len(pivots))])).alias("pivot"))
+    loose = loose.unionByName(ahead.where("p >= 0").select("q", F.lit(-1).alias("pivot")))
+    return routes.join(shead, meets).select("q", "s").unionByName(loose.join(shead, "pivot").select("q", "s"))
+
+
+def _reach(similarity):
+    """Greatest distance of unit vectors at or over a similarity rounded to six digits."""
+    return F.sqrt(F.greatest(2 - 2 * (similarity - 1e-6), F.lit(0.0))) + 1e-7
+
+
+def _heads(ablocks: DataFrame, sblocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ahead = ablocks.select(F.col("block").alias("q"), F.col("pivot").alias("p"), F.col("low").alias("a1"), F.col("high").alias("a2"))
+    return ahead, sblocks.select(F.col("block").alias("s"), "pivot", F.col("low").alias("b1"), F.col("high").alias("b2"))
+
+
+def first_within(rows: DataFrame, floor: float) -> DataFrame:
+    """(id, first): for rows(id, embedding) the least id of an earlier one at or over
+    ``floor``; rows without any are left out.  One row a row, however many are near."""
+    given = rows.where("embedding is not null").select("id", F.col("embedding").alias("v"), F.lit(0).alias("scope"))
+    pivots = _pivots(given)
+    blocks = _blocks(given, pivots, "row-blocks", BLOCK)
+    ahead, shead = _heads(blocks, blocks.select(*blocks.columns))
+    reach = ahead.select("q", _reach(F.lit(floor)).alias("reach"))
+    pairs = staged(_routes(ahead, shead, pivots, reach), "block-pairs-left")
+    found = _products(pairs, blocks, blocks, 1, False, floor, True, True)
+    return found.groupBy(F.col("query_id").alias("id")).agg(F.min("id").alias("first"))
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, scoped: bool = False, pairs: list | None = None, floor: float | None = None, earlier: bool = False) -> DataFrame:
     """(query_id, id, similarity, rank) for queries(query_id, embedding[, scope]).
 
     Best by the similarity rounded to six digits, then id.  ``scoped``: only vectors(id,
-    embedding, scope) of the query's own scope.  ``pairs`` is given (pairs of blocks that
-    were multiplied, all pairs).
+    embedding, scope) of the query's own scope; ``floor``: only those at or over it;
+    ``earlier``: only ids below the query's.  ``pairs`` is given (pairs of blocks that were
+    multiplied, all pairs).
     """
+    least = -np.inf if floor is None else floor
     scope = F.col("scope") if scoped else F.lit(0)
     asked = queries.where("embedding is not null").select(F.col("query_id").alias("id"), F.col("embedding").alias("v"), scope.alias("scope"))
     stored = vectors.where("embedding is not null").select("id", F.col("embedding").alias("v"), scope.alias("scope"))
     pivots = _pivots(stored)
     ablocks, sblocks = (_blocks(x, pivots, label, BLOCK) for x, label in ((asked, "query-blocks"), (stored, "vector-blocks")))
-    ahead = ablocks.select(F.col("block").alias("q"), F.col("pivot").alias("p"), F.col("low").alias("a1"), F.col("high").alias("a2"))
-    shead = sblocks.select(F.col("block").alias("s"), "pivot", F.col("low").alias("b1"), F.col("high").alias("b2"))
+    ahead, shead = _heads(ablocks, sblocks)
     gap = F.greatest(F.col("b1") - F.col("a2"), F.col("a1") - F.col("b2"), F.lit(0.0))
     order = Window.partitionBy("q").orderBy(gap, F.col("b2") - F.col("b1"), "s")
     near = ahead.join(shead, F.col("p") == F.col("pivot")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SEEDS)
     first = staged(near.select("q", "s"), "seed-pairs")
-    found = _products(first, ablocks, sblocks, k, scoped)
+    found = _products(first, ablocks, sblocks, k, scoped, least, earlier)
     best = _ranked(found.select("query_id", "id", "similarity", "block"), k)
     kth = best.where(F.col("rank") == k).groupBy("block").agg(F.min("similarity").alias("floor"), F.count("*").alias("full"))
     # how far a vector may be that still enters: with less than k found so far, any
     reach = ablocks.select(F.col("block").alias("q"), "n").join(kth.withColumnRenamed("block", "q"), "q", "left")
-    reach = reach.select("q", F.when(F.col("full") == F.col("n"), F.sqrt(F.greatest(2 - 2 * (F.col("floor") - 1e-6), F.lit(0.0))) + 1e-7).otherwise(3.0).alias("reach"))
-    apart = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2) if len(pivots) else np.zeros((0, 0))
-    table = queries.sparkSession.createDataFrame([(i, j, float(d)) for i, row in enumerate(apart) for j, d in enumerate(row)], "p int, pivot int, d double")
-    routes = ahead.join(F.broadcast(table), "p")
-    routes = routes.join(reach, "q").select("q", "pivot", (F.col("d") - F.col("a2") - F.col("reach")).alias("from"), (F.col("d") + F.col("a2") + F.col("reach")).alias("to"))
-    meets = (routes["pivot"] == shead["pivot"]) & (F.col("b2") >= F.col("from")) & (F.col("b1") <= F.col("to"))
-    rest = routes.join(shead, meets).select("q", "s")
-    loose = ahead.where("p < 0").select("q", F.explode(F.array(*[F.lit(i) for i in range(-1, len(pivots))])).alias("pivot"))
-    loose = loose.unionByName(ahead.where("p >= 0").select("q", F.lit(-1).alias("pivot")))
-    rest = rest.unionByName(loose.join(shead, "pivot").select("q", "s"))
+    far = F.lit(3.0) if floor is None else _reach(F.lit(floor))
+    reach = reach.select("q", F.when(F.col("full") == F.col("n"), F.least(_reach(F.col("floor")), far)).otherwise(far).alias("reach"))
+    rest = _routes(ahead, shead, pivots, reach)
     rest = staged(rest.join(first, ["q", "s"], "left_anti"), "block-pairs-left")
     if pairs is not None:
         pairs[:] = [first.count() + rest.count(), ablocks.count() * sblocks.count()]
     if rest.limit(1).count():
-        found = found.unionByName(_products(rest, ablocks, sblocks, k, scoped))
+        found = found.unionByName(_products(rest, ablocks, sblocks, k, scoped, least, earlier))
     return _ranked(found.select("query_id", "id", "similarity"), k)
 
 
