@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import entity_slug
+from larkspur.sources.staged import staged
 
 
 def build(facts: DataFrame) -> DataFrame:
@@ -20,9 +21,60 @@ def build(facts: DataFrame) -> DataFrame:
     return df.withColumn("valid_until", F.lead("ingested").over(order)).drop("_before")
 
 
+#: Facts and probes of a key from which its time is cut into pieces of about so many.
+PIECE = 100_000
+
+
 def as_of(facts: DataFrame, asked: DataFrame) -> DataFrame:
-    """Facts that hold at asked(query_id, subject, at): valid_from <= at < valid_until."""
-    return asked.join(facts, "subject").where((F.col("valid_from") <= F.col("at")) & (F.col("valid_until").isNull() | (F.col("at") < F.col("valid_until"))))
+    """Facts that hold at asked(query_id, subject, at): valid_from <= at < valid_until.
+
+    A sweep: facts and probes of a subject and predicate are sorted by time, and every
+    probe sees the last fact before it.  Frequent keys are cut into pieces of time, which
+    hand the last fact on to the next; range partitions and windows share one order, so
+    nothing is shuffled twice.  Facts that reach into the next one's time (none, where
+    ``build`` made them in order) leave the sweep and meet their subject's probes by join;
+    facts without a beginning or of no length never hold.
+    """
+    rest = [c for c in facts.columns if c != "subject"]
+    fact = facts.select("subject", F.col("predicate").alias("_p"), F.col("valid_from").alias("_t"), F.lit(0).alias("_kind"), F.struct(*rest).alias("_fact"), F.lit(None).cast(asked.schema["query_id"].dataType).alias("_query")).where("_t is not null and (_fact.valid_until is null or _fact.valid_until > _t)")
+    probes = asked.select("query_id", "subject", "at").where("at is not null")
+    each = probes.join(facts.select("subject", F.col("predicate").alias("_p")).distinct(), "subject")
+    probe = each.select("subject", "_p", F.col("at").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(fact.schema["_fact"].dataType).alias("_fact"), F.col("query_id").alias("_query"))
+    rows = staged(fact.unionByName(probe), "as-of-rows")
+    place = F.col("_t").cast("timestamp").cast("double")
+    # at most one key in PIECE of the rows is so frequent
+    hot = rows.groupBy("subject", "_p").agg(F.count("*").alias("_n"), F.min(place).alias("_low"), F.max(place).alias("_high")).where(F.col("_n") > PIECE)
+    hot = hot.select(F.struct("subject", "_p").alias("_k"), F.ceil(F.col("_n") / PIECE).alias("_pieces"), "_low", "_high")
+    piece = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((place - F.col("_low")) / (F.col("_high") - F.col("_low")) * F.col("_pieces")), F.col("_pieces") - 1))
+    cut = rows.join(hot, F.struct("subject", "_p").eqNullSafe(F.col("_k")), "left").select(*rows.columns, F.coalesce(piece, F.lit(0)).cast("long").alias("_piece"))
+    keys, order = ["subject", "_p", "_piece"], ["_t", "_kind"]
+    ranged = cut.repartitionByRange(*keys).sortWithinPartitions(*keys, *order)
+    stream = Window.partitionBy(*keys).orderBy(*order)
+    begins = F.when(F.col("_kind") == 0, F.col("_t"))
+    back = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(begins, ignorenulls=True).over(back)  # backwards, as frames that end at the last row are summed anew a row
+    swept = staged(ranged.withColumn("_after", after), "as-of-swept")
+    # what a piece hands to its neighbours: a row a piece
+    heads = swept.groupBy(*keys).agg(F.min(begins).alias("_first"))
+    following = Window.partitionBy("subject", "_p").orderBy(F.desc("_piece")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = heads.select(F.struct("subject", "_p").alias("_k"), F.col("_piece").alias("_of"), F.last("_first", ignorenulls=True).over(following).alias("_next"))
+    ahead = ahead.where("_next is not null")
+    met = swept.join(ahead, F.struct("subject", "_p").eqNullSafe(F.col("_k")) & (F.col("_piece") == F.col("_of")), "left").withColumn("_after", F.coalesce("_after", "_next")).drop("_k", "_of", "_next")
+    until = F.col("_fact.valid_until")
+    loose = (F.col("_kind") == 0) & F.col("_after").isNotNull() & (until.isNull() | (until > F.col("_after")))
+    met = staged(met.withColumn("_loose", F.coalesce(loose, F.lit(False))), "as-of-marked")
+    kept = met.where("not _loose")
+    last = F.last("_fact", ignorenulls=True).over(stream.rowsBetween(Window.unboundedPreceding, 0))
+    seen = kept.repartitionByRange(*keys).sortWithinPartitions(*keys, *order).withColumn("_seen", last).where("_kind = 1")
+    ends = kept.where("_kind = 0").groupBy(*keys).agg(F.max_by("_fact", "_t").alias("_end"))
+    spans = heads.select(*keys).join(ends, keys, "left")
+    carried = F.last("_end", ignorenulls=True).over(Window.partitionBy("subject", "_p").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    carry = spans.select(F.struct("subject", "_p").alias("_k"), F.col("_piece").alias("_of"), carried.alias("_carried")).where("_carried is not null")
+    seen = seen.join(carry, F.struct("subject", "_p").eqNullSafe(F.col("_k")) & (F.col("_piece") == F.col("_of")), "left")
+    found = seen.withColumn("_seen", F.coalesce("_seen", "_carried")).select(F.col("_query").alias("query_id"), "subject", F.col("_t").alias("at"), "_seen.*")
+    open_ = met.where("_loose").select("subject", "_fact.*")
+    holds = (F.col("valid_from") <= F.col("at")) & (F.col("valid_until").isNull() | (F.col("at") < F.col("valid_until")))
+    return found.where(holds).unionByName(probes.join(open_, "subject").where(holds))
 
 
 def search(facts: DataFrame, subject: str | None = None, predicate: str | None = None, part: str | None = None, limit: int = 50) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import chunking, lexicons, stems
 from larkspur.functions import text as X
-from larkspur.operators import catalog, composites, evaluation, fusion, knowledge, lexical, memory, text_index, vectors
+from larkspur.operators import batches, catalog, composites, evaluation, fusion, ingest, knowledge, lexical, memory, text_index, vectors
 from larkspur.sources import formats
 from larkspur.sources.staged import fresh
 from larkspur.streaming import access
@@ -62,7 +62,8 @@ def query(sql: str | None = None, *tables: str):
             views = ", ".join(f"{n} AS ({s.format(**{t: t for t in _TABLES})})" for n, s in BASE.items() if n in sql)
             body = sql.strip()
             if views:
-                body = f"WITH {views}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views} {body}"
+                head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(h)), "")
+                body = f"{head or 'WITH '}{views}{',' if head else ''} {body[len(head):]}"
             ORACLE_SQL[f.__name__] = body
         return f
 
@@ -503,6 +504,17 @@ def pending_embeddings(corpus):
     return catalog.pending(docs, docs.where("doc_id % 2 = 0").select("hash", F.lit(0).alias("seq"))).select("hash", "path")
 
 
+@query("""WITH RECURSIVE p AS (SELECT sha256(body) AS hash, min(path) AS path, max(octet_length(encode(body)))::BIGINT AS bytes FROM corpus GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY path, hash) - 1 AS pos FROM p),
+r AS (SELECT pos, hash, 0::BIGINT AS batch, 1 AS k, bytes AS held FROM n WHERE pos = 0
+  UNION ALL SELECT n.pos, n.hash, batch + (k >= 64 OR held + bytes > 100000)::INT, CASE WHEN k >= 64 OR held + bytes > 100000 THEN 1 ELSE k + 1 END, CASE WHEN k >= 64 OR held + bytes > 100000 THEN bytes ELSE held + bytes END FROM r JOIN n ON n.pos = r.pos + 1)
+SELECT hash, pos, batch FROM r""", "corpus")
+def embedding_batches(corpus):
+    """Contents in batches of 64 texts and 100,000 bytes for an embedder."""
+    contents = catalog.contents(catalog.addressed(corpus)).withColumn("bytes", F.col("bytes").cast("long"))
+    return batches.batched(contents, ("path", "hash"), "bytes", 64, 100_000).select("hash", "pos", "batch")
+
+
 @query("WITH h AS (SELECT *, sha256(body) AS h FROM corpus) SELECT DISTINCT h AS hash FROM h WHERE h NOT IN (SELECT h FROM h WHERE active)", "corpus")
 def orphan_content(corpus):
     docs = catalog.addressed(corpus)
@@ -1035,6 +1047,22 @@ def memory_store_near(embeddings):
     return new.select("id", F.lit(None).cast("long").alias("stored_id"), F.lit(None).cast("double").alias("similarity")).unionByName(near)
 
 
+@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS id, a.vec_id % 350 AS t, b.embedding FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id % 350),
+p AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, a.t = b.t AS same FROM e a, e b WHERE a.id % 7 <> 0 AND (b.id % 7 = 0 OR b.id < a.id)),
+q AS (SELECT * FROM p WHERE same OR similarity >= 0.3), nb AS (SELECT id, list(other) AS near FROM q GROUP BY id),
+n AS (SELECT id, row_number() OVER (ORDER BY id) AS i, coalesce(near, []) AS near FROM e LEFT JOIN nb USING (id) WHERE id % 7 <> 0),
+r(i, have) AS (SELECT 0::BIGINT, (SELECT list(id) FROM e WHERE id % 7 = 0) UNION ALL SELECT r.i + 1, CASE WHEN list_has_any(r.have, n.near) THEN r.have ELSE list_append(r.have, n.id) END FROM r JOIN n ON n.i = r.i + 1),
+k AS (SELECT unnest(have) AS other FROM r WHERE i = (SELECT max(i) FROM r)),
+d AS (SELECT id, other, similarity, same, row_number() OVER (PARTITION BY id ORDER BY same DESC, CASE WHEN same THEN other END, similarity DESC, other) AS place FROM q JOIN k USING (other))
+SELECT e.id, CASE WHEN d.id IS NULL THEN 'created' ELSE 'duplicate' END AS status, other AS duplicate_id, CASE WHEN NOT same THEN similarity END AS similarity FROM e LEFT JOIN (SELECT * FROM d WHERE place = 1) d USING (id) WHERE e.id % 7 <> 0""", "embeddings")
+def memory_store_ordered(embeddings):
+    """Texts with vectors come one after the other: created, or duplicates of which."""
+    vector = embeddings.select(F.col("vec_id").alias("_of"), "embedding")
+    rows = embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 350).alias("_of")).join(vector, "_of").select("id", F.concat(F.lit("memory "), F.col("_of").cast("string")).alias("text"), "embedding")
+    stored = rows.where("id % 7 = 0").withColumn("content_hash", memory.content_hash(F.col("text")))
+    return ingest.store_in_order(stored, rows.where("id % 7 <> 0"), NOW, 0.3)[1]
+
+
 @query("WITH c AS (SELECT id, text, length(text) <= 120 AS short, md5(lower(trim(text))) AS h FROM memories WHERE id % 3 <> 0), k AS (SELECT DISTINCT md5(lower(trim(text))) AS h FROM memories WHERE id % 3 = 0) SELECT id, CASE WHEN c.h IN (SELECT h FROM k) THEN 'duplicate' ELSE 'created' END AS status FROM c WHERE short", "memories")
 def memory_store_batch(memories):
     """A batch in chunks of 120 characters: what becomes of the texts of one chunk."""
