@@ -220,6 +220,13 @@ def fact_json(reply: Column) -> Column:
     return F.when(whole, F.struct(facts.alias("facts"), triples.alias("triples")))
 
 
+def grams(text: Column, size: int = 3) -> Column:
+    """Distinct pieces of ``size`` characters of the lower-cased text; none of a shorter one."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    starts = F.when(F.length(low) >= size, F.sequence(F.lit(1), F.length(low) - size + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(size))))
+
+
 def once(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import title
+from larkspur.functions.text import grams, title
+from larkspur.sources.staged import staged
 
 
 def addressed(docs: DataFrame) -> DataFrame:
@@ -133,6 +134,41 @@ def matching(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.where(F.col("path").rlike(regex) | F.concat_ws("/", "collection", "path").rlike(regex))
 
 
+def glob_pattern(pattern: Column) -> Column:
+    """``glob_regex`` of a column of patterns."""
+    quoted = F.regexp_replace(pattern, r"([.^$+{}\[\]()|\\])", r"\\$1")
+    marked = F.replace(F.replace(quoted, F.lit("**/"), F.lit("\x01")), F.lit("**"), F.lit("\x02"))
+    single = F.replace(F.replace(marked, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
+    return F.concat(F.lit("^"), F.replace(F.replace(single, F.lit("\x01"), F.lit("(?:.*/)?")), F.lit("\x02"), F.lit(".*")), F.lit("$"))
+
+
+def matching_many(docs: DataFrame, asked: DataFrame, most: int = 10_240, near: int = 3, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """((query_id, collection, path, outcome), (query_id, path, distance, rank)) for
+    asked(query_id, pattern): active documents(collection, path, body, active) that each
+    glob fits, ``too large`` over ``most`` bytes, and suggestions for globs without any.
+
+    A glob's literal parts are cut into pieces of three characters; the piece that the
+    fewest paths hold makes the join key, and the glob's regular expression is tried on
+    the paths that hold it alone.  Globs without such a piece meet all paths.
+    """
+    stored = docs.where("active").select("collection", "path", F.concat_ws("/", "collection", "path").alias("_full"), F.octet_length("body").alias("_bytes"))
+    pieces = F.split("pattern", r"[*?]+")
+    want = asked.where("pattern is not null").select("query_id", "pattern", glob_pattern(F.col("pattern")).alias("_regex"), F.array_distinct(F.flatten(F.transform(pieces, lambda x: grams(x)))).alias("_grams"))
+    held = stored.select("collection", "path", F.explode(grams(F.col("_full"))).alias("_gram"))
+    asked_grams = want.select("query_id", "pattern", F.explode("_grams").alias("_gram"))
+    held = staged(held.join(asked_grams.select("_gram").distinct(), "_gram", "left_semi"), "path-grams")
+    counts = held.groupBy("_gram").count()
+    rarest = asked_grams.join(counts, "_gram", "left").groupBy("query_id", "pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "_gram")).alias("r"))
+    keyed = want.join(rarest.select("query_id", "pattern", "r._gram"), ["query_id", "pattern"]).join(held, "_gram").join(stored, ["collection", "path"])
+    every = want.where(F.size("_grams") == 0).withColumn("_all", F.lit(1)).join(stored.withColumn("_all", F.lit(1)), "_all")
+    columns = ["query_id", "pattern", "_regex", "collection", "path", "_full", "_bytes"]
+    fits = F.expr("regexp_like(path, _regex) or regexp_like(_full, _regex)")
+    found = keyed.select(*columns).unionByName(every.select(*columns)).where(fits)
+    found = staged(found.select("query_id", "collection", "path", F.when(F.col("_bytes") > most, "too large").otherwise("ok").alias("outcome")), "glob-matches")
+    lost = want.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.col("pattern").alias("name"))
+    return found, similar(docs.where("active"), lost, near, k)
+
+
 def body_lines(docs: DataFrame, first: int = 1, most: int | None = None) -> DataFrame:
     """Docs with their body cut to lines from ``first`` on, numbered."""
     lines = F.split("body", "\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import entity_slug
+from larkspur.functions.text import entity_slug, grams
 from larkspur.sources.staged import staged
 
 
@@ -23,14 +23,31 @@ def build(facts: DataFrame) -> DataFrame:
 
 #: Facts and probes of a key from which its time is cut into pieces of about so many.
 PIECE = 100_000
+#: Facts of a subject from which its probes are answered by a sweep.
+MANY = 1000
 
 
 def as_of(facts: DataFrame, asked: DataFrame) -> DataFrame:
     """Facts that hold at asked(query_id, subject, at): valid_from <= at < valid_until.
 
-    A sweep: facts and probes of a subject and predicate are sorted by time, and every
-    probe sees the last fact before it.  Frequent keys are cut into pieces of time, which
-    hand the last fact on to the next; range partitions and windows share one order, so
+    Probes meet the facts of their subject, those of subjects with over ``MANY`` by a
+    sweep; results are the same either way.
+    """
+    many = staged(facts.groupBy("subject").count().where(F.col("count") > MANY).select("subject"), "many-facts")
+    probes = asked.select("query_id", "subject", "at")
+    if not many.limit(1).count():
+        return probes.join(facts, "subject").where(_HOLDS)
+    few = probes.join(facts.join(many, "subject", "left_anti"), "subject").where(_HOLDS)
+    return few.unionByName(_swept(facts.join(many, "subject", "left_semi"), probes))
+
+
+_HOLDS = "valid_from <= at and (valid_until is null or at < valid_until)"
+
+
+def _swept(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``as_of`` by a sweep: facts and probes of a subject and predicate are sorted by
+    time, and every probe sees the last fact before it.  Frequent keys are cut into pieces
+    of time, which hand the last fact on to the next; range partitions and windows share one order, so
     nothing is shuffled twice.  Facts that reach into the next one's time (none, where
     ``build`` made them in order) leave the sweep and meet their subject's probes by join;
     facts without a beginning or of no length never hold.
@@ -73,8 +90,7 @@ def as_of(facts: DataFrame, asked: DataFrame) -> DataFrame:
     seen = seen.join(carry, F.struct("subject", "_p").eqNullSafe(F.col("_k")) & (F.col("_piece") == F.col("_of")), "left")
     found = seen.withColumn("_seen", F.coalesce("_seen", "_carried")).select(F.col("_query").alias("query_id"), "subject", F.col("_t").alias("at"), "_seen.*")
     open_ = met.where("_loose").select("subject", "_fact.*")
-    holds = (F.col("valid_from") <= F.col("at")) & (F.col("valid_until").isNull() | (F.col("at") < F.col("valid_until")))
-    return found.where(holds).unionByName(probes.join(open_, "subject").where(holds))
+    return found.where(_HOLDS).unionByName(probes.join(open_, "subject").where(_HOLDS))
 
 
 def search(facts: DataFrame, subject: str | None = None, predicate: str | None = None, part: str | None = None, limit: int = 50) -> DataFrame:
@@ -138,15 +154,33 @@ def about(facts: DataFrame, asked: DataFrame) -> DataFrame:
     return want.join(facts.where("valid_until is null"), "subject").select("query_id", "id", "predicate", "object")
 
 
-def search_scoped(facts: DataFrame, asked: DataFrame, shared: str = "global", limit: int = 50) -> DataFrame:
+def search_scoped(facts: DataFrame, asked: DataFrame, shared: str = "global", limit: int = 50, met: list | None = None) -> DataFrame:
     """(query_id, id, rank): facts(scope, ...) for a table asked(query_id, subject, predicate,
     part, scope, at) whose nulls don't narrow: those of the own scope and of ``shared``,
-    open at ``at``, whose object holds ``part`` in any case; newest first."""
+    open at ``at``, whose object holds ``part`` in any case; newest first.
+
+    A query meets the facts of its subject; or else those whose object holds one piece of
+    three characters of ``part``, the rarest of them; or else those of its predicate; and
+    all of the scope only where it names nothing.  ``met`` is given the number of facts met.
+    """
     want = asked.select("query_id", entity_slug(F.col("subject")).alias("_subject"), F.lower("predicate").alias("_predicate"), F.lower("part").alias("_part"), F.col("scope").alias("_scope"), F.col("at").alias("_at"))
     want = want.withColumn("scope", F.explode(F.array_distinct(F.array("_scope", F.lit(shared).cast(asked.schema["scope"].dataType)))))
-    rows = facts.join(want, "scope").where(
-        (F.col("_subject").isNull() | (F.col("subject") == F.col("_subject")))
-        & (F.col("_predicate").isNull() | (F.col("predicate") == F.col("_predicate")))
+    way = F.when(F.col("_subject").isNotNull(), "subject").when(F.length("_part") >= 3, "part").when(F.col("_predicate").isNotNull(), "predicate").otherwise("scope")
+    want = staged(want.withColumn("_way", way), "scoped-queries")
+    pieces = want.where("_way = 'part'").select("query_id", "scope", F.explode(grams(F.col("_part"))).alias("_gram"))
+    held = facts.select("scope", "id", F.explode(grams(F.col("object"))).alias("_gram"))
+    held = staged(held.join(pieces.select("scope", "_gram").distinct(), ["scope", "_gram"], "left_semi"), "object-grams")
+    counts = held.groupBy("scope", "_gram").count()
+    rarest = pieces.join(counts, ["scope", "_gram"], "left").groupBy("query_id", "scope").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "_gram")).alias("r"))
+    keyed = rarest.select("query_id", "scope", "r._gram").join(held, ["scope", "_gram"]).select("query_id", "scope", "id")
+    rows = want.where("_way = 'subject'").join(facts, (want["scope"] == facts["scope"]) & (F.col("_subject") == F.col("subject"))).drop(want["scope"])
+    rows = rows.unionByName(want.where("_way = 'part'").join(keyed, ["query_id", "scope"]).join(facts, ["scope", "id"]))
+    rows = rows.unionByName(want.where("_way = 'predicate'").join(facts, (want["scope"] == facts["scope"]) & (F.col("_predicate") == F.col("predicate"))).drop(want["scope"]))
+    rows = rows.unionByName(want.where("_way = 'scope'").join(facts, "scope"))
+    if met is not None:
+        met[:] = [rows.count()]
+    rows = rows.where(
+        (F.col("_predicate").isNull() | (F.col("predicate") == F.col("_predicate")))
         & (F.col("_part").isNull() | F.contains(F.lower("object"), F.col("_part")))
         & (F.col("_at").isNull() | ((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("_at"))) & (F.col("valid_until").isNull() | (F.col("_at") < F.col("valid_until")))))
     )

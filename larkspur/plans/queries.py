@@ -174,6 +174,23 @@ def memory_or_search(memories, phrases):
     return lexical.top(lexical.bm25(memories, terms, {"text": 1.0, "category": 1.0}, "id"), 10, "id")
 
 
+@query(rf"""WITH q AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({_TOKENS.format('text')}) AS term FROM phrases) WHERE length(term) >= 2 AND term NOT IN {_STOP}),
+d AS (SELECT id AS doc_id, {_TOKENS.format('text')} AS a, {_TOKENS.format('category')} AS b FROM memories), sizes AS (SELECT doc_id, len(a) + len(b) AS dl FROM d),
+tok AS (SELECT doc_id, unnest(a) AS term FROM d UNION ALL SELECT doc_id, unnest(b) FROM d), post AS (SELECT doc_id, prefix AS term, count(*)::DOUBLE AS tf FROM tok JOIN (SELECT DISTINCT term AS prefix FROM q) ON starts_with(term, prefix) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS n FROM post GROUP BY 1), st AS (SELECT count(*) AS total, avg(dl) AS avgdl FROM sizes),
+idf AS (SELECT term, CASE WHEN ln((total - n + 0.5) / (n + 0.5)) > 0 THEN ln((total - n + 0.5) / (n + 0.5)) ELSE 1e-6 END AS idf, avgdl FROM df, st),
+raw AS (SELECT query_id, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS raw FROM q JOIN post USING (term) JOIN idf USING (term) JOIN sizes USING (doc_id) GROUP BY 1, 2),
+t AS (SELECT query_id, doc_id AS id, round(raw / (1 + raw), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw / (1 + raw), 6) DESC, doc_id) AS n FROM raw)
+SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t JOIN memories USING (id) WHERE n <= 100 AND (scope = query_id % 20 OR scope = 0)) WHERE rank <= 10""", "memories", "phrases")
+def memory_prefix_search(memories, phrases):
+    """Memories of the query's scope or the shared one by words that begin with any of its
+    terms, out of ten times as many over all scopes."""
+    terms = _whole(phrases).where((F.length("term") >= 2) & ~F.col("term").isin(*lexicons.MEMORY_STOP))
+    found = lexical.top(lexical.bm25(memories, terms, {"text": 1.0, "category": 1.0}, "id", prefixes=True), 100, "id").drop("rank")
+    own = found.join(memories.select("id", "scope"), "id").where((F.col("scope") == F.col("query_id") % 20) | (F.col("scope") == 0))
+    return lexical.top(own.select("query_id", "id", "score"), 10, "id")
+
+
 # Vectors ---------------------------------------------------------------------------
 
 _COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
@@ -563,6 +580,17 @@ def glob_match(corpus):
     return catalog.matching(corpus, "**/*1?.md").select("collection", "path")
 
 
+@query(r"""WITH a AS (SELECT DISTINCT split_part(path, '/', 1) AS lang, doc_id % 10 AS d, collection FROM corpus),
+g AS (SELECT collection || '/**/*' || d || '.md' AS pattern, '^' || collection || '/(?:.*/)?[^/]*' || d || '\.md$' AS regex FROM a UNION SELECT lang || '/?' || d || '.md', '^' || lang || '/[^/]' || d || '\.md$' FROM a UNION SELECT '*', '^[^/]*$' UNION SELECT lang || '/*.txt', '^' || lang || '/[^/]*\.txt$' FROM a)
+SELECT pattern AS query_id, collection, path, CASE WHEN octet_length(encode(body)) > 10240 THEN 'too large' ELSE 'ok' END AS outcome FROM g JOIN corpus ON regexp_matches(path, regex) OR regexp_matches(collection || '/' || path, regex) WHERE active""", "corpus")
+def multi_get_globs(corpus):
+    """A table of globs against all active documents."""
+    parts = corpus.select(F.element_at(F.split("path", "/"), 1).alias("lang"), (F.col("doc_id") % 10).cast("string").alias("d"), "collection").distinct()
+    globs = F.array(F.concat("collection", F.lit("/**/*"), "d", F.lit(".md")), F.concat("lang", F.lit("/?"), "d", F.lit(".md")), F.lit("*"), F.concat("lang", F.lit("/*.txt")))
+    asked = parts.select(F.explode(globs).alias("pattern")).distinct().select(F.col("pattern").alias("query_id"), "pattern")
+    return catalog.matching_many(corpus, asked)[0]
+
+
 @query("SELECT doc_id, '#' || substr(sha256(body), 1, 6) || ',' || printf('%.4f', (doc_id % 97) / 97.0) || ',' || path || ',' || CASE WHEN contains(substr(body, 1, 30), ',') OR contains(substr(body, 1, 30), '\"') OR contains(substr(body, 1, 30), chr(10)) THEN '\"' || replace(substr(body, 1, 30), '\"', '\"\"') || '\"' ELSE substr(body, 1, 30) END || ',' AS line FROM corpus", "corpus")
 def csv_results(corpus):
     rows = catalog.addressed(corpus).withColumns({"score": (F.col("doc_id") % 97) / 97, "title": F.substring("body", 1, 30), "context": F.lit(None).cast("string")})
@@ -950,13 +978,30 @@ f AS (SELECT query_id, id, sum(s) AS fused FROM b GROUP BY 1, 2), a AS (SELECT q
 found AS (SELECT query_id, id, tier, round(fused * CASE WHEN len(w) = 0 THEN 1.0 ELSE 1 + 0.4 * (len(list_filter(w, lambda x: contains(lower(m.text), x)))::DOUBLE / len(w)) END * pow(1.6, len(list_filter(ph, lambda x: contains(lower(m.text), x)))) * ({_SCORE}) * coalesce(1 + greatest(0, 0.4 * (1 - abs(created_at - target) / 86400000.0 / win)), 1), 6)::DOUBLE AS score FROM f JOIN a USING (query_id) JOIN memories m USING (id))"""
 
 
-@query(f"{_RECALL_ALL} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM found) WHERE rank <= 10", "memories", "phrases", "benchmark")
-def recall_search(memories, phrases, benchmark):
-    """Memories by words, vectors and time, fused, with all boosts."""
+def _recalled(memories, phrases, benchmark):
     lists = memory_or_search(memories, phrases), memory_vectors(memories, phrases), time_window_list(memories, benchmark)
     target = F.when(F.col("query_id") % 3 != 0, F.lit(NOW) - (F.col("query_id") % 40) * 86_400_000)
     asked = phrases.select("query_id", F.col("text").alias("query"), target.alias("target_ms"), (1 + F.col("query_id") % 7).alias("window_days"))
-    return composites.recall(composites.recall_search(memories, asked, *lists, NOW)).select("query_id", "id", "score", "rank")
+    return composites.recall_search(memories, asked, *lists, NOW)
+
+
+@query(f"{_RECALL_ALL} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM found) WHERE rank <= 10", "memories", "phrases", "benchmark")
+def recall_search(memories, phrases, benchmark):
+    """Memories by words, vectors and time, fused, with all boosts."""
+    return composites.recall(_recalled(memories, phrases, benchmark)).select("query_id", "id", "score", "rank")
+
+
+@query(f"{_RECALL_ALL} SELECT * FROM (SELECT query_id, id, tier, score, row_number() OVER (PARTITION BY query_id, tier ORDER BY score DESC, id) AS rank FROM found) WHERE rank <= 5", "memories", "phrases", "benchmark")
+def recall_search_tiered(memories, phrases, benchmark):
+    """As recall_search, the best five of every tier."""
+    return composites.recall_tiered(_recalled(memories, phrases, benchmark)).select("query_id", "id", "tier", "score", "rank")
+
+
+@query(f"{_RECALL_ALL}, own AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id, text ORDER BY score DESC, id) AS n FROM found JOIN memories USING (id) WHERE scope = query_id % 20 OR scope = 0) SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM own WHERE n = 1) WHERE rank <= 5", "memories", "phrases", "benchmark")
+def recall_search_auto(memories, phrases, benchmark):
+    """As recall_search, of the query's scope and the shared one, one memory a text."""
+    found = _recalled(memories, phrases, benchmark).drop("tier").withColumn("query_scope", F.col("query_id") % 20)
+    return composites.auto_recall(found.join(memories.select("id", "scope", "text"), "id")).select("query_id", "id", "score", "rank")
 
 
 @query(f"WITH k AS (SELECT *, {_RANK} FROM ({_KNN})), n AS (SELECT * FROM k WHERE rank <= 30) SELECT query_id, doc_id, similarity, seq, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM (SELECT query_id, id // 4 AS doc_id, max(similarity) AS similarity, min_by(id % 4, (-similarity, id % 4)) AS seq FROM n WHERE id // 4 % 5 <> 0 GROUP BY 1, 2)) WHERE rank <= 10", "embeddings")

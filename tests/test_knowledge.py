@@ -18,6 +18,7 @@ def _time(day):
 @pytest.mark.parametrize("piece,overlaps", [(100_000, False), (5, False), (5, True), (100_000, True)])
 def test_as_of_like_a_join(spark, monkeypatch, piece, overlaps):
     monkeypatch.setattr(knowledge, "PIECE", piece)
+    monkeypatch.setattr(knowledge, "MANY", 20 if piece == 5 else 0)
     rng = random.Random(piece + overlaps)
     facts = []
     for key in [("hot", "p")] * 12 + [("hot", "q"), ("cold", "p"), ("cold", None)]:
