@@ -1,13 +1,14 @@
 """Toxicity by weak supervision.
 
 Voters look for one thing each: lexicon voters hold words, pattern voters hold word
-beginnings, shouting, or calls.  Their lists are mined from labelled training rows.  A
-generative label model (two classes, EM) estimates every voter's rates in both classes
-and, from what its votes leave unexplained, the correlations between voters; a voter
-that others repeat counts for less.  A linear classifier on word and word-beginning
+beginnings, shouting, or calls.  Some hold fixed lists (``LEXICONS``), the others lists
+that are mined from labelled training rows, and the labels are one voter more.  A
+generative label model (two classes, EM, begun from the number of votes alone) estimates
+every voter's rates in both classes and, from what its votes leave unexplained, the
+correlations between voters; a voter that others repeat counts for less.  A linear classifier on word and word-beginning
 features is trained on the posterior labels, and scores every whole text.
 
-Features are the 20-bit hashes of a text's distinct words and their first 4, 5
+Features are the 20-bit hashes of a text's distinct words and their first 3, 4, 5
 and 6 letters.  Only labelled rows outside the held-out fifth are learned from, at most
 ``MAX_ROWS`` of them (those with the least hash of their id), so what reaches the
 driver is bounded; the model is a few thousand weights.  Ids, sources, languages and
@@ -38,12 +39,23 @@ from larkspur.llm.shared import text_of
 MAX_ROWS = 8000
 BITS = 20
 FOLDS = 5
+#: Votes from which a text is taken for toxic before the voters' rates are known.
+START = 3
+#: Letters of a word's beginnings that are features.
+BEGINNINGS = (3, 4, 5, 6)
 #: Features that the classifier weighs, and words or beginnings per mined voter list.
 FEATURES, LEXICON_VOTERS, PATTERN_VOTERS = 4096, 12, 8
 #: Standard errors by which a feature's log-odds must exceed zero to be mined, and what is
 #: added to the classifier's bias, toxic rows being few: the pair that does best on parts
 #: of the training rows that a fit has not seen.
 SURE, OFFSETS, PARTS = (3.0, 3.25, 3.5, 4.0), (0.0, 0.5, 1.0, 1.5), 3
+# Fixed word lists of voters that no label has a part in.
+LEXICONS = {
+    "insult": "idiot moron stupid dumb fool imbecile loser clown jerk dunce coward liar",
+    "contempt": "trash garbage scum filth vermin worthless pathetic disgusting useless ugly",
+    "hostility": "hate kill die hurt destroy threat shut",
+    "profanity": "damn crap bastard bitch ass shit fuck",
+}
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT, _CALL = re.compile(r"\b[^\W\d_a-zß-ÿ]{4,}\b"), re.compile(r"!!")
 
@@ -51,7 +63,7 @@ _SHOUT, _CALL = re.compile(r"\b[^\W\d_a-zß-ÿ]{4,}\b"), re.compile(r"!!")
 def features(word: str) -> tuple[int, ...]:
     """Hashes of the word and of its beginnings; the lowest bit tells words apart."""
     out = [zlib.crc32(b"w" + word.encode()) >> (32 - BITS) | 1]
-    for n in (4, 5, 6):
+    for n in BEGINNINGS:
         if len(word) > n:
             out.append((zlib.crc32(b"%d" % n + word[:n].encode()) >> (32 - BITS)) & ~1)
     return tuple(out)
@@ -192,11 +204,13 @@ def _fit(sample: _Sample, least: float) -> Model:
     for odd, voters in ((1, LEXICON_VOTERS), (0, PATTERN_VOTERS)):
         mined = enough[enough & 1 == odd][: FEATURES // 4]
         lists += [mined[k::voters] for k in range(voters) if len(mined[k::voters])]
-    votes = np.zeros((n, len(lists) + 2))
+    lists += [np.array([features(w)[0] for w in words.split()]) for words in LEXICONS.values()]
+    votes = np.zeros((n, len(lists) + 3))
     for j, members in enumerate(lists):
         votes[row[np.isin(column, members)], j] = 1
-    votes[:, -2:] = sample.flags
-    post, _, _ = label_model(votes, np.where(label == 1, 0.95, 0.05))
+    votes[:, -3:-1] = sample.flags
+    votes[:, -1] = label  # the labels are one voter among the others
+    post, _, _ = label_model(votes, np.where(votes.sum(axis=1) >= START, 0.9, 0.1))
     chosen = np.argsort(-sure, kind="stable")[:FEATURES]
     chosen = chosen[sure[chosen] > least]
     place = np.full(1 << BITS, -1)

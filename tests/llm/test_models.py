@@ -122,7 +122,7 @@ def test_toxicity_held_out(spark):
     out = toxicity.scores(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out").collect()
     hit = sum(r.predicted == r.toxic for r in out) / len(out)
     caught = sum(r.predicted for r in out if r.toxic) / sum(r.toxic for r in out)
-    assert hit > 0.96 and caught > 0.75
+    assert hit > 0.98 and caught >= 0.9
     assert sum(r.predicted for r in out if not r.toxic) <= 0.01 * len(out)
 
 
@@ -144,3 +144,31 @@ def test_label_model_discounts_copies():
     post, rates, weight = toxicity.label_model(votes, votes.mean(axis=1) > 0.5)
     assert weight[0] < 0.5 < weight[4] and ((post > 0.5) == truth).mean() > 0.9
     assert abs(rates[1][4] - 0.7) < 0.15
+
+
+def test_label_model_finds_planted_rates_and_correlations():
+    """Voters of known rates, two of which follow a third most of the time; no label is seen."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(20_000) < 0.15
+    planted = [(0.8, 0.05), (0.7, 0.02), (0.6, 0.1), (0.75, 0.04), (0.5, 0.03), (0.65, 0.05)]
+    votes = [np.where(truth, rng.random(len(truth)) < p, rng.random(len(truth)) < q) for p, q in planted]
+    follow = lambda v: np.where(rng.random(len(v)) < 0.8, v, rng.random(len(v)) < 0.2)
+    votes = np.stack([*votes, follow(votes[2]), follow(votes[2])], axis=1).astype(float)
+    post, rates, weight = toxicity.label_model(votes, np.where(votes.sum(axis=1) >= toxicity.START, 0.9, 0.1))
+    assert abs(post.mean() - truth.mean()) < 0.02 and ((post > 0.5) == truth).mean() > 0.97
+    for j, (p, q) in enumerate(planted):
+        assert abs(rates[1][j] - p) < 0.08 and abs(rates[0][j] - q) < 0.04, j
+    assert max(weight[[2, 6, 7]]) < 0.75 * min(weight[[0, 1, 3, 4, 5]])
+
+
+def test_scores_with_long_texts_and_clashing_columns(spark):
+    rng = np.random.default_rng(6)
+    filler = lambda: " ".join(f"{chr(97 + j % 26)}word{chr(97 + j // 26)}" for j in rng.integers(0, 300, 15))
+    rows = [(i, filler() + (" you " + " ".join(rng.choice(["stupid", "idiot", "moron", "scum"], 3)) if i % 4 == 0 else "")) for i in range(400)]
+    rows += [(490, "calm words " * 200_000), (491, None), (492, "")]
+    docs = spark.createDataFrame([(*r, "x", 1, True, 0.5, "t") for r in rows], "doc_id long, text string, _text string, _toxic int, held_out boolean, score double, features string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), "x") for i in range(400)], "doc_id long, toxic int, _text string")
+    out = {r.doc_id: r.predicted for r in toxicity.scores(docs, toxicity.train(docs, labels)).collect()}
+    assert len(out) == 403 and sum(out[i] == int(i % 4 == 0) for i in range(400)) > 390 and out[490] == 0
+    scored = lm_scoring.scored(docs.withColumnsRenamed({"score": "n_tokens", "features": "difference"}), spark.createDataFrame([(1, "calm words")], "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_tokens for r in scored}[490] == 400_000
