@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import chunking, lexicons, stems
 from larkspur.functions import text as X
-from larkspur.operators import batches, catalog, composites, evaluation, fusion, ingest, knowledge, lexical, memory, text_index, vectors
+from larkspur.operators import batches, catalog, composites, evaluation, fact_store, fusion, ingest, knowledge, lexical, memory, text_index, vectors
 from larkspur.sources import formats
 from larkspur.sources.staged import fresh
 from larkspur.streaming import access
@@ -477,6 +477,15 @@ def scd2_build(facts):
     return knowledge.build(facts).select("id", "subject", "predicate", "object", "valid_from", "valid_until")
 
 
+@query(f"WITH {_SCD} SELECT id, subject, predicate, object, valid_from, valid_until FROM kg", "facts")
+def kg_late_facts(facts):
+    """Facts that come in three batches, late ones last: intervals as of all at once."""
+    spark, path = facts.sparkSession, fresh(facts.sparkSession, "fact-store")
+    for number, part in enumerate((2, 0, 1)):
+        fact_store.put(facts.where(F.col("id") % 3 == part), path, number, 16)
+    return fact_store.current(spark, path).select("id", "subject", "predicate", "object", "valid_from", "valid_until")
+
+
 @query(f"WITH {_SCD}, a AS (SELECT c_custkey AS query_id, regexp_replace(trim(lower(c_name)), '[^a-z0-9]+', '_', 'g') AS subject, TIMESTAMP '1996-01-01' + INTERVAL 1 DAY * (c_custkey % 700) AS probe FROM customer) SELECT query_id, id, object FROM a JOIN kg USING (subject) WHERE valid_from <= probe AND (valid_until IS NULL OR probe < valid_until)", "facts", "customer")
 def kg_as_of(facts, customer):
     at = F.expr("timestamp_ntz '1996-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 700 as int))").cast(facts.schema["valid_from"].dataType)

@@ -34,3 +34,46 @@ def test_as_of_like_a_join(spark, monkeypatch, piece, overlaps):
     got = knowledge.as_of(spark.createDataFrame(facts, FACTS).repartition(3), spark.createDataFrame(asked, "query_id long, subject string, at timestamp"))
     want = [(q, f[0]) for q, s, at in asked for f in facts if at and f[1] == s and f[4] and f[4] <= at and (f[5] is None or at < f[5])]
     assert sorted((r.query_id, r.id) for r in got.collect()) == sorted(want) and want
+
+
+ASSERTED = "id long, subject string, predicate string, object string, valid_from timestamp, ingested timestamp"
+
+
+def _asserted(seed, n):
+    rng = random.Random(seed)
+    return [(i, f"S {rng.randrange(4)}", rng.choice(["p", "P", "q"]), rng.choice("abc"), _time(rng.randrange(50)), _time(rng.randrange(50))) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_late_facts_end_as_all_at_once(spark, tmp_path, seed):
+    from larkspur.operators import fact_store
+
+    rows, rng = _asserted(seed, 120), random.Random(seed)
+    want = sorted(map(str, knowledge.build(spark.createDataFrame(rows, ASSERTED)).collect()))
+    rng.shuffle(rows)
+    path, at, number = str(tmp_path / "facts"), 0, 0
+    while at < len(rows):
+        size = rng.choice([1, 20, 60])
+        for _ in range(rng.choice([1, 2])):  # some batches come twice
+            fact_store.put(spark.createDataFrame(rows[at : at + size], ASSERTED), path, number, 8)
+        at, number = at + size, number + 1
+    fact_store.put(spark.createDataFrame([], ASSERTED), path, number, 8)
+    got = fact_store.current(spark, path)
+    assert sorted(map(str, got.select("id", "subject", "predicate", "object", "valid_from", "ingested", "valid_until").collect())) == want
+    one = spark.createDataFrame([(999, "S 1", "p", "z", _time(60), _time(60))], ASSERTED)
+    fact_store.put(one, path, number + 1, 8)
+    assert len(list((tmp_path / "facts" / "facts" / f"version={number + 1}").glob("bucket=*"))) == 1
+
+
+def test_late_facts_of_a_stream(spark, tmp_path):
+    from larkspur.operators import fact_store
+
+    rows = _asserted(3, 60)
+    source, path, mark = (str(tmp_path / x) for x in ("in", "facts", "mark"))
+    for part in (rows[40:], rows[:40]):
+        spark.createDataFrame(part, ASSERTED).coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        stream = spark.readStream.schema(ASSERTED).option("maxFilesPerTrigger", 1).parquet(source)
+        fact_store.put_stream(stream, path, mark, 4).trigger(availableNow=True).start().awaitTermination()
+    want = knowledge.build(spark.createDataFrame(rows, ASSERTED)).collect()
+    assert {(r.id, r.valid_until) for r in fact_store.current(spark, path).collect()} == {(r.id, r.valid_until) for r in want}
