@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import chunking
 from larkspur.functions import text as X
 from larkspur.operators import fusion, lexical, memory
+from larkspur.sources.staged import staged
 
 
 def hybrid(lists: list[DataFrame], k: int = 10) -> DataFrame:
@@ -58,13 +60,36 @@ def auto_recall(found: DataFrame, k: int = 5) -> DataFrame:
     return lexical.top(once.select("query_id", "id", "text", "score"), k, "id")
 
 
-def hybrid_search(lists: list[DataFrame], docs: DataFrame, asked: DataFrame, scores: DataFrame | None = None, k: int = 10, candidates: int = 40, least: float = 0.0) -> DataFrame:
+#: What an intent term counts in a chunk, beside a query's word.
+INTENT = 0.5
+
+
+def best_chunks(hits: DataFrame, docs: DataFrame, asked: DataFrame, intent: str | None = None) -> DataFrame:
+    """(query_id, id, seq, pos, text, held): of each hit(query_id, id) the chunk of
+    docs(id, body) that holds most of the words of over two characters of asked(query_id,
+    query); terms of a column ``intent`` count a half; the first chunk of equal ones.
+
+    Documents are joined to the hits first, and each distinct one is cut once.
+    """
+    some = docs.select("id", "body").join(hits.select("id").distinct(), "id", "left_semi")
+    cut = chunking.chunked(some, "id").select("id", "seq", "pos", F.col("chunk").alias("text"))
+    words = F.filter(X.words(F.col("query")), lambda w: F.length(w) > 2)
+    want = asked.select("query_id", words.alias("_words"), (X.intent_terms(F.col(intent)) if intent else F.expr("cast(array() as array<string>)")).alias("_intent"))
+    held = X.contains_score(F.col("_words"), F.col("text")) + INTENT * F.coalesce(X.contains_score(F.col("_intent"), F.col("text")), F.lit(0))
+    rows = hits.select("query_id", "id").distinct().join(want, "query_id").join(cut, "id").withColumn("held", F.coalesce(held.cast("double"), F.lit(0.0)))
+    order = Window.partitionBy("query_id", "id").orderBy(F.desc("held"), "seq")
+    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_id", "id", "seq", "pos", "text", "held")
+
+
+def hybrid_search(lists: list[DataFrame], docs: DataFrame, asked: DataFrame, scores: DataFrame | None = None, k: int = 10, candidates: int = 40, least: float = 0.0, reranker=None, intent: str | None = None) -> DataFrame:
     """(query_id, id, fused, score, rank): whole documents for ``asked(query_id, query)``.
 
     ``lists(query_id, id, rank)``, word searches first, are fused (the first two that
     hold rows weigh 2); the keyword and phrase boosts of ``docs(id, body)`` order the
     candidates; ``scores(query_id, id, score)`` of a reranker, 0 where missing, are blended
-    in by place.  Without them the score is one over the place.
+    in by place; in their place a ``reranker`` makes them of (query_id, id, query, text),
+    text being the candidate's best chunk for the query and its ``intent`` column.  Without
+    either the score is one over the place.
     """
     every = None
     for n, ranked in enumerate(lists):
@@ -74,6 +99,9 @@ def hybrid_search(lists: list[DataFrame], docs: DataFrame, asked: DataFrame, sco
     rows = fused.join(asked.select("query_id", "query"), "query_id").join(docs.select("id", "body"), "id")
     boosted = F.col("score") * X.keyword_boost(F.col("query"), F.col("body")) * X.phrase_boost(F.col("query"), F.col("body"))
     found = lexical.top(rows.select("query_id", "id", F.round(boosted, 6).alias("fused")), candidates, "id", "fused")
+    if reranker is not None:
+        found = staged(found, "candidates")
+        scores = reranker(best_chunks(found, docs, asked, intent).join(asked.select("query_id", "query"), "query_id"))
     if scores is None:
         out = found.withColumn("score", F.round(1 / F.col("rank"), 6))
     else:

@@ -294,7 +294,8 @@ def search(spark: SparkSession, path: str, terms: DataFrame, k: int, key: str =
     rest = staged(rest.select("query_id", "generation", "block"), "blocks-left")
     if read is not None:
         read[:] = [bound.count(), rest.count() + placed.where(F.col("_place") <= SEEDS).count()]
-    return top(seeds.unionByName(scored(rest)), k, key)
+    # staged, as the union of two such results would else be taken for partitioned by query
+    return staged(top(seeds.unionByName(scored(rest)), k, key), "search-results")
 
 
 def phrase_hits(spark: SparkSession, path: str, phrases: DataFrame, field: int, key: str = "doc_id") -> DataFrame:

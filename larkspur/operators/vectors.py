@@ -239,7 +239,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, scoped: bool = False
         pairs[:] = [first.count() + rest.count(), ablocks.count() * sblocks.count()]
     if rest.limit(1).count():
         found = found.unionByName(_products(rest, ablocks, sblocks, k, scoped, least, earlier))
-    return _ranked(found.select("query_id", "id", "similarity"), k)
+    return staged(_ranked(found.select("query_id", "id", "similarity"), k), "nearest")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

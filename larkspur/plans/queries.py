@@ -457,13 +457,11 @@ def chunk_documents(corpus):
 
 @query(None, "corpus", "phrases")
 def best_chunk(corpus, phrases):
-    """The chunk of each candidate that holds most of the query's terms."""
-    hits = lexical.top(lexical.bm25(_titled(corpus), _terms(phrases, 8)), 10)
-    asked = phrases.select("query_id", F.filter(F.slice(X.tokens(F.col("text")), 1, 8), lambda t: F.length(t) > 2).alias("terms"))
-    rows = hits.join(asked, "query_id").join(chunking.chunked(corpus, "doc_id"), "doc_id")
-    scored = rows.withColumn("held", X.contains_score(F.col("terms"), F.col("chunk")))
-    order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("held"), "seq")
-    return scored.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_id", "doc_id", "rank", "seq", "pos", "held")
+    """The chunk of each candidate that holds most of the query's words."""
+    hits = _searched(_titled(corpus), _terms(phrases, 8), 10).select("query_id", F.col("doc_id").alias("id"), "rank")
+    docs = corpus.select(F.col("doc_id").alias("id"), "body")
+    found = composites.best_chunks(hits, docs, phrases.withColumnRenamed("text", "query"))
+    return hits.join(found, ["query_id", "id"]).select("query_id", F.col("id").alias("doc_id"), "rank", "seq", "pos", "held")
 
 
 # Knowledge -------------------------------------------------------------------------
@@ -962,6 +960,19 @@ def hybrid_search_plain(corpus, phrases, embeddings):
     return composites.hybrid_search(lists, docs, phrases.withColumnRenamed("text", "query"), least=0.15)
 
 
+@query(None, "corpus", "phrases", "embeddings")
+def hybrid_search_chunks(corpus, phrases, embeddings):
+    """As hybrid_search, reranked by how many of the query's words a candidate's best chunk holds."""
+    lists = [document_search(corpus, phrases).withColumnRenamed("doc_id", "id"), _document_vectors(corpus, phrases, embeddings)]
+    docs = corpus.select(F.col("doc_id").alias("id"), "body")
+
+    def share(pairs: DataFrame) -> DataFrame:
+        terms = F.array_distinct(X.words(F.col("query")))
+        return pairs.select("query_id", "id", (X.contains_score(terms, F.col("text")) / F.greatest(F.size(terms), F.lit(1))).alias("score"))
+
+    return composites.hybrid_search(lists, docs, phrases.withColumnRenamed("text", "query"), reranker=share)
+
+
 @query(f"WITH r AS (SELECT query_id, 0 AS list_no, doc_id AS id, rank FROM ({ORACLE_SQL['document_search']}) UNION ALL SELECT query_id, 1, doc_id, rank FROM ({ORACLE_SQL['bm25_negation']}) UNION ALL SELECT query_id, 2, id, rank FROM ({_VEC})), w AS (SELECT *, CASE WHEN list_no = min(list_no) OVER (PARTITION BY query_id) THEN 2.0 ELSE 1.0 END AS weight FROM r), f AS (SELECT query_id, id, round(sum(weight / (60 + rank)) + {_BONUS}, 6)::DOUBLE AS score FROM w GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10", "corpus", "phrases", "embeddings")
 def structured_vectors(corpus, phrases, embeddings):
     """Two typed word searches and a vector search, fused."""
