@@ -215,9 +215,9 @@ def _dead(spark: SparkSession, path: str, key: str) -> DataFrame | None:
 
 
 def _live(rows: DataFrame, dead: DataFrame | None, key: str, *more: str) -> DataFrame:
-    """Postings of block rows, one a document, without the void ones."""
-    kept = [c for c in ("term", "generation", "block", *more) if c in rows.columns]
-    each = rows.select(*kept, F.inline(F.arrays_zip("ids", "tfs", "dls", "places"))).select(*kept, F.col("ids").alias(key), F.col("tfs").alias("tf"), F.col("dls").alias("dl"), "places")
+    """Postings of block rows, one a document, without the void ones; ``more``: places."""
+    kept = ["term", "generation", "block"]
+    each = rows.select(*kept, F.inline(F.arrays_zip("ids", "tfs", "dls", *more))).select(*kept, F.col("ids").alias(key), F.col("tfs").alias("tf"), F.col("dls").alias("dl"), *more)
     if dead is None:
         return each
     void = dead.select(F.col(key).alias("_void"), "before")
@@ -243,7 +243,7 @@ def opened(spark: SparkSession, path: str, terms: DataFrame, key: str = "doc_id"
 
 def postings(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """(term, generation, block, key, tf, dl, places): all live postings."""
-    return _live(_read(spark, path, None, key), _dead(spark, path, key), key)
+    return _live(_read(spark, path, None, key), _dead(spark, path, key), key, "places")
 
 
 def search(spark: SparkSession, path: str, terms: DataFrame, k: int, key: str = "doc_id", match_all: bool = False, barred: DataFrame | None = None, read: list | None = None) -> DataFrame:
@@ -314,7 +314,7 @@ def phrase_hits(spark: SparkSession, path: str, phrases: DataFrame, field: int,
     blocks = heads.groupBy("query_id", "generation", "block").agg(F.count("*").alias("met")).join(distinct, "query_id").where("met = terms")
     blocks = staged(blocks.select("query_id", "generation", "block", "terms"), "phrase-blocks")
     full = rows.join(_small(blocks.select("generation", "block").distinct()), ["generation", "block"], "left_semi")
-    each = _live(full, _dead(spark, path, key), key).join(terms, "term").join(blocks, ["query_id", "generation", "block"])
+    each = _live(full, _dead(spark, path, key), key, "places").join(terms, "term").join(blocks, ["query_id", "generation", "block"])
     low, high = field * FIELD, (field + 1) * FIELD
     placed = each.withColumn("places", F.filter("places", lambda p: (p >= low) & (p < high)))
     starts = placed.select("query_id", key, "terms", F.explode("offsets").alias("offset"), "size", "places").select("query_id", key, "size", F.transform("places", lambda p: p - F.col("offset")).alias("starts"))

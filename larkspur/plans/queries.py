@@ -106,20 +106,20 @@ def _terms(phrases: DataFrame, n: int) -> DataFrame:
 @query(f"WITH q AS (SELECT DISTINCT query_id, unnest(list_slice({_TOKENS.format('text')}, 1, 8)) AS term FROM phrases), {_BM25} " + _TOP.format("SELECT query_id, doc_id, round(raw / (1 + raw), 6) AS score FROM raw", 10), "corpus", "phrases")
 def bm25_topk(corpus, phrases):
     """Ten best documents by any of a query's first eight terms."""
-    return _searched(_titled(corpus), _terms(phrases, 8), 10)
+    return lexical.top(lexical.bm25(_titled(corpus), _terms(phrases, 8)), 10)
 
 
 @query(f"WITH q AS (SELECT DISTINCT query_id, unnest(list_slice({_TOKENS.format('text')}, 1, 3)) AS term FROM phrases), {_BM25}, asked AS (SELECT query_id, count(*) AS asked FROM q GROUP BY 1) " + _TOP.format("SELECT query_id, doc_id, round(raw / (1 + raw), 6) AS score FROM raw JOIN asked USING (query_id) WHERE held = asked", 10), "corpus", "phrases")
 def bm25_all_terms(corpus, phrases):
     """As bm25_topk, of the documents that hold every one of three terms."""
-    return _searched(_titled(corpus), _terms(phrases, 3), 10, match_all=True)
+    return lexical.top(lexical.bm25(_titled(corpus), _terms(phrases, 3), match_all=True), 10)
 
 
 @query(f"WITH q AS (SELECT DISTINCT query_id, unnest(list_slice({_TOKENS.format('text')}, 1, 4)) AS term FROM phrases), {_BM25}, neg AS (SELECT query_id, list_extract({_TOKENS.format('text')}, 5) AS term FROM phrases) " + _TOP.format("SELECT query_id, doc_id, round(raw / (1 + raw), 6) AS score FROM raw WHERE NOT EXISTS (SELECT 1 FROM neg JOIN post USING (term) WHERE neg.query_id = raw.query_id AND post.doc_id = raw.doc_id)", 10), "corpus", "phrases")
 def bm25_negation(corpus, phrases):
     """Documents with any of four terms but without the fifth."""
     without = phrases.select("query_id", F.get(X.tokens(F.col("text")), 4).alias("term")).where("term is not null")
-    return _searched(_titled(corpus), _terms(phrases, 4), 10, barred=without)
+    return lexical.top(lexical.bm25(_titled(corpus), _terms(phrases, 4), barred=without), 10)
 
 
 @query(rf"WITH q AS (SELECT query_id, list_slice({_TOKENS.format('text')}, 1, 4) AS t FROM phrases), d AS (SELECT doc_id, {_TOKENS.format('body')} AS c FROM corpus), s AS (SELECT query_id, doc_id, t, c, unnest(range(1, len(c) - 2)) AS i FROM q JOIN d ON list_contains(c, t[1]) AND list_contains(c, t[4])) SELECT query_id, doc_id, count(*) AS n FROM s WHERE c[i] = t[1] AND c[i + 1] = t[2] AND c[i + 2] = t[3] AND c[i + 3] = t[4] GROUP BY 1, 2", "corpus", "phrases")
@@ -458,7 +458,7 @@ def chunk_documents(corpus):
 @query(None, "corpus", "phrases")
 def best_chunk(corpus, phrases):
     """The chunk of each candidate that holds most of the query's words."""
-    hits = _searched(_titled(corpus), _terms(phrases, 8), 10).select("query_id", F.col("doc_id").alias("id"), "rank")
+    hits = bm25_topk(corpus, phrases).select("query_id", F.col("doc_id").alias("id"), "rank")
     docs = corpus.select(F.col("doc_id").alias("id"), "body")
     found = composites.best_chunks(hits, docs, phrases.withColumnRenamed("text", "query"))
     return hits.join(found, ["query_id", "id"]).select("query_id", F.col("id").alias("doc_id"), "rank", "seq", "pos", "held")
