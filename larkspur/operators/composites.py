@@ -69,10 +69,12 @@ def best_chunks(hits: DataFrame, docs: DataFrame, asked: DataFrame, intent: str
     docs(id, body) that holds most of the words of over two characters of asked(query_id,
     query); terms of a column ``intent`` count a half; the first chunk of equal ones.
 
-    Documents are joined to the hits first, and each distinct one is cut once.
+    Documents are joined to the hits first, and each distinct one is cut once; a column
+    ``path`` of the documents lets source code be cut at its declarations.
     """
-    some = docs.select("id", "body").join(hits.select("id").distinct(), "id", "left_semi")
-    cut = chunking.chunked(some, "id").select("id", "seq", "pos", F.col("chunk").alias("text"))
+    path = "path" if "path" in docs.columns else None
+    some = docs.select("id", "body", *([path] if path else [])).join(hits.select("id").distinct(), "id", "left_semi")
+    cut = chunking.chunked(some, "id", path=path).select("id", "seq", "pos", F.col("chunk").alias("text"))
     words = F.filter(X.words(F.col("query")), lambda w: F.length(w) > 2)
     want = asked.select("query_id", words.alias("_words"), (X.intent_terms(F.col(intent)) if intent else F.expr("cast(array() as array<string>)")).alias("_intent"))
     held = X.contains_score(F.col("_words"), F.col("text")) + INTENT * F.coalesce(X.contains_score(F.col("_intent"), F.col("text")), F.lit(0))

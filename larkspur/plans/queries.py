@@ -33,6 +33,17 @@ BASE = {
     "facts": """SELECT o_orderkey AS id, c_name AS subject, 'Priority' AS predicate, o_orderpriority AS object, o_orderdate AS valid_from, o_orderdate AS ingested
       FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "corpus": """SELECT doc_id, source AS collection, concat(lang, '/', CAST(doc_id AS VARCHAR(20)), '.md') AS path, text AS body, doc_id % 7 <> 0 AS active FROM {documents}""",
+    "code_files": """SELECT doc_id, concat('src/', id, CASE k WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' WHEN 3 THEN '.rs' WHEN 4 THEN '.js' ELSE '.txt' END) AS path, k, head, first, second, concat(head, first, second) AS body FROM (
+      SELECT doc_id, k, id, CASE k WHEN 0 THEN concat('/* ', t, ' */', nl) WHEN 1 THEN concat(q, q, q, t, q, q, q, nl) WHEN 2 THEN concat('package main', nl, nl, 'var text = `', t, '`', nl)
+        WHEN 3 THEN concat('/* /* ', t, ' */ {{ */', nl) WHEN 4 THEN concat('const text = `', t, '$', '{{ [1].map((x) => x) }}`;', nl) ELSE concat('class A {{ }} ', t, nl) END AS head,
+      CASE k WHEN 0 THEN concat('export async function load', id, '(a: {{ b: string }}) {{', nl, '  return `', t, '`;', nl, '}}', nl)
+        WHEN 1 THEN concat('@cached(key=(1,', nl, '  2))', nl, 'class C', id, ':', nl, '    note = ', q, q, q, t, q, q, q, nl)
+        WHEN 2 THEN concat('func (c *C', id, ') Run(a int) error {{', nl, '  /* ', t, ' */', nl, '  return nil', nl, '}}', nl)
+        WHEN 3 THEN concat('#[derive(Debug)] pub struct S', id, ';', nl)
+        WHEN 4 THEN concat('class C', id, ' {{', nl, '  static async run(a) {{', nl, '    return 1 /* ', t, ' */', nl, '  }}', nl, '}}', nl) ELSE 'def a(): pass' END AS first,
+      CASE k WHEN 0 THEN concat('interface I', id, ' {{ text: string; run(): void }}', nl) WHEN 1 THEN concat('    async def run(self): pass', nl) WHEN 2 THEN concat('type T', id, ' struct {{ A int }}', nl)
+        WHEN 3 THEN concat('impl S', id, ' {{', nl, '    fn run(&self) {{ let t = r#', q, t, q, '#; }}', nl, '}}', nl) WHEN 4 THEN concat('const f', id, ' = async (a) => {{ /* ', t, ' */ }};', nl) ELSE '' END AS second
+      FROM (SELECT doc_id, doc_id % 6 AS k, CAST(doc_id AS VARCHAR(20)) AS id, chr(10) AS nl, chr(34) AS q, translate(coalesce(text, ''), concat('*/`$', chr(34), chr(39), chr(92)), '') AS t FROM {documents}) raw) parts""",
     "phrases": """SELECT item_id AS query_id, text FROM {benchmark}""",
     "lists": """SELECT item_id AS query_id, list_no, (item_id * 13 + list_no * 7 + n * 5) % 40 AS id, n + 1 AS rank
       FROM {benchmark}, (SELECT CAST(o_orderkey % 3 AS INT) AS list_no, CAST(o_orderkey % 8 AS INT) AS n FROM {orders} GROUP BY 1, 2) t WHERE NOT (item_id % 5 = 0 AND list_no = 0)""",
@@ -455,6 +466,18 @@ def chunk_documents(corpus):
     return chunking.chunked(corpus, "doc_id").select("doc_id", "seq", "pos", F.sha2("chunk", 256).alias("chunk_hash"))
 
 
+@query("WITH f AS (SELECT doc_id, k, length(head) AS a, length(head) + length(first) AS b, length(doc_id::VARCHAR) AS n FROM code_files), p AS (SELECT doc_id, unnest(CASE k WHEN 0 THEN [(a, 90), (a + 7, 90), (b, 100)] WHEN 1 THEN [(a, 90), (a + 22, 100), (b + 4, 90)] WHEN 2 THEN [(a, 90), (b, 80)] WHEN 3 THEN [(a + 17, 100), (b, 100), (b + n + 13, 90)] WHEN 4 THEN [(a, 100), (a + n + 12, 90), (b, 90)] ELSE [] END) AS p FROM f) SELECT doc_id, p[1]::INT AS pos, p[2]::INT AS worth FROM p", "code_files")
+def syntax_breaks(code_files):
+    """Declarations in source files that hold the documents in their strings and comments."""
+    return chunking.declarations(code_files, "doc_id", "path")
+
+
+@query(None, "code_files")
+def syntax_chunks(code_files):
+    """The same files cut at declarations as well as at breaks of text."""
+    return chunking.chunked(code_files, "doc_id", path="path").select("doc_id", "seq", "pos", F.sha2("chunk", 256).alias("chunk_hash"))
+
+
 @query(None, "corpus", "phrases")
 def best_chunk(corpus, phrases):
     """The chunk of each candidate that holds most of the query's words."""

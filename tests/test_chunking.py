@@ -3,7 +3,7 @@ import re
 from collections import defaultdict
 
 from larkspur.functions import chunking
-from larkspur.plans.queries import QUERIES
+from larkspur.plans.queries import QUERIES, load
 
 
 def test_token_chunks(spark):
@@ -45,9 +45,32 @@ def test_chunks_are_cut_where_the_score_is_best(spark, sf):
 
 def test_best_chunk_holds_most_terms(spark, sf):
     texts = {r.doc_id: r.text for r in _table(spark, sf, "documents", "doc_id", "text")}
-    asked = {r.item_id: [w for w in re.findall(r"[^\W_]+", r.text.lower())[:8] if len(w) > 2] for r in _table(spark, sf, "benchmark", "item_id", "text")}
+    asked = {r.item_id: [w for w in re.split(r"[ \t\n\x0b\f\r]+", r.text.lower()) if len(w) > 2] for r in _table(spark, sf, "benchmark", "item_id", "text")}
     rows = QUERIES["best_chunk"](spark, sf).collect()
     assert rows
     for r in rows:
         held = [sum(w in chunk.lower() for w in asked[r.query_id]) for _, chunk in chunking.chunks(texts[r.doc_id])]
         assert r.held == max(held) and r.seq == held.index(max(held))
+
+
+def test_syntax_chunks_are_cut_where_the_score_is_best(spark, sf):
+    """Every cut of the made source files, found again by trying all points; those of
+    declarations come from the query that is compared with SQL."""
+    bodies = {r.doc_id: r.body for r in load(spark, sf, "code_files").collect()}
+    points = {k: dict(chunking.break_points(t)) for k, t in bodies.items()}
+    for r in QUERIES["syntax_breaks"](spark, sf).collect():
+        points[r.doc_id][r.pos] = max(r.worth, points[r.doc_id].get(r.pos, 0))
+    rows = defaultdict(list)
+    for r in QUERIES["syntax_chunks"](spark, sf).collect():
+        rows[r.doc_id].append((r.seq, r.pos, r.chunk_hash))
+    assert rows.keys() == bodies.keys()
+    for doc, text in bodies.items():
+        at = 0
+        for n, pos, digest in sorted(rows[doc]):
+            target = pos + chunking.SIZE
+            near = sorted((p, w) for p, w in points[doc].items() if target - chunking.WINDOW <= p <= target and not any(a < p < b for a, b in chunking.fences(text)))
+            stop = max(near, key=lambda x: x[1] * (1 - ((target - x[0]) / chunking.WINDOW) ** 2 * 0.7))[0] if near else target
+            stop = len(text) if len(text) - pos <= chunking.SIZE else stop
+            assert pos == at and hashlib.sha256(text[pos:stop].encode()).hexdigest() == digest, (doc, n)
+            at = stop - chunking.OVERLAP
+        assert stop == len(text)
