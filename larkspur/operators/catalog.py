@@ -182,6 +182,14 @@ def missing_contexts(docs: DataFrame, rules: DataFrame) -> DataFrame:
     return tops.join(rules.select("collection", F.split(F.regexp_replace("prefix", "^/", ""), "/")[0].alias("folder")), ["collection", "folder"], "left_anti")
 
 
+def without_contexts(collections: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(collection, docs): collections without any rule(collection, ...), each with its
+    number of active documents; empty collections too."""
+    bare = collections.select("collection").distinct().join(rules.select("collection"), "collection", "left_anti")
+    counts = docs.where("active").groupBy("collection").agg(F.count("*").alias("docs"))
+    return bare.join(counts, "collection", "left").select("collection", F.coalesce("docs", F.lit(0)).alias("docs"))
+
+
 def upserted(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """``current`` with the rows of ``incoming`` in place of those with their collection
     and path; rows that come in are active.  Of several for one path the largest
@@ -243,6 +251,34 @@ def removed(docs: DataFrame, content: DataFrame, collection: str) -> tuple[DataF
     return kept, content.join(kept.select("hash"), "hash", "left_semi")
 
 
+def created(collections: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``collections(collection, path, pattern, include_by_default, update)`` with the new
+    ones of ``incoming``, and what became of each row(collection, path, outcome).
+
+    Names are letters, digits, ``_`` and ``-`` (``bad name`` otherwise, null too); one that
+    is taken stays as it is (``exists``); of several rows of one name the first by path is
+    made, the others ``exist`` then.  Missing settings take their defaults.
+    """
+    first = Window.partitionBy("collection").orderBy(F.asc_nulls_last("path"))
+    taken = collections.select("collection", F.lit(True).alias("_taken")).distinct()
+    rows = incoming.withColumn("_n", F.row_number().over(first)).join(taken, "collection", "left")
+    outcome = F.when(~F.coalesce(F.rlike("collection", F.lit(r"\A[A-Za-z0-9_-]+\z")), F.lit(False)), "bad name").when(F.col("_taken") | (F.col("_n") > 1), "exists").otherwise("created")
+    rows = rows.withColumn("outcome", outcome)
+    given = lambda c, default: F.coalesce(F.col(c), default).alias(c) if c in incoming.columns else default.alias(c)
+    made = rows.where("outcome = 'created'").select("collection", "path", given("pattern", F.lit("**/*.md")), given("include_by_default", F.lit(True)), given("update", F.lit(None).cast("string")))
+    return collections.unionByName(made), rows.select("collection", "path", "outcome")
+
+
+def configured(collections: DataFrame, settings: DataFrame) -> DataFrame:
+    """``collections`` with the settings(collection, include_by_default, update) that are not
+    null; an empty ``update`` takes the command away.  Of several rows of one collection
+    the largest values count; unknown collections are passed over."""
+    last = settings.groupBy("collection").agg(F.max("include_by_default").alias("_include"), F.max("update").alias("_update"))
+    rows = collections.join(last, "collection", "left")
+    update = F.when(F.col("_update") == "", F.lit(None)).otherwise(F.coalesce("_update", "update"))
+    return rows.withColumns({"include_by_default": F.coalesce("_include", "include_by_default"), "update": update}).select(*collections.columns)
+
+
 def purged(docs: DataFrame) -> DataFrame:
     """Documents without the inactive ones."""
     return docs.where("active")

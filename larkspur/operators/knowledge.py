@@ -129,6 +129,35 @@ def profiles(facts: DataFrame) -> DataFrame:
     return out.select("subject", "n_open", F.array_join(F.transform("lines", lambda x: x["line"]), "; ").alias("profile"))
 
 
+def consolidated(facts: DataFrame, least: int = 2) -> DataFrame:
+    """(subject, kind, text, category, importance): memories that sum up every subject
+    with ``least`` open facts or more.
+
+    A ``profile`` names each predicate with its distinct objects, in order of the first
+    fact that says so; a ``timeline`` tells the dated ones by date, where there are two or
+    more.  Equal objects are folded before a subject's lines meet.  Null objects are left
+    out of profiles and end the line of a timeline early.
+    """
+    open_ = facts.where("valid_until is null")
+    shown = F.replace("subject", F.lit("_"), F.lit(" "))
+    said = F.replace("predicate", F.lit("_"), F.lit(" "))
+    counts = open_.groupBy("subject").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("subject")
+    once = open_.groupBy("subject", "predicate", "object").agg(F.min("id").alias("id"))
+    lists = once.groupBy("subject", "predicate").agg(F.array_sort(F.collect_list(F.struct("id", "object"))).alias("_objects"))
+    line = F.concat(said, F.lit(": "), F.array_join(F.transform("_objects", lambda x: x["object"]), ", "))
+    lines = lists.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("predicate", line.alias("line")))).alias("_lines"))
+
+    def told(kind: str, head: str):
+        return F.concat(F.lit(f"[entity-{head}:"), "subject", F.lit("] "), kind, F.lit("."))
+
+    profile = F.concat(shown, F.lit(". "), F.array_join(F.transform("_lines", lambda x: x["line"]), ". "))
+    dated = F.concat(F.lit("["), F.date_format("valid_from", "d MMMM, yyyy"), F.lit("] "), F.concat_ws(" ", shown, said, "object"))
+    times = open_.where("valid_from is not null").groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("valid_from", "predicate", "id", dated.alias("line")))).alias("_lines")).where(F.size("_lines") >= 2)
+    made = lines.select("subject", F.lit("profile").alias("kind"), told(profile, "summary").alias("text"))
+    made = made.unionByName(times.select("subject", F.lit("timeline").alias("kind"), told(F.array_join(F.transform("_lines", lambda x: x["line"]), ". "), "timeline").alias("text")))
+    return made.join(counts, "subject", "left_semi").select("subject", "kind", "text", F.lit("entity").alias("category"), F.lit(0.85).alias("importance"))
+
+
 def injected(hits: DataFrame, asked: DataFrame, facts: DataFrame, weak: float = 0.5, most: int = 5) -> DataFrame:
     """(query_id, source, id, score): hits(query_id, id, score), and for queries whose best
     score is under ``weak`` the newest open facts, ``most`` at most, about the one to three

@@ -258,6 +258,14 @@ def merged(matches: DataFrame) -> DataFrame:
     return matches.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
 
 
+def best_files(matches: DataFrame, least: float = 0.3, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, similarity, rank): matches(query_id, doc_id, similarity) of all
+    sub-queries of a query, one per document, ``k`` at most of those at ``least`` or over."""
+    best = matches.where(F.col("similarity") >= least).groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def scope_normalised(matches: DataFrame) -> DataFrame:
     """1 / (60 + rank in scope), where a query's matches are from several scopes."""
     n = F.size(F.collect_set("scope").over(Window.partitionBy("query_id")))

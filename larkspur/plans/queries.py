@@ -239,6 +239,14 @@ def subquery_max_merge(embeddings):
     return vectors.merged(near.withColumn("query_id", F.floor(F.col("query_id") / 200)))
 
 
+@query(f"WITH k AS (SELECT *, {_RANK} FROM ({_KNN})), s AS (SELECT query_id, doc_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS place FROM (SELECT query_id, id // 4 AS doc_id, max(similarity) AS similarity FROM k WHERE rank <= 30 GROUP BY 1, 2)) WHERE place <= 10), f AS (SELECT (query_id // 300)::BIGINT AS query_id, doc_id, max(similarity) AS similarity FROM s WHERE similarity >= 0.3 GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM f) WHERE rank <= 10", "embeddings")
+def subquery_best_files(embeddings):
+    """Three sub-queries a query, each searched by chunks; files over a floor, once each."""
+    chunks = embeddings.select(F.col("vec_id").alias("id"), F.expr("vec_id div 4").alias("doc_id"), (F.col("vec_id") % 4).alias("seq"), "embedding")
+    near = vectors.nearest_documents(_asked(embeddings), chunks, chunks.select("doc_id", F.lit(True).alias("active")).distinct(), 10)
+    return vectors.best_files(near.withColumn("query_id", F.expr("query_id div 300")))
+
+
 @query(f"WITH n AS (SELECT * FROM (SELECT query_id, id, scope_b AS scope, similarity, {_RANK} FROM ({_KNN})) WHERE rank <= 20), c AS (SELECT query_id, count(DISTINCT scope) AS n FROM n GROUP BY 1) SELECT query_id, id, scope, CASE WHEN c.n > 1 THEN round(1.0 / (59 + row_number() OVER (PARTITION BY query_id, scope ORDER BY similarity DESC, id)), 6) ELSE similarity END::DOUBLE AS similarity FROM n JOIN c USING (query_id)", "embeddings")
 def scope_rank_norm(embeddings):
     near = vectors.nearest(_asked(embeddings), _stored(embeddings), 20).join(_stored(embeddings).select("id", "scope"), "id")
@@ -530,6 +538,20 @@ def kg_consolidate(facts, customer):
     return knowledge.profiles(knowledge.build(facts.unionByName(more, allowMissingColumns=True)))
 
 
+@query(f"WITH f2 AS (SELECT * FROM facts UNION ALL SELECT c_custkey + 100000000, c_name, 'Market_segment', c_mktsegment, NULL, NULL FROM customer), {_SCD.replace('FROM facts', 'FROM f2')}, o AS (SELECT *, replace(subject, '_', ' ') AS shown, replace(predicate, '_', ' ') AS said FROM kg WHERE valid_until IS NULL), ob AS (SELECT subject, shown, said, predicate, object, min(id) AS id, count(*) AS n, count(valid_from) AS dated FROM o GROUP BY ALL), ln AS (SELECT subject, shown, predicate, sum(n) AS n, sum(dated) AS dated, said || ': ' || string_agg(object, ', ' ORDER BY id) AS line FROM ob GROUP BY subject, shown, said, predicate), cn AS (SELECT subject, sum(n) AS n, sum(dated) AS dated FROM ln GROUP BY 1 HAVING sum(n) >= 2), p AS (SELECT subject, 'profile' AS kind, '[entity-summary:' || subject || '] ' || any_value(shown) || '. ' || string_agg(line, '. ' ORDER BY predicate) || '.' AS text FROM ln GROUP BY 1 UNION ALL SELECT subject, 'timeline', '[entity-timeline:' || subject || '] ' || string_agg('[' || strftime(valid_from, '%-d %B, %Y') || '] ' || shown || ' ' || said || ' ' || object, '. ' ORDER BY valid_from, predicate, id) || '.' FROM o JOIN cn USING (subject) WHERE cn.dated >= 2 AND valid_from IS NOT NULL GROUP BY subject) SELECT subject, kind, text, 'entity' AS category, 0.85::DOUBLE AS importance FROM p WHERE subject IN (SELECT subject FROM cn)", "facts", "customer")
+def kg_consolidate_texts(facts, customer):
+    """Profiles and timelines of customers, as the memories that keep them."""
+    more = customer.select((F.col("c_custkey") + 100_000_000).alias("id"), F.col("c_name").alias("subject"), F.lit("Market_segment").alias("predicate"), F.col("c_mktsegment").alias("object"))
+    return knowledge.consolidated(knowledge.build(facts.unionByName(more, allowMissingColumns=True)))
+
+
+@query(f"WITH o AS (SELECT o_orderkey AS id, c_name AS subject, o_orderpriority AS predicate, o_orderstatus AS object, o_orderdate AS valid_from FROM orders JOIN customer ON o_custkey = c_custkey), n AS (SELECT subject, count(*) AS n, count(valid_from) AS dated FROM o GROUP BY 1 HAVING count(*) >= 2) SELECT subject, 'timeline' AS kind, sha256('[entity-timeline:' || subject || '] ' || string_agg('[' || strftime(valid_from, '%-d %B, %Y') || '] ' || subject || ' ' || predicate || ' ' || object, '. ' ORDER BY valid_from, predicate, id) || '.') AS text_hash FROM o JOIN n USING (subject) WHERE n.dated >= 2 GROUP BY 1", "orders", "customer")
+def kg_order_timelines(orders, customer):
+    """All orders as open facts of their customers: many dates a subject."""
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("subject"), F.col("o_orderpriority").alias("predicate"), F.col("o_orderstatus").alias("object"), F.col("o_orderdate").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until"))
+    return knowledge.consolidated(rows).where("kind = 'timeline'").select("subject", "kind", F.sha2("text", 256).alias("text_hash"))
+
+
 # Catalogue -------------------------------------------------------------------------
 
 
@@ -777,6 +799,27 @@ def context_audit(corpus):
     return catalog.missing_contexts(corpus, rules)
 
 
+@query("SELECT name AS collection, count(doc_id) FILTER (active) AS docs FROM (SELECT DISTINCT collection AS name FROM corpus UNION SELECT n_name FROM nation) c LEFT JOIN corpus ON collection = name WHERE name NOT LIKE 'src1%' AND name NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) GROUP BY 1", "corpus", "nation")
+def contextless_collections(corpus, nation):
+    """Collections of documents, and empty ones named by nations, that no rule tells of."""
+    known = corpus.select("collection").unionByName(nation.select(F.col("n_name").alias("collection")))
+    rules = corpus.where("collection LIKE 'src1%'").select("collection").unionByName(nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("collection")))
+    return catalog.without_contexts(known, corpus, rules)
+
+
+@query("WITH i AS (SELECT s_name || CASE WHEN s_suppkey % 5 = 0 THEN ' &' ELSE '' END AS name, s_suppkey, 'a/' || s_suppkey AS path FROM supplier), m AS (SELECT replace(name, '#', '-') AS collection, s_suppkey, path, CASE WHEN s_suppkey % 5 = 0 THEN 'bad name' WHEN s_suppkey % 3 = 0 THEN 'exists' ELSE 'created' END AS outcome FROM i) SELECT collection, CASE WHEN outcome = 'exists' THEN 'old' ELSE path END AS path, outcome, CASE WHEN outcome <> 'bad name' THEN s_suppkey % 4 <> 0 END AS include_by_default, CASE WHEN outcome <> 'bad name' AND s_suppkey % 4 = 1 THEN 'pull ' || s_suppkey WHEN outcome = 'exists' AND s_suppkey % 4 <> 2 THEN 'fetch' END AS update FROM m", "supplier")
+def collection_settings(supplier):
+    """Collections made out of suppliers, some there before, with their settings."""
+    bad = F.when(F.col("s_suppkey") % 5 == 0, " &").otherwise("")
+    rows = supplier.select(F.concat(F.replace("s_name", F.lit("#"), F.lit("-")), bad).alias("collection"), F.concat(F.lit("a/"), F.col("s_suppkey").cast("string")).alias("path"), "s_suppkey")
+    old = rows.where("s_suppkey % 3 = 0 and s_suppkey % 5 <> 0").select("collection", F.lit("old").alias("path"), F.lit("**/*.md").alias("pattern"), F.lit(True).alias("include_by_default"), F.lit("fetch").alias("update"))
+    now, outcomes = catalog.created(old, rows.select("collection", "path"))
+    command = F.when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("pull "), F.col("s_suppkey").cast("string"))).when(F.col("s_suppkey") % 4 == 2, "")
+    now = catalog.configured(now, rows.select("collection", F.when(F.col("s_suppkey") % 4 == 0, False).alias("include_by_default"), command.alias("update")))
+    joined = outcomes.withColumnRenamed("path", "_path").join(now, "collection", "left")
+    return joined.select("collection", F.coalesce("path", "_path").alias("path"), "outcome", "include_by_default", "update")
+
+
 @query("SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 THEN path END AS path, CASE WHEN doc_id % 2 = 1 THEN 'not found' WHEN octet_length(encode(body)) > 10240 THEN 'too large' ELSE 'ok' END AS outcome FROM corpus WHERE doc_id % 25 = 0", "corpus")
 def multi_get(corpus):
     docs = catalog.addressed(corpus)

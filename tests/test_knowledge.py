@@ -77,3 +77,22 @@ def test_late_facts_of_a_stream(spark, tmp_path):
         fact_store.put_stream(stream, path, mark, 4).trigger(availableNow=True).start().awaitTermination()
     want = knowledge.build(spark.createDataFrame(rows, ASSERTED)).collect()
     assert {(r.id, r.valid_until) for r in fact_store.current(spark, path).collect()} == {(r.id, r.valid_until) for r in want}
+
+
+def test_consolidated_texts(spark):
+    from datetime import datetime
+
+    d = datetime
+    rows = [
+        (1, "ann_lee", "lives_in", "Rome", d(2023, 5, 8), None), (2, "ann_lee", "lives_in", "Paris", d(2022, 1, 31), None), (3, "ann_lee", "lives_in", "Rome", None, None),
+        (4, "ann_lee", "job", "dancer", None, None), (5, "ann_lee", "job", "cook", d(2021, 1, 1), d(2022, 1, 1)),
+        (6, "bob", "job", "baker", d(2020, 1, 1), None), (7, "cy", "likes", None, d(2020, 1, 1), None), (8, "cy", "likes", "tea", None, None),
+    ]
+    facts = spark.createDataFrame(rows, "id long, subject string, predicate string, object string, valid_from timestamp, valid_until timestamp")
+    got = {(r.subject, r.kind): r.text for r in knowledge.consolidated(facts).collect()}
+    assert got == {
+        ("ann_lee", "profile"): "[entity-summary:ann_lee] ann lee. job: dancer. lives in: Rome, Paris.",
+        ("ann_lee", "timeline"): "[entity-timeline:ann_lee] [31 January, 2022] ann lee lives in Paris. [8 May, 2023] ann lee lives in Rome.",
+        ("cy", "profile"): "[entity-summary:cy] cy. likes: tea.",
+    }
+    assert knowledge.consolidated(facts.limit(0)).count() == 0
