@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from larkspur.functions import lexicons as X
 
 
 def ascii_boundaries(pattern: str) -> str:
-    """``\\b`` with ASCII word characters (Java's is Unicode-aware)."""
+    """``\\b`` with ASCII word characters (Java's is Unicode-aware); where a word character
+    stands next to it, one look to the other side tells as much."""
+    pattern = re.sub(r"(?<!\\)\\b(?=(?:[A-Za-z0-9_]|\[A-Z\])(?![?*{|]))", r"(?<![A-Za-z0-9_])", pattern)
     return pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
 
 
@@ -38,7 +42,7 @@ def _share(terms: Column, text: Column) -> Column:
 
 def keyword_boost(query: Column, text: Column) -> Column:
     terms = boost_words(query)
-    return F.when(F.size(terms) == 0, 1.0).otherwise(1 + 0.3 * _share(terms, text))
+    return once(terms, lambda t: F.when(F.size(t) == 0, 1.0).otherwise(1 + 0.3 * _share(t, text)))
 
 
 def phrase_boost(query: Column, text: Column) -> Column:
@@ -61,7 +65,7 @@ def memory_keywords(text: Column) -> Column:
 
 def memory_keyword_boost(query: Column, text: Column) -> Column:
     terms = memory_keywords(query)
-    return F.when(F.size(terms) == 0, 1.0).otherwise(1 + 0.4 * _share(terms, text))
+    return once(terms, lambda t: F.when(F.size(t) == 0, 1.0).otherwise(1 + 0.4 * _share(t, text)))
 
 
 def memory_phrase_boost(query: Column, text: Column) -> Column:
@@ -85,13 +89,19 @@ def category_counts(text: Column) -> dict[str, Column]:
 
 
 def category(text: Column) -> Column:
-    """Category with most matching patterns; the earlier wins a tie; none is ``other``."""
+    """Category with most matching patterns; the earlier wins a tie; none is ``other``.
+
+    The counts are bound once, as every one of them is asked for several times."""
     counts = category_counts(text)
-    best = F.greatest(*counts.values())
-    out = F.when(best == 0, "other")
-    for c, n in counts.items():
-        out = out.when(n == best, c)
-    return out
+
+    def named(n: Column) -> Column:
+        best = F.greatest(*[n[c] for c in counts])
+        out = F.when(best == 0, "other")
+        for c in counts:
+            out = out.when(n[c] == best, c)
+        return out
+
+    return once(F.struct(*[n.alias(c) for c, n in counts.items()]), named)
 
 
 def bridges(text: Column) -> Column:
@@ -102,16 +112,20 @@ def bridges(text: Column) -> Column:
 
 
 def importance(text: Column, kind: Column) -> Column:
-    base = F.coalesce(*[F.when(kind == c, v) for c, v in X.CATEGORY_IMPORTANCE.items()], F.lit(0.5))
     found = F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z0-9_'-]+"), F.lit(0))
-    proper = F.filter(F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), lambda w: w.rlike("^[A-Z][a-z]+") & ~F.lower(w).isin(*X.DENSITY_STOP))
-    density = F.when(F.size(found) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.size(proper) / F.size(found)))
+    proper = lambda found: F.filter(F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), lambda w: w.rlike("^[A-Z][a-z]+") & ~F.lower(w).isin(*X.DENSITY_STOP))
+    density = once(found, lambda f: F.when(F.size(f) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.size(proper(f)) / F.size(f))))
     committed = F.lit(False)
     for p in X.COMMITMENT_PATTERNS:
         committed = committed | matches(text, p)
-    total = base + F.when(F.length(text) > 200, 0.1).otherwise(0.0) + F.when(density >= 0.1, F.least(F.lit(0.1), density * 0.5)).otherwise(0.0)
-    total = total + F.when(committed & (kind != "decision"), 0.05).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+
+    def total(v: Column) -> Column:
+        base = F.coalesce(*[F.when(v["kind"] == c, x) for c, x in X.CATEGORY_IMPORTANCE.items()], F.lit(0.5))
+        out = base + F.when(F.length(text) > 200, 0.1).otherwise(0.0) + F.when(v["density"] >= 0.1, F.least(F.lit(0.1), v["density"] * 0.5)).otherwise(0.0)
+        out = out + F.when(committed & (v["kind"] != "decision"), 0.05).otherwise(0.0)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))
+
+    return once(F.struct(kind.alias("kind"), density.alias("density")), total)
 
 
 def sentences(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import chunking
 from larkspur.functions import text as X
 from larkspur.operators import vectors
-from larkspur.sources.staged import staged
+from larkspur.sources.staged import spread, staged
 
 DAY = 86_400_000.0
 # Fixed values. Half-life in days, stretch and floor of each tier, and of any other.
@@ -166,8 +166,9 @@ def exchanges(turns: DataFrame) -> DataFrame:
 def extracted(texts: DataFrame) -> DataFrame:
     """(id, n, text, category, importance): sentences of texts(id, text) that carry the
     signs of a category, numbered within their text."""
-    rows = texts.select("id", F.posexplode(X.sentences(F.col("text"))).alias("n", "text"))
-    kinds = rows.withColumn("category", X.category(F.col("text"))).where("category <> 'other'")
+    # in the array, where a filter can't make every category be found twice
+    found = F.transform(X.sentences(F.col("text")), lambda s, n: F.struct(n.alias("n"), s.alias("text"), X.category(s).alias("category")))
+    kinds = spread(texts).select("id", F.inline(F.filter(found, lambda s: s["category"] != "other")))
     return kinds.withColumn("importance", X.importance(F.col("text"), F.col("category")))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from larkspur.functions import text as X
 from larkspur.operators.lexical import BROADCAST_TERMS, FIELD_WEIGHTS, K1, B, top
-from larkspur.sources.staged import fresh, staged
+from larkspur.sources.staged import UNKNOWN, fresh, staged
 
 #: Documents of a block, and tokens after which a block of fewer is closed.
 BLOCK, TOKENS = 256, 1 << 21
@@ -38,8 +38,6 @@ BLOCK, TOKENS = 256, 1 << 21
 FIELD = 1 << 40
 #: Bytes of input a range of terms, and ranges of a generation at least and at most.
 RANGE_BYTES, LEAST, MOST = 32 << 20, 8, 20_000
-#: Sizes from which Spark's figure of a plan's input is no measurement (as of local rows).
-UNKNOWN = 1 << 60
 POSTING = "tfs array<double>, dls array<long>, places array<array<long>>, n int, max_tf double, min_dl long"
 #: Blocks of a query that are scored before the others are bounded.
 SEEDS = 4

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Sizes from which Spark's figure of a plan's input is no measurement (as of local rows).
+UNKNOWN = 1 << 60
+
 
 def fresh(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the session names in ``spark.checkpoint.dir``.
@@ -31,3 +34,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = fresh(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of stored input of a task of costly work, and such tasks a core at least.
+TASK_BYTES, TASKS = 4 << 20, 3
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly, before work that costs more than the reading of its rows.
+
+    A small file of many rows is read by one task (a row group can't be divided), which
+    then did all the work.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = df.sparkSession.sparkContext.defaultParallelism * TASKS
+    return df.repartition(tasks if size >= UNKNOWN else max(tasks, size // TASK_BYTES))
