@@ -16,7 +16,7 @@ from larkspur.functions import chunking, lexicons, stems
 from larkspur.functions import text as X
 from larkspur.operators import batches, catalog, composites, evaluation, fact_store, fusion, ingest, knowledge, lexical, memory, text_index, vectors
 from larkspur.sources import formats
-from larkspur.sources.staged import fresh
+from larkspur.sources.staged import fresh, spread
 from larkspur.streaming import access
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,7 +419,7 @@ _CLASSIFY = "SELECT *, CASE greatest({0}) WHEN 0 THEN 'other' {1} END AS categor
 
 @query(f"SELECT id, category FROM ({_CLASSIFY})", "said")
 def classify_text(said):
-    return said.select("id", X.category(F.col("text")).alias("category"))
+    return spread(said).select("id", X.category(F.col("text")).alias("category"))
 
 
 _COMMIT = " OR ".join(f"regexp_matches(text, '{p}')" for p in lexicons.COMMITMENT_PATTERNS)
@@ -428,7 +428,7 @@ _DENS = f"(CASE WHEN len(w) = 0 THEN 0 ELSE least(1.0, len(list_filter(list_slic
 
 @query(f"WITH c AS (SELECT *, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''-]+') AS w FROM ({_CLASSIFY})) SELECT id, round(greatest(0, least(1.0, CASE category WHEN 'decision' THEN 0.8 WHEN 'fact' THEN 0.7 WHEN 'entity' THEN 0.7 WHEN 'preference' THEN 0.6 WHEN 'reflection' THEN 0.6 ELSE 0.5 END + CASE WHEN length(text) > 200 THEN 0.1 ELSE 0 END + CASE WHEN {_DENS} >= 0.1 THEN least(0.1, {_DENS} * 0.5) ELSE 0 END + CASE WHEN ({_COMMIT}) AND category <> 'decision' THEN 0.05 ELSE 0 END)), 6)::DOUBLE AS importance FROM c", "said")
 def importance(said):
-    return said.select("id", F.round(X.importance(F.col("text"), X.category(F.col("text"))), 6).alias("importance"))
+    return spread(said).select("id", F.round(X.importance(F.col("text"), X.category(F.col("text"))), 6).alias("importance"))
 
 
 @query(f"SELECT id, list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: length(w) > 1 AND w NOT IN {_in(lexicons.INTENT_STOP)}) AS terms FROM said", "said")
@@ -678,7 +678,7 @@ def wilson_ci(labels, documents):
 
 @query("WITH t AS (SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '') AS a, ['we', 'decided', 'to', 'go', 'with', 'building', 'products', 'products'] AS b FROM said), s AS (SELECT id, len(a) AS na, len(b) AS nb, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))) AS hit FROM t) SELECT id, round(CASE WHEN hit > 0 THEN 2.0 * hit / (na + nb) ELSE 0 END, 6)::DOUBLE AS f1 FROM s", "said")
 def token_f1(said):
-    return said.select("id", F.round(evaluation.token_f1(F.col("text"), F.lit("We decided to go with building, products products")), 6).alias("f1"))
+    return spread(said).select("id", F.round(evaluation.token_f1(F.col("text"), F.lit("We decided to go with building, products products")), 6).alias("f1"))
 
 
 _TRUTH = ["alice", "smith", "will", "buy", "products"]
