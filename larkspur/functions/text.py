@@ -36,8 +36,7 @@ def boost_words(query: Column) -> Column:
 
 
 def _share(terms: Column, text: Column) -> Column:
-    low = F.lower(text)
-    return F.size(F.filter(terms, lambda w: F.contains(low, w))) / F.size(terms)
+    return contains_score(terms, text) / F.size(terms)
 
 
 def keyword_boost(query: Column, text: Column) -> Column:
@@ -47,14 +46,12 @@ def keyword_boost(query: Column, text: Column) -> Column:
 
 def phrase_boost(query: Column, text: Column) -> Column:
     phrases = F.regexp_extract_all(F.lower(query), F.lit("[\"']([^\"']{3,})[\"']"), F.lit(1))
-    low = F.lower(text)
-    return F.when(F.exists(phrases, lambda p: F.contains(low, p)), 1.6).otherwise(1.0)
+    return once(F.lower(text), lambda low: F.when(F.exists(phrases, lambda p: F.contains(low, p)), 1.6).otherwise(1.0))
 
 
 def name_boost(query: Column, text: Column) -> Column:
     names = F.regexp_extract_all(query, F.lit(ascii_boundaries(r"\b[A-Z][a-z]{2,}\b")), F.lit(0))
-    low = F.lower(text)
-    return F.when(F.exists(names, lambda n: F.contains(low, F.lower(n))), 1.4).otherwise(1.0)
+    return once(F.lower(text), lambda low: F.when(F.exists(names, lambda n: F.contains(low, F.lower(n))), 1.4).otherwise(1.0))
 
 
 def memory_keywords(text: Column) -> Column:
@@ -70,8 +67,7 @@ def memory_keyword_boost(query: Column, text: Column) -> Column:
 
 def memory_phrase_boost(query: Column, text: Column) -> Column:
     phrases = F.regexp_extract_all(F.lower(query), F.lit('"([^"]+)"'), F.lit(1))
-    low = F.lower(text)
-    return F.pow(F.lit(1.6), F.size(F.filter(phrases, lambda p: F.contains(low, p))))
+    return F.pow(F.lit(1.6), once(F.lower(text), lambda low: F.size(F.filter(phrases, lambda p: F.contains(low, p)))))
 
 
 def intent_terms(intent: Column) -> Column:
@@ -174,9 +170,8 @@ def title(body: Column, path: Column) -> Column:
 
 
 def contains_score(terms: Column, text: Column) -> Column:
-    """How many of ``terms`` the text holds."""
-    low = F.lower(text)
-    return F.size(F.filter(terms, lambda t: F.contains(low, t)))
+    """How many of ``terms`` the text holds, which is lower-cased once for all of them."""
+    return once(F.lower(text), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t))))
 
 
 def snippet(body: Column, query: Column, intent: Column | None = None, most: int = 500) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import chunking
 from larkspur.functions import text as X
 from larkspur.operators import fusion, lexical, memory
-from larkspur.sources.staged import staged
+from larkspur.sources.staged import spread, staged
 
 
 def hybrid(lists: list[DataFrame], k: int = 10) -> DataFrame:
@@ -98,7 +98,8 @@ def hybrid_search(lists: list[DataFrame], docs: DataFrame, asked: DataFrame, sco
         one = ranked.select("query_id", F.lit(n).alias("list_no"), "id", "rank")
         every = one if every is None else every.unionByName(one)
     fused = fusion.fuse(fusion.weigh_lists(every)).select("query_id", "id", "score")
-    rows = fused.join(asked.select("query_id", "query"), "query_id").join(docs.select("id", "body"), "id")
+    fused = staged(fused, "fused")  # a small table of known size, that the texts need not move for
+    rows = spread(fused.join(asked.select("query_id", "query"), "query_id").join(docs.select("id", "body"), "id"), "query_id", "id")
     boosted = F.col("score") * X.keyword_boost(F.col("query"), F.col("body")) * X.phrase_boost(F.col("query"), F.col("body"))
     found = lexical.top(rows.select("query_id", "id", F.round(boosted, 6).alias("fused")), candidates, "id", "fused")
     if reranker is not None:
