@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from larkspur.functions import text as X
 from larkspur.operators.lexical import BROADCAST_TERMS, FIELD_WEIGHTS, K1, B, top
-from larkspur.sources.staged import UNKNOWN, fresh, staged
+from larkspur.sources.staged import UNKNOWN, fresh, spread, staged
 
 #: Documents of a block, and tokens after which a block of fewer is closed.
 BLOCK, TOKENS = 256, 1 << 21
@@ -119,7 +119,8 @@ def upsert(docs: DataFrame, path: str, generation: int | None = None, weights: d
     number = (max(known, default=-1) + 1) if generation is None else generation
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     ranges = ranges or (LEAST if size >= UNKNOWN else min(MOST, max(LEAST, size // RANGE_BYTES)))
-    rows = _postings(docs, weights or FIELD_WEIGHTS, key, analyse)
+    # dealt out, as one task reads a row group; staged, as dealing by ranges makes its rows twice
+    rows = staged(_postings(spread(docs), weights or FIELD_WEIGHTS, key, analyse), "index-blocks")
     ranged = rows.repartitionByRange(ranges, "term", "block").sortWithinPartitions("term", "block").withColumn("range", F.spark_partition_id())
     _written(ranged, path, number)
     dead = docs.select(key) if [g for g in known if g < number] else docs.select(key).limit(0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import lexicons
 from larkspur.functions import text as X
-from larkspur.operators import evaluation, memory
+from larkspur.operators import evaluation, memory, text_index
 from larkspur.sources.staged import spread
 
 
@@ -52,3 +52,19 @@ def test_boundaries_are_ascii(spark):
     for p in patterns:
         got = [r[0] for r in rows.select(X.matches(F.col("text"), p)).collect()]
         assert got == [re.search(p, t, re.ASCII) is not None for t in texts], p
+
+
+def test_texts_are_lowered_once_and_dealt_out(spark, tmp_path, monkeypatch):
+    docs = one_file(spark, tmp_path, [(i, "Apples and Pears " * (i + 1)) for i in range(40)], "id long, body string")
+    boost = docs.select((X.keyword_boost(F.lit("apples pears plums"), F.col("body")) * X.phrase_boost(F.lit('"and pears"'), F.col("body"))).alias("b"))
+    plan = optimized(boost)
+    assert all(not re.search(r"lambdafunction\([^()]*\(?lower\(body", x) for x in plan.splitlines()) and plan.count("lower(body") == 2
+    assert {round(r.b, 6) for r in boost.collect()} == {1.92}
+    a, b = (docs.select(F.col("id").alias(n), F.col("body").alias(n + "b")) for n in ("x", "y"))
+    assert spread(a.join(b, a.x == b.y)).rdd.getNumPartitions() < 1000  # not by the product of both sizes
+    seen = []
+    kept = text_index._postings
+    monkeypatch.setattr(text_index, "_postings", lambda d, *a: seen.append(d.rdd.getNumPartitions()) or kept(d, *a))
+    monkeypatch.setattr(text_index, "_written", lambda ranged, *a: seen.append("MapInArrow" in optimized(ranged)))
+    text_index.upsert(docs, str(tmp_path / "index"), weights={"body": 1.0}, key="id")
+    assert seen[0] >= 12 and seen[1] is False
