@@ -28,6 +28,8 @@ BREAKS = [
     (r"\n\d+\.\s", 5),
     (r"\n", 1),
 ]
+#: Documents whose text and chunks a task holds as Python's own objects.
+STEP = 64
 _BREAKS = [(re.compile(p), s) for p, s in BREAKS]
 
 
@@ -84,7 +86,7 @@ def chunked(docs: DataFrame, key: str, size: int = SIZE, overlap: int = OVERLAP,
     for cuts at declarations too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, STEP) for whole in batches for at in range(0, whole.num_rows, STEP)):
             paths = batch.column(path).to_pylist() if path else [None] * len(batch)
             rows = [(k, i, p, c) for k, t, f in zip(batch.column(key).to_pylist(), batch.column("body").to_pylist(), paths) for i, (p, c) in enumerate(chunks(t or "", size, overlap, window, f))]
             cols = list(zip(*rows)) or [()] * 4
