@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
-from larkspur.sources.staged import staged
+from larkspur.sources.staged import spread, staged
 
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"path": 1.5, "title": 4.0, "body": 1.0}
@@ -39,6 +39,7 @@ def scanned(docs: DataFrame, asked: DataFrame, weights: dict[str, float] | None
     begin with it, which another pass over the texts finds.
     """
     weights = weights or FIELD_WEIGHTS
+    docs = spread(docs, key)  # a task's documents are bounded, and their postings meet where they are made
     every = docs.select(key, _weighed(weights, analyse).alias("_all"))
     every = every.select(key, F.size("_all").alias("dl"), "_all")  # so that no exploded row carries the array
     document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w")))
@@ -70,14 +71,20 @@ def bm25(docs: DataFrame, terms: DataFrame, weights: dict[str, float] | None = N
     corpus = found.where("term is null").agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weighed = frequency.join(F.broadcast(corpus)).select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "avgdl")
-    rows = hits.join(terms.join(weighed, "term"), "term")
+    wanted = terms.join(weighed, "term").withColumn("bar", F.lit(False))
+    if barred is not None:
+        none = [F.lit(None).cast("double").alias(c) for c in ("idf", "avgdl")]
+        wanted = wanted.unionByName(barred.select("query_id", "term", *none, F.lit(True).alias("bar")).distinct())
+    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # a document's postings meet its queries in one of many tasks, and are summed up there
+        hits, wanted = spread(hits, key, like=docs), F.broadcast(wanted)
+    rows = hits.join(wanted, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = rows.groupBy("query_id", key).agg(F.sum(part).alias("raw"), F.count("*").alias("held"))
+    out = rows.groupBy("query_id", key).agg(F.sum(part).alias("raw"), F.count_if(~F.col("bar")).alias("held"), F.max("bar").alias("bar"))
+    out = out.where("not bar")
     if match_all:
         asked = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
         out = out.join(asked, "query_id").where("held = asked")
-    if barred is not None:
-        out = out.join(hits.join(barred.select("query_id", "term"), "term").select("query_id", key), ["query_id", key], "left_anti")
     return out.select("query_id", key, F.round(F.col("raw") / (1 + F.col("raw")), 6).alias("score"))
 
 
@@ -87,7 +94,7 @@ def expand_prefixes(docs: DataFrame, prefixes: DataFrame, fields=tuple(FIELD_WEI
     Every term meets the prefixes by its own beginnings, as long as the asked ones.
     """
     every = F.array_distinct(F.concat(*[analyse(F.col(f)) for f in fields]))
-    vocabulary = docs.select(F.explode(every).alias("term")).distinct()
+    vocabulary = spread(docs).select(F.explode(every).alias("term")).distinct()
     longest = prefixes.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0)).alias("longest"))
     begins = vocabulary.join(F.broadcast(longest)).select("term", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("term"), F.col("longest"))))).alias("n"))
     return begins.select("term", F.expr("left(term, n)").alias("prefix")).join(prefixes, "prefix").select("query_id", "prefix", "term")

@@ -40,14 +40,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 TASK_BYTES, TASKS = 4 << 20, 3
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
     """``df`` dealt out evenly, before work that costs more than the reading of its rows;
-    by ``keys`` where given, so that groups of these need no other exchange.
+    by ``keys`` where given, so that groups of these need no other exchange.  ``like`` is
+    what the number of tasks goes by where ``df`` is made small, but works out large.
 
     A small file of many rows is read by one task (a row group can't be divided), which
     then did all the work.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # a join's own figure is a product
+    leaves = (df if like is None else like)._jdf.queryExecution().optimizedPlan().collectLeaves()  # a join's own figure is a product
     size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     tasks = df.sparkSession.sparkContext.defaultParallelism * TASKS
     return df.repartition(tasks if size >= UNKNOWN else max(tasks, size // TASK_BYTES), *keys)

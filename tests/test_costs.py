@@ -8,11 +8,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
-from larkspur.functions import lexicons
+from larkspur.functions import chunking, lexicons
 from larkspur.functions import text as X
-from larkspur.operators import evaluation, memory, text_index
+from larkspur.operators import evaluation, lexical, memory, text_index
 from larkspur.sources.staged import spread
 
 
@@ -68,3 +70,27 @@ def test_texts_are_lowered_once_and_dealt_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(text_index, "_written", lambda ranged, *a: seen.append("MapInArrow" in optimized(ranged)))
     text_index.upsert(docs, str(tmp_path / "index"), weights={"body": 1.0}, key="id")
     assert seen[0] >= 12 and seen[1] is False
+
+
+def test_scores_are_summed_in_many_tasks(spark, tmp_path):
+    docs = one_file(spark, tmp_path, [(i, "", "", "red blue " + ("green " * (i % 3)) + f"w{i}") for i in range(60)], "doc_id long, path string, title string, body string")
+    terms = spark.createDataFrame([(1, "red"), (1, "green"), (2, "w7"), (3, "blue"), (3, "w9")], "query_id long, term string")
+    barred = spark.createDataFrame([(1, "green"), (3, "w8"), (3, "blue"), (2, "none")], "query_id long, term string")
+    found = lexical.bm25(docs, terms, barred=barred)
+    assert found.rdd.getNumPartitions() >= 12
+    assert sorted((r.query_id, r.doc_id) for r in found.collect()) == [(1, i) for i in range(0, 60, 3)] + [(2, 7)]
+    every = {(r.query_id, r.doc_id): r.score for r in lexical.bm25(docs, terms).collect()}
+    assert len(every) == 121 and all(every[r.query_id, r.doc_id] == r.score for r in found.collect())
+
+
+def test_chunks_are_cut_a_few_documents_at_a_time():
+    class Docs:
+        schema = types.StructType.fromDDL("id long, body string")
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "body": [f"{i} " * 300 for i in range(1000)]})
+    parts = list(chunking.chunked(Docs(), "id", 200, 20, 50)(iter([batch])))
+    assert len(parts) > 10 and max(len(set(p.column("id").to_pylist())) for p in parts) <= 64
+    whole = [(i, n, p, c) for i in range(1000) for n, (p, c) in enumerate(chunking.chunks(f"{i} " * 300, 200, 20, 50))]
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == whole
