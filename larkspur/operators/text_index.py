@@ -169,10 +169,16 @@ def upsert(docs: DataFrame, path: str, generation: int | None = None, weights: d
 def _written(ranged: DataFrame, path: str, number: int) -> None:
     folder = f"{path}/postings/generation={number}"
     # version 2 codes sorted strings by shared beginnings and, without dictionaries, numbers by differences
-    coded = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#places.list.element.list.element": "false", "parquet.enable.dictionary#term": "false"}
-    ranged = ranged.withColumn("range", F.spark_partition_id())
-    # by the range first, as the writer would else sort once more
-    ranged.sortWithinPartitions("range", "term", "block").write.mode("overwrite").options(**coded).partitionBy("range").parquet(folder)
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("places.list.element.list.element", "ids.list.element", "term")}
+    ranged = ranged.sortWithinPartitions("term", "block").withColumn("range", F.spark_partition_id())
+    # a task writes one folder; with room for two open files the writer need not sort by folder before
+    conf, spark = "spark.sql.maxConcurrentOutputFileWriters", ranged.sparkSession
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, 2)
+    try:
+        ranged.write.mode("overwrite").options(**plain, **{"parquet.writer.version": "PARQUET_2_0"}).partitionBy("range").parquet(folder)
+    finally:
+        spark.conf.set(conf, before)
     stored = ranged.sparkSession.read.schema(ranged.schema).parquet(folder)
     bounds = stored.groupBy("range").agg(F.min("term").alias("low"), F.max("term").alias("high"), F.max(F.lit(number)).alias("generation"))
     bounds.coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges/generation={number}")

@@ -62,3 +62,26 @@ def test_a_task_hands_on_the_best_rows_alone(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
         assert counts["seed-scores"] <= 4 * 5 * 30  # tasks, rows, queries; 4 blocks a query have up to 256 documents
         assert counts["term-rows"] == 480 * 2  # every live document holds "common" and one of the others
+
+
+def test_files_are_sorted_once(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    plans, kept = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *more, **options):
+        if "/postings/" in path:
+            plans.append((self._df._jdf.queryExecution().optimizedPlan().toString(), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        return kept(self, path, *more, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    path = fresh(spark, "index")
+    text_index.upsert(spark.createDataFrame([(i, "a.md", "", f"some words {i} and more {i % 7}") for i in range(50)], SCHEMA), path)
+    plan, writers = plans[0]
+    assert plan.count("Sort [") == 1 and "Sort [term" in plan and int(writers) > 0  # else the writer sorts by range besides
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == 0
+    stored = spark.read.parquet(f"{path}/postings/generation=0")
+    for folder in {f.rsplit("/", 1)[0] for f in stored.inputFiles()}:
+        files = [f for f in stored.inputFiles() if f.startswith(f"{folder}/")]
+        rows = [(r.term.encode(), r.block) for r in spark.read.parquet(folder).collect()]
+        assert len(files) == 1 and rows == sorted(rows)
